@@ -1,0 +1,30 @@
+"""Predicates that never answer null: a missing value equals nothing, differs from everything."""
+
+from __future__ import annotations
+
+from collections.abc import Iterable
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def eq(column: str | Column, value) -> Column:
+    return F.lit(value).eqNullSafe(_col(column))
+
+
+def ne(column: str | Column, value) -> Column:
+    return ~eq(column, value)
+
+
+def among(column: str | Column, values: Iterable) -> Column:
+    column = _col(column)
+    return column.isNotNull() & column.isin(list(values))
+
+
+def not_among(column: str | Column, values: Iterable) -> Column:
+    column = _col(column)
+    return column.isNull() | ~column.isin(list(values))
+
+
+def _col(column: str | Column) -> Column:
+    return F.col(column) if isinstance(column, str) else column
