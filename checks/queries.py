@@ -245,7 +245,7 @@ def queries() -> dict[str, Query]:
         "daily_productivity": clean(overview.daily_productivity),
         "daily_productivity_recent": clean(
             lambda log: filters.filter_last_days(
-                overview.daily_productivity(log), RECENT_PRODUCTIVITY_DAYS
+                overview.daily_productivity(log), RECENT_PRODUCTIVITY_DAYS, ()
             )
         ),
         "daily_registered_updated": clean(overview.daily_registered_updated),

@@ -33,22 +33,21 @@ def filter_period(log: DataFrame, first: dt.date, last: dt.date) -> DataFrame:
     return log.filter(in_period(log, first, last))
 
 
-def filter_last_days(df: DataFrame, days: int, by: Sequence[str] = ()) -> DataFrame:
+def filter_last_days(df: DataFrame, days: int, by: Sequence[str] | None = None) -> DataFrame:
     """Keep the last ``days`` days before the latest day found in the data, inclusive.
 
-    With ``by``, each group has its own latest day; meant for daily tables,
-    where a group holds one row per day.
+    For a log the latest day is looked up first, by a scan of that column alone.
+    ``by`` says that ``df`` is a daily table, with one row per day and ``by`` key
+    (none for ``()``), each key with its own latest day; it is computed once.
     """
     day = day_of(df)
-    if by:
-        latest = F.max("day").over(Window.partitionBy(*by))
-        return (
-            df.withColumn("_latest", latest)
-            .filter(day >= F.date_sub("_latest", days))
-            .drop("_latest")
-        )
-    latest = df.agg(F.max(day)).scalar()
-    return df.filter(day >= F.date_sub(latest, days))
+    if by is None:
+        latest = df.agg(F.max(day)).scalar()
+        return df.filter(day >= F.date_sub(latest, days))
+    latest = F.max("day").over(Window.partitionBy(*by))
+    return (
+        df.withColumn("_latest", latest).filter(day >= F.date_sub("_latest", days)).drop("_latest")
+    )
 
 
 def filter_months(df: DataFrame, months: Iterable[str] | None = None) -> DataFrame:

@@ -37,25 +37,32 @@ def _named(log: DataFrame) -> DataFrame:
     return log.filter(F.col("analyst").isNotNull())
 
 
-def _metric_sums(log: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """Per analyst: sums behind the metrics, and days with a registration.
-
-    Tasks of the unknown queue and doubt outliers do not count. Summed per day
-    first, so that counting days needs no distinct.
-    """
-    log = with_measures(log)
+def _counted_kinds(log: DataFrame, vocabulary: Vocabulary) -> dict[str, Column]:
+    """Which tasks count: not those of the unknown queue, nor doubt outliers."""
     counts = ne("queue", vocabulary.unknown_queue) & ~is_doubt_outlier(log, vocabulary)
     outcome = F.col("outcome")
-    kinds = {
+    return {
         "registered": counts & (outcome == vocabulary.registered),
         "updated": counts & (outcome == vocabulary.updated),
         "distributed": counts & (outcome == vocabulary.distributed),
     }
+
+
+def _mean_of(kind: str) -> tuple[Column, Column, Column]:
+    return (F.col(f"{kind}_dur_s"), F.col(f"{kind}_dur_us"), F.col(f"{kind}_n"))
+
+
+def analyst_metrics(log: DataFrame, vocabulary: Vocabulary = DEFAULT) -> DataFrame:
+    """Counts, mean times over all counted tasks, days worked and registrations per day."""
+    log = with_measures(log)
+    counted = _counted_kinds(log, vocabulary)
+    kinds = tuple(counted)
     sums = {
         f"{kind}_{m}": total(m, when)
-        for kind, when in kinds.items()
+        for kind, when in counted.items()
         for m in ("n", "dur_s", "dur_us")
     }
+    # summed per day first, so that counting days needs no distinct
     daily = (
         _named(log)
         .withColumn("day", day_of(log))
@@ -63,24 +70,15 @@ def _metric_sums(log: DataFrame, vocabulary: Vocabulary) -> DataFrame:
         .agg(*[column.alias(name) for name, column in sums.items()])
     )
     worked = F.count_if((F.col("registered_n") > 0) & F.col("day").isNotNull())
-    return daily.groupBy("analyst").agg(
+    per_analyst = daily.groupBy("analyst").agg(
         *[F.sum(name).alias(name) for name in sums], worked.alias("days_worked")
     )
-
-
-def _mean_of(kind: str) -> tuple[Column, Column, Column]:
-    return (F.col(f"{kind}_dur_s"), F.col(f"{kind}_dur_us"), F.col(f"{kind}_n"))
-
-
-def analyst_metrics(log: DataFrame, vocabulary: Vocabulary = DEFAULT) -> DataFrame:
-    """Counts, mean times over all counted tasks, days worked and registrations per day."""
-    kinds = ("registered", "updated", "distributed")
     overall = [sum(F.col(f"{k}_{m}") for k in kinds) for m in ("dur_s", "dur_us", "n")]
 
     def mean(*parts: Column) -> Column:
         return F.coalesce(mean_s_of(*parts), _zero())
 
-    return _metric_sums(log, vocabulary).select(
+    return per_analyst.select(
         "analyst",
         *[F.col(f"{k}_n").alias(k) for k in kinds],
         overall[2].alias("total"),
@@ -106,25 +104,40 @@ def team_tmo(log: DataFrame, vocabulary: Vocabulary = DEFAULT) -> DataFrame:
 
 
 def analyst_vs_team(log: DataFrame, vocabulary: Vocabulary = DEFAULT) -> DataFrame:
-    """Analysts against the team mean: who takes longer to register, to update."""
+    """Analysts against the team mean: who takes longer to register, to update.
+
+    Both come from one scan: the team's sums are those of the per-analyst rows.
+    """
+    log = with_measures(log)
     outcome = F.col("outcome")
-    team = with_measures(log).agg(
-        F.struct(
-            mean_us(outcome == vocabulary.registered).alias("registered"),
-            mean_us(outcome == vocabulary.updated).alias("updated"),
-        ).alias("mean")
+    whole = {"registered": vocabulary.registered, "updated": vocabulary.updated}
+    counted = _counted_kinds(log, vocabulary)
+    measures = ("dur_s", "dur_us")
+    sums = log.groupBy("analyst").agg(
+        *[total(m, counted[k]).alias(f"{k}_{m}") for k in whole for m in (*measures, "n")],
+        *[
+            total(m, outcome == word).alias(f"team_{k}_{m}")
+            for k, word in whole.items()
+            for m in (*measures, "timed")
+        ],
     )
-    own = _metric_sums(log, vocabulary).withColumn("team", team.scalar())
+    everyone = Window.partitionBy()
+    means = {}
+    for k in whole:
+        means[f"{k}_us"] = F.coalesce(mean_us_of(*_mean_of(k)), _zero())
+        team = [F.sum(f"team_{k}_{m}").over(everyone) for m in (*measures, "timed")]
+        means[f"team_{k}_us"] = mean_us_of(*team)
+    compared = sums.withColumns(means).filter("analyst IS NOT NULL")
 
     def against(kind: str) -> list[Column]:
-        mean = F.coalesce(mean_us_of(*_mean_of(kind)), _zero())
+        own, team = F.col(f"{kind}_us"), F.col(f"team_{kind}_us")
         return [
-            div(mean, MICROS).alias(f"{kind}_tmo_s"),
-            div(F.col(f"team.{kind}"), MICROS).alias(f"team_{kind}_tmo_s"),
-            F.coalesce(mean > F.col(f"team.{kind}"), F.lit(False)).alias(f"{kind}_over_team"),
+            div(own, MICROS).alias(f"{kind}_tmo_s"),
+            div(team, MICROS).alias(f"team_{kind}_tmo_s"),
+            F.coalesce(own > team, F.lit(False)).alias(f"{kind}_over_team"),
         ]
 
-    return own.select("analyst", *against("registered"), *against("updated"))
+    return compared.select("analyst", *against("registered"), *against("updated"))
 
 
 def _registered_days(log: DataFrame, vocabulary: Vocabulary) -> DataFrame:

@@ -264,12 +264,10 @@ def monthly_tmo_by_outcome(log: DataFrame, vocabulary: Vocabulary = DEFAULT) ->
 
 def monthly_tmo_long(monthly: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """A monthly table with one row per month and kind, with the label a chart shows."""
-    long = monthly.unpivot(
-        [*by, "month"], [f"{kind}_tmo_s" for kind in TMO_KINDS], "kind", "tmo_s"
-    )
-    kind = F.regexp_replace("kind", "_tmo_s$", "")
-    label = F.concat_ws(" - ", F.initcap(kind), hms(F.col("tmo_s")))
-    return long.select(*by, "month", kind.alias("kind"), "tmo_s", label.alias("label"))
+    plain = monthly.select(*by, "month", *[F.col(f"{k}_tmo_s").alias(k) for k in TMO_KINDS])
+    long = plain.unpivot([*by, "month"], list(TMO_KINDS), "kind", "tmo_s")
+    label = F.concat(F.initcap("kind"), F.lit(" - "), hms(F.col("tmo_s")))
+    return long.select("*", label.alias("label"))
 
 
 def monthly_tmo(log: DataFrame, vocabulary: Vocabulary = DEFAULT) -> DataFrame:

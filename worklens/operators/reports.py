@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from worklens.config import DEFAULT, MICROS, Vocabulary
@@ -68,16 +68,20 @@ def period_summary_band(summary: DataFrame) -> DataFrame:
 
     Green below 90 %, yellow up to 110 %, red above; compared in whole numbers.
     """
-    whole = summary.agg(
-        F.struct(F.sum("tmo_s").alias("sum"), F.count("tmo_s").alias("n")).alias("whole")
-    ).scalar()
-    scaled = F.col("tmo_s") * F.col("whole.n") * 10
+    everyone = Window.partitionBy()
+    tmo, known = F.col("tmo_s"), F.col("known") * 10
     band = (
-        F.when(scaled < F.col("whole.sum") * 9, "green")
-        .when(scaled <= F.col("whole.sum") * 11, "yellow")
-        .when(F.col("tmo_s").isNotNull(), "red")
+        F.when(tmo * known < F.col("sum") * 9, "green")
+        .when(tmo * known <= F.col("sum") * 11, "yellow")
+        .when(tmo.isNotNull(), "red")
+    )
+    return (
+        summary.withColumns(
+            {"sum": F.sum("tmo_s").over(everyone), "known": F.count("tmo_s").over(everyone)}
+        )
+        .withColumn("band", band)
+        .drop("sum", "known")
     )
-    return summary.withColumn("whole", whole).withColumn("band", band).drop("whole")
 
 
 def cause_by_analyst(
@@ -221,11 +225,12 @@ def registration_report(
         .groupBy("analyst")
         .agg(*[total(m).alias(m) for m in SUMS])
     )
-    overall = sums.agg(mean_s().alias("overall_s")).scalar()
+    everyone = Window.partitionBy()
+    overall = mean_s_of(*[F.sum(m).over(everyone) for m in ("dur_s", "dur_us", "timed")])
     tmo_s = mean_s_of(F.col("dur_s"), F.col("dur_us"), F.col("timed"))
     return (
-        sums.filter("analyst IS NOT NULL")
-        .withColumn("overall_s", overall)
+        sums.withColumn("overall_s", overall)
+        .filter("analyst IS NOT NULL")
         .select(
             "analyst",
             hms(tmo_s).alias("tmo"),
@@ -260,30 +265,35 @@ def analyst_scorecard(
         )
     )
 
+    # the figures of an analyst are sums over their queues, so one scan serves both
+    own = Window.partitionBy("analyst")
+
     def mean(kind: str) -> Column:
-        parts = [F.sum(f"{kind}_{m}") for m in ("dur_s", "dur_us", "timed")]
-        return mean_s_of(*parts)
+        return mean_s_of(*[F.sum(f"{kind}_{m}").over(own) for m in ("dur_s", "dur_us", "timed")])
 
     def shown(seconds: str) -> Column:
         return F.when(F.col(seconds).isNotNull(), hms(F.col(seconds))).otherwise("N/A")
 
-    figures = per_queue.groupBy("analyst").agg(
-        mean("registered").alias("registered_s"), mean("updated").alias("updated_s")
-    )
-    queues = per_queue.filter("queue IS NOT NULL AND handled > 0").select(
-        "analyst", "queue", shown("queue_s").alias("queue_tmo")
-    )
-    return (
-        figures.join(idle_time_mean(chosen), "analyst", "left")
-        .join(queues, "analyst", "left")
-        .select(
-            "analyst",
-            shown("registered_s").alias("registered_tmo"),
-            shown("updated_s").alias("updated_tmo"),
-            shown("idle_mean_s").alias("idle_mean"),
-            "queue",
-            "queue_tmo",
+    listed = F.col("queue").isNotNull() & (F.col("handled") > 0)
+    figures = (
+        per_queue.withColumns(
+            {
+                "registered_s": mean("registered"),
+                "updated_s": mean("updated"),
+                "listed": listed,
+                "any_listed": F.max(listed).over(own),
+                "row": F.row_number().over(own.orderBy("queue")),
+            }
         )
+        .filter("listed OR (NOT any_listed AND row = 1)")
+    )
+    return figures.join(idle_time_mean(chosen), "analyst", "left").select(
+        "analyst",
+        shown("registered_s").alias("registered_tmo"),
+        shown("updated_s").alias("updated_tmo"),
+        shown("idle_mean_s").alias("idle_mean"),
+        F.when(F.col("listed"), F.col("queue")).alias("queue"),
+        F.when(F.col("listed"), shown("queue_s")).alias("queue_tmo"),
     )
 
 
@@ -293,12 +303,17 @@ def team_card(
     last: dt.date,
     top: int = 5,
     roster: Roster = None,
+    cube: DataFrame | None = None,
     vocabulary: Vocabulary = DEFAULT,
 ) -> DataFrame:
-    """The team at a glance, one row per figure: top registrants, means, idle time, peak day."""
+    """The team at a glance, one row per figure: top registrants, means, idle time, peak day.
+
+    With an activity cube of the log at hand, all but the idle time comes from it.
+    """
     log = filter_period(log, first, last)
+    summed = log if cube is None else filter_period(cube, first, last)
     text, number = "string", "bigint"
-    registrants = rank_registration(log, roster, vocabulary)
+    registrants = rank_registration(summed, roster, vocabulary)
     ranked = registrants.filter(F.col("position") <= top).select(
         F.lit("top_registrant").alias("item"),
         F.col("position"),
@@ -306,7 +321,7 @@ def team_card(
         F.col("total").alias("value"),
     )
     kinds = ("registered_tmo_s", "updated_tmo_s", "audited_tmo_s")
-    means = team_tmo(log, vocabulary).unpivot([], list(kinds), "item", "value").select(
+    means = team_tmo(summed, vocabulary).unpivot([], list(kinds), "item", "value").select(
         "item",
         F.lit(None).cast(number).alias("position"),
         hms(F.col("value")).alias("label"),
@@ -321,8 +336,8 @@ def team_card(
         "value",
     )
     day = (
-        with_measures(log.filter(F.col("outcome") == vocabulary.registered))
-        .groupBy(day_of(log).alias("day"))
+        with_measures(summed.filter(F.col("outcome") == vocabulary.registered))
+        .groupBy(day_of(summed).alias("day"))
         .agg(tasks().alias("value"))
         .filter("day IS NOT NULL")
         .orderBy(F.desc("value"), "day")

@@ -70,10 +70,10 @@ def overview_page(
         "modules": overview.outcome_by_module(log, vocabulary),
         "email": overview.email_group_detail(log, vocabulary),
         "deviations": deviations,
-        "daily_productivity": filter_last_days(productivity, RECENT_PRODUCTIVITY_DAYS),
-        "daily_registered_updated": filter_last_days(handled, RECENT_DAYS),
-        "daily_tmo": filter_last_days(daily, RECENT_DAYS),
-        "daily_tmo_registered": filter_last_days(registered, RECENT_DAYS),
+        "daily_productivity": filter_last_days(productivity, RECENT_PRODUCTIVITY_DAYS, ()),
+        "daily_registered_updated": filter_last_days(handled, RECENT_DAYS, ()),
+        "daily_tmo": filter_last_days(daily, RECENT_DAYS, ()),
+        "daily_tmo_registered": filter_last_days(registered, RECENT_DAYS, ()),
         "monthly_tmo": monthly,
         "monthly_tmo_long": overview.monthly_tmo_long(monthly),
         "analyst_tmo": overview.analyst_tmo(cube, vocabulary).filter(roster),
