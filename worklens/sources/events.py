@@ -2,81 +2,66 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-from worklens.config import MICROS
+# The words of the derived log, by the number that picks them.
+STATUSES = ["Cancelled", "Open", *["Finished"] * 18]
+QUEUES = [
+    "REG EMAIL", "OFFICIAL LETTERS", "AGENCIES", "PRE REG", "PRE REG B", "REG FINES", "AUDIT",
+    "DIST", "DIST A", "DOUBT", "Unknown", "REG SHARED", "REG SUMMONS", "INCIDENT",
+    "Distribution", None,
+]
+TASK_TYPES = ["NEW CASE", "NEW DOC", "REVIEW"]
+MODULES = ["CIVIL", "LABOUR", "TAX", "FINES", None]
+DEVIATIONS = [
+    "No deviation", "date", "date, party", "party,value , court", "value,,date", None, None, None,
+]
+PORTFOLIO_STATUSES = ["CLOSED", "RECLASSIFIED", "IN_PROGRESS", "OTHER"]
+OTHER_OUTCOMES = [None, "BATCH_CLOSED", "WITHDRAWN", "REGISTERED"]
+ANALYSTS = [*[f"analyst_{i:02d}" for i in range(12)], "Robot_Hub", "analyst_13_ter",
+            "analyst_14_ter"]
+CAUSES = [None, *[f"CAUSE {i}" for i in range(1, 7)]]
+PORTFOLIOS = [None, "FAST", *[f"PORTFOLIO {i}" for i in range(2, 5)]]
 
 
-def _pick(key: Column, values: dict[int, str], other: str | None = None) -> Column:
-    picked = F.lit(None).cast("string") if other is None else F.lit(other)
-    for number, value in reversed(values.items()):
-        picked = F.when(key == number, value).otherwise(picked)
-    return picked
+def _pick(words: list[str | None], number: str) -> str:
+    """The word at ``number`` modulo their count: one lookup, however many words."""
+    listed = ", ".join("NULL" if w is None else f"'{w}'" for w in words)
+    return f"get(array({listed}), CAST({number} % {len(words)} AS INT))"
 
 
 def task_log_from_events(events: DataFrame) -> DataFrame:
-    event_id, user, value = F.col("event_id"), F.col("user_id") % 15, F.col("value")
-    k = F.regexp_extract("props", "[0-9]+", 0).cast("int")
-    done_at = F.col("ts") + F.make_dt_interval(days=2 * (F.dayofmonth("ts") - 1))
-    seconds = F.round(value * 60).cast("bigint")
-    null_text = F.lit(None).cast("string")
-    queues = [
-        "REG EMAIL", "OFFICIAL LETTERS", "AGENCIES", "PRE REG", "PRE REG B", "REG FINES",
-        "AUDIT", "DIST", "DIST A", "DOUBT", "Unknown", "REG SHARED", "REG SUMMONS",
-        "INCIDENT", "Distribution",
-    ]
-    return events.select(
-        event_id.alias("seq"),
-        F.when(event_id % 50 == 7, F.lit(None).cast("bigint"))
-        .when(event_id % 10 == 9, event_id - 1)
-        .otherwise(event_id)
-        .alias("protocol_id"),
-        F.when(F.col("user_id") == 0, null_text)
-        .when(user == 12, "Robot_Hub")
-        .when(user >= 13, F.concat(F.lit("analyst_"), user.cast("string"), F.lit("_ter")))
-        .otherwise(F.concat(F.lit("analyst_"), F.lpad(user.cast("string"), 2, "0")))
-        .alias("analyst"),
-        _pick(event_id % 20, {0: "Cancelled", 1: "Open"}, "Finished").alias("status"),
-        F.when(F.col("event_type") == "signup", "REGISTERED")
-        .when(F.col("event_type") == "purchase", "UPDATED")
-        .when(F.col("event_type") == "view", "DISTRIBUTED")
-        .when(F.col("event_type") == "click", "AUDITED")
-        .otherwise(
-            F.when(event_id % 4 == 0, null_text)
-            .when(event_id % 4 == 1, "BATCH_CLOSED")
-            .when(event_id % 4 == 2, "WITHDRAWN")
-            .otherwise("REGISTERED")
-        )
-        .alias("outcome"),
-        _pick(k % 16, dict(enumerate(queues))).alias("queue"),
-        _pick(event_id % 3, {0: "NEW CASE", 1: "NEW DOC"}, "REVIEW").alias("task_type"),
-        _pick(event_id % 5, {0: "CIVIL", 1: "LABOUR", 2: "TAX", 3: "FINES"}).alias("module"),
-        F.when(k % 7 != 0, F.concat(F.lit("CAUSE "), (k % 7).cast("string"))).alias("cause"),
-        _pick(
-            k % 8,
-            {0: "No deviation", 1: "date", 2: "date, party", 3: "party,value , court",
-             4: "value,,date"},
-        ).alias("deviations"),
-        F.when(event_id % 50 != 0, seconds * MICROS).alias("duration_us"),
-        done_at.alias("completed_at"),
-        F.when(k % 5 == 1, "FAST")
-        .when(k % 5 != 0, F.concat(F.lit("PORTFOLIO "), (k % 5).cast("string")))
-        .alias("portfolio"),
-        _pick(event_id % 4, {0: "CLOSED", 1: "RECLASSIFIED", 2: "IN_PROGRESS"}, "OTHER").alias(
-            "portfolio_status"
-        ),
-        (F.round(value * 6).cast("bigint") * MICROS).alias("analysis_us"),
-        F.when(event_id % 97 != 0, done_at - F.make_dt_interval(secs=seconds.cast("decimal(18,6)")))
-        .alias("started_at"),
+    timed = events.selectExpr(
+        "*",
+        "CAST(regexp_extract(props, '[0-9]+', 0) AS INT) AS k",
+        "ts + make_dt_interval(2 * (day(ts) - 1)) AS done_at",
+        "CAST(round(value * 60) AS BIGINT) AS secs",
+    )
+    return timed.selectExpr(
+        "event_id AS seq",
+        "CASE WHEN event_id % 50 <> 7 THEN event_id - IF(event_id % 10 = 9, 1, 0) END"
+        " AS protocol_id",
+        f"IF(user_id = 0, NULL, {_pick(ANALYSTS, 'user_id')}) AS analyst",
+        f"{_pick(STATUSES, 'event_id')} AS status",
+        "CASE event_type WHEN 'signup' THEN 'REGISTERED' WHEN 'purchase' THEN 'UPDATED'"
+        " WHEN 'view' THEN 'DISTRIBUTED' WHEN 'click' THEN 'AUDITED'"
+        f" ELSE {_pick(OTHER_OUTCOMES, 'event_id')} END AS outcome",
+        f"{_pick(QUEUES, 'k')} AS queue",
+        f"{_pick(TASK_TYPES, 'event_id')} AS task_type",
+        f"{_pick(MODULES, 'event_id')} AS module",
+        f"{_pick(CAUSES, 'k')} AS cause",
+        f"{_pick(DEVIATIONS, 'k')} AS deviations",
+        "IF(event_id % 50 = 0, NULL, secs * 1000000) AS duration_us",
+        "done_at AS completed_at",
+        f"{_pick(PORTFOLIOS, 'k')} AS portfolio",
+        f"{_pick(PORTFOLIO_STATUSES, 'event_id')} AS portfolio_status",
+        "CAST(round(value * 6) AS BIGINT) * 1000000 AS analysis_us",
+        "IF(event_id % 97 = 0, NULL, done_at - make_dt_interval(0, 0, 0, secs)) AS started_at",
     )
 
 
 def unavailability_from_events(events: DataFrame) -> DataFrame:
-    seconds = F.round(F.col("value") * 60).cast("decimal(18,6)")
-    return events.filter(
-        (F.col("event_type") == "error") & (F.col("event_id") % 10 == 0)
-    ).select(
-        F.col("ts").alias("start_at"),
-        (F.col("ts") + F.make_dt_interval(secs=seconds)).alias("end_at"),
+    return events.filter("event_type = 'error' AND event_id % 10 = 0").selectExpr(
+        "ts AS start_at",
+        "ts + make_dt_interval(0, 0, 0, CAST(round(value * 60) AS BIGINT)) AS end_at",
     )
