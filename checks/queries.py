@@ -58,30 +58,23 @@ def clean_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 def raw_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The log as an upload shows it: text durations and times, some of them unreadable."""
     log = raw_log(spark, sf_dir)
-    s = F.expr("duration_us div 1000000")
-    clock = F.format_string("%02d:%02d:%02d", F.expr("s div 3600 % 24"), F.expr("s % 3600 div 60"),
-                            F.expr("s % 60"))
-    with_days = F.concat(F.expr("s div 86400").cast("string"), F.lit(" days "), clock)
-    plain = F.format_string("%02d:%02d:%02d", F.expr("s div 3600"), F.expr("s % 3600 div 60"),
-                            F.expr("s % 60"))
-    time = "dd/MM/yyyy HH:mm:ss"
-    return log.withColumn("s", s).select(
+    clock = "format_string('%02d:%02d:%02d', {0}, s % 3600 div 60, s % 60)"
+    with_days = f"concat(s div 86400, ' days ', {clock.format('s div 3600 % 24')})"
+    time = "'dd/MM/yyyy HH:mm:ss'"
+    return log.selectExpr("*", "duration_us div 1000000 AS s").selectExpr(
         "seq",
         "protocol_id",
         "analyst",
         "status",
         "outcome",
         "queue",
-        F.when(F.col("seq") % 30 == 11, "not a time")
-        .when(F.col("seq") % 2 == 0, with_days)
-        .otherwise(plain)
-        .alias("duration"),
-        F.when(F.col("seq") % 40 == 13, "31/02/2024 10:00:00")
-        .otherwise(F.date_format("completed_at", time))
-        .alias("completed_at"),
-        F.when(F.col("seq") % 40 == 14, "2024-01-05 10:00:00")
-        .otherwise(F.date_format("started_at", time))
-        .alias("started_at"),
+        "CASE WHEN seq % 30 = 11 THEN 'not a time'"
+        f" WHEN s IS NOT NULL AND seq % 2 = 0 THEN {with_days}"
+        f" WHEN s IS NOT NULL THEN {clock.format('s div 3600')} END AS duration",
+        "CASE WHEN seq % 40 = 13 THEN '31/02/2024 10:00:00'"
+        f" ELSE date_format(completed_at, {time}) END AS completed_at",
+        "CASE WHEN seq % 40 = 14 THEN '2024-01-05 10:00:00'"
+        f" ELSE date_format(started_at, {time}) END AS started_at",
     )
 
 

@@ -2,7 +2,6 @@ import pandas as pd
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
 
 from worklens.functions.calendar import interval_us, parse_interval_time, parse_task_time
 from worklens.functions.durations import (
@@ -17,7 +16,7 @@ from worklens.functions.text import protocol_text, strip
 
 
 def one(spark, column, value, kind="string"):
-    return spark.createDataFrame([(value,)], f"v {kind}").select(column(F.col("v"))).first()[0]
+    return spark.createDataFrame([(value,)], f"v {kind}").selectExpr(column("v")).first()[0]
 
 
 def expected(text):
@@ -34,7 +33,7 @@ TEXTS = [
 
 def test_parse_matches_pandas(spark):
     df = spark.createDataFrame([(t,) for t in TEXTS], "v string")
-    got = {r.v: r.us for r in df.select("v", parse_duration(F.col("v")).alias("us")).collect()}
+    got = {r.v: r.us for r in df.selectExpr("v", f"{parse_duration('v')} AS us").collect()}
     assert got == {t: expected(t) for t in TEXTS}
 
 
@@ -51,7 +50,7 @@ def test_parse_matches_pandas_on_generated(spark, parts):
         for d, h, m, s, long in parts
     ]
     df = spark.createDataFrame([(t,) for t in texts], "v string")
-    got = [r[0] for r in df.select(parse_duration(F.col("v"))).collect()]
+    got = [r[0] for r in df.selectExpr(parse_duration("v")).collect()]
     assert got == [expected(t) for t in texts]
 
 
@@ -88,14 +87,10 @@ def test_times_do_not_depend_on_the_session_zone(spark, zone):
             [("04/11/2018 00:30:00",), ("31/02/2024 10:00:00",), ("2024-01-05 10:00:00",)],
             "v string",
         )
-        got = df.select(parse_task_time(F.col("v")).cast("string").alias("t")).collect()
+        got = df.selectExpr(f"CAST({parse_task_time('v')} AS STRING) AS t").collect()
         assert [r.t for r in got] == ["2018-11-04 00:30:00", None, None]
-        gap = df.limit(1).select(
-            interval_us(
-                parse_task_time(F.col("v"))
-                - F.lit("2018-11-03 23:30:00.25").cast("timestamp_ntz")
-            ).alias("us")
-        )
+        late = f"({parse_task_time('v')} - TIMESTAMP_NTZ '2018-11-03 23:30:00.25')"
+        gap = df.limit(1).selectExpr(f"{interval_us(late)} AS us")
         assert gap.first().us == 3_600_000_000 - 250_000
     finally:
         spark.conf.set("spark.sql.session.timeZone", before)
@@ -103,5 +98,5 @@ def test_times_do_not_depend_on_the_session_zone(spark, zone):
 
 def test_interval_time(spark):
     df = spark.createDataFrame([(" 2024-01-05 08:00",), ("2024-13-05 08:00",), ("x",)], "v string")
-    got = df.select(parse_interval_time(F.col("v")).cast("string").alias("t")).collect()
+    got = df.selectExpr(f"CAST({parse_interval_time('v')} AS STRING) AS t").collect()
     assert [r.t for r in got] == ["2024-01-05 08:00:00", None, None]

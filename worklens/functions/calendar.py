@@ -1,4 +1,4 @@
-"""Day and month keys, and timestamps read from text.
+"""Day and month keys, and timestamps read from text, as SQL text.
 
 Timestamps are without time zone throughout, so nothing here may pass through
 a zoned timestamp: a local hour skipped by daylight saving would move.
@@ -6,51 +6,62 @@ a zoned timestamp: a local hour skipped by daylight saving would move.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+import datetime as dt
+
+from pyspark.sql import DataFrame
 
 from worklens.config import MICROS
 
 # The text forms dd/MM/yyyy HH:mm:ss and yyyy-MM-dd HH:mm.
-_TASK_TIME = r"^(\d{1,2})/(\d{1,2})/(\d{4}) (\d{1,2}):(\d{1,2}):(\d{1,2})$"
-_INTERVAL_TIME = r"^(\d{4})-(\d{1,2})-(\d{1,2}) (\d{1,2}):(\d{1,2})$"
+_TASK_TIME = (
+    "'^([0-9]{1,2})/([0-9]{1,2})/([0-9]{4}) ([0-9]{1,2}):([0-9]{1,2}):([0-9]{1,2})$'"
+)
+_INTERVAL_TIME = "'^([0-9]{4})-([0-9]{1,2})-([0-9]{1,2}) ([0-9]{1,2}):([0-9]{1,2})$'"
 
 
-def parse_task_time(text: Column) -> Column:
+def parse_task_time(text: str) -> str:
     """``dd/MM/yyyy HH:mm:ss``; null if the text or the date is not valid."""
-    iso = F.regexp_replace(text, _TASK_TIME, "$3-$2-$1 $4:$5:$6")
-    return F.when(text.rlike(_TASK_TIME), iso.try_cast("timestamp_ntz"))
+    iso = f"regexp_replace({text}, {_TASK_TIME}, '$3-$2-$1 $4:$5:$6')"
+    return f"CASE WHEN {text} RLIKE {_TASK_TIME} THEN try_cast({iso} AS TIMESTAMP_NTZ) END"
 
 
-def parse_interval_time(text: Column) -> Column:
+def parse_interval_time(text: str) -> str:
     """``yyyy-MM-dd HH:mm``; null if the text or the date is not valid."""
-    text = F.trim(text)
-    return F.when(text.rlike(_INTERVAL_TIME), F.concat(text, F.lit(":00")).try_cast("timestamp_ntz"))
+    t = f"trim({text})"
+    return (
+        f"CASE WHEN {t} RLIKE {_INTERVAL_TIME}"
+        f" THEN try_cast(concat({t}, ':00') AS TIMESTAMP_NTZ) END"
+    )
+
+
+def date(day: dt.date) -> str:
+    """A date literal."""
+    return f"DATE '{day.isoformat()}'"
 
 
-def day_of(log: DataFrame) -> Column:
+def day_of(log: DataFrame) -> str:
     """Day of completion: the partition column where stored, else the timestamp's date."""
     for name in ("day", "completed_date"):
         if name in log.columns:
-            return F.col(name)
-    return F.to_date("completed_at")
+            return name
+    return "to_date(completed_at)"
 
 
-def month_of(log: DataFrame) -> Column:
+def month_of(log: DataFrame) -> str:
     """Month of completion as the date of its first day, a cheap grouping key."""
-    return F.trunc(day_of(log), "month")
+    return f"trunc({day_of(log)}, 'month')"
 
 
-def month_text(month: Column) -> Column:
+def month_text(month: str) -> str:
     """``yyyy-MM``."""
-    return F.substring(month.cast("string"), 1, 7)
+    return f"substring(CAST({month} AS STRING), 1, 7)"
 
 
-def interval_us(interval: Column) -> Column:
+def interval_us(interval: str) -> str:
     """A day-time interval as a BIGINT of microseconds."""
-    days = F.extract(F.lit("DAY"), interval).cast("bigint")
-    hours = F.extract(F.lit("HOUR"), interval)
-    minutes = F.extract(F.lit("MINUTE"), interval)
-    seconds = F.extract(F.lit("SECOND"), interval)
-    clock = hours * 3600 + minutes * 60
-    return (days * 86_400 + clock) * MICROS + (seconds * MICROS).cast("bigint")
+    i = interval
+    return (
+        f"((CAST(extract(DAY FROM {i}) AS BIGINT) * 86400 + extract(HOUR FROM {i}) * 3600"
+        f" + extract(MINUTE FROM {i}) * 60) * {MICROS}"
+        f" + CAST(extract(SECOND FROM {i}) * {MICROS} AS BIGINT))"
+    )

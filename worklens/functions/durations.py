@@ -1,85 +1,82 @@
-"""Durations: parsing from text, and the text forms the reports show.
+"""Durations, as SQL text: parsing, and the forms the reports show.
 
 A duration is a BIGINT of microseconds; a shown duration is whole seconds.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from worklens.config import MICROS
 
-_CLOCK = r"^\s*(?:(-?\d+)\s*days?,?\s*)?(?:([+-])?(\d+):(\d+):(\d+)(?:\.(\d+))?)?\s*$"
-
-
-def div(a: Column, b: Column | int) -> Column:
-    """Integer division; null when the divisor is zero."""
-    if isinstance(b, int):
-        return F.call_function("div", a, F.lit(b))
-    return F.call_function("div", a, F.nullif(b, F.lit(0)))
+_CLOCK = (
+    "'^[ \\\\t]*(?:(-?[0-9]+) *days?,? *)?"
+    "(?:([+-])?([0-9]+):([0-9]+):([0-9]+)(?:[.]([0-9]+))?)?[ \\\\t]*$'"
+)
 
 
-def parse_duration(text: Column) -> Column:
+def parse_duration(text: str) -> str:
     """``HH:MM:SS[.f]``, ``N days`` or ``N days [+]HH:MM:SS[.f]`` to microseconds, else null."""
 
-    def part(group: int) -> Column:
-        return F.regexp_extract(text, _CLOCK, group)
+    def part(group: int) -> str:
+        return f"regexp_extract({text}, {_CLOCK}, {group})"
 
-    def number(group: int) -> Column:
-        return F.coalesce(F.nullif(part(group), F.lit("")).try_cast("bigint"), F.lit(0))
+    def number(group: int) -> str:
+        return f"coalesce(try_cast({part(group)} AS BIGINT), 0)"
 
-    micros = F.substring(F.rpad(part(6), 6, "0"), 1, 6).cast("bigint")
-    clock = (number(3) * 3600 + number(4) * 60 + number(5)) * MICROS + micros
-    sign = F.when(part(2) == "-", -1).otherwise(1)
-    has_value = text.rlike(_CLOCK) & text.rlike(r"\d")
-    return F.when(has_value, number(1) * (86_400 * MICROS) + sign * clock)
+    micros = f"CAST(substring(rpad({part(6)}, 6, '0'), 1, 6) AS BIGINT)"
+    clock = f"(({number(3)} * 3600 + {number(4)} * 60 + {number(5)}) * {MICROS} + {micros})"
+    sign = f"IF({part(2)} = '-', -1, 1)"
+    return (
+        f"CASE WHEN {text} RLIKE {_CLOCK} AND {text} RLIKE '[0-9]'"
+        f" THEN {number(1)} * {86_400 * MICROS} + {sign} * {clock} END"
+    )
 
 
-def hms(seconds: Column) -> Column:
+def hms(seconds: str) -> str:
     """``HH:MM:SS``; a missing value shows as zero."""
-    s = F.coalesce(seconds, F.lit(0))
-    return F.format_string("%02d:%02d:%02d", div(s, 3600), div(s % 3600, 60), s % 60)
+    s = f"coalesce({seconds}, 0L)"
+    return f"format_string('%02d:%02d:%02d', {s} div 3600, {s} % 3600 div 60, {s} % 60)"
 
 
-def min_sec(seconds: Column) -> Column:
+def min_sec(seconds: str) -> str:
     """``M min Ss``; a missing value shows as ``0 min``."""
-    return F.coalesce(
-        F.when(seconds.isNotNull(), F.format_string("%d min %ds", div(seconds, 60), seconds % 60)),
-        F.lit("0 min"),
+    return (
+        f"CASE WHEN {seconds} IS NULL THEN '0 min'"
+        f" ELSE format_string('%d min %ds', {seconds} div 60, {seconds} % 60) END"
     )
 
 
-def m_ss(seconds: Column) -> Column:
+def m_ss(seconds: str) -> str:
     """``M:SS``, null kept."""
-    return F.when(
-        seconds.isNotNull(), F.format_string("%d:%02d", div(seconds, 60), seconds % 60)
+    return (
+        f"CASE WHEN {seconds} IS NOT NULL"
+        f" THEN format_string('%d:%02d', {seconds} div 60, {seconds} % 60) END"
     )
 
 
-def h_mm_ss(seconds: Column) -> Column:
+def h_mm_ss(seconds: str) -> str:
     """``[N day(s), ]H:MM:SS``; a missing value shows as ``00:00:00``."""
-    days = div(seconds, 86_400)
-    rest = seconds % 86_400
-    clock = F.format_string("%d:%02d:%02d", div(rest, 3600), div(rest % 3600, 60), rest % 60)
-    prefix = (
-        F.when(days == 0, "")
-        .when(F.abs(days) == 1, F.format_string("%d day, ", days))
-        .otherwise(F.format_string("%d days, ", days))
+    s = seconds
+    clock = (
+        f"format_string('%d:%02d:%02d', {s} % 86400 div 3600, {s} % 3600 div 60, {s} % 60)"
+    )
+    days = (
+        f"CASE {s} div 86400 WHEN 0 THEN '' WHEN 1 THEN '1 day, '"
+        f" ELSE format_string('%d days, ', {s} div 86400) END"
     )
-    return F.when(seconds.isNull(), "00:00:00").otherwise(F.concat(prefix, clock))
+    return f"CASE WHEN {s} IS NULL THEN '00:00:00' ELSE concat({days}, {clock}) END"
 
 
-def hours_min_sec(micros: Column) -> Column:
+def hours_min_sec(micros: str) -> str:
     """``Xh Ym Zs`` from one hour on, else ``X min Zs``; the seconds are rounded."""
-    minutes = div(micros, 60 * MICROS)
-    seconds = div(micros % (60 * MICROS) + MICROS // 2, MICROS)
-    long = F.format_string("%dh %dm %ds", div(minutes, 60), minutes % 60, seconds)
-    short = F.format_string("%d min %ds", minutes, seconds)
-    return F.when(minutes >= 60, long).when(minutes.isNotNull(), short)
+    minutes = f"{micros} div {60 * MICROS}"
+    seconds = f"({micros} % {60 * MICROS} + {MICROS // 2}) div {MICROS}"
+    return (
+        f"CASE WHEN {minutes} >= 60 THEN format_string('%dh %dm %ds',"
+        f" {minutes} div 60, {minutes} % 60, {seconds})"
+        f" WHEN {micros} IS NOT NULL THEN format_string('%d min %ds', {minutes}, {seconds}) END"
+    )
 
 
-def hours_minutes(seconds: Column) -> Column:
+def hours_minutes(seconds: str) -> str:
     """``Hh Mm`` of whole minutes."""
-    minutes = div(seconds, 60)
-    return F.format_string("%dh %dm", div(minutes, 60), minutes % 60)
+    return f"format_string('%dh %dm', {seconds} div 3600, {seconds} % 3600 div 60)"

@@ -1,4 +1,4 @@
-"""Sums and means that work on task rows and on pre-aggregated rows alike.
+"""Sums and means, as SQL text, that work on task rows and on pre-aggregated rows alike.
 
 ``with_measures`` gives every task row the additive measures below. An
 ``activity_cube`` (see ``worklens.plans.cube``) holds the same measures already
@@ -16,52 +16,57 @@ sum of microseconds overflows after some 1.3 billion two-hour tasks.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from collections.abc import Iterable
+
+from pyspark.sql import DataFrame
 
 from worklens.config import DOUBT_LIMIT, MICROS
-from worklens.functions.durations import div
 
 MEASURES = ("n", "timed", "dur_s", "dur_us", "with_outcome", "with_status")
+SUMS = ("n", "timed", "dur_s", "dur_us")
 
 
 def with_measures(log: DataFrame, duration: str = "duration_us") -> DataFrame:
-    if "dur_s" in log.columns:
+    known = log.columns
+    if "dur_s" in known:
         return log
-    known = {c for c in log.columns}
-
-    def present(name: str) -> Column:
-        return F.col(name).isNotNull().cast("bigint") if name in known else F.lit(0).cast("bigint")
-
-    return log.withColumns(
-        {
-            "n": F.lit(1).cast("bigint"),
-            "timed": present(duration),
-            "dur_s": div(F.col(duration), MICROS),
-            "dur_us": F.col(duration) % MICROS,
-            "with_outcome": present("outcome"),
-            "with_status": present("status"),
-            "over_doubt_limit": F.coalesce(F.col(duration) > DOUBT_LIMIT, F.lit(False)),
-        }
+
+    def present(name: str) -> str:
+        return f"CAST({name} IS NOT NULL AS BIGINT)" if name in known else "0L"
+
+    return log.selectExpr(
+        "*",
+        "1L AS n",
+        f"{present(duration)} AS timed",
+        f"{duration} div {MICROS} AS dur_s",
+        f"{duration} % {MICROS} AS dur_us",
+        f"{present('outcome')} AS with_outcome",
+        f"{present('status')} AS with_status",
+        f"coalesce({duration} > {DOUBT_LIMIT}, false) AS over_doubt_limit",
     )
 
 
-def total(measure: str, when: Column | None = None) -> Column:
+def total(measure: str, when: str | None = None) -> str:
     """Sum of a measure over the rows that satisfy ``when``; 0 if there are none."""
-    value = F.col(measure) if when is None else F.when(when, F.col(measure))
-    return F.coalesce(F.sum(value), F.lit(0).cast("bigint"))
+    kept = "" if when is None else f" FILTER (WHERE {when})"
+    return f"coalesce(sum({measure}){kept}, 0L)"
+
 
+def totals(measures: Iterable[str] = SUMS, when: str | None = None, prefix: str = "") -> dict:
+    """Name -> sum, to be combined further by ``mean_s_of`` and ``mean_us_of``."""
+    return {f"{prefix}{m}": total(m, when) for m in measures}
 
-def tasks(when: Column | None = None) -> Column:
+
+def tasks(when: str | None = None) -> str:
     return total("n", when)
 
 
-def mean_us(when: Column | None = None, per: str = "timed") -> Column:
+def mean_us(when: str | None = None, per: str = "timed") -> str:
     """Exact mean duration in whole microseconds; null without rows to divide by."""
     return mean_us_of(total("dur_s", when), total("dur_us", when), total(per, when))
 
 
-def mean_s(when: Column | None = None, per: str = "timed") -> Column:
+def mean_s(when: str | None = None, per: str = "timed") -> str:
     """Exact mean duration in whole seconds; null without rows to divide by.
 
     ``per="timed"`` divides by the tasks with a known duration, ``per="n"`` by
@@ -70,10 +75,14 @@ def mean_s(when: Column | None = None, per: str = "timed") -> Column:
     return mean_s_of(total("dur_s", when), total("dur_us", when), total(per, when))
 
 
-def mean_s_of(dur_s: Column, dur_us: Column, count: Column) -> Column:
-    return div(dur_s + div(dur_us, MICROS), count)
+def mean_s_of(dur_s: str, dur_us: str, count: str) -> str:
+    return f"(({dur_s} + {dur_us} div {MICROS}) div nullif({count}, 0L))"
+
+
+def mean_us_of(dur_s: str, dur_us: str, count: str) -> str:
+    c = f"nullif({count}, 0L)"
+    return f"({dur_s} div {c} * {MICROS} + ({dur_s} % {c} * {MICROS} + {dur_us}) div {c})"
 
 
-def mean_us_of(dur_s: Column, dur_us: Column, count: Column) -> Column:
-    count = F.nullif(count, F.lit(0).cast("bigint"))
-    return div(dur_s, count) * MICROS + div((dur_s % count) * MICROS + dur_us, count)
+def or_zero(value: str) -> str:
+    return f"coalesce({value}, 0L)"

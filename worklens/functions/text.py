@@ -1,10 +1,7 @@
-"""Text expressions."""
+"""Text expressions, as SQL text."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 # The characters Python's strip() removes.
 BLANKS = (
     " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004"
@@ -12,10 +9,10 @@ BLANKS = (
 )
 
 
-def strip(column: Column) -> Column:
-    return F.btrim(column, F.lit(BLANKS))
+def strip(column: str) -> str:
+    return f"trim(BOTH '{BLANKS}' FROM {column})"
 
 
-def protocol_text(column: Column) -> Column:
+def protocol_text(column: str) -> str:
     """Protocol number as text without thousands commas or a trailing ``.0``."""
-    return F.regexp_replace(F.regexp_replace(column.cast("string"), ",", ""), r"\.0$", "")
+    return f"regexp_replace(replace(CAST({column} AS STRING), ',', ''), '[.]0$', '')"

@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from worklens.config import (
@@ -19,11 +18,11 @@ from worklens.config import (
 )
 from worklens.functions.calendar import day_of, month_of, month_text, parse_task_time
 from worklens.functions.durations import parse_duration
-from worklens.functions.nulls import eq
+from worklens.functions.sql import equals, text
 from worklens.schema import TASK_LOG
 
-_SEQ_ROW_BITS = 30
-_SEQ_SPLIT_BITS = 15
+_ROW_BITS = 30
+_SPLIT_BITS = 15
 
 
 def assign_seq(batch: DataFrame, batch_no: int) -> DataFrame:
@@ -33,39 +32,34 @@ def assign_seq(batch: DataFrame, batch_no: int) -> DataFrame:
     input split and the row in it, so no pass over the stored log is needed; a
     batch beyond the space of one number fails instead of overlapping another.
     """
-    if not 0 <= batch_no < 1 << (63 - _SEQ_ROW_BITS - _SEQ_SPLIT_BITS):
+    if not 0 <= batch_no < 1 << (63 - _ROW_BITS - _SPLIT_BITS):
         raise ValueError(f"batch number out of range: {batch_no}")
-    place = F.monotonically_increasing_id()
-    split = F.shiftright(place, 33)
-    row = place.bitwiseAND(F.lit((1 << 33) - 1))
-    fits = (row < (1 << _SEQ_ROW_BITS)) & (split < (1 << _SEQ_SPLIT_BITS))
-    base = batch_no << (_SEQ_ROW_BITS + _SEQ_SPLIT_BITS)
-    seq = F.lit(base).cast("bigint") + F.shiftleft(split, _SEQ_ROW_BITS) + row
-    return batch.withColumn(
-        "seq",
-        F.when(fits, seq).otherwise(
-            F.raise_error(F.lit("batch too large for one batch number; split it"))
-        ),
+    base = batch_no << (_ROW_BITS + _SPLIT_BITS)
+    # Spark's own number holds the split from bit 33 up and the row below
+    placed = batch.selectExpr("*", "monotonically_increasing_id() AS _place")
+    row, split = f"(_place & {(1 << 33) - 1}L)", "shiftright(_place, 33)"
+    seq = (
+        f"CASE WHEN {row} < {1 << _ROW_BITS}L AND {split} < {1 << _SPLIT_BITS}L"
+        f" THEN {base}L + shiftleft({split}, {_ROW_BITS}) + {row}"
+        " ELSE raise_error('batch too large for one batch number; split it') END"
     )
+    return placed.selectExpr("*", f"{seq} AS seq").drop("_place")
 
 
 def drop_listed_columns(df: DataFrame, vocabulary: Vocabulary = DEFAULT) -> DataFrame:
     """Drop the unwanted columns, whatever the case and outer blanks of their names."""
     listed = set(vocabulary.dropped_columns)
-    keep = [c for c in df.columns if c.upper().strip() not in listed]
-    return df.select(*[F.col(f"`{c}`") for c in keep])
+    keep = [f"`{c}`" for c in df.columns if c.upper().strip() not in listed]
+    return df.select(*keep)
 
 
 def rename_headers(df: DataFrame, headers: Mapping[str, str]) -> DataFrame:
     """Spreadsheet headers to our names; two headers of one name are coalesced."""
     sources: dict[str, list[str]] = {}
     for c in df.columns:
-        sources.setdefault(headers.get(c.strip(), c), []).append(c)
-    return df.select(
-        *[
-            F.coalesce(*[F.col(f"`{c}`") for c in found]).alias(name)
-            for name, found in sources.items()
-        ]
+        sources.setdefault(headers.get(c.strip(), c), []).append(f"`{c}`")
+    return df.selectExpr(
+        *[f"coalesce({', '.join(found)}) AS `{name}`" for name, found in sources.items()]
     )
 
 
@@ -76,50 +70,49 @@ def standardise_task_log(raw: DataFrame) -> DataFrame:
     ``analysis_us``; columns we do not know are kept as they are. Adds the
     ``completed_date`` and ``completed_month`` keys.
     """
-    have = set(raw.columns)
-    columns: list[Column] = []
+    have = {f.name: f.dataType for f in raw.schema}
+    columns: list[str] = []
     for field in TASK_LOG:
-        text = field.name.removesuffix("_us")
-        if field.name in have:
-            typed = _typed(raw.schema[field.name], field.dataType)
-        elif text != field.name and text in have:
-            typed = parse_duration(F.col(text))
-        elif field.name == "justification":
-            typed = F.lit("")
+        name, kind = field.name, field.dataType
+        source = name.removesuffix("_us")
+        if name in have:
+            from_text = isinstance(have[name], T.StringType)
+            if isinstance(kind, T.TimestampNTZType) and from_text:
+                typed = parse_task_time(name)
+            else:
+                typed = f"try_cast({name} AS {kind.simpleString()})"
+        elif source != name and source in have:
+            typed = parse_duration(source)
+        elif name == "justification":
+            typed = "''"
         else:
-            typed = F.lit(None).cast(field.dataType)
-        columns.append(typed.alias(field.name))
+            typed = f"CAST(NULL AS {kind.simpleString()})"
+        columns.append(f"{typed} AS {name}")
     known = {f.name for f in TASK_LOG} | {"duration", "analysis"}
-    extra = [F.col(f"`{c}`") for c in raw.columns if c not in known]
-    out = raw.select(*columns, *extra)
-    return out.withColumns({"completed_date": day_of(out), "completed_month": month_text(month_of(out))})
-
-
-def _typed(source: T.StructField, target: T.DataType) -> Column:
-    column = F.col(source.name)
-    if isinstance(target, T.TimestampNTZType) and isinstance(source.dataType, T.StringType):
-        return parse_task_time(column)
-    return column.try_cast(target)
+    out = raw.selectExpr(*columns, *[f"`{c}`" for c in have if c not in known])
+    return out.selectExpr(
+        "*",
+        f"{day_of(out)} AS completed_date",
+        f"{month_text(month_of(out))} AS completed_month",
+    )
 
 
 def exclude_robot_and_unassigned(log: DataFrame, vocabulary: Vocabulary = DEFAULT) -> DataFrame:
     """Keep tasks a person completed."""
-    return log.filter(
-        F.col("analyst").isNotNull() & (F.lower("analyst") != vocabulary.robot_user.lower())
-    )
+    robot = text(vocabulary.robot_user.lower())
+    return log.filter(f"analyst IS NOT NULL AND lower(analyst) <> {robot}")
 
 
-def clamped_duration(vocabulary: Vocabulary = DEFAULT) -> Column:
+def clamped_duration(vocabulary: Vocabulary = DEFAULT) -> str:
     """The duration within its limits. The two-hour ceiling overrides the others."""
-    duration = F.col("duration_us")
-    registered = eq("outcome", vocabulary.registered)
-    updated = eq("outcome", vocabulary.updated)
+    registered = equals("outcome", vocabulary.registered)
+    updated = equals("outcome", vocabulary.updated)
     return (
-        F.when(duration > DURATION_CEILING, DURATION_CEILING)
-        .when(registered & (duration < REGISTERED_MIN), REGISTERED_FLOOR)
-        .when(updated & (duration < UPDATED_FLOOR), UPDATED_FLOOR)
-        .when(updated & (duration > UPDATED_CEILING), UPDATED_CEILING)
-        .otherwise(duration)
+        f"CASE WHEN duration_us > {DURATION_CEILING}L THEN {DURATION_CEILING}L"
+        f" WHEN {registered} AND duration_us < {REGISTERED_MIN}L THEN {REGISTERED_FLOOR}L"
+        f" WHEN {updated} AND duration_us < {UPDATED_FLOOR}L THEN {UPDATED_FLOOR}L"
+        f" WHEN {updated} AND duration_us > {UPDATED_CEILING}L THEN {UPDATED_CEILING}L"
+        " ELSE duration_us END"
     )
 
 
@@ -127,17 +120,20 @@ def clamp_durations(log: DataFrame, vocabulary: Vocabulary = DEFAULT) -> DataFra
     """Bring the durations within their limits, once per batch: not idempotent."""
     if not {"duration_us", "outcome"} <= set(log.columns):
         return log
-    return log.withColumn("duration_us", clamped_duration(vocabulary))
+    clamped = f"{clamped_duration(vocabulary)} AS duration_us"
+    return log.selectExpr(
+        *[clamped if c == "duration_us" else f"`{c}`" for c in log.columns]
+    )
 
 
 def duration_adjustments(log: DataFrame, vocabulary: Vocabulary = DEFAULT) -> DataFrame:
     """The durations ``clamp_durations`` changes, before and after."""
-    return log.select(
+    return log.selectExpr(
         "protocol_id",
         "outcome",
-        F.col("duration_us").alias("duration_before_us"),
-        clamped_duration(vocabulary).alias("duration_after_us"),
-    ).filter(F.col("duration_before_us") != F.col("duration_after_us"))
+        "duration_us AS duration_before_us",
+        f"{clamped_duration(vocabulary)} AS duration_after_us",
+    ).filter("duration_before_us <> duration_after_us")
 
 
 def clean_batch(batch: DataFrame, vocabulary: Vocabulary = DEFAULT) -> DataFrame:
@@ -153,4 +149,4 @@ def append_batch(stored: DataFrame, batch: DataFrame) -> DataFrame:
 
 def export_columns(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     """The chosen columns, each as the text a CSV file shows."""
-    return df.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in columns])
+    return df.selectExpr(*[f"CAST(`{c}` AS STRING) AS `{c}`" for c in columns])

@@ -5,26 +5,26 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from worklens.config import DEFAULT, DOUBT_LIMIT, Vocabulary
-from worklens.functions.calendar import day_of, month_of
-from worklens.functions.nulls import eq
+from worklens.functions.calendar import date, day_of, month_of
+from worklens.functions.sql import among, text
 from worklens.schema import ROSTER
 
 Roster = DataFrame | Column | Iterable[str] | None
 
 
-def in_period(log: DataFrame, first: dt.date, last: dt.date) -> Column:
+def in_period(log: DataFrame, first: dt.date, last: dt.date) -> str:
     """Completion day in [first, last]; written on what the storage can prune by."""
     for name in ("day", "completed_date"):
         if name in log.columns:
-            return F.col(name).between(F.lit(first), F.lit(last))
-    at = F.col("completed_at")
+            return f"({name} BETWEEN {date(first)} AND {date(last)})"
     after = last + dt.timedelta(days=1)
-    return (at >= F.lit(first.isoformat()).cast("timestamp_ntz")) & (
-        at < F.lit(after.isoformat()).cast("timestamp_ntz")
+    return (
+        f"(completed_at >= TIMESTAMP_NTZ '{first.isoformat()}'"
+        f" AND completed_at < TIMESTAMP_NTZ '{after.isoformat()}')"
     )
 
 
@@ -42,11 +42,13 @@ def filter_last_days(df: DataFrame, days: int, by: Sequence[str] | None = None)
     """
     day = day_of(df)
     if by is None:
-        latest = df.agg(F.max(day)).scalar()
-        return df.filter(day >= F.date_sub(latest, days))
-    latest = F.max("day").over(Window.partitionBy(*by))
+        latest = df.selectExpr(f"max({day})").scalar()
+        return df.filter(F.expr(day) >= F.date_sub(latest, days))
+    keys = f"PARTITION BY {', '.join(by)}" if by else ""
     return (
-        df.withColumn("_latest", latest).filter(day >= F.date_sub("_latest", days)).drop("_latest")
+        df.selectExpr("*", f"max({day}) OVER ({keys}) AS _latest")
+        .filter(f"{day} >= date_sub(_latest, {days})")
+        .drop("_latest")
     )
 
 
@@ -55,16 +57,17 @@ def filter_months(df: DataFrame, months: Iterable[str] | None = None) -> DataFra
     if months is None:
         return df
     if "month" in df.columns:
-        return df.filter(F.col("month").isin(list(months)))
-    return df.filter(month_of(df).isin([dt.date.fromisoformat(f"{m}-01") for m in months]))
+        return df.filter(among("month", months))
+    chosen = ", ".join(f"DATE '{m}-01'" for m in months)
+    return df.filter(f"{month_of(df)} IN ({chosen})" if chosen else "false")
 
 
 def is_rostered(excluded: Iterable[str] = (), vocabulary: Vocabulary = DEFAULT) -> Column:
     """The default selection as a row predicate: no scan of the log to find the names."""
-    analyst = F.col("analyst")
-    keep = analyst.isNotNull() & ~analyst.contains(vocabulary.external_marker)
-    excluded = list(excluded)
-    return keep & ~analyst.isin(excluded) if excluded else keep
+    return F.expr(
+        f"analyst IS NOT NULL AND NOT contains(analyst, {text(vocabulary.external_marker)})"
+        f" AND NOT {among('analyst', excluded)}"
+    )
 
 
 def default_roster(
@@ -81,12 +84,12 @@ def filter_analysts(log: DataFrame, roster: Roster = None) -> DataFrame:
     enough and shuffles otherwise.
     """
     if roster is None:
-        return log.filter(F.col("analyst").isNotNull())
+        return log.filter("analyst IS NOT NULL")
     if isinstance(roster, Column):
         return log.filter(roster)
     if isinstance(roster, DataFrame):
         return log.join(roster.select("analyst"), "analyst", "left_semi")
-    return log.filter(F.col("analyst").isin(list(roster)))
+    return log.filter(among("analyst", roster))
 
 
 def roster_table(spark: SparkSession, log: DataFrame, roster: Roster) -> DataFrame:
@@ -98,14 +101,15 @@ def roster_table(spark: SparkSession, log: DataFrame, roster: Roster) -> DataFra
     return spark.createDataFrame([(name,) for name in dict.fromkeys(roster)], ROSTER)
 
 
-def is_doubt_outlier(log: DataFrame, vocabulary: Vocabulary = DEFAULT) -> Column:
+def is_doubt_outlier(log: DataFrame, vocabulary: Vocabulary = DEFAULT) -> str:
     """In the doubt queue for over an hour; never null."""
-    if "over_doubt_limit" in log.columns:
-        over = F.col("over_doubt_limit")
-    else:
-        over = F.coalesce(F.col("duration_us") > DOUBT_LIMIT, F.lit(False))
-    return eq("queue", vocabulary.doubt_queue) & over
+    over = (
+        "over_doubt_limit"
+        if "over_doubt_limit" in log.columns
+        else f"coalesce(duration_us > {DOUBT_LIMIT}, false)"
+    )
+    return f"(queue <=> {text(vocabulary.doubt_queue)} AND {over})"
 
 
 def drop_doubt_outliers(log: DataFrame, vocabulary: Vocabulary = DEFAULT) -> DataFrame:
-    return log.filter(~is_doubt_outlier(log, vocabulary))
+    return log.filter(f"NOT {is_doubt_outlier(log, vocabulary)}")

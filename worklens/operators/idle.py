@@ -17,91 +17,102 @@ start, so neither an analyst nor a start is ever one window partition:
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from worklens.config import IDLE_LIMIT_HOURS, MICROS
 from worklens.functions.calendar import interval_us
-from worklens.functions.durations import div, hms
+from worklens.functions.durations import hms
+from worklens.functions.sql import exprs
 
 SLICE_HOURS = 1
 
+_NONE = "INTERVAL '0' SECOND"
 
-def _none() -> Column:
-    return F.make_dt_interval()
 
-
-def _gap(next_start: Column, end: Column) -> Column:
+def _gap(next_start: str, end: str) -> str:
     """The counted gap as an interval; zero if it does not count or there is no next task."""
-    gap = next_start - end
-    limit = F.make_dt_interval(hours=F.lit(IDLE_LIMIT_HOURS))
-    return F.when((gap > _none()) & (gap <= limit), gap).otherwise(_none())
+    gap = f"({next_start} - {end})"
+    counts = f"{gap} > {_NONE} AND {gap} <= INTERVAL '{IDLE_LIMIT_HOURS}' HOUR"
+    return f"CASE WHEN {counts} THEN {gap} ELSE make_dt_interval() END"
 
 
 def idle_by_day(log: DataFrame, slice_hours: int = SLICE_HOURS) -> DataFrame:
     """Per analyst and day of end: counted idle microseconds, 0 on days without a gap."""
-    worked = log.select(
-        "analyst", "started_at", "seq", F.col("completed_at").alias("end")
-    ).filter("analyst IS NOT NULL AND started_at IS NOT NULL AND end IS NOT NULL")
+    worked = log.filter(
+        "analyst IS NOT NULL AND started_at IS NOT NULL AND completed_at IS NOT NULL"
+    ).selectExpr(
+        "analyst", "started_at", "seq", "completed_at AS end", "to_date(completed_at) AS day"
+    )
 
     # 1. one row per analyst, start and day of end
-    start, end = F.col("started_at"), F.col("end")
     starts = (
-        worked.groupBy("analyst", "started_at", F.to_date("end").alias("day"))
+        worked.groupBy("analyst", "started_at", "day")
         .agg(
-            F.sum(_gap(start, end)).alias("inner"),
-            F.max("seq").alias("last_seq"),
-            F.max_by("end", "seq").alias("last_end"),
+            *exprs(
+                {
+                    "inner_gaps": f"sum({_gap('started_at', 'end')})",
+                    "last_seq": "max(seq)",
+                    "last_end": "max_by(end, seq)",
+                }
+            )
         )
-        # the last of them is not followed by its own start
-        .withColumn("inner", F.col("inner") - _gap(start, F.col("last_end")))
-        .withColumn(
-            "slice", div(F.unix_date(F.to_date(start)) * 24 + F.hour(start), slice_hours)
+        .selectExpr(
+            "analyst",
+            "day",
+            "started_at",
+            "last_seq",
+            "last_end",
+            # the last of them is not followed by its own start
+            f"inner_gaps - {_gap('started_at', 'last_end')} AS inner_gaps",
+            "(unix_date(to_date(started_at)) * 24L + hour(started_at))"
+            f" div {slice_hours} AS slice",
         )
     )
 
     # 2. the next start inside the slice
-    in_slice = Window.partitionBy("analyst", "slice").orderBy("started_at", "last_seq")
-    chained = starts.withColumn("next_start", F.lead("started_at").over(in_slice))
-    next_start, last_end = F.col("next_start"), F.col("last_end")
+    chained = starts.selectExpr(
+        "*",
+        "lead(started_at) OVER (PARTITION BY analyst, slice ORDER BY started_at, last_seq)"
+        " AS next_start",
+    )
     slices = chained.groupBy("analyst", "slice", "day").agg(
-        F.sum(F.col("inner") + _gap(next_start, last_end)).alias("idle"),
-        F.min("started_at").alias("first_start"),
-        # set only in the row of the day on which the slice's last task ended
-        F.max(F.when(next_start.isNull(), last_end)).alias("open_end"),
+        *exprs(
+            {
+                "idle": f"sum(inner_gaps + {_gap('next_start', 'last_end')})",
+                "first_start": "min(started_at)",
+                # set only in the row of the day on which the slice's last task ended
+                "open_end": "max(IF(next_start IS NULL, last_end, NULL))",
+            }
+        )
     )
 
     # 3. the first start of a later slice, for the task each slice leaves open
-    later = (
-        Window.partitionBy("analyst")
-        .orderBy(F.desc("slice"))
-        .rangeBetween(Window.unboundedPreceding, -1)
-    )
-    closed = slices.withColumn("next_start", F.min("first_start").over(later)).withColumn(
-        "idle", F.col("idle") + _gap(next_start, F.col("open_end"))
-    )
-    days = closed.groupBy("analyst", "day").agg(F.sum("idle").alias("idle"))
-    return days.select("analyst", "day", interval_us(F.col("idle")).alias("idle_us"))
+    closed = slices.selectExpr(
+        "*",
+        "min(first_start) OVER (PARTITION BY analyst ORDER BY slice DESC"
+        " RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS next_start",
+    ).selectExpr("analyst", "day", f"idle + {_gap('next_start', 'open_end')} AS idle")
+    days = closed.groupBy("analyst", "day").agg(*exprs({"idle": "sum(idle)"}))
+    return days.selectExpr("analyst", "day", f"{interval_us('idle')} AS idle_us")
 
 
 def idle_time_daily(log: DataFrame) -> DataFrame:
     """Per analyst and day: idle time."""
-    seconds = div(F.col("idle_us"), MICROS)
-    return idle_by_day(log).select(
-        "analyst", "day", seconds.alias("idle_s"), hms(seconds).alias("idle")
+    seconds = f"idle_us div {MICROS}"
+    return idle_by_day(log).selectExpr(
+        "analyst", "day", f"{seconds} AS idle_s", f"{hms(seconds)} AS idle"
     )
 
 
 def idle_time_mean(log: DataFrame) -> DataFrame:
     """Per analyst: mean idle time of the days with tasks."""
-    mean = div(F.sum("idle_us"), F.count("day") * MICROS)
-    out = idle_by_day(log).groupBy("analyst").agg(mean.alias("idle_mean_s"))
-    return out.withColumn("idle_mean", hms(F.col("idle_mean_s")))
+    mean = f"sum(idle_us) div (count(day) * {MICROS})"
+    out = idle_by_day(log).groupBy("analyst").agg(*exprs({"idle_mean_s": mean}))
+    return out.selectExpr("*", f"{hms('idle_mean_s')} AS idle_mean")
 
 
 def idle_time_total(log: DataFrame) -> DataFrame:
     """Per analyst: idle time of all days."""
-    out = idle_by_day(log).groupBy("analyst").agg(
-        div(F.sum("idle_us"), MICROS).alias("idle_total_s")
-    )
-    return out.withColumn("idle_total", hms(F.col("idle_total_s")))
+    total = {"idle_total_s": f"sum(idle_us) div {MICROS}"}
+    out = idle_by_day(log).groupBy("analyst").agg(*exprs(total))
+    return out.selectExpr("*", f"{hms('idle_total_s')} AS idle_total")

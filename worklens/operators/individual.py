@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, GroupedData
 
 from worklens.config import (
     DEFAULT,
@@ -13,93 +12,85 @@ from worklens.config import (
     Vocabulary,
 )
 from worklens.functions.calendar import day_of
-from worklens.functions.durations import div, hms, m_ss, min_sec
+from worklens.functions.durations import hms, m_ss, min_sec
 from worklens.functions.measures import (
     mean_s,
     mean_s_of,
     mean_us,
     mean_us_of,
+    or_zero,
     tasks,
-    total,
+    totals,
     with_measures,
 )
-from worklens.functions.nulls import eq, ne
+from worklens.functions.sql import among, differs, equals, exprs, named, text
 from worklens.functions.text import protocol_text
 from worklens.operators.filters import is_doubt_outlier
-from worklens.operators.overview import TMO_KINDS, monthly_means
+from worklens.operators.overview import TMO_KINDS, monthly_means, monthly_shown
 
 
-def _zero() -> Column:
-    return F.lit(0).cast("bigint")
+def _with_day(log: DataFrame) -> DataFrame:
+    """Measured tasks of known analysts, with their day."""
+    named_rows = with_measures(log).filter("analyst IS NOT NULL")
+    if "day" in named_rows.columns:
+        return named_rows
+    return named_rows.selectExpr("*", f"{day_of(log)} AS day")
 
 
-def _named(log: DataFrame) -> DataFrame:
-    return log.filter(F.col("analyst").isNotNull())
-
-
-def _counted_kinds(log: DataFrame, vocabulary: Vocabulary) -> dict[str, Column]:
+def _counted_kinds(log: DataFrame, vocabulary: Vocabulary) -> dict[str, str]:
     """Which tasks count: not those of the unknown queue, nor doubt outliers."""
-    counts = ne("queue", vocabulary.unknown_queue) & ~is_doubt_outlier(log, vocabulary)
-    outcome = F.col("outcome")
+    unknown = differs("queue", vocabulary.unknown_queue)
+    counts = f"{unknown} AND NOT {is_doubt_outlier(log, vocabulary)}"
     return {
-        "registered": counts & (outcome == vocabulary.registered),
-        "updated": counts & (outcome == vocabulary.updated),
-        "distributed": counts & (outcome == vocabulary.distributed),
+        "registered": f"{equals('outcome', vocabulary.registered)} AND {counts}",
+        "updated": f"{equals('outcome', vocabulary.updated)} AND {counts}",
+        "distributed": f"{equals('outcome', vocabulary.distributed)} AND {counts}",
     }
 
 
-def _mean_of(kind: str) -> tuple[Column, Column, Column]:
-    return (F.col(f"{kind}_dur_s"), F.col(f"{kind}_dur_us"), F.col(f"{kind}_n"))
+def _parts(kind: str, count: str = "n") -> tuple[str, str, str]:
+    return (f"{kind}_dur_s", f"{kind}_dur_us", f"{kind}_{count}")
 
 
 def analyst_metrics(log: DataFrame, vocabulary: Vocabulary = DEFAULT) -> DataFrame:
     """Counts, mean times over all counted tasks, days worked and registrations per day."""
-    log = with_measures(log)
-    counted = _counted_kinds(log, vocabulary)
-    kinds = tuple(counted)
-    sums = {
-        f"{kind}_{m}": total(m, when)
-        for kind, when in counted.items()
-        for m in ("n", "dur_s", "dur_us")
-    }
+    log = _with_day(log)
+    kinds = _counted_kinds(log, vocabulary)
+    sums: dict[str, str] = {}
+    for kind, when in kinds.items():
+        sums |= totals(("n", "dur_s", "dur_us"), when, f"{kind}_")
     # summed per day first, so that counting days needs no distinct
-    daily = (
-        _named(log)
-        .withColumn("day", day_of(log))
-        .groupBy("analyst", "day")
-        .agg(*[column.alias(name) for name, column in sums.items()])
-    )
-    worked = F.count_if((F.col("registered_n") > 0) & F.col("day").isNotNull())
+    daily = log.groupBy("analyst", "day").agg(*exprs(sums))
     per_analyst = daily.groupBy("analyst").agg(
-        *[F.sum(name).alias(name) for name in sums], worked.alias("days_worked")
+        *exprs(
+            {name: f"sum({name})" for name in sums}
+            | {"days_worked": "count_if(registered_n > 0 AND day IS NOT NULL)"}
+        )
     )
-    overall = [sum(F.col(f"{k}_{m}") for k in kinds) for m in ("dur_s", "dur_us", "n")]
-
-    def mean(*parts: Column) -> Column:
-        return F.coalesce(mean_s_of(*parts), _zero())
-
-    return per_analyst.select(
+    overall = ["(" + " + ".join(column) + ")" for column in zip(*[_parts(k) for k in kinds])]
+    return per_analyst.selectExpr(
         "analyst",
-        *[F.col(f"{k}_n").alias(k) for k in kinds],
-        overall[2].alias("total"),
-        mean(*overall).alias("tmo_s"),
-        mean(*_mean_of("registered")).alias("registered_tmo_s"),
-        mean(*_mean_of("updated")).alias("updated_tmo_s"),
+        *[f"{kind}_n AS {kind}" for kind in kinds],
+        f"{overall[2]} AS total",
+        f"{or_zero(mean_s_of(*overall))} AS tmo_s",
+        f"{or_zero(mean_s_of(*_parts('registered')))} AS registered_tmo_s",
+        f"{or_zero(mean_s_of(*_parts('updated')))} AS updated_tmo_s",
         "days_worked",
-        F.coalesce(div(F.col("registered_n"), F.col("days_worked")), _zero()).alias(
-            "registered_per_day"
-        ),
+        f"{or_zero('registered_n div nullif(days_worked, 0L)')} AS registered_per_day",
     )
 
 
 def team_tmo(log: DataFrame, vocabulary: Vocabulary = DEFAULT) -> DataFrame:
     """One row: mean known duration registered, updated, audited and of the three outcomes."""
-    outcome = F.col("outcome")
-    return with_measures(log).agg(
-        mean_s(outcome == vocabulary.registered).alias("registered_tmo_s"),
-        mean_s(outcome == vocabulary.updated).alias("updated_tmo_s"),
-        mean_s(outcome == vocabulary.audited).alias("audited_tmo_s"),
-        mean_s(outcome.isin(*vocabulary.production)).alias("overall_tmo_s"),
+    return with_measures(log).selectExpr(
+        *named(
+            {
+                "registered_tmo_s": mean_s(equals("outcome", vocabulary.registered)),
+                "updated_tmo_s": mean_s(equals("outcome", vocabulary.updated)),
+                "audited_tmo_s": mean_s(equals("outcome", vocabulary.audited)),
+                "overall_tmo_s": mean_s(among("outcome", vocabulary.production)),
+            }
+        )
     )
 
 
@@ -109,193 +100,197 @@ def analyst_vs_team(log: DataFrame, vocabulary: Vocabulary = DEFAULT) -> DataFra
     Both come from one scan: the team's sums are those of the per-analyst rows.
     """
     log = with_measures(log)
-    outcome = F.col("outcome")
-    whole = {"registered": vocabulary.registered, "updated": vocabulary.updated}
     counted = _counted_kinds(log, vocabulary)
-    measures = ("dur_s", "dur_us")
-    sums = log.groupBy("analyst").agg(
-        *[total(m, counted[k]).alias(f"{k}_{m}") for k in whole for m in (*measures, "n")],
-        *[
-            total(m, outcome == word).alias(f"team_{k}_{m}")
-            for k, word in whole.items()
-            for m in (*measures, "timed")
-        ],
-    )
-    everyone = Window.partitionBy()
+    whole = {"registered": vocabulary.registered, "updated": vocabulary.updated}
+    sums: dict[str, str] = {}
+    for kind, word in whole.items():
+        sums |= totals(("n", "dur_s", "dur_us"), counted[kind], f"{kind}_")
+        sums |= totals(("timed", "dur_s", "dur_us"), equals("outcome", word), f"team_{kind}_")
     means = {}
-    for k in whole:
-        means[f"{k}_us"] = F.coalesce(mean_us_of(*_mean_of(k)), _zero())
-        team = [F.sum(f"team_{k}_{m}").over(everyone) for m in (*measures, "timed")]
-        means[f"team_{k}_us"] = mean_us_of(*team)
-    compared = sums.withColumns(means).filter("analyst IS NOT NULL")
-
-    def against(kind: str) -> list[Column]:
-        own, team = F.col(f"{kind}_us"), F.col(f"team_{kind}_us")
-        return [
-            div(own, MICROS).alias(f"{kind}_tmo_s"),
-            div(team, MICROS).alias(f"team_{kind}_tmo_s"),
-            F.coalesce(own > team, F.lit(False)).alias(f"{kind}_over_team"),
-        ]
-
-    return compared.select("analyst", *against("registered"), *against("updated"))
+    for kind in whole:
+        team = [f"sum({part}) OVER ()" for part in _parts(f"team_{kind}", "timed")]
+        means[f"{kind}_us"] = or_zero(mean_us_of(*_parts(kind)))
+        means[f"team_{kind}_us"] = mean_us_of(*team)
+    compared = log.groupBy("analyst").agg(*exprs(sums)).selectExpr("analyst", *named(means))
+    shown = {}
+    for kind in whole:
+        shown |= {
+            f"{kind}_tmo_s": f"{kind}_us div {MICROS}",
+            f"team_{kind}_tmo_s": f"team_{kind}_us div {MICROS}",
+            f"{kind}_over_team": f"coalesce({kind}_us > team_{kind}_us, false)",
+        }
+    return compared.filter("analyst IS NOT NULL").selectExpr("analyst", *named(shown))
 
 
 def _registered_days(log: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    registered = _named(log).filter(F.col("outcome") == vocabulary.registered)
-    return (
-        with_measures(registered)
-        .withColumn("day", day_of(registered))
-        .filter("day IS NOT NULL")
-        .groupBy("analyst", "day")
-        .agg(
-            tasks().alias("n"),
-            mean_us().alias("mean_us"),
-            mean_s().alias("tmo_s"),
-        )
+    registered = _with_day(log).filter(
+        f"{equals('outcome', vocabulary.registered)} AND day IS NOT NULL"
+    )
+    return registered.groupBy("analyst", "day").agg(
+        *exprs({"n": tasks(), "mean_us": mean_us(), "tmo_s": mean_s()})
     )
 
 
-def _first_day(days: DataFrame, *order: Column) -> DataFrame:
-    place = F.row_number().over(Window.partitionBy("analyst").orderBy(*order, F.col("day")))
-    return days.withColumn("place", place).filter("place = 1").drop("place")
+def _first_day(days: DataFrame, order: str) -> DataFrame:
+    place = f"row_number() OVER (PARTITION BY analyst ORDER BY {order}, day) AS place"
+    return days.selectExpr("*", place).filter("place = 1")
 
 
 def best_day_tmo(log: DataFrame, vocabulary: Vocabulary = DEFAULT) -> DataFrame:
     """Per analyst: the day with the lowest mean of registered tasks; the earliest if equal."""
     days = _registered_days(log, vocabulary).filter("mean_us IS NOT NULL")
-    best = _first_day(days, F.col("mean_us"))
-    return best.select("analyst", "day", "tmo_s", min_sec(F.col("tmo_s")).alias("tmo_text"))
+    return _first_day(days, "mean_us").selectExpr(
+        "analyst", "day", "tmo_s", f"{min_sec('tmo_s')} AS tmo_text"
+    )
 
 
 def best_day_volume(log: DataFrame, vocabulary: Vocabulary = DEFAULT) -> DataFrame:
     """Per analyst: the day with the most registrations; the earliest if equal."""
-    best = _first_day(_registered_days(log, vocabulary), F.desc("n"))
-    return best.select("analyst", "day", F.col("n").alias("registered"))
+    days = _registered_days(log, vocabulary)
+    return _first_day(days, "n DESC").selectExpr("analyst", "day", "n AS registered")
 
 
 def analyst_queue_tmo(log: DataFrame, vocabulary: Vocabulary = DEFAULT) -> DataFrame:
     """Per analyst and queue: handled tasks, audits and distributions as separate rows."""
-    outcome, queue = F.col("outcome"), F.col("queue")
-    registered, updated = outcome == vocabulary.registered, outcome == vocabulary.updated
-    handled = registered | updated
-    audited = (queue == vocabulary.audit_queue) & (outcome == vocabulary.audited)
-    spread = queue.isin(*vocabulary.distribution_queues) & (outcome == vocabulary.distributed)
+    registered = equals("outcome", vocabulary.registered)
+    updated = equals("outcome", vocabulary.updated)
+    handled = among("outcome", vocabulary.handled)
+    audit = (
+        f"({equals('queue', vocabulary.audit_queue)}"
+        f" AND {equals('outcome', vocabulary.audited)})"
+    )
+    spread = (
+        f"({among('queue', vocabulary.distribution_queues)}"
+        f" AND {equals('outcome', vocabulary.distributed)})"
+    )
     sums = (
-        _named(with_measures(log))
-        .filter(queue.isNotNull() & (handled | audited | spread))
+        with_measures(log)
+        .filter(
+            "analyst IS NOT NULL AND queue IS NOT NULL"
+            f" AND ({handled} OR {audit} OR {spread})"
+        )
         .groupBy("analyst", "queue")
         .agg(
-            tasks(handled).alias("handled_n"),
-            tasks(audited).alias("audit_n"),
-            tasks(spread).alias("distribution_n"),
-            mean_s(registered).alias("registered_s"),
-            mean_s(updated).alias("updated_s"),
-            mean_s(audited).alias("audit_s"),
-            mean_s(spread).alias("distribution_s"),
+            *exprs(
+                {
+                    "handled": tasks(handled),
+                    "audit": tasks(audit),
+                    "distribution": tasks(spread),
+                    "registered_s": mean_s(registered),
+                    "updated_s": mean_s(updated),
+                    "audit_s": mean_s(audit),
+                    "distribution_s": mean_s(spread),
+                }
+            )
         )
     )
-
-    def part(name: str, *shown: str) -> Column:
-        return F.struct(
-            F.lit(name).alias("part"),
-            F.col(f"{name}_n").alias("tasks"),
-            *[
-                hms(F.col(f"{t}_s") if t in shown else F.lit(None).cast("bigint")).alias(f"{t}_tmo")
-                for t in ("registered", "updated", "audit", "distribution")
-            ],
+    shown = {
+        "handled": ("registered", "updated"),
+        "audit": ("audit",),
+        "distribution": ("distribution",),
+    }
+    times = ("registered", "updated", "audit", "distribution")
+    parts = ", ".join(
+        f"named_struct('part', '{part}', 'tasks', {part}, "
+        + ", ".join(
+            f"'{t}_s', " + (f"{t}_s" if t in kept else "CAST(NULL AS BIGINT)") for t in times
         )
-
-    parts = F.array(
-        part("handled", "registered", "updated"),
-        part("audit", "audit"),
-        part("distribution", "distribution"),
+        + ")"
+        for part, kept in shown.items()
+    )
+    rows = sums.selectExpr("analyst", "queue", f"inline(array({parts}))").filter("tasks > 0")
+    return rows.selectExpr(
+        "analyst", "queue", "part", "tasks", *named({f"{t}_tmo": hms(f"{t}_s") for t in times})
     )
-    return sums.select("analyst", "queue", F.inline(parts)).filter("tasks > 0")
 
 
 def queue_tmo_finished(log: DataFrame, vocabulary: Vocabulary = DEFAULT) -> DataFrame:
     """Per analyst and queue: finished tasks and their mean known duration."""
-    finished = _named(log).filter(
-        (F.col("status") == vocabulary.finished) & F.col("queue").isNotNull()
+    finished = with_measures(log).filter(
+        f"analyst IS NOT NULL AND queue IS NOT NULL AND {equals('status', vocabulary.finished)}"
     )
-    out = with_measures(finished).groupBy("analyst", "queue").agg(
-        tasks().alias("tasks"), mean_s().alias("tmo_s")
+    out = finished.groupBy("analyst", "queue").agg(
+        *exprs({"tasks": tasks(), "tmo_s": mean_s()})
     )
-    return out.withColumn("tmo_text", min_sec(F.col("tmo_s")))
+    return out.selectExpr("*", f"{min_sec('tmo_s')} AS tmo_text")
 
 
 def analyst_monthly_tmo(log: DataFrame, vocabulary: Vocabulary = DEFAULT) -> DataFrame:
     """Per analyst and month: mean times; overall includes audits, missing is zero."""
-    means = monthly_means(log, (*vocabulary.production, vocabulary.audited), ("analyst",),
-                          vocabulary)
-    filled = means.select(
-        "analyst",
-        "month",
-        *[F.coalesce(F.col(f"{k}_tmo_s"), _zero()).alias(f"{k}_tmo_s") for k in TMO_KINDS],
-    )
-    return filled.select("*", *[hms(F.col(f"{k}_tmo_s")).alias(f"{k}_tmo") for k in TMO_KINDS])
+    overall = (*vocabulary.production, vocabulary.audited)
+    means = monthly_means(log, overall, ("analyst",), vocabulary)
+    filled = {f"{k}_tmo_s": or_zero(f"{k}_tmo_s") for k in TMO_KINDS}
+    return monthly_shown(means.selectExpr("analyst", "month", *named(filled)))
 
 
 def daily_task_count(log: DataFrame) -> DataFrame:
     """Per analyst and day: tasks."""
-    keyed = _named(with_measures(log)).withColumn("day", day_of(log)).filter("day IS NOT NULL")
-    return keyed.groupBy("analyst", "day").agg(tasks().alias("tasks"))
+    keyed = _with_day(log).filter("day IS NOT NULL")
+    return keyed.groupBy("analyst", "day").agg(*exprs({"tasks": tasks()}))
 
 
 def queue_counts(log: DataFrame) -> DataFrame:
     """Per analyst and known queue: tasks."""
-    keyed = _named(with_measures(log)).filter("queue IS NOT NULL")
-    return keyed.groupBy("analyst", "queue").agg(tasks().alias("tasks"))
+    keyed = with_measures(log).filter("analyst IS NOT NULL AND queue IS NOT NULL")
+    return keyed.groupBy("analyst", "queue").agg(*exprs({"tasks": tasks()}))
 
 
 def cause_counts(log: DataFrame, vocabulary: Vocabulary = DEFAULT) -> DataFrame:
     """Per analyst and known cause: registered tasks."""
-    registered = _named(log).filter(
-        (F.col("outcome") == vocabulary.registered) & F.col("cause").isNotNull()
+    registered = log.filter(
+        f"analyst IS NOT NULL AND cause IS NOT NULL"
+        f" AND {equals('outcome', vocabulary.registered)}"
     )
-    return registered.groupBy("analyst", "cause").agg(F.count(F.lit(1)).alias("tasks"))
+    return registered.groupBy("analyst", "cause").agg(*exprs({"tasks": "count(*)"}))
 
 
-def _portfolio_rows(log: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    listed = _named(log).filter(
-        F.col("portfolio").isNotNull()
-        & F.col("portfolio_status").isin(
-            vocabulary.portfolio_closed,
-            vocabulary.portfolio_reclassified,
-            vocabulary.portfolio_in_progress,
-        )
+def _portfolio_rows(log: DataFrame, vocabulary: Vocabulary) -> GroupedData:
+    statuses = (
+        vocabulary.portfolio_closed,
+        vocabulary.portfolio_reclassified,
+        vocabulary.portfolio_in_progress,
     )
-    return with_measures(listed, duration="analysis_us").groupBy("analyst", "portfolio")
+    listed = log.filter(
+        "analyst IS NOT NULL AND portfolio IS NOT NULL"
+        f" AND {among('portfolio_status', statuses)}"
+    )
+    return with_measures(listed, "analysis_us").groupBy("analyst", "portfolio")
 
 
 def portfolio_status_counts(log: DataFrame, vocabulary: Vocabulary = DEFAULT) -> DataFrame:
     """Per analyst and portfolio: tasks per status; mean analysis of those no longer open."""
-    status = F.col("portfolio_status")
-    done = status.isin(vocabulary.portfolio_closed, vocabulary.portfolio_reclassified)
+    done = (vocabulary.portfolio_closed, vocabulary.portfolio_reclassified)
+
+    def having(status: str) -> str:
+        return tasks(equals("portfolio_status", status))
+
     out = _portfolio_rows(log, vocabulary).agg(
-        tasks(status == vocabulary.portfolio_closed).alias("closed"),
-        tasks(status == vocabulary.portfolio_reclassified).alias("reclassified"),
-        tasks(status == vocabulary.portfolio_in_progress).alias("in_progress"),
-        mean_s(done).alias("tmo_s"),
+        *exprs(
+            {
+                "closed": having(vocabulary.portfolio_closed),
+                "reclassified": having(vocabulary.portfolio_reclassified),
+                "in_progress": having(vocabulary.portfolio_in_progress),
+                "tmo_s": mean_s(among("portfolio_status", done)),
+            }
+        )
     )
-    return out.withColumn("tmo_text", min_sec(F.col("tmo_s")))
+    return out.selectExpr("*", f"{min_sec('tmo_s')} AS tmo_text")
 
 
 def portfolio_tmo(log: DataFrame, vocabulary: Vocabulary = DEFAULT) -> DataFrame:
     """Per analyst and portfolio: tasks and mean analysis time."""
-    return _portfolio_rows(log, vocabulary).agg(
-        tasks().alias("tasks"), mean_s().alias("tmo_s")
-    )
+    return _portfolio_rows(log, vocabulary).agg(*exprs({"tasks": tasks(), "tmo_s": mean_s()}))
 
 
 def points_of_attention(log: DataFrame, vocabulary: Vocabulary = DEFAULT) -> DataFrame:
     """Tasks analysed for longer than their portfolio allows."""
-    limit = F.when(
-        eq("portfolio", vocabulary.fast_portfolio), FAST_PORTFOLIO_LIMIT
-    ).otherwise(PORTFOLIO_LIMIT)
-    late = log.filter((F.col("analysis_us") > limit) & F.col("protocol_id").isNotNull())
-    return late.select(
-        protocol_text(F.col("protocol_id")).alias("protocol_id"),
+    limit = (
+        f"IF(portfolio <=> {text(vocabulary.fast_portfolio)},"
+        f" {FAST_PORTFOLIO_LIMIT}L, {PORTFOLIO_LIMIT}L)"
+    )
+    late = log.filter(f"analysis_us > {limit} AND protocol_id IS NOT NULL")
+    return late.selectExpr(
+        f"{protocol_text('protocol_id')} AS protocol_id",
         "portfolio",
-        m_ss(div(F.col("analysis_us"), MICROS)).alias("analysis_time"),
+        f"{m_ss(f'(analysis_us div {MICROS})')} AS analysis_time",
     )

@@ -8,36 +8,31 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from worklens.config import DEFAULT, MICROS, Vocabulary
 from worklens.functions.calendar import day_of, month_of, month_text
 from worklens.functions.durations import hms, hours_min_sec, min_sec
-from worklens.functions.measures import mean_s, mean_us, tasks, total, with_measures
-from worklens.functions.nulls import not_among
+from worklens.functions.measures import mean_s, mean_us, or_zero, tasks, total, with_measures
+from worklens.functions.sql import among, differs, equals, exprs, named, not_among, text
 from worklens.functions.text import strip
 from worklens.operators.filters import drop_doubt_outliers
 
 
-def _or_zero(column: Column) -> Column:
-    return F.coalesce(column, F.lit(0).cast("bigint"))
-
-
 def overview_kpis(log: DataFrame, vocabulary: Vocabulary = DEFAULT) -> DataFrame:
     """One row: tasks and mean time per outcome and overall (audits are not in the total)."""
-    outcome = F.col("outcome")
     kinds = {
-        "registered": outcome == vocabulary.registered,
-        "updated": outcome == vocabulary.updated,
-        "distributed": outcome == vocabulary.distributed,
-        "audited": outcome == vocabulary.audited,
-        "total": outcome.isin(*vocabulary.production),
+        "registered": equals("outcome", vocabulary.registered),
+        "updated": equals("outcome", vocabulary.updated),
+        "distributed": equals("outcome", vocabulary.distributed),
+        "audited": equals("outcome", vocabulary.audited),
+        "total": among("outcome", vocabulary.production),
     }
-    counts = [tasks(when).alias(kind) for kind, when in kinds.items()]
-    means = [_or_zero(mean_s(when, per="n")).alias(f"{kind}_tmo_s") for kind, when in kinds.items()]
-    shown = [min_sec(F.col(f"{kind}_tmo_s")).alias(f"{kind}_tmo_text") for kind in kinds]
-    return with_measures(log).agg(*counts, *means).select("*", *shown)
+    figures = {kind: tasks(when) for kind, when in kinds.items()}
+    figures |= {f"{kind}_tmo_s": or_zero(mean_s(when, "n")) for kind, when in kinds.items()}
+    shown = {f"{kind}_tmo_text": min_sec(f"{kind}_tmo_s") for kind in kinds}
+    return with_measures(log).selectExpr(*named(figures)).selectExpr("*", *named(shown))
 
 
 def queue_summary(log: DataFrame, vocabulary: Vocabulary = DEFAULT) -> DataFrame:
@@ -47,179 +42,188 @@ def queue_summary(log: DataFrame, vocabulary: Vocabulary = DEFAULT) -> DataFrame
     first task of each protocol, those neither registered nor updated. A queue
     may show in two parts, as handled work and as distribution or audit work.
     """
-    timed = log.filter(F.col("duration_us").isNotNull())
-    outcome, queue = F.col("outcome"), F.col("queue")
-    registered, updated = outcome == vocabulary.registered, outcome == vocabulary.updated
-    base = registered | updated
-    spread = queue.isin(*vocabulary.distribution_queues) & (outcome == vocabulary.distributed)
-    audited = (queue == vocabulary.audit_queue) & (outcome == vocabulary.audited)
-    outside = not_among(outcome, (*vocabulary.production, vocabulary.batch_closed))
-    base_n = F.when(queue != vocabulary.unlisted_queue, tasks(base)).otherwise(0)
+    timed = log.filter("duration_us IS NOT NULL")
+    registered = equals("outcome", vocabulary.registered)
+    updated = equals("outcome", vocabulary.updated)
+    handled = among("outcome", vocabulary.handled)
+    spread = (
+        f"{among('queue', vocabulary.distribution_queues)}"
+        f" AND {equals('outcome', vocabulary.distributed)}"
+    )
+    audited = (
+        f"{equals('queue', vocabulary.audit_queue)} AND {equals('outcome', vocabulary.audited)}"
+    )
+    outside = not_among("outcome", (*vocabulary.production, vocabulary.batch_closed))
     per_queue = (
         with_measures(timed)
-        .filter(queue.isNotNull())
+        .filter("queue IS NOT NULL")
         .groupBy("queue")
         .agg(
-            base_n.alias("base_n"),
-            tasks(registered).alias("registered"),
-            tasks(updated).alias("updated"),
-            mean_s(registered).alias("registered_s"),
-            mean_s(updated).alias("updated_s"),
-            tasks(spread).alias("spread_n"),
-            mean_s(spread).alias("spread_s"),
-            tasks(audited).alias("audited_n"),
-            mean_s(audited).alias("audited_s"),
-            mean_s(outside).alias("out_of_scope_tmo_s"),
+            *exprs(
+                {
+                    "handled": tasks(handled),
+                    "registered": tasks(registered),
+                    "updated": tasks(updated),
+                    "registered_s": mean_s(registered),
+                    "updated_s": mean_s(updated),
+                    "spread": tasks(spread),
+                    "spread_s": mean_s(spread),
+                    "audited": tasks(audited),
+                    "audited_s": mean_s(audited),
+                    "out_of_scope_s": mean_s(outside),
+                }
+            )
         )
     )
-    null = F.lit(None).cast("bigint")
-
-    def part(name: str, n: str, reg: Column, upd: Column, reg_s: str, upd_s: Column) -> Column:
-        return F.struct(
-            F.lit(name).alias("part"),
-            F.col(n).alias("tasks"),
-            reg.alias("registered"),
-            upd.alias("updated"),
-            F.col(reg_s).alias("registered_tmo_s"),
-            upd_s.alias("updated_tmo_s"),
-        )
-
-    parts = F.array(
-        part("handled", "base_n", F.col("registered"), F.col("updated"), "registered_s",
-             F.col("updated_s")),
-        part("distribution", "spread_n", null, null, "spread_s", null),
-        part("audit", "audited_n", null, null, "audited_s", null),
+    listed = f"IF({differs('queue', vocabulary.unlisted_queue)}, handled, 0L)"
+    none = "CAST(NULL AS BIGINT)"
+    rows = {
+        "handled": (listed, "registered", "updated", "registered_s", "updated_s"),
+        "distribution": ("spread", none, none, "spread_s", none),
+        "audit": ("audited", none, none, "audited_s", none),
+    }
+    parts = ", ".join(
+        f"named_struct('part', '{name}', 'tasks', {n}, 'registered', {reg}, 'updated', {upd},"
+        f" 'registered_s', {reg_s}, 'updated_s', {upd_s})"
+        for name, (n, reg, upd, reg_s, upd_s) in rows.items()
     )
-    rows = (
-        per_queue.select("queue", "out_of_scope_tmo_s", F.inline(parts)).filter("tasks > 0")
+    shown = per_queue.selectExpr("queue", "out_of_scope_s", f"inline(array({parts}))").filter(
+        "tasks > 0"
     )
     # First task of each protocol. min_by reduces within each map task first, so
     # a protocol shared by many rows (the missing one above all) stays small.
-    first = (
-        timed.groupBy("protocol_id")
-        .agg(F.min_by(F.struct("queue", "outcome"), "seq").alias("task"))
-        .select("task.*")
+    first = timed.groupBy("protocol_id").agg(
+        F.expr("min_by(struct(queue, outcome), seq) AS task")
     )
     scope = (
-        first.filter(queue.isNotNull())
-        .groupBy("queue")
-        .agg(F.count_if(not_among("outcome", vocabulary.handled)).alias("out_of_scope"))
+        first.filter("task.queue IS NOT NULL")
+        .groupBy("task.queue")
+        .agg(F.expr(f"count_if({not_among('task.outcome', vocabulary.handled)}) AS out_of_scope"))
     )
-    return rows.join(scope, "queue", "left").select(
+    return shown.join(scope, "queue", "left").selectExpr(
         "queue",
         "part",
         "tasks",
         "registered",
         "updated",
         "out_of_scope",
-        hms(F.col("registered_tmo_s")).alias("registered_tmo"),
-        hms(F.col("updated_tmo_s")).alias("updated_tmo"),
-        hms(F.col("out_of_scope_tmo_s")).alias("out_of_scope_tmo"),
+        f"{hms('registered_s')} AS registered_tmo",
+        f"{hms('updated_s')} AS updated_tmo",
+        f"{hms('out_of_scope_s')} AS out_of_scope_tmo",
     )
 
 
-def queue_group(vocabulary: Vocabulary = DEFAULT) -> Column:
+def queue_group(vocabulary: Vocabulary = DEFAULT) -> str:
     """Group of a queue; ``other_group`` if it is in none or unknown."""
-    group = F.lit(vocabulary.other_group)
-    for name, queues in reversed(vocabulary.queue_groups):
-        group = F.when(F.col("queue").isin(*queues), name).otherwise(group)
-    return group
+    whens = " ".join(
+        f"WHEN {among('queue', queues)} THEN {text(name)}"
+        for name, queues in vocabulary.queue_groups
+    )
+    other = text(vocabulary.other_group)
+    return f"CASE {whens} ELSE {other} END" if whens else other
 
 
-def _outcome_split(vocabulary: Vocabulary) -> list[Column]:
-    return [
-        tasks(F.col("outcome") == vocabulary.registered).alias("registered"),
-        tasks(F.col("outcome") == vocabulary.updated).alias("updated"),
-        tasks(not_among("outcome", vocabulary.handled)).alias("neither"),
-    ]
+def _outcome_split(vocabulary: Vocabulary) -> dict[str, str]:
+    return {
+        "registered": tasks(equals("outcome", vocabulary.registered)),
+        "updated": tasks(equals("outcome", vocabulary.updated)),
+        "neither": tasks(not_among("outcome", vocabulary.handled)),
+    }
 
 
 def production_by_group(log: DataFrame, vocabulary: Vocabulary = DEFAULT) -> DataFrame:
     """Per queue group: registered, updated, neither (an unknown outcome is neither)."""
-    grouped = with_measures(log).withColumn("queue_group", queue_group(vocabulary))
-    return grouped.groupBy("queue_group").agg(*_outcome_split(vocabulary))
+    grouped = with_measures(log).selectExpr("*", f"{queue_group(vocabulary)} AS queue_group")
+    return grouped.groupBy("queue_group").agg(*exprs(_outcome_split(vocabulary)))
 
 
 def outcome_by_module(log: DataFrame, vocabulary: Vocabulary = DEFAULT) -> DataFrame:
     """Per module with handled work: registered and updated tasks side by side."""
-    handled = log.filter(F.col("module").isNotNull() & F.col("outcome").isin(*vocabulary.handled))
+    handled = log.filter(f"module IS NOT NULL AND {among('outcome', vocabulary.handled)}")
     return handled.groupBy("module").agg(
-        F.count_if(F.col("outcome") == vocabulary.registered).alias("registered"),
-        F.count_if(F.col("outcome") == vocabulary.updated).alias("updated"),
+        *exprs(
+            {
+                "registered": f"count_if({equals('outcome', vocabulary.registered)})",
+                "updated": f"count_if({equals('outcome', vocabulary.updated)})",
+            }
+        )
     )
 
 
 def email_group_detail(log: DataFrame, vocabulary: Vocabulary = DEFAULT) -> DataFrame:
     """The e-mail queue by task type, and the other queues of its group by queue."""
-    is_email = F.col("queue") == vocabulary.email_queue
-    detail = log.filter(
-        is_email | F.col("queue").isin(*vocabulary.email_other_queues)
-    ).select(
-        is_email.alias("is_email"),
-        F.when(is_email, F.col("task_type")).otherwise(F.col("queue")).alias("item"),
-        "outcome",
-        F.lit(1).cast("bigint").alias("n"),
+    is_email = equals("queue", vocabulary.email_queue)
+    detail = (
+        log.filter(f"{is_email} OR {among('queue', vocabulary.email_other_queues)}")
+        .selectExpr(
+            f"{is_email} AS is_email",
+            f"IF({is_email}, task_type, queue) AS item",
+            "outcome",
+            "1L AS n",
+        )
+        .filter("item IS NOT NULL")
     )
     return (
-        detail.filter(F.col("item").isNotNull())
-        .groupBy("is_email", "item")
-        .agg(tasks().alias("tasks"), *_outcome_split(vocabulary))
+        detail.groupBy("is_email", "item")
+        .agg(*exprs({"tasks": tasks(), **_outcome_split(vocabulary)}))
         .drop("is_email")
     )
 
 
-def _daily(log: DataFrame, by: Sequence[str], *measures: Column) -> DataFrame:
-    keyed = with_measures(log).withColumn("day", day_of(log))
-    for key in ("day", *by):
-        keyed = keyed.filter(F.col(key).isNotNull())
-    return keyed.groupBy(*by, "day").agg(*measures)
+def _daily(log: DataFrame, by: Sequence[str], measures: dict[str, str]) -> DataFrame:
+    keys = (*by, "day")
+    keyed = with_measures(log)
+    if "day" not in keyed.columns:
+        keyed = keyed.selectExpr("*", f"{day_of(log)} AS day")
+    known = " AND ".join(f"{key} IS NOT NULL" for key in keys)
+    return keyed.filter(known).groupBy(*keys).agg(*exprs(measures))
 
 
 def daily_productivity(log: DataFrame) -> DataFrame:
     """Per day: tasks whose outcome is known."""
-    return _daily(log, (), total("with_outcome").alias("productivity"))
+    return _daily(log, (), {"productivity": total("with_outcome")})
 
 
 def daily_registered_updated(log: DataFrame, vocabulary: Vocabulary = DEFAULT) -> DataFrame:
     """Per day: registered, updated and their sum."""
-    outcome = F.col("outcome")
     return _daily(
         log,
         (),
-        tasks(outcome == vocabulary.registered).alias("registered"),
-        tasks(outcome == vocabulary.updated).alias("updated"),
-        tasks(outcome.isin(*vocabulary.handled)).alias("productivity"),
+        {
+            "registered": tasks(equals("outcome", vocabulary.registered)),
+            "updated": tasks(equals("outcome", vocabulary.updated)),
+            "productivity": tasks(among("outcome", vocabulary.handled)),
+        },
     )
 
 
+def _daily_tmo(log: DataFrame, by: Sequence[str], kept: str, tmo_s: str) -> DataFrame:
+    out = _daily(log.filter(kept), by, {"tmo_s": tmo_s})
+    return out.selectExpr("*", f"{min_sec('tmo_s')} AS tmo_text")
+
+
 def daily_tmo(
     log: DataFrame, by: Sequence[str] = (), vocabulary: Vocabulary = DEFAULT
 ) -> DataFrame:
     """Per day (and analyst): mean known duration of registered tasks."""
-    registered = log.filter(F.col("outcome") == vocabulary.registered)
-    out = _daily(registered, by, mean_s().alias("tmo_s"))
-    return out.withColumn("tmo_text", min_sec(F.col("tmo_s")))
+    return _daily_tmo(log, by, equals("outcome", vocabulary.registered), mean_s())
 
 
 def daily_tmo_closed(log: DataFrame, vocabulary: Vocabulary = DEFAULT) -> DataFrame:
     """Per day: time of finished and cancelled tasks over their number."""
-    closed = log.filter(F.col("status").isin(vocabulary.finished, vocabulary.cancelled))
-    out = _daily(closed, (), mean_s(per="with_status").alias("tmo_s"))
-    return out.withColumn("tmo_text", min_sec(F.col("tmo_s")))
+    closed = among("status", (vocabulary.finished, vocabulary.cancelled))
+    return _daily_tmo(log, (), closed, mean_s(per="with_status"))
 
 
 def daily_tmo_closed_zero_filled(log: DataFrame, vocabulary: Vocabulary = DEFAULT) -> DataFrame:
     """As ``daily_tmo_closed`` for the variant spelling of finished; never null."""
-    closed = log.filter(F.col("status").isin(vocabulary.finished_variant, vocabulary.cancelled))
-    out = _daily(closed, (), _or_zero(mean_s(per="with_status")).alias("tmo_s"))
-    return out.withColumn("tmo_text", min_sec(F.col("tmo_s")))
+    closed = among("status", (vocabulary.finished_variant, vocabulary.cancelled))
+    return _daily_tmo(log, (), closed, or_zero(mean_s(per="with_status")))
 
 
 def daily_tmo_registered(log: DataFrame, vocabulary: Vocabulary = DEFAULT) -> DataFrame:
     """Per day: time of registered tasks over their number (unknown counts as zero)."""
-    registered = log.filter(F.col("outcome") == vocabulary.registered)
-    out = _daily(registered, (), mean_s(per="n").alias("tmo_s"))
-    return out.withColumn("tmo_text", min_sec(F.col("tmo_s")))
+    return _daily_tmo(log, (), equals("outcome", vocabulary.registered), mean_s(per="n"))
 
 
 TMO_KINDS = ("overall", "registered", "updated", "audited")
@@ -229,84 +233,83 @@ def monthly_means(
     log: DataFrame, overall: Sequence[str], by: Sequence[str], vocabulary: Vocabulary
 ) -> DataFrame:
     """Per month with an overall task: mean seconds overall and per outcome, in one pass."""
-    outcome = F.col("outcome")
-    kinds = dict(
-        zip(
-            TMO_KINDS,
-            (
-                outcome.isin(*overall),
-                outcome == vocabulary.registered,
-                outcome == vocabulary.updated,
-                outcome == vocabulary.audited,
-            ),
-        )
-    )
-    keyed = with_measures(log).withColumn("month", month_of(log))
-    for key in ("month", *by):
-        keyed = keyed.filter(F.col(key).isNotNull())
-    return (
-        keyed.groupBy(*by, "month")
+    kinds = {
+        "overall": among("outcome", overall),
+        "registered": equals("outcome", vocabulary.registered),
+        "updated": equals("outcome", vocabulary.updated),
+        "audited": equals("outcome", vocabulary.audited),
+    }
+    keys = (*by, "month")
+    keyed = with_measures(log).selectExpr("*", f"{month_of(log)} AS month")
+    means = (
+        keyed.filter(" AND ".join(f"{key} IS NOT NULL" for key in keys))
+        .groupBy(*keys)
         .agg(
-            tasks(kinds["overall"]).alias("_overall"),
-            *[mean_s(when).alias(f"{kind}_tmo_s") for kind, when in kinds.items()],
+            *exprs(
+                {f"{kind}_tmo_s": mean_s(when) for kind, when in kinds.items()}
+                | {"overall_n": tasks(kinds["overall"])}
+            )
         )
-        .filter("_overall > 0")
-        .drop("_overall")
-        .withColumn("month", month_text(F.col("month")))
+        .filter("overall_n > 0")
+    )
+    return means.selectExpr(
+        *by, f"{month_text('month')} AS month", *[f"{kind}_tmo_s" for kind in TMO_KINDS]
     )
 
 
+def monthly_shown(means: DataFrame) -> DataFrame:
+    """Monthly means with their text forms."""
+    return means.selectExpr("*", *named({f"{k}_tmo": hms(f"{k}_tmo_s") for k in TMO_KINDS}))
+
+
 def monthly_tmo_by_outcome(log: DataFrame, vocabulary: Vocabulary = DEFAULT) -> DataFrame:
     """Per month: mean known duration overall (no audits), registered, updated, audited."""
-    means = monthly_means(log, vocabulary.production, (), vocabulary)
-    return means.select("*", *[hms(F.col(f"{k}_tmo_s")).alias(f"{k}_tmo") for k in TMO_KINDS])
+    return monthly_shown(monthly_means(log, vocabulary.production, (), vocabulary))
 
 
 def monthly_tmo_long(monthly: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """A monthly table with one row per month and kind, with the label a chart shows."""
-    plain = monthly.select(*by, "month", *[F.col(f"{k}_tmo_s").alias(k) for k in TMO_KINDS])
+    plain = monthly.selectExpr(*by, "month", *[f"{k}_tmo_s AS {k}" for k in TMO_KINDS])
     long = plain.unpivot([*by, "month"], list(TMO_KINDS), "kind", "tmo_s")
-    label = F.concat(F.initcap("kind"), F.lit(" - "), hms(F.col("tmo_s")))
-    return long.select("*", label.alias("label"))
+    return long.selectExpr("*", f"concat(initcap(kind), ' - ', {hms('tmo_s')}) AS label")
 
 
 def monthly_tmo(log: DataFrame, vocabulary: Vocabulary = DEFAULT) -> DataFrame:
     """Per month: mean known duration of the three outcomes, in minutes and as text."""
-    production = log.filter(F.col("outcome").isin(*vocabulary.production))
-    keyed = with_measures(production).withColumn("month", month_of(production))
-    means = keyed.filter("month IS NOT NULL").groupBy("month").agg(mean_us().alias("us"))
-    return means.select(
-        month_text(F.col("month")).alias("month"),
-        (F.col("us") / F.lit(60.0 * MICROS)).alias("tmo_minutes"),
-        hours_min_sec(F.col("us")).alias("tmo_text"),
+    production = log.filter(among("outcome", vocabulary.production))
+    keyed = with_measures(production).selectExpr("*", f"{month_of(log)} AS month")
+    means = keyed.filter("month IS NOT NULL").groupBy("month").agg(*exprs({"us": mean_us()}))
+    return means.selectExpr(
+        f"{month_text('month')} AS month",
+        f"us / {60 * MICROS}D AS tmo_minutes",
+        f"{hours_min_sec('us')} AS tmo_text",
     )
 
 
 def analyst_tmo(log: DataFrame, vocabulary: Vocabulary = DEFAULT) -> DataFrame:
     """Per analyst with closed tasks: time of the registered ones over their number."""
-    closed = drop_doubt_outliers(
-        with_measures(log).filter(
-            F.col("analyst").isNotNull()
-            & F.col("status").isin(vocabulary.finished, vocabulary.cancelled)
-        ),
-        vocabulary,
+    closed = among("status", (vocabulary.finished, vocabulary.cancelled))
+    kept = drop_doubt_outliers(
+        with_measures(log).filter(f"analyst IS NOT NULL AND {closed}"), vocabulary
     )
-    registered = F.col("outcome") == vocabulary.registered
-    out = closed.groupBy("analyst").agg(mean_s(registered, per="n").alias("tmo_s"))
-    return out.withColumn("tmo", hms(F.col("tmo_s")))
+    registered = equals("outcome", vocabulary.registered)
+    out = kept.groupBy("analyst").agg(*exprs({"tmo_s": mean_s(registered, "n")}))
+    return out.selectExpr("*", f"{hms('tmo_s')} AS tmo")
 
 
 def deviation_counts(log: DataFrame) -> DataFrame:
     """How often each audit finding of the comma-separated lists occurs."""
-    parts = log.filter(F.col("deviations").isNotNull()).select(
-        F.explode(F.split("deviations", ",", -1)).alias("part")
+    parts = log.filter("deviations IS NOT NULL").selectExpr(
+        "explode(split(deviations, ',', -1)) AS part"
     )
-    return parts.groupBy(strip(F.col("part")).alias("deviation")).agg(F.count(F.lit(1)).alias("frequency"))
+    named_parts = parts.selectExpr(f"{strip('part')} AS deviation")
+    return named_parts.groupBy("deviation").agg(*exprs({"frequency": "count(*)"}))
 
 
 def deviation_counts_real(log: DataFrame, vocabulary: Vocabulary = DEFAULT) -> DataFrame:
     """``deviation_counts`` without the word for no deviation, in any case."""
-    return deviation_counts(log).filter(F.lower("deviation") != vocabulary.no_deviation.lower())
+    word = text(vocabulary.no_deviation.lower())
+    return deviation_counts(log).filter(f"lower(deviation) <> {word}")
 
 
 def top_deviation(log: DataFrame) -> DataFrame:

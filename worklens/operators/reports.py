@@ -4,13 +4,21 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from worklens.config import DEFAULT, MICROS, Vocabulary
-from worklens.functions.calendar import day_of
-from worklens.functions.durations import div, h_mm_ss, hms
-from worklens.functions.measures import mean_s, mean_s_of, tasks, total, with_measures
+from worklens.functions.calendar import date, day_of
+from worklens.functions.durations import h_mm_ss, hms
+from worklens.functions.measures import (
+    SUMS,
+    mean_s,
+    mean_s_of,
+    or_zero,
+    tasks,
+    totals,
+    with_measures,
+)
+from worklens.functions.sql import among, equals, exprs, named
 from worklens.operators.filters import (
     Roster,
     filter_analysts,
@@ -22,12 +30,6 @@ from worklens.operators.idle import idle_by_day, idle_time_mean
 from worklens.operators.individual import team_tmo
 from worklens.operators.rankings import rank_registration
 
-SUMS = ("n", "timed", "dur_s", "dur_us")
-
-
-def _zero(column: Column | str) -> Column:
-    return F.coalesce(column, F.lit(0).cast("bigint"))
-
 
 def _for_roster(log: DataFrame, roster: Roster, figures: DataFrame) -> DataFrame:
     """Every selected analyst with their figures, also those without any."""
@@ -45,21 +47,19 @@ def period_summary(
 ) -> DataFrame:
     """Per selected analyst: mean known duration and tasks, of production or registrations."""
     outcomes = (vocabulary.registered,) if registered_only else vocabulary.production
-    relevant = with_measures(filter_period(log, first, last)).filter(
-        F.col("outcome").isin(*outcomes)
-    )
+    relevant = with_measures(filter_period(log, first, last)).filter(among("outcome", outcomes))
     figures = (
         filter_analysts(relevant, roster)
         .groupBy("analyst")
-        .agg(mean_s().alias("tmo_s"), tasks().alias("tasks"))
+        .agg(*exprs({"tmo_s": mean_s(), "tasks": tasks()}))
     )
-    return _for_roster(log, roster, figures).select(
+    return _for_roster(log, roster, figures).selectExpr(
         "analyst",
         "tmo_s",
-        hms(F.col("tmo_s")).alias("tmo"),
-        _zero("tasks").alias("tasks"),
-        F.lit(first).alias("period_start"),
-        F.lit(last).alias("period_end"),
+        f"{hms('tmo_s')} AS tmo",
+        f"{or_zero('tasks')} AS tasks",
+        f"{date(first)} AS period_start",
+        f"{date(last)} AS period_end",
     )
 
 
@@ -68,20 +68,16 @@ def period_summary_band(summary: DataFrame) -> DataFrame:
 
     Green below 90 %, yellow up to 110 %, red above; compared in whole numbers.
     """
-    everyone = Window.partitionBy()
-    tmo, known = F.col("tmo_s"), F.col("known") * 10
-    band = (
-        F.when(tmo * known < F.col("sum") * 9, "green")
-        .when(tmo * known <= F.col("sum") * 11, "yellow")
-        .when(tmo.isNotNull(), "red")
-    )
-    return (
-        summary.withColumns(
-            {"sum": F.sum("tmo_s").over(everyone), "known": F.count("tmo_s").over(everyone)}
-        )
-        .withColumn("band", band)
-        .drop("sum", "known")
+    scaled = summary.selectExpr(
+        "*",
+        "tmo_s * 10 * count(tmo_s) OVER () AS scaled",
+        "sum(tmo_s) OVER () AS whole",
     )
+    return scaled.selectExpr(
+        "*",
+        "CASE WHEN scaled < whole * 9 THEN 'green' WHEN scaled <= whole * 11 THEN 'yellow'"
+        " WHEN scaled IS NOT NULL THEN 'red' END AS band",
+    ).drop("scaled", "whole")
 
 
 def cause_by_analyst(
@@ -93,12 +89,12 @@ def cause_by_analyst(
 ) -> DataFrame:
     """Per selected analyst and known cause: registered tasks of the period."""
     registered = filter_period(log, first, last).filter(
-        (F.col("outcome") == vocabulary.registered) & F.col("cause").isNotNull()
+        f"cause IS NOT NULL AND {equals('outcome', vocabulary.registered)}"
     )
     return (
         filter_analysts(registered, roster)
         .groupBy("analyst", "cause")
-        .agg(F.count(F.lit(1)).alias("tasks"))
+        .agg(*exprs({"tasks": "count(*)"}))
     )
 
 
@@ -110,25 +106,31 @@ def period_registered_updated(
     vocabulary: Vocabulary = DEFAULT,
 ) -> DataFrame:
     """Per selected analyst: mean known duration and tasks, registered and updated."""
-    registered = F.col("outcome") == vocabulary.registered
-    updated = F.col("outcome") == vocabulary.updated
-    handled = with_measures(filter_period(log, first, last)).filter(registered | updated)
+    registered = equals("outcome", vocabulary.registered)
+    updated = equals("outcome", vocabulary.updated)
+    handled = with_measures(filter_period(log, first, last)).filter(
+        among("outcome", vocabulary.handled)
+    )
     figures = (
         filter_analysts(handled, roster)
         .groupBy("analyst")
         .agg(
-            mean_s(registered).alias("registered_s"),
-            tasks(registered).alias("registered"),
-            mean_s(updated).alias("updated_s"),
-            tasks(updated).alias("updated"),
+            *exprs(
+                {
+                    "registered_s": mean_s(registered),
+                    "registered": tasks(registered),
+                    "updated_s": mean_s(updated),
+                    "updated": tasks(updated),
+                }
+            )
         )
     )
-    return _for_roster(log, roster, figures).select(
+    return _for_roster(log, roster, figures).selectExpr(
         "analyst",
-        h_mm_ss(F.col("registered_s")).alias("registered_tmo"),
-        _zero("registered").alias("registered"),
-        h_mm_ss(F.col("updated_s")).alias("updated_tmo"),
-        _zero("updated").alias("updated"),
+        f"{h_mm_ss('registered_s')} AS registered_tmo",
+        f"{or_zero('registered')} AS registered",
+        f"{h_mm_ss('updated_s')} AS updated_tmo",
+        f"{or_zero('updated')} AS updated",
     )
 
 
@@ -141,13 +143,13 @@ def analyst_daily_detail(
 ) -> DataFrame:
     """Per selected analyst and day: time of registered tasks over their number."""
     registered = with_measures(filter_period(log, first, last)).filter(
-        F.col("outcome") == vocabulary.registered
+        equals("outcome", vocabulary.registered)
     )
-    return (
-        filter_analysts(registered, roster)
-        .withColumn("day", day_of(log))
-        .groupBy("analyst", "day")
-        .agg(hms(mean_s(per="n")).alias("tmo"), tasks().alias("tasks"))
+    chosen = filter_analysts(registered, roster)
+    if "day" not in chosen.columns:
+        chosen = chosen.selectExpr("*", f"{day_of(log)} AS day")
+    return chosen.groupBy("analyst", "day").agg(
+        *exprs({"tmo": hms(mean_s(per="n")), "tasks": tasks()})
     )
 
 
@@ -160,27 +162,31 @@ def period_full_summary(
 ) -> DataFrame:
     """Per selected analyst: means, registrations, all tasks and idle time of the period."""
     chosen = filter_analysts(filter_period(log, first, last), roster)
-    registered = F.col("outcome") == vocabulary.registered
+    registered = equals("outcome", vocabulary.registered)
     figures = (
         with_measures(chosen)
         .groupBy("analyst")
         .agg(
-            mean_s(F.col("outcome").isin(*vocabulary.production)).alias("overall_s"),
-            mean_s(registered).alias("registered_s"),
-            tasks(registered).alias("registered"),
-            tasks().alias("tasks"),
+            *exprs(
+                {
+                    "overall_s": mean_s(among("outcome", vocabulary.production)),
+                    "registered_s": mean_s(registered),
+                    "registered": tasks(registered),
+                    "tasks": tasks(),
+                }
+            )
         )
     )
     idle = idle_by_day(chosen).groupBy("analyst").agg(
-        div(F.sum("idle_us"), MICROS).alias("idle_s")
+        *exprs({"idle_s": f"sum(idle_us) div {MICROS}"})
     )
-    return _for_roster(log, roster, figures.join(idle, "analyst", "left")).select(
+    return _for_roster(log, roster, figures.join(idle, "analyst", "left")).selectExpr(
         "analyst",
-        h_mm_ss(F.col("overall_s")).alias("overall_tmo"),
-        h_mm_ss(F.col("registered_s")).alias("registered_tmo"),
-        _zero("registered").alias("registered"),
-        _zero("tasks").alias("tasks"),
-        h_mm_ss(_zero("idle_s")).alias("idle"),
+        f"{h_mm_ss('overall_s')} AS overall_tmo",
+        f"{h_mm_ss('registered_s')} AS registered_tmo",
+        f"{or_zero('registered')} AS registered",
+        f"{or_zero('tasks')} AS tasks",
+        f"{h_mm_ss(or_zero('idle_s'))} AS idle",
     )
 
 
@@ -194,23 +200,17 @@ def period_comparison(
     """Per analyst seen in either period: mean known durations in each; they may overlap."""
     periods = {"before": in_period(log, *before), "after": in_period(log, *after)}
     outcomes = {"registered": vocabulary.registered, "updated": vocabulary.updated}
-    seen = filter_analysts(
-        with_measures(log.filter(periods["before"] | periods["after"])), roster
-    ).filter(F.col("analyst").isNotNull())
+    either = with_measures(log.filter(f"{periods['before']} OR {periods['after']}"))
+    seen = filter_analysts(either, roster).filter("analyst IS NOT NULL")
     means = {
-        f"{kind}_{when}": _zero(mean_s((F.col("outcome") == outcome) & inside))
-        for kind, outcome in outcomes.items()
+        f"{kind}_{when}": or_zero(mean_s(f"{equals('outcome', word)} AND {inside}"))
+        for kind, word in outcomes.items()
         for when, inside in periods.items()
     }
-    compared = seen.groupBy("analyst").agg(*[m.alias(f"{k}_s") for k, m in means.items()])
-    return compared.select(
-        "analyst",
-        *[hms(F.col(f"{k}_s")).alias(f"{k}_tmo") for k in means],
-        *[
-            div(F.col(f"registered_{when}_s"), 60).alias(f"registered_{when}_min")
-            for when in periods
-        ],
-    )
+    compared = seen.groupBy("analyst").agg(*exprs(means))
+    shown = {f"{name}_tmo": hms(name) for name in means}
+    shown |= {f"registered_{when}_min": f"registered_{when} div 60" for when in periods}
+    return compared.selectExpr("analyst", *named(shown))
 
 
 def registration_report(
@@ -218,26 +218,24 @@ def registration_report(
 ) -> DataFrame:
     """Per analyst: mean known duration and number of registrations, beside the overall mean."""
     registered = filter_period(log, first, last).filter(
-        F.col("outcome") == vocabulary.registered
-    )
-    sums = (
-        with_measures(registered)
-        .groupBy("analyst")
-        .agg(*[total(m).alias(m) for m in SUMS])
+        equals("outcome", vocabulary.registered)
     )
-    everyone = Window.partitionBy()
-    overall = mean_s_of(*[F.sum(m).over(everyone) for m in ("dur_s", "dur_us", "timed")])
-    tmo_s = mean_s_of(F.col("dur_s"), F.col("dur_us"), F.col("timed"))
+    parts = ("dur_s", "dur_us", "timed")
+    means = {
+        "tmo_s": mean_s_of(*parts),
+        "overall_s": mean_s_of(*[f"sum({part}) OVER ()" for part in parts]),
+    }
+    sums = with_measures(registered).groupBy("analyst").agg(*exprs(totals()))
     return (
-        sums.withColumn("overall_s", overall)
+        sums.selectExpr("analyst", "n", *named(means))
         .filter("analyst IS NOT NULL")
-        .select(
+        .selectExpr(
             "analyst",
-            hms(tmo_s).alias("tmo"),
-            div(_zero(tmo_s), 60).alias("tmo_min"),
-            F.col("n").alias("tasks"),
-            F.lit(f"{first:%Y-%m}").alias("month"),
-            hms(F.col("overall_s")).alias("overall_tmo"),
+            f"{hms('tmo_s')} AS tmo",
+            f"{or_zero('tmo_s')} div 60 AS tmo_min",
+            "n AS tasks",
+            f"'{first:%Y-%m}' AS month",
+            f"{hms('overall_s')} AS overall_tmo",
         )
     )
 
@@ -251,49 +249,37 @@ def analyst_scorecard(
     analyst without any. A figure without data shows as ``N/A``.
     """
     chosen = filter_analysts(filter_period(log, first, last))
-    registered = F.col("outcome") == vocabulary.registered
-    updated = F.col("outcome") == vocabulary.updated
-    handled = registered | updated
-    per_queue = (
-        with_measures(chosen)
-        .groupBy("analyst", "queue")
-        .agg(
-            *[total(m, registered).alias(f"registered_{m}") for m in SUMS],
-            *[total(m, updated).alias(f"updated_{m}") for m in SUMS],
-            tasks(handled).alias("handled"),
-            mean_s(handled).alias("queue_s"),
-        )
-    )
+    handled = among("outcome", vocabulary.handled)
+    sums = {"handled": tasks(handled), "queue_s": mean_s(handled)}
+    sums |= totals(SUMS, equals("outcome", vocabulary.registered), "registered_")
+    sums |= totals(SUMS, equals("outcome", vocabulary.updated), "updated_")
+    per_queue = with_measures(chosen).groupBy("analyst", "queue").agg(*exprs(sums))
 
     # the figures of an analyst are sums over their queues, so one scan serves both
-    own = Window.partitionBy("analyst")
+    def mean(kind: str) -> str:
+        parts = [f"{kind}_{m}" for m in ("dur_s", "dur_us", "timed")]
+        return mean_s_of(*[f"sum({part}) OVER (PARTITION BY analyst)" for part in parts])
 
-    def mean(kind: str) -> Column:
-        return mean_s_of(*[F.sum(f"{kind}_{m}").over(own) for m in ("dur_s", "dur_us", "timed")])
+    def shown(seconds: str) -> str:
+        return f"IF({seconds} IS NULL, 'N/A', {hms(seconds)})"
 
-    def shown(seconds: str) -> Column:
-        return F.when(F.col(seconds).isNotNull(), hms(F.col(seconds))).otherwise("N/A")
-
-    listed = F.col("queue").isNotNull() & (F.col("handled") > 0)
-    figures = (
-        per_queue.withColumns(
-            {
-                "registered_s": mean("registered"),
-                "updated_s": mean("updated"),
-                "listed": listed,
-                "any_listed": F.max(listed).over(own),
-                "row": F.row_number().over(own.orderBy("queue")),
-            }
-        )
-        .filter("listed OR (NOT any_listed AND row = 1)")
-    )
-    return figures.join(idle_time_mean(chosen), "analyst", "left").select(
+    listed = "(queue IS NOT NULL AND handled > 0)"
+    figures = per_queue.selectExpr(
         "analyst",
-        shown("registered_s").alias("registered_tmo"),
-        shown("updated_s").alias("updated_tmo"),
-        shown("idle_mean_s").alias("idle_mean"),
-        F.when(F.col("listed"), F.col("queue")).alias("queue"),
-        F.when(F.col("listed"), shown("queue_s")).alias("queue_tmo"),
+        f"IF({listed}, queue, NULL) AS queue",
+        f"IF({listed}, {shown('queue_s')}, NULL) AS queue_tmo",
+        f"{mean('registered')} AS registered_s",
+        f"{mean('updated')} AS updated_s",
+        f"max({listed}) OVER (PARTITION BY analyst) AS any_listed",
+        "row_number() OVER (PARTITION BY analyst ORDER BY queue) AS place",
+    ).filter("queue IS NOT NULL OR (NOT any_listed AND place = 1)")
+    return figures.join(idle_time_mean(chosen), "analyst", "left").selectExpr(
+        "analyst",
+        f"{shown('registered_s')} AS registered_tmo",
+        f"{shown('updated_s')} AS updated_tmo",
+        f"{shown('idle_mean_s')} AS idle_mean",
+        "queue",
+        "queue_tmo",
     )
 
 
@@ -312,55 +298,42 @@ def team_card(
     """
     log = filter_period(log, first, last)
     summed = log if cube is None else filter_period(cube, first, last)
-    text, number = "string", "bigint"
-    registrants = rank_registration(summed, roster, vocabulary)
-    ranked = registrants.filter(F.col("position") <= top).select(
-        F.lit("top_registrant").alias("item"),
-        F.col("position"),
-        F.col("analyst").alias("label"),
-        F.col("total").alias("value"),
+    no_position = "CAST(NULL AS BIGINT) AS position"
+    ranked = (
+        rank_registration(summed, roster, vocabulary)
+        .filter(f"position <= {top}")
+        .selectExpr("'top_registrant' AS item", "position", "analyst AS label", "total AS value")
     )
-    kinds = ("registered_tmo_s", "updated_tmo_s", "audited_tmo_s")
-    means = team_tmo(summed, vocabulary).unpivot([], list(kinds), "item", "value").select(
-        "item",
-        F.lit(None).cast(number).alias("position"),
-        hms(F.col("value")).alias("label"),
-        "value",
+    kinds = ["registered_tmo_s", "updated_tmo_s", "audited_tmo_s"]
+    means = (
+        team_tmo(summed, vocabulary)
+        .unpivot([], kinds, "item", "value")
+        .selectExpr("item", no_position, f"{hms('value')} AS label", "value")
     )
-    idle = idle_by_day(log).agg(
-        div(F.sum("idle_us"), F.count("idle_us") * MICROS).alias("value")
-    ).select(
-        F.lit("idle_mean_s").alias("item"),
-        F.lit(None).cast(number).alias("position"),
-        hms(F.col("value")).alias("label"),
-        "value",
+    idle = (
+        idle_by_day(log)
+        .selectExpr(f"sum(idle_us) div nullif(count(idle_us) * {MICROS}, 0L) AS value")
+        .selectExpr("'idle_mean_s' AS item", no_position, f"{hms('value')} AS label", "value")
     )
-    day = (
-        with_measures(summed.filter(F.col("outcome") == vocabulary.registered))
-        .groupBy(day_of(summed).alias("day"))
-        .agg(tasks().alias("value"))
-        .filter("day IS NOT NULL")
-        .orderBy(F.desc("value"), "day")
+    registered = with_measures(summed.filter(equals("outcome", vocabulary.registered)))
+    peak = (
+        registered.selectExpr(f"{day_of(summed)} AS on_day", "n")
+        .filter("on_day IS NOT NULL")
+        .groupBy("on_day")
+        .agg(*exprs({"value": tasks()}))
+        .orderBy("value", "on_day", ascending=[False, True])
         .limit(1)
-    )
-    peak = day.select(
-        F.lit("peak_day").alias("item"),
-        F.lit(None).cast(number).alias("position"),
-        F.col("day").cast(text).alias("label"),
-        "value",
+        .selectExpr("'peak_day' AS item", no_position, "CAST(on_day AS STRING) AS label", "value")
     )
     return ranked.unionByName(means).unionByName(idle).unionByName(peak)
 
 
 def data_question_aggregates(log: DataFrame) -> DataFrame:
     """Mean known duration and tasks of each analyst, and of the whole log."""
-    sums = (
-        with_measures(log).groupBy("analyst").agg(*[total(m).alias(m) for m in SUMS])
-    )
-    overall = F.grouping("analyst") == 1
+    sums = with_measures(log).groupBy("analyst").agg(*exprs(totals()))
     rolled = sums.rollup("analyst").agg(
-        overall.alias("is_overall"), mean_s().alias("tmo_s"), tasks().alias("tasks")
+        *exprs({"is_overall": "grouping(analyst) = 1", "tmo_s": mean_s(), "tasks": tasks()})
     )
-    return rolled.filter("is_overall OR analyst IS NOT NULL").select(
-        "analyst", "is_overall", "tmo_s", hms(F.col("tmo_s")).alias("tmo"), "tasks"
+    return rolled.filter("is_overall OR analyst IS NOT NULL").selectExpr(
+        "analyst", "is_overall", "tmo_s", f"{hms('tmo_s')} AS tmo", "tasks"
     )

@@ -4,52 +4,49 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from worklens.config import MICROS, WORKDAY_END_HOUR, WORKDAY_START_HOUR
-from worklens.functions.calendar import interval_us
-from worklens.functions.durations import div, hours_minutes
+from worklens.functions.calendar import date, interval_us
+from worklens.functions.durations import hours_minutes
 
 
 def _clipped(intervals: DataFrame) -> DataFrame:
     """Start not before the opening of its day, end not after the closing of its own day."""
 
-    def at(name: str, hour: int) -> Column:
-        midnight = F.to_date(name).cast("timestamp_ntz")
-        return midnight + F.make_dt_interval(hours=F.lit(hour))
+    def at(name: str, hour: int) -> str:
+        return f"CAST(to_date({name}) AS TIMESTAMP_NTZ) + INTERVAL '{hour}' HOUR"
 
-    start = F.greatest("start_at", at("start_at", WORKDAY_START_HOUR))
-    end = F.least("end_at", at("end_at", WORKDAY_END_HOUR))
-    known = intervals.filter("start_at IS NOT NULL AND end_at IS NOT NULL")
-    clipped = known.select(
-        F.to_date("start_at").alias("day"), start.alias("start_at"), end.alias("end_at")
+    return (
+        intervals.filter("start_at IS NOT NULL AND end_at IS NOT NULL")
+        .selectExpr(
+            "to_date(start_at) AS day",
+            f"greatest(start_at, {at('start_at', WORKDAY_START_HOUR)}) AS start_at",
+            f"least(end_at, {at('end_at', WORKDAY_END_HOUR)}) AS end_at",
+        )
+        # an interval wholly outside the working hours has no length
+        .selectExpr("*", f"greatest({interval_us('(end_at - start_at)')}, 0L) AS length_us")
     )
-    # an interval wholly outside the working hours has no length
-    length = interval_us(F.col("end_at") - F.col("start_at"))
-    return clipped.withColumn("length_us", F.greatest(length, F.lit(0).cast("bigint")))
 
 
 def unavailability_daily(intervals: DataFrame) -> DataFrame:
     """Each interval clipped to the working hours, with its whole minutes."""
-    return _clipped(intervals).select(
-        "day", "start_at", "end_at", div(F.col("length_us"), 60 * MICROS).alias("minutes")
+    return _clipped(intervals).selectExpr(
+        "day", "start_at", "end_at", f"length_us div {60 * MICROS} AS minutes"
     )
 
 
 def unavailability_share(intervals: DataFrame, first: dt.date, last: dt.date) -> DataFrame:
     """Time unavailable and time worked in a period; overlaps count twice, worked is at least 0."""
     days = (last - first).days + 1
-    hours = (WORKDAY_END_HOUR - WORKDAY_START_HOUR) * days
-    inside = _clipped(intervals).filter(F.col("day").between(F.lit(first), F.lit(last)))
-    seconds = F.coalesce(div(F.sum("length_us"), MICROS), F.lit(0).cast("bigint"))
-    worked = F.greatest(F.lit(hours * 3600) - F.col("unavailable_s"), F.lit(0).cast("bigint"))
+    available = (WORKDAY_END_HOUR - WORKDAY_START_HOUR) * days * 3600
+    inside = _clipped(intervals).filter(f"day BETWEEN {date(first)} AND {date(last)}")
     return (
-        inside.agg(seconds.alias("unavailable_s"))
-        .withColumn("worked_s", worked.cast("bigint"))
-        .select(
+        inside.selectExpr(f"coalesce(sum(length_us) div {MICROS}, 0L) AS unavailable_s")
+        .selectExpr("*", f"greatest({available}L - unavailable_s, 0L) AS worked_s")
+        .selectExpr(
             "*",
-            hours_minutes(F.col("unavailable_s")).alias("unavailable"),
-            hours_minutes(F.col("worked_s")).alias("worked"),
+            f"{hours_minutes('unavailable_s')} AS unavailable",
+            f"{hours_minutes('worked_s')} AS worked",
         )
     )

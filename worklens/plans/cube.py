@@ -10,18 +10,16 @@ queue that holds a third of all tasks sends at most one row per map task and key
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from worklens.functions.calendar import day_of
 from worklens.functions.measures import MEASURES, with_measures
+from worklens.functions.sql import exprs
 
 KEYS = ("day", "analyst", "queue", "outcome", "status", "over_doubt_limit")
 
 
 def activity_cube(log: DataFrame) -> DataFrame:
-    return (
-        with_measures(log)
-        .withColumn("day", day_of(log))
-        .groupBy(*KEYS)
-        .agg(*[F.sum(m).alias(m) for m in MEASURES])
-    )
+    keyed = with_measures(log)
+    if "day" not in keyed.columns:
+        keyed = keyed.selectExpr("*", f"{day_of(log)} AS day")
+    return keyed.groupBy(*KEYS).agg(*exprs({m: f"sum({m})" for m in MEASURES}))

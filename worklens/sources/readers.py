@@ -59,4 +59,4 @@ def scan_export(
 def scan_unavailability(spark: SparkSession, path: str) -> DataFrame:
     """Lines ``start,end`` as timestamps; an unreadable side is null."""
     lines = spark.read.schema(UNAVAILABILITY_TEXT).csv(path)
-    return lines.select(*[parse_interval_time(F.col(c)).alias(c) for c in lines.columns])
+    return lines.selectExpr(*[f"{parse_interval_time(c)} AS {c}" for c in lines.columns])

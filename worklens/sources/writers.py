@@ -39,13 +39,14 @@ def write_task_log(
     changed = Observation()
     counted = kept.observe(
         changed,
-        F.count_if(clamped_duration(vocabulary) != F.col("duration_us")).alias("adjusted"),
+        F.expr(f"count_if({clamped_duration(vocabulary)} <> duration_us) AS adjusted"),
     )
     # absent only when the batch was not standardised
     if "justification" not in counted.columns:
         counted = counted.withColumn("justification", F.lit(""))
     clean = clean_batch(counted, vocabulary)
-    stored = clean.withColumns({"completed_date": day_of(clean), "batch": F.lit(batch_no)})
+    keys = {"completed_date": F.expr(day_of(clean)), "batch": F.lit(batch_no)}
+    stored = clean.withColumns(keys)
     names = [f.name for f in STORED_LOG if f.name in stored.columns]
     (
         stored.select(*names)
