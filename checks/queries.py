@@ -34,7 +34,11 @@ from worklens.operators import (
 from worklens.plans import cube
 from worklens.session import shared_dir
 from worklens.sources import readers, writers
-from worklens.sources.events import task_log_from_events, unavailability_from_events
+from worklens.sources.events import (
+    scan_events,
+    task_log_from_events,
+    unavailability_from_events,
+)
 from worklens.streaming.landing import ingest_landed
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,7 +52,7 @@ VOCABULARY = replace(DEFAULT, best_excluded="analyst_04")
 
 
 def raw_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return task_log_from_events(spark.read.parquet(f"{sf_dir}/events.parquet"))
+    return task_log_from_events(scan_events(spark, f"{sf_dir}/events.parquet"))
 
 
 def clean_log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,7 +83,7 @@ def raw_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return unavailability_from_events(spark.read.parquet(f"{sf_dir}/events.parquet"))
+    return unavailability_from_events(scan_events(spark, f"{sf_dir}/events.parquet"))
 
 
 def _scratch(spark: SparkSession, sf_dir: str, name: str) -> str:

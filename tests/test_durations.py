@@ -25,7 +25,8 @@ def expected(text):
 
 
 TEXTS = [
-    "00:12:30", "1 days 02:03:04", "0 days 00:12:30.5", "12:30", "2 days", "1 day, 0:00:05",
+    "00:12:30", "1 days 02:03:04", "-2 days 02:03:04", "12 days 00:00:00", "x days 00:00:01",
+    "99:00:00", "0 days 00:12:30.5", "12:30", "2 days", "1 day, 0:00:05",
     "-1 days +23:00:00", "abc", "", "1:2:3", "00:99:99", " 00:01:00 ", "26:00:00",
     "1 days 26:00:00", "-00:01:00", "+00:01:00", "00:00:01.123456", "not a time",
 ]
@@ -84,11 +85,12 @@ def test_times_do_not_depend_on_the_session_zone(spark, zone):
     spark.conf.set("spark.sql.session.timeZone", zone)
     try:
         df = spark.createDataFrame(
-            [("04/11/2018 00:30:00",), ("31/02/2024 10:00:00",), ("2024-01-05 10:00:00",)],
+            [("04/11/2018 00:30:00",), ("31/02/2024 10:00:00",), ("2024-01-05 10:00:00",),
+             ("4/1/2018 0:3:00",), ("04/11/2018T00:30:00",), ("04/11/2018 00:30:0Z",)],
             "v string",
         )
         got = df.selectExpr(f"CAST({parse_task_time('v')} AS STRING) AS t").collect()
-        assert [r.t for r in got] == ["2018-11-04 00:30:00", None, None]
+        assert [r.t for r in got] == ["2018-11-04 00:30:00", None, None, "2018-01-04 00:03:00", None, None]
         late = f"({parse_task_time('v')} - TIMESTAMP_NTZ '2018-11-03 23:30:00.25')"
         gap = df.limit(1).selectExpr(f"{interval_us(late)} AS us")
         assert gap.first().us == 3_600_000_000 - 250_000

@@ -11,6 +11,7 @@ import datetime as dt
 from pyspark.sql import DataFrame
 
 from worklens.config import MICROS
+from worklens.functions.text import shape
 
 # The text forms dd/MM/yyyy HH:mm:ss and yyyy-MM-dd HH:mm.
 _TASK_TIME = (
@@ -21,8 +22,16 @@ _INTERVAL_TIME = "'^([0-9]{4})-([0-9]{1,2})-([0-9]{1,2}) ([0-9]{1,2}):([0-9]{1,2
 
 def parse_task_time(text: str) -> str:
     """``dd/MM/yyyy HH:mm:ss``; null if the text or the date is not valid."""
-    iso = f"regexp_replace({text}, {_TASK_TIME}, '$3-$2-$1 $4:$5:$6')"
-    return f"CASE WHEN {text} RLIKE {_TASK_TIME} THEN try_cast({iso} AS TIMESTAMP_NTZ) END"
+    plain = (
+        f"concat(substring({text}, 7, 4), '-', substring({text}, 4, 2), '-',"
+        f" substring({text}, 1, 2), substring({text}, 11))"
+    )
+    other = f"regexp_replace({text}, {_TASK_TIME}, '$3-$2-$1 $4:$5:$6')"
+    return (
+        f"CASE WHEN {shape(text)} = '00/00/0000 00:00:00'"
+        f" THEN try_cast({plain} AS TIMESTAMP_NTZ)"
+        f" WHEN {text} RLIKE {_TASK_TIME} THEN try_cast({other} AS TIMESTAMP_NTZ) END"
+    )
 
 
 def parse_interval_time(text: str) -> str:

@@ -6,6 +6,7 @@ A duration is a BIGINT of microseconds; a shown duration is whole seconds.
 from __future__ import annotations
 
 from worklens.config import MICROS
+from worklens.functions.text import shape
 
 _CLOCK = (
     "'^[ \\\\t]*(?:(-?[0-9]+) *days?,? *)?"
@@ -14,21 +15,45 @@ _CLOCK = (
 
 
 def parse_duration(text: str) -> str:
-    """``HH:MM:SS[.f]``, ``N days`` or ``N days [+]HH:MM:SS[.f]`` to microseconds, else null."""
+    """``HH:MM:SS[.f]``, ``N days`` or ``N days [+]HH:MM:SS[.f]`` to microseconds, else null.
 
-    def part(group: int) -> str:
-        return f"regexp_extract({text}, {_CLOCK}, {group})"
+    The two usual shapes are told by their digits alone; only other texts meet
+    the pattern.
+    """
+    tail = f"substring_index({text}, ' days ', -1)"
+    head = f"substring_index({text}, ' days ', 1)"
+    clock = (
+        f"CAST(substring({tail}, 1, 2) AS BIGINT) * 3600"
+        f" + CAST(substring({tail}, 4, 2) AS BIGINT) * 60"
+        f" + CAST(substring({tail}, 7, 2) AS BIGINT)"
+    )
+    plain = f"{shape(text)} = '00:00:00'"
+    in_days = (
+        f"{shape(tail)} = '00:00:00' AND length({text}) = length({head}) + 14"
+        f" AND ltrim('0', {shape(head)}) = ''"
+    )
+    return (
+        f"CASE WHEN {plain} THEN ({clock}) * {MICROS}"
+        f" WHEN {in_days} THEN (try_cast({head} AS BIGINT) * 86400 + {clock}) * {MICROS}"
+        f" WHEN {text} RLIKE {_CLOCK} AND {text} RLIKE '[0-9]' THEN {_by_pattern(text)} END"
+    )
+
+
+def _by_pattern(text: str) -> str:
+    """The pattern's groups, matched once and bound to a name.
+
+    The lambda also keeps this rare branch out of the generated code, which must
+    stay small enough for the JVM to compile.
+    """
 
     def number(group: int) -> str:
-        return f"coalesce(try_cast({part(group)} AS BIGINT), 0)"
+        return f"coalesce(try_cast(p[{group}] AS BIGINT), 0L)"
 
-    micros = f"CAST(substring(rpad({part(6)}, 6, '0'), 1, 6) AS BIGINT)"
-    clock = f"(({number(3)} * 3600 + {number(4)} * 60 + {number(5)}) * {MICROS} + {micros})"
-    sign = f"IF({part(2)} = '-', -1, 1)"
-    return (
-        f"CASE WHEN {text} RLIKE {_CLOCK} AND {text} RLIKE '[0-9]'"
-        f" THEN {number(1)} * {86_400 * MICROS} + {sign} * {clock} END"
-    )
+    groups = f"split(regexp_replace({text}, {_CLOCK}, '$1|$2|$3|$4|$5|$6'), '[|]', -1)"
+    micros = "CAST(substring(rpad(p[5], 6, '0'), 1, 6) AS BIGINT)"
+    clock = f"(({number(2)} * 3600 + {number(3)} * 60 + {number(4)}) * {MICROS} + {micros})"
+    micros_of = f"{number(0)} * {86_400 * MICROS} + IF(p[1] = '-', -1, 1) * {clock}"
+    return f"transform(array({groups}), p -> {micros_of})[0]"
 
 
 def hms(seconds: str) -> str:

@@ -13,6 +13,11 @@ def strip(column: str) -> str:
     return f"trim(BOTH '{BLANKS}' FROM {column})"
 
 
+def shape(column: str) -> str:
+    """The text with every digit written as 0, to compare with a known form."""
+    return f"translate({column}, '123456789', '000000000')"
+
+
 def protocol_text(column: str) -> str:
     """Protocol number as text without thousands commas or a trailing ``.0``."""
     return f"regexp_replace(replace(CAST({column} AS STRING), ',', ''), '[.]0$', '')"

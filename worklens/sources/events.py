@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+EVENTS = (
+    "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE,"
+    " props STRING"
+)
 
 # The words of the derived log, by the number that picks them.
 STATUSES = ["Cancelled", "Open", *["Finished"] * 18]
@@ -24,6 +29,11 @@ CAUSES = [None, *[f"CAUSE {i}" for i in range(1, 7)]]
 PORTFOLIOS = [None, "FAST", *[f"PORTFOLIO {i}" for i in range(2, 5)]]
 
 
+def scan_events(spark: SparkSession, path: str) -> DataFrame:
+    """The events table by its declared schema, so no file is opened to find it."""
+    return spark.read.schema(EVENTS).parquet(path)
+
+
 def _pick(words: list[str | None], number: str) -> str:
     """The word at ``number`` modulo their count: one lookup, however many words."""
     listed = ", ".join("NULL" if w is None else f"'{w}'" for w in words)
