@@ -1,7 +1,7 @@
 """Times every registered query; prints one JSON line.
 
 BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8),
-BENCH_RUNS (default 3) timed runs per query after one warm-up; the median counts.
+BENCH_RUNS (default 2) timed runs per query after one warm-up; the median counts.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from worklens.session import local_session  # noqa: E402
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    runs = int(os.environ.get("BENCH_RUNS", "3"))
+    runs = int(os.environ.get("BENCH_RUNS", "2"))
     only = set(sys.argv[1:])
     spark = local_session(cpus, "worklens-bench")
     spark.sparkContext.setLogLevel("ERROR")

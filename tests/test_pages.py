@@ -6,7 +6,7 @@ from conftest import rows
 from checks.queries import clean_log
 from worklens.operators import idle, individual, overview, rankings
 from worklens.operators.filters import filter_last_days, filter_period, is_rostered
-from worklens.plans.cube import activity_cube
+from worklens.plans.cube import activity_cube, add_to_cube, scan_cube
 from worklens.plans.pages import individual_page, overview_page
 
 FIRST, LAST = dt.date(2024, 1, 5), dt.date(2024, 3, 20)
@@ -49,6 +49,22 @@ def test_overview_page(log):
     page.unpersist()
 
 
+def test_stored_cube_adds_up_over_batches(spark, log, tmp_path):
+    path = str(tmp_path / "cube")
+    assert scan_cube(spark, path).count() == 0
+    halves = [log.filter("seq % 3 = 0"), log.filter("seq % 3 <> 0")]
+    for batch_no, batch in enumerate(halves):
+        for _ in range(2):  # the second write replaces the first
+            add_to_cube(batch, batch_no, path)
+    cube = scan_cube(spark, path)
+    for operator in (overview.overview_kpis, rankings.all_rankings, individual.analyst_metrics,
+                     individual.analyst_queue_tmo, overview.monthly_tmo_by_outcome):
+        assert rows(operator(cube)) == rows(operator(log))
+    page = overview_page(log, FIRST, LAST, stored_cube=cube)
+    span = filter_period(log, FIRST, LAST)
+    assert rows(page["kpis"]) == rows(overview.overview_kpis(span))
+
+
 def test_individual_page(log):
     page = individual_page(log, FIRST, LAST)
     span = filter_period(log, FIRST, LAST)

@@ -5,11 +5,16 @@ log is read twenty times. The cube holds the additive measures per day,
 analyst, queue, outcome, status and doubt flag, and the operators accept it in
 place of the log. Its grouping combines before the shuffle, so an analyst or
 queue that holds a third of all tasks sends at most one row per map task and key.
+
+Measures only add up, so a cube need not be recomputed either: each batch adds
+its own cube beside the earlier ones, and operators sum over all of them.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from worklens.functions.calendar import day_of
 from worklens.functions.measures import MEASURES, with_measures
@@ -17,9 +22,45 @@ from worklens.functions.sql import exprs
 
 KEYS = ("day", "analyst", "queue", "outcome", "status", "over_doubt_limit")
 
+CUBE = T.StructType(
+    [
+        T.StructField("analyst", T.StringType()),
+        T.StructField("queue", T.StringType()),
+        T.StructField("outcome", T.StringType()),
+        T.StructField("status", T.StringType()),
+        T.StructField("over_doubt_limit", T.BooleanType()),
+        *[T.StructField(m, T.LongType()) for m in MEASURES],
+        T.StructField("batch", T.IntegerType()),
+        T.StructField("day", T.DateType()),
+    ]
+)
+
 
 def activity_cube(log: DataFrame) -> DataFrame:
     keyed = with_measures(log)
     if "day" not in keyed.columns:
         keyed = keyed.selectExpr("*", f"{day_of(log)} AS day")
     return keyed.groupBy(*KEYS).agg(*exprs({m: f"sum({m})" for m in MEASURES}))
+
+
+def add_to_cube(batch: DataFrame, batch_no: int, path: str) -> None:
+    """Store the cube of one clean batch; a repeated write replaces its earlier files."""
+    (
+        activity_cube(batch)
+        .selectExpr("*", f"{batch_no} AS batch")
+        .hint("rebalance", "day")
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("batch", "day")
+        .parquet(path)
+    )
+
+
+def scan_cube(spark: SparkSession, path: str) -> DataFrame:
+    """The stored cubes of all batches, or an empty one; ``day`` prunes files."""
+    try:
+        return spark.read.schema(CUBE).parquet(path)
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], CUBE)

@@ -1,8 +1,9 @@
 """The pages: named tables over one period, sharing scans.
 
-Nothing runs until a table is used. The cube behind a page is persisted, so the
-first table to run fills it and the others read it; call ``unpersist`` on the
-page when done. A lost executor costs the recomputation of its blocks only.
+Nothing runs until a table is used. Given a stored cube, the page reads that;
+else it persists one of its own, which the first table to run fills and the
+others read, until ``unpersist`` is called on the page. A lost executor costs
+the recomputation of its blocks only.
 """
 
 from __future__ import annotations
@@ -46,16 +47,27 @@ class Page(Mapping[str, DataFrame]):
             table.unpersist()
 
 
+def _page_cube(
+    log: DataFrame, stored: DataFrame | None, first: dt.date, last: dt.date
+) -> tuple[DataFrame, list[DataFrame]]:
+    """The cube of the period, and what is to be unpersisted later."""
+    if stored is not None:
+        return filter_period(stored, first, last), []
+    cube = activity_cube(log).persist(StorageLevel.MEMORY_AND_DISK)
+    return cube, [cube]
+
+
 def overview_page(
     log: DataFrame,
     first: dt.date,
     last: dt.date,
     excluded: Iterable[str] = (),
+    stored_cube: DataFrame | None = None,
     vocabulary: Vocabulary = DEFAULT,
 ) -> Page:
     """Every table of the team view for one period."""
     log = filter_period(log, first, last)
-    cube = activity_cube(log).persist(StorageLevel.MEMORY_AND_DISK)
+    cube, shared = _page_cube(log, stored_cube, first, last)
     roster = is_rostered(excluded, vocabulary)
     productivity = overview.daily_productivity(cube)
     handled = overview.daily_registered_updated(cube, vocabulary)
@@ -82,15 +94,19 @@ def overview_page(
         "rank_overall": rankings.rank_overall(cube, roster, vocabulary),
         "rankings": rankings.all_rankings(cube, roster, vocabulary),
     }
-    return Page(tables, [cube])
+    return Page(tables, shared)
 
 
 def individual_page(
-    log: DataFrame, first: dt.date, last: dt.date, vocabulary: Vocabulary = DEFAULT
+    log: DataFrame,
+    first: dt.date,
+    last: dt.date,
+    stored_cube: DataFrame | None = None,
+    vocabulary: Vocabulary = DEFAULT,
 ) -> Page:
     """Every table of the individual view, for all analysts; filter by ``analyst`` to see one."""
     log = filter_period(log, first, last)
-    cube = activity_cube(log).persist(StorageLevel.MEMORY_AND_DISK)
+    cube, shared = _page_cube(log, stored_cube, first, last)
     monthly = individual.analyst_monthly_tmo(cube, vocabulary)
     daily = overview.daily_tmo(cube, ("analyst",), vocabulary)
     idle_daily = idle.idle_time_daily(log)
@@ -112,4 +128,4 @@ def individual_page(
         "queue_counts": individual.queue_counts(cube),
         "cause_counts": individual.cause_counts(log, vocabulary),
     }
-    return Page(tables, [cube])
+    return Page(tables, shared)

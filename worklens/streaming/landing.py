@@ -28,6 +28,7 @@ def ingest_landed(
     checkpoint: str,
     headers: Mapping[str, str] | None = None,
     first_batch: int = 0,
+    files_per_batch: int = 1000,
     vocabulary: Vocabulary = DEFAULT,
 ) -> None:
     """Take every CSV export now in ``landing`` that has not been taken before.
@@ -36,7 +37,12 @@ def ingest_landed(
     ``first_batch``, which must lie above the numbers written in other ways.
     """
     header = spark.read.option("header", True).csv(landing).schema
-    uploads = spark.readStream.schema(header).option("header", True).csv(landing)
+    uploads = (
+        spark.readStream.schema(header)
+        .option("header", True)
+        .option("maxFilesPerTrigger", files_per_batch)
+        .csv(landing)
+    )
 
     def add(batch: DataFrame, epoch: int) -> None:
         number = first_batch + epoch
