@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from worklens.config import (
@@ -49,8 +50,9 @@ def assign_seq(batch: DataFrame, batch_no: int) -> DataFrame:
 def drop_listed_columns(df: DataFrame, vocabulary: Vocabulary = DEFAULT) -> DataFrame:
     """Drop the unwanted columns, whatever the case and outer blanks of their names."""
     listed = set(vocabulary.dropped_columns)
-    keep = [f"`{c}`" for c in df.columns if c.upper().strip() not in listed]
-    return df.select(*keep)
+    dropped = [c for c in df.columns if c.upper().strip() in listed]
+    # drop() takes plain names: a dot in one of them is part of the name
+    return df.drop(*dropped) if dropped else df
 
 
 def rename_headers(df: DataFrame, headers: Mapping[str, str]) -> DataFrame:
@@ -120,10 +122,7 @@ def clamp_durations(log: DataFrame, vocabulary: Vocabulary = DEFAULT) -> DataFra
     """Bring the durations within their limits, once per batch: not idempotent."""
     if not {"duration_us", "outcome"} <= set(log.columns):
         return log
-    clamped = f"{clamped_duration(vocabulary)} AS duration_us"
-    return log.selectExpr(
-        *[clamped if c == "duration_us" else f"`{c}`" for c in log.columns]
-    )
+    return log.withColumn("duration_us", F.expr(clamped_duration(vocabulary)))
 
 
 def duration_adjustments(log: DataFrame, vocabulary: Vocabulary = DEFAULT) -> DataFrame:
