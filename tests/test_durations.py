@@ -26,7 +26,8 @@ def expected(text):
 
 TEXTS = [
     "00:12:30", "1 days 02:03:04", "-2 days 02:03:04", "12 days 00:00:00", "x days 00:00:01",
-    "99:00:00", "0 days 00:12:30.5", "12:30", "2 days", "1 day, 0:00:05",
+    "99:00:00",
+    "0 days 00:12:30.5", "12:30", "2 days", "1 day, 0:00:05",
     "-1 days +23:00:00", "abc", "", "1:2:3", "00:99:99", " 00:01:00 ", "26:00:00",
     "1 days 26:00:00", "-00:01:00", "+00:01:00", "00:00:01.123456", "not a time",
 ]

@@ -3,6 +3,7 @@ from types import SimpleNamespace
 
 import pytest
 from conftest import MINUTE, rows
+from pyspark.sql import types as T
 
 from worklens.operators.cleaning import standardise_task_log
 from worklens.schema import PORTUGUESE_HEADERS
@@ -55,6 +56,25 @@ def test_upload_write_and_repeat(spark, tmp_path):
     assert message == writers.NO_ADJUSTMENT
 
 
+def test_a_batch_without_rows(spark, tmp_path, make_log):
+    log, adjustments = str(tmp_path / "log"), str(tmp_path / "adjustments")
+    empty = make_log({"analyst": None})
+    assert writers.write_task_log(empty, 0, log, adjustments) is False
+    assert writers.write_task_log(make_log(), 1, log, adjustments) is False
+    assert spark.read.text(f"{adjustments}/batch=0").count() == 1
+    assert writers.write_task_log(make_log({}), 2, log, adjustments) is False
+    assert readers.scan_task_log(spark, log).count() == 1
+
+
+def test_columns_we_do_not_know_are_kept(spark, tmp_path, make_log):
+    path = str(tmp_path / "log")
+    for batch_no, batch in enumerate((make_log({}), make_log({}).selectExpr("*", "'hi' AS `a b`"))):
+        writers.write_task_log(batch, batch_no, path, str(tmp_path / "adjustments"))
+    assert "a b" not in readers.scan_task_log(spark, path).columns
+    extra = T.StructType([T.StructField("a b", T.StringType())])
+    assert rows(readers.scan_task_log(spark, path, extra), "batch", "a b") == [(0, None), (1, "hi")]
+
+
 def test_day_partitions_are_pruned(spark, tmp_path, make_log):
     log = make_log({}, {"completed_at": dt.datetime(2024, 2, 1)})
     writers.write_task_log(log, 0, str(tmp_path / "log"), str(tmp_path / "adj"))

@@ -67,10 +67,11 @@ def ranking_rules(vocabulary: Vocabulary = DEFAULT) -> Mapping[str, str]:
     audited = equals("outcome", vocabulary.audited)
     distributed = equals("outcome", vocabulary.distributed)
     other = not_among("queue", vocabulary.registration_excluded_queues)
+    early = among("queue", vocabulary.pre_registration_queues)
     return {
         "updates": updated,
         "registration": f"{registered} AND {other}",
-        "pre_registration": f"{registered} AND {among('queue', vocabulary.pre_registration_queues)}",
+        "pre_registration": f"{registered} AND {early}",
         "official_letters": f"{registered} AND {equals('queue', vocabulary.official_letter_queue)}",
         "agencies": f"{registered} AND {equals('queue', vocabulary.agency_queue)}",
         "audit": f"{audited} AND {equals('queue', vocabulary.audit_queue)}",

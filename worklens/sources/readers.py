@@ -28,18 +28,22 @@ STORED_LOG = T.StructType(
 )
 
 
-def scan_task_log(spark: SparkSession, path: str) -> DataFrame:
+def scan_task_log(
+    spark: SparkSession, path: str, extra: T.StructType | None = None
+) -> DataFrame:
     """The stored log, or an empty one if nothing has been stored yet.
 
     The schema is declared, so nothing is inferred and only the columns an
     operator uses are read; ``completed_date`` and ``batch`` prune files.
+    ``extra`` names further columns the uploads had; files without them give null.
     """
+    schema = T.StructType([*(extra.fields if extra else []), *STORED_LOG.fields])
     try:
-        log = spark.read.schema(STORED_LOG).parquet(path)
+        log = spark.read.schema(schema).parquet(path)
     except AnalysisException as problem:
         if problem.getCondition() != "PATH_NOT_FOUND":
             raise
-        log = spark.createDataFrame([], STORED_LOG)
+        log = spark.createDataFrame([], schema)
     return log.withColumn("justification", F.coalesce("justification", F.lit("")))
 
 

@@ -4,20 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from worklens.config import DEFAULT, Vocabulary
 from worklens.functions.calendar import day_of
 from worklens.operators.cleaning import (
-    clean_batch,
-    clamped_duration,
+    clamp_durations,
     drop_listed_columns,
     duration_adjustments,
     exclude_robot_and_unassigned,
     export_columns,
 )
-from worklens.sources.readers import STORED_LOG
 
 NO_ADJUSTMENT = "No duration adjustment was needed."
 
@@ -33,40 +31,35 @@ def write_task_log(
 
     Only the batch is written, never the stored log. Its files live under its
     own ``batch=`` folder and replace whatever an earlier attempt left there,
-    so a repeated write of a batch does not add its rows twice.
+    so a repeated write of a batch does not add its rows twice. Columns beyond
+    the declared ones are stored too.
     """
     kept = exclude_robot_and_unassigned(drop_listed_columns(batch, vocabulary), vocabulary)
-    changed = Observation()
-    counted = kept.observe(
-        changed,
-        F.expr(f"count_if({clamped_duration(vocabulary)} <> duration_us) AS adjusted"),
-    )
+    clean = clamp_durations(kept, vocabulary)
     # absent only when the batch was not standardised
-    if "justification" not in counted.columns:
-        counted = counted.withColumn("justification", F.lit(""))
-    clean = clean_batch(counted, vocabulary)
-    keys = {"completed_date": F.expr(day_of(clean)), "batch": F.lit(batch_no)}
-    stored = clean.withColumns(keys)
-    names = [f.name for f in STORED_LOG if f.name in stored.columns]
+    if "justification" not in clean.columns:
+        clean = clean.withColumn("justification", F.lit(""))
+    derived = ("completed_date", "completed_month", "batch")
+    columns = [f"`{c}`" for c in clean.columns if c not in derived]
+    stored = clean.selectExpr(
+        *columns, f"{day_of(clean)} AS completed_date", f"{int(batch_no)} AS batch"
+    )
     (
-        stored.select(*names)
         # a day of any size is split into files of the advisory size
-        .hint("rebalance", "completed_date")
+        stored.hint("rebalance", "completed_date")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("batch", "completed_date")
         .parquet(log_path)
     )
-    # a stage run again may count a row twice, so only zero or not is used
-    adjusted = changed.get["adjusted"] > 0
     target = f"{adjustments_path}/batch={batch_no}"
-    if adjusted:
-        duration_adjustments(kept, vocabulary).write.mode("overwrite").csv(target, header=True)
-    else:
-        batch.sparkSession.createDataFrame([(NO_ADJUSTMENT,)], "message string").write.mode(
-            "overwrite"
-        ).text(target)
-    return adjusted
+    adjustments = duration_adjustments(kept, vocabulary)
+    if adjustments.isEmpty():  # stops at the first one found
+        message = batch.sparkSession.createDataFrame([(NO_ADJUSTMENT,)], "message string")
+        message.write.mode("overwrite").text(target)
+        return False
+    adjustments.write.mode("overwrite").csv(target, header=True)
+    return True
 
 
 def write_columns(df: DataFrame, columns: Iterable[str], path: str) -> None:
