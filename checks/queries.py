@@ -64,7 +64,14 @@ def raw_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = raw_log(spark, sf_dir)
     clock = "format_string('%02d:%02d:%02d', {0}, s % 3600 div 60, s % 60)"
     with_days = f"concat(s div 86400, ' days ', {clock.format('s div 3600 % 24')})"
-    time = "'dd/MM/yyyy HH:mm:ss'"
+
+    def shown(time: str) -> str:
+        t = f"CAST({time} AS STRING)"
+        return (
+            f"concat(substring({t}, 9, 2), '/', substring({t}, 6, 2), '/',"
+            f" substring({t}, 1, 4), substring({t}, 11, 9))"
+        )
+
     return log.selectExpr("*", "duration_us div 1000000 AS s").selectExpr(
         "seq",
         "protocol_id",
@@ -76,9 +83,9 @@ def raw_text(spark: SparkSession, sf_dir: str) -> DataFrame:
         f" WHEN s IS NOT NULL AND seq % 2 = 0 THEN {with_days}"
         f" WHEN s IS NOT NULL THEN {clock.format('s div 3600')} END AS duration",
         "CASE WHEN seq % 40 = 13 THEN '31/02/2024 10:00:00'"
-        f" ELSE date_format(completed_at, {time}) END AS completed_at",
+        f" ELSE {shown('completed_at')} END AS completed_at",
         "CASE WHEN seq % 40 = 14 THEN '2024-01-05 10:00:00'"
-        f" ELSE date_format(started_at, {time}) END AS started_at",
+        f" ELSE {shown('started_at')} END AS started_at",
     )
 
 
@@ -152,8 +159,8 @@ def export_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scan_unavailability(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _scratch(spark, sf_dir, "unavailability")
-    lines = intervals(spark, sf_dir).select(
-        *[F.date_format(c, "yyyy-MM-dd HH:mm").alias(c) for c in ("start_at", "end_at")]
+    lines = intervals(spark, sf_dir).selectExpr(
+        *[f"substring(CAST({c} AS STRING), 1, 16) AS {c}" for c in ("start_at", "end_at")]
     )
     lines.write.mode("overwrite").csv(path)
     return readers.scan_unavailability(spark, path)
