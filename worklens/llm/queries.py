@@ -6,10 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from worklens.llm import exact, mixing, oracle, rules
+from worklens.llm import bpe, exact, mixing, oracle, rules, simhash
 from worklens.llm.tables import table
 
 
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode(
+        table(spark, sf_dir, "documents"), columns=("n_tokens", "ids_sha256", "decoded_sha256")
+    )
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents")).selectExpr(
         "row.doc_id AS doc_id",
@@ -21,6 +27,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_verdicts(table(spark, sf_dir, "documents")).select(
         "doc_id",
@@ -40,7 +50,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """One query per corpus operator."""
-    named = (op3_mixing, op5_quality_rules, op10_exact_dedup)
+    named = (op2_byte_bpe, op3_mixing, op4_simhash, op5_quality_rules, op10_exact_dedup)
     return {f.__name__: f for f in named}
 
 

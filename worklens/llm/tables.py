@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import sys
+import types
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,6 +33,17 @@ def kept(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def own_to_worker(key: tuple, make: Callable):
+    """What a Python worker keeps from one of its tasks to the next, made when first needed.
+    One thing per kind is kept (the kind is the first part of ``key``)."""
+    store = sys.modules.setdefault("_worklens_worker", types.ModuleType("_worklens_worker"))
+    held = getattr(store, key[0], None)
+    if held is None or held[0] != key:
+        held = (key, make())
+        setattr(store, key[0], held)
+    return held[1]
+
+
 def id_crc(id_column: str = "doc_id") -> str:
     """SQL: crc32 of an id as text; a null id counts as empty text."""
     return f"crc32(coalesce(cast({id_column} AS STRING), ''))"
