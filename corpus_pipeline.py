@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from worklens.llm import exact, mixing, rules
+from worklens.llm import bpe, exact, mixing, rules, simhash
 from worklens.llm.tables import kept, table
 
 
@@ -16,14 +16,24 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact.drop_equal_contents(docs)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash.keep_one_of_each(docs)
+
+
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.sample_to_mix(docs)
 
 
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return bpe.encode(docs, columns=("n_tokens", "ids", "ids_sha256", "decoded_sha256"))
+
+
 STAGES = [
     ("quality rules", quality_rules),
     ("exact dedup", exact_dedup),
+    ("near dedup", near_dedup),
     ("mixing sources", mixing_sources),
+    ("encoding", encoding),
 ]
 
 #: The stages that SQL can't express are tested against brute force.
