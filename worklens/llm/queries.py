@@ -6,10 +6,27 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from worklens.llm import bpe, exact, mixing, oracle, rules, simhash
+from worklens.llm import (
+    bpe,
+    exact,
+    lm_suffix_tree,
+    mixing,
+    oracle,
+    quality_fm,
+    rules,
+    simhash,
+    token_files,
+    toxicity_mil,
+)
 from worklens.llm.tables import table
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality_fm.train(docs, table(spark, sf_dir, "labels"))
+    return quality_fm.score(docs, model)
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(
         table(spark, sf_dir, "documents"), columns=("n_tokens", "ids_sha256", "decoded_sha256")
@@ -44,13 +61,37 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_suffix_tree.suffix_tree_scores(table(spark, sf_dir, "documents"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity_mil.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity_mil.score(docs, model)
+
+
+def op8_id_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.written_and_read(table(spark, sf_dir, "documents"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.content_groups(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """One query per corpus operator."""
-    named = (op2_byte_bpe, op3_mixing, op4_simhash, op5_quality_rules, op10_exact_dedup)
+    named = (
+        op1_quality_classifier,
+        op2_byte_bpe,
+        op3_mixing,
+        op4_simhash,
+        op5_quality_rules,
+        op6_suffix_tree,
+        op7_toxicity,
+        op8_id_planes,
+        op10_exact_dedup,
+    )
     return {f.__name__: f for f in named}
 
 
