@@ -34,7 +34,7 @@ from worklens.llm.pieces import Numbering
 from worklens.llm.tables import id_crc, kept, new_dir
 
 FOLDS, HELD_OUT = 7, 2
-CHUNK_TOKENS = 1 << 21
+CHUNK_TOKENS = 3 << 19
 BUCKET_TOKENS = 1 << 20
 HOT_SHARE = 1024
 REQUEST = "level int, chunk long, bucket int, data binary"
@@ -44,10 +44,13 @@ HIGH_48 = np.uint64(0xFFFFFFFFFFFF0000)
 
 @dataclass(frozen=True)
 class SuffixTree:
-    """``least``: occurrences of a context worth testing. ``gain``: nats per word by which its
-    predictions must beat the shorter context's. ``smooth``: weight of the shorter context."""
+    """``least``: occurrences of a context worth testing, and ``least_share``: its least share of
+    all training words, so that the tree's reach does not depend on the corpus's size.
+    ``gain``: nats per word by which its predictions must beat the shorter context's.
+    ``smooth``: weight of the shorter context."""
 
     least: int = 32
+    least_share: float = 4e-6
     gain: float = 0.02
     smooth: float = 4.0
 
@@ -253,7 +256,8 @@ class Counted:
         and ``word`` (numbers), ``own`` (its count in this chunk's training texts),
         ``total`` (once answered), and ``asked``, the order in which it is asked for.
         """
-        chunk, least = self.chunk, self.settings.least
+        chunk = self.chunk
+        least = max(self.settings.least, self.settings.least_share * self.model["tokens"])
         if number == 2:
             before = np.concatenate(([0], chunk.tokens[:-1]))
             hashes, occurs = chunk.hash, self.count
