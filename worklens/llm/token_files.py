@@ -34,7 +34,10 @@ BLOCK_IDS = 1 << 16
 BLOCK_DOCS = 1 << 16
 END_ID = 0
 ROUND_CHARS = 4 << 20
-KEPT_PIECES = 1 << 19
+#: Distinct pieces whose ids a worker keeps at most.
+KEPT_PIECES = 1_400_000
+#: Pieces given to the library at a time.
+BATCH_PIECES = 1000
 
 
 def to_planes(ids: np.ndarray, planes: str = "byte") -> list[bytes]:
@@ -170,25 +173,21 @@ class PieceTokenizer:
         self.tokenizer = Tokenizer.from_str(vocabulary)
         # The special tokens' own strings in a text are ordinary text.
         self.tokenizer.encode_special_tokens = True
-        self.pieces, self.piece_ids = Numbering(), Ragged(np.uint16)
+        self.pieces, self.piece_ids = Numbering(), Ragged(np.uint32)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of ids per text, and the ids one after another."""
         if len(self.pieces) > KEPT_PIECES:
-            self.pieces, self.piece_ids = Numbering(), Ragged(np.uint16)
+            self.pieces, self.piece_ids = Numbering(), Ragged(np.uint32)
         rows = [self.pieces.of(cut(t)) if t else np.empty(0, np.int64) for t in texts]
         new = self.pieces.take_new()
-        for at in range(0, len(new), 1 << 16):
-            found = [
-                e.ids
-                for e in self.tokenizer.encode_batch_fast(
-                    new[at : at + (1 << 16)], add_special_tokens=False
-                )
-            ]
-            lengths = np.fromiter(map(len, found), np.int64, len(found))
-            self.piece_ids.append(
-                lengths, np.fromiter((i for ids in found for i in ids), np.int64, lengths.sum())
-            )
+        numbers, flat = [np.empty(0, np.int64)], [np.empty(0, np.uint32)]
+        for at in range(0, len(new), BATCH_PIECES):
+            some = new[at : at + BATCH_PIECES]
+            found = self.tokenizer.encode(some, is_pretokenized=True, add_special_tokens=False)
+            numbers.append(np.bincount(np.array(found.word_ids, np.int64), minlength=len(some)))
+            flat.append(np.array(found.ids, self.piece_ids.flat.dtype))
+        self.piece_ids.append(np.concatenate(numbers), np.concatenate(flat))
         counts = np.fromiter(map(len, rows), np.int64, len(rows))
         lengths, flat = self.piece_ids.gather(np.concatenate([*rows, np.empty(0, np.int64)]))
         return sums(lengths, counts), flat
