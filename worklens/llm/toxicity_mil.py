@@ -8,6 +8,7 @@ them offend and can point at them.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from worklens.llm.pieces import Numbering
+from worklens.llm.pieces import Numbering, Ragged
 from worklens.llm.training import Adam, held_out, labelled_sample, sigmoid
 
 _TRIM = b".,;:!?\"'()[]{}*#$%&|<>-_"
@@ -30,7 +31,7 @@ class InstanceSettings:
     documents of at most so many characters. ``least_docs``: documents of the sample
     that a feature must occur in. ``offends``: the probability from which a sentence is named."""
 
-    sample_rows: int = 8000
+    sample_rows: int = 6000
     sample_chars: int = 100_000
     buckets: int = 1 << 21
     least_docs: int = 5
@@ -84,58 +85,69 @@ class Words(Numbering):
 def fit(texts: list[bytes], y: np.ndarray, settings: InstanceSettings) -> dict:
     """Weights of the features and the bias. Without labels of both kinds every sentence
     scores alike: as few labels as there are toxic ones, nothing else is known."""
-    words = Words()
-    rows = [words.of(tokens(t)) for t in texts]
-    distinct = words.learn()
     mean = float(y.mean()) if len(y) else 0.0
-    weight = np.zeros(settings.buckets)
+    full = np.zeros(settings.buckets, np.float32)
     if not 0 < mean < 1:
-        return {"weight": weight.astype(np.float32), "bias": 9.0 if mean else -9.0}
-    lists = [word_features(w, settings.buckets) for w in distinct]
-    word_of = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-    feature = np.fromiter((f for x in lists for f in x), np.int64)
+        return {"weight": full, "bias": 9.0 if mean else -9.0}
+    words = Words()
+    rows = [words.of(tokens(t)).astype(np.int32) for t in texts]
+    features = Ragged()
+    flat, sizes = array("i"), array("i")
+    for word in words.learn():
+        of_word = word_features(word, settings.buckets)
+        flat.extend(of_word)
+        sizes.append(len(of_word))
+    features.append(np.array(sizes, np.int64), np.array(flat, np.int32))
+    ends = words.ends
+    del words, flat
     # Toxic and other documents of each feature.
-    seen = np.zeros((2, settings.buckets))
-    starts = np.concatenate(([0], np.cumsum([len(x) for x in lists])))
-    sentences, sentence_doc, flat = [], [], []
+    seen = np.zeros((2, settings.buckets), np.float32)
+    for toxic, row in zip(y > 0.5, rows):
+        seen[0 if toxic else 1, np.unique(features.gather(np.unique(row))[1])] += 1
+    usual = np.flatnonzero(seen.sum(axis=0) >= settings.least_docs)
+    seen = seen[:, usual]
+    # Only words with such a feature matter; these and the features get numbers of their own.
+    number = np.full(settings.buckets, -1, np.int32)
+    number[usual] = np.arange(len(usual), dtype=np.int32)
+    feature = number[features.flat]
+    word_of = np.repeat(np.arange(len(features.lengths)), features.lengths)[feature >= 0]
+    feature = feature[feature >= 0]
+    matters = np.unique(word_of)
+    word_of = np.searchsorted(matters, word_of)
+    renamed = np.full(len(features.lengths), -1, np.int32)
+    renamed[matters] = np.arange(len(matters), dtype=np.int32)
+    sentences, sentence_doc, in_sentence = [], [], []
     total = 0
     for d, row in enumerate(rows):
-        present = np.unique(row)
-        if len(present):
-            at = np.concatenate([np.arange(starts[w], starts[w + 1]) for w in present])
-            seen[int(y[d] <= 0.5), np.unique(feature[at])] += 1
-        number, row, n = instances(row, words.ends)
-        sentences.append(number + total)
-        sentence_doc.append(np.full(n, d))
-        flat.append(row)
+        sentence, word, n = instances(row, ends)
+        word = renamed[word]
+        sentences.append((sentence[word >= 0] + total).astype(np.int32))
+        in_sentence.append(word[word >= 0])
+        sentence_doc.append(np.full(n, d, np.int32))
         total += n
-    sentence, doc, word = map(np.concatenate, (sentences, sentence_doc, flat))
-    usual = seen.sum(axis=0) >= settings.least_docs
+    sentence, doc, word = map(np.concatenate, (sentences, sentence_doc, in_sentence))
+    del rows, features, sentences, in_sentence
     # The noisy-or stops pulling once a document is explained, so weights begin at the
     # cautious log-odds of their documents rather than at zero.
     share = (seen[0] - np.sqrt(seen[0])).clip(0.1) / y.sum()
     other = (seen[1] + np.sqrt(seen[1]) + 0.5) / (len(y) - y.sum())
-    weight = np.where(usual, np.maximum(np.log(share / other), 0), 0)
-    live = usual[feature]
-    word_of, feature = word_of[live], feature[live]
+    weight = np.maximum(np.log(share / other), 0).astype(np.float64)
     bias, adam = np.array([-6.0]), Adam(settings.rate)
     for adam.step in range(1, settings.epochs + 1):
-        of_word = np.bincount(word_of, weight[feature], len(lists))
-        z = bias[0] + np.bincount(sentence, of_word[word], total)
-        p = sigmoid(z)
+        of_word = np.bincount(word_of, weight[feature], len(matters))
+        p = sigmoid(bias[0] + np.bincount(sentence, of_word[word], total))
         none = np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-9)), len(y))
         # From log(1 - P) = sum of log(1 - p): each sentence's share of the gradient.
         odds = np.exp(none) / np.maximum(-np.expm1(none), 1e-9)
         g = p * np.where(y > 0.5, -odds, 1.0)[doc] / len(y)
-        on_word = np.bincount(word, g[sentence], len(lists))
-        pull = np.bincount(feature, on_word[word_of], settings.buckets)
+        on_word = np.bincount(word, g[sentence], len(matters))
         adam.update("bias", bias, np.array([g.sum()]))
-        adam.update("weight", weight, pull)
+        adam.update("weight", weight, np.bincount(feature, on_word[word_of], len(usual)))
         # Evidence only: a word never excuses the others of its sentence.
         weight -= settings.shrink
-        weight[~usual] = 0
         np.maximum(weight, 0, out=weight)
-    return {"weight": weight.astype(np.float32), "bias": float(bias[0])}
+    full[usual] = weight
+    return {"weight": full, "bias": float(bias[0])}
 
 
 class Scorer:
