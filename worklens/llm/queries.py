@@ -17,6 +17,7 @@ from worklens.llm import (
     simhash,
     token_files,
     toxicity_mil,
+    windows,
 )
 from worklens.llm.tables import table
 
@@ -75,6 +76,10 @@ def op8_id_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.written_and_read(table(spark, sf_dir, "documents"))
 
 
+def op9_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.shared_passages(table(spark, sf_dir, "documents"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.content_groups(table(spark, sf_dir, "documents"))
 
@@ -90,6 +95,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op6_suffix_tree,
         op7_toxicity,
         op8_id_planes,
+        op9_compact_windows,
         op10_exact_dedup,
     )
     return {f.__name__: f for f in named}
