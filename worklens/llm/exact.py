@@ -100,7 +100,7 @@ def _runs(batches: Iterator[pa.RecordBatch], firsts_only: bool) -> Iterator[pa.R
 
 
 def _resolved(runs: DataFrame) -> DataFrame:
-    """Joins the runs that partition borders cut: at most two rows per partition."""
+    """Joins the runs that partition borders cut: fewer than there are partitions."""
     cut = (
         runs.where("edge AND first")
         .groupBy(F.col("sha").alias("cut_sha"))
@@ -108,14 +108,17 @@ def _resolved(runs: DataFrame) -> DataFrame:
             F.min_by("keep_id", "part").alias("whole_keep"),
             F.sum("size").alias("whole_size"),
             F.min("part").alias("whole_part"),
+            F.count("*").alias("pieces"),
         )
+        .where("pieces > 1")
     )
-    joined = runs.join(cut, F.expr("edge AND sha = cut_sha"), "left")
+    # One short row per border at most: a proven bound, and no row need move for it.
+    joined = runs.join(F.broadcast(cut), F.expr("edge AND sha = cut_sha"), "left")
     return joined.selectExpr(
         "*",
-        "if(edge, whole_keep, keep_id) AS final_keep",
-        "if(edge, whole_size, size) AS final_size",
-        "first AND (NOT edge OR part = whole_part) AS final_kept",
+        "if(pieces IS NULL, keep_id, whole_keep) AS final_keep",
+        "coalesce(whole_size, size) AS final_size",
+        "first AND (pieces IS NULL OR part = whole_part) AS final_kept",
     )
 
 
