@@ -288,8 +288,12 @@ class Counted:
             shorter = self.after(2)[where[first]]
             pair = lower["at"][where[first]]
             least_shorter = np.where(pair >= 0, lower["total"][pair], 2)
-        # What occurs once at most without its first word is known here already.
+        # What occurs once at most without its first word is known here already; of every
+        # context something is asked, to hear whether it is retained.
         ask = least_shorter >= 2
+        asks = np.bincount(context, ask, len(occurs)) > 0
+        silent = np.flatnonzero(~asks[context])
+        ask[silent[np.unique(context[silent], return_index=True)[1]]] = True
         made = {
             "at": at, "context": context, "word": word, "own": own, "shorter": shorter,
             "hash": mixed_hash(hashes[context], chunk.hash[word]), "total": own.copy(),
