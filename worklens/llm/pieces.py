@@ -65,6 +65,15 @@ class Ragged:
         self.lengths = np.concatenate((self.lengths, lengths))
         self.starts = np.concatenate((self.starts, starts))
 
+    def put(self, rows: np.ndarray, lengths: np.ndarray, flat: np.ndarray) -> None:
+        """Sets rows by number; numbers left out on the way are empty until set."""
+        more = max(int(rows.max(initial=-1)) + 1 - len(self.lengths), 0)
+        self.lengths = np.concatenate((self.lengths, np.zeros(more, np.int64)))
+        self.starts = np.concatenate((self.starts, np.zeros(more, np.int64)))
+        self.lengths[rows] = lengths
+        self.starts[rows] = len(self.flat) + np.cumsum(lengths) - lengths
+        self.flat = np.concatenate((self.flat, flat.astype(self.flat.dtype)))
+
     def gather(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The lengths of the rows asked for, and their numbers one after another."""
         lengths = self.lengths[rows]

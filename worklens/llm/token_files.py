@@ -35,7 +35,9 @@ BLOCK_DOCS = 1 << 16
 END_ID = 0
 ROUND_CHARS = 4 << 20
 #: Distinct pieces whose ids a worker keeps at most.
-KEPT_PIECES = 1_400_000
+KEPT_PIECES = 2_000_000
+#: Marks that end a piece; fixed values.
+MARKS = ".,!?;:"
 #: Pieces given to the library at a time.
 BATCH_PIECES = 1000
 
@@ -175,19 +177,34 @@ class PieceTokenizer:
         self.tokenizer.encode_special_tokens = True
         self.pieces, self.piece_ids = Numbering(), Ragged(np.uint32)
 
+    def _learn(self) -> None:
+        """Encodes the pieces that are new. A mark after a letter at a piece's end is a match
+        of its own, so such a piece is its stem's ids and the mark's."""
+        marked = [
+            p for p in self.pieces.new if len(p) > 1 and p[-1] in MARKS and p[-2].isalpha()
+        ]
+        stems = self.pieces.of(p[:-1] for p in marked)
+        marks = self.pieces.of(p[-1] for p in marked)
+        composed = set(marked)
+        plain = [p for p in self.pieces.take_new() if p not in composed]
+        numbers, flat = [np.empty(0, np.int64)], [np.empty(0, np.uint32)]
+        for at in range(0, len(plain), BATCH_PIECES):
+            some = plain[at : at + BATCH_PIECES]
+            found = self.tokenizer.encode(some, is_pretokenized=True, add_special_tokens=False)
+            numbers.append(np.bincount(np.array(found.word_ids, np.int64), minlength=len(some)))
+            flat.append(np.array(found.ids, np.uint32))
+        self.piece_ids.put(self.pieces.of(plain), np.concatenate(numbers), np.concatenate(flat))
+        if marked:
+            both = np.stack((stems, marks), 1).ravel()
+            lengths, ids = self.piece_ids.gather(both)
+            self.piece_ids.put(self.pieces.of(marked), lengths.reshape(-1, 2).sum(axis=1), ids)
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of ids per text, and the ids one after another."""
         if len(self.pieces) > KEPT_PIECES:
             self.pieces, self.piece_ids = Numbering(), Ragged(np.uint32)
         rows = [self.pieces.of(cut(t)) if t else np.empty(0, np.int64) for t in texts]
-        new = self.pieces.take_new()
-        numbers, flat = [np.empty(0, np.int64)], [np.empty(0, np.uint32)]
-        for at in range(0, len(new), BATCH_PIECES):
-            some = new[at : at + BATCH_PIECES]
-            found = self.tokenizer.encode(some, is_pretokenized=True, add_special_tokens=False)
-            numbers.append(np.bincount(np.array(found.word_ids, np.int64), minlength=len(some)))
-            flat.append(np.array(found.ids, self.piece_ids.flat.dtype))
-        self.piece_ids.append(np.concatenate(numbers), np.concatenate(flat))
+        self._learn()
         counts = np.fromiter(map(len, rows), np.int64, len(rows))
         lengths, flat = self.piece_ids.gather(np.concatenate([*rows, np.empty(0, np.int64)]))
         return sums(lengths, counts), flat
@@ -195,7 +212,7 @@ class PieceTokenizer:
 
 def with_ends(lengths: np.ndarray, ids: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """The same with the end id after each document."""
-    return lengths + 1, np.insert(ids.astype(np.int64), np.cumsum(lengths), end_id)
+    return lengths + 1, np.insert(ids, np.cumsum(lengths), end_id)
 
 
 def write_token_files(
