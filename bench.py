@@ -10,6 +10,7 @@ import json
 import os
 import statistics
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -23,7 +24,7 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     runs = int(os.environ.get("BENCH_RUNS", "2"))
     only = set(sys.argv[1:])
-    spark = local_session(cpus, "worklens-bench")
+    spark = local_session(cpus, "worklens-bench", shared=tempfile.mkdtemp(prefix="worklens-bench-"))
     spark.sparkContext.setLogLevel("ERROR")
 
     def run(query) -> float:

@@ -57,6 +57,13 @@ CLAMP = """
          WHEN outcome = 'UPDATED' AND duration_us > 900000000 THEN 900000000
          ELSE duration_us END"""
 
+#: The log as an upload shows it: unreadable durations and times are null.
+SHOWN = """
+  SELECT seq, CAST(protocol_id AS STRING) AS protocol_id, analyst, status, outcome, queue,
+         CASE WHEN seq % 30 <> 11 THEN duration_us END AS duration_us,
+         CASE WHEN seq % 40 <> 13 THEN date_trunc('second', completed_at) END AS completed_at
+  FROM log"""
+
 PERSON = "analyst IS NOT NULL AND lower(analyst) <> 'robot_hub'"
 
 CLEAN = f"""{TASK_LOG}, clean AS (
@@ -68,7 +75,7 @@ CLEAN = f"""{TASK_LOG}, clean AS (
 INTERVALS = """
 iv AS (
   SELECT ts AS start_at, ts + INTERVAL '1' SECOND * CAST(round(value * 60) AS INT) AS end_at
-  FROM events WHERE event_type = 'error' AND event_id % 10 = 0
+  FROM events WHERE event_type = 'error'
 ), clip AS (
   SELECT CAST(start_at AS DATE) AS d,
          greatest(start_at, CAST(CAST(start_at AS DATE) AS TIMESTAMP) + INTERVAL 8 HOUR) AS s,
@@ -395,6 +402,44 @@ def oracle_sql() -> dict[str, str]:
             " CASE WHEN status = 'Finished' THEN 0 ELSE 1 END AS batch"
             f" FROM log WHERE {PERSON}"
         ),
+        "ingest_many_files": raw(
+            "SELECT protocol_id, arg_min(analyst, (upload, seq)) AS first_analyst,"
+            " arg_min_null(completed_at, (upload, seq)) AS first_completed_at,"
+            " count(*) AS tasks FROM (SELECT *, CASE WHEN seq % 10 = 9 THEN 0"
+            f" WHEN seq % 10 < 6 THEN 1 ELSE 2 END AS upload FROM ({SHOWN}) WHERE {PERSON})"
+            " WHERE protocol_id IS NOT NULL GROUP BY protocol_id"
+        ),
+        "ingest_mixed_headers": raw(
+            "SELECT * EXCLUDE keep FROM ("
+            "SELECT row_number() OVER (ORDER BY upload, event) - 1 AS seq, protocol_id, analyst,"
+            f" outcome, queue, {CLAMP} AS duration_us, CAST(completed_at AS DATE) AS"
+            " completed_date, x_day, x_n, keep FROM (SELECT seq AS event, protocol_id, analyst,"
+            " outcome, CASE WHEN seq % 10 < 7 THEN queue END AS queue,"
+            " CASE WHEN seq % 10 BETWEEN 3 AND 6 THEN NULL ELSE duration_us END AS duration_us,"
+            " CASE WHEN seq % 10 BETWEEN 3 AND 6 THEN NULL ELSE completed_at END AS completed_at,"
+            " CASE WHEN seq % 10 > 6 THEN concat('d', seq % 10) END AS x_day,"
+            " CASE WHEN seq % 10 > 6 THEN CAST(seq % 10 AS STRING) END AS x_n,"
+            " CASE WHEN seq % 10 < 3 THEN 0 WHEN seq % 10 < 7 THEN 1 ELSE 2 END AS upload,"
+            f" coalesce({PERSON}, false) AS keep FROM ({SHOWN}))) WHERE keep"
+        ),
+        "ingest_quoted_text": raw(
+            "SELECT seq, CAST(protocol_id AS STRING) AS protocol_id, analyst,"
+            " concat('said \"', status, '\"; then', chr(10), 'left, at ', seq % 10)"
+            f" AS justification FROM log WHERE {PERSON}"
+        ),
+        "rewrite_batch": raw(
+            "SELECT kept_in, CAST(completed_at AS DATE) AS day, count(*) AS tasks"
+            " FROM log, (VALUES ('log'), ('cube')) AS k(kept_in)"
+            f" WHERE {PERSON} AND day(completed_at) <= 10 GROUP BY ALL"
+        ),
+        "scan_legacy_log": raw(
+            "SELECT seq, duration_us, date_trunc('second', completed_at) AS completed_at,"
+            " date_trunc('second', started_at) AS started_at FROM log"
+        ),
+        "period_from_stored_log": clean(
+            "SELECT d AS day, count(outcome) AS productivity FROM clean"
+            f" WHERE {PERIOD} GROUP BY d"
+        ),
         "export_columns": raw(
             "SELECT CAST(seq AS STRING) AS seq, analyst, deviations FROM log"
         ),
@@ -719,8 +764,9 @@ def oracle_sql() -> dict[str, str]:
             CARD_RANKING,
         ),
         "data_question_aggregates": clean(
-            f"SELECT analyst, grouping(analyst) = 1 AS is_overall, {mean()} AS tmo_s,"
-            f" {hms(mean())} AS tmo, count(*) AS tasks FROM clean GROUP BY ROLLUP (analyst)"
+            f"SELECT name AS analyst, grouping(name) = 1 AS is_overall, {mean()} AS tmo_s,"
+            f" {hms(mean())} AS tmo, count(*) AS tasks"
+            " FROM (SELECT *, lower(analyst) AS name FROM clean) GROUP BY ROLLUP (name)"
         ),
         "unavailability_daily": f"WITH {INTERVALS}\nSELECT d AS day, s AS start_at, t AS end_at,"
         " us // 60000000 AS minutes FROM cut",

@@ -13,6 +13,7 @@ from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from worklens.config import (
     DEFAULT,
@@ -21,6 +22,7 @@ from worklens.config import (
     RECENT_DAYS,
     RECENT_PRODUCTIVITY_DAYS,
 )
+from worklens.functions.sql import order_of
 from worklens.operators import (
     cleaning,
     filters,
@@ -39,6 +41,7 @@ from worklens.sources.events import (
     task_log_from_events,
     unavailability_from_events,
 )
+from worklens.sources.uploads import COMMA, CsvDialect
 from worklens.streaming.landing import ingest_landed
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -93,12 +96,19 @@ def intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unavailability_from_events(scan_events(spark, f"{sf_dir}/events.parquet"))
 
 
-def _scratch(spark: SparkSession, sf_dir: str, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{sf_dir.rstrip('/').rsplit('/', 1)[-1]}"
+def _scratch(spark: SparkSession, name: str) -> str:
+    """A folder of its own for each call, so that no lazily read result is overwritten."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4()}"
+
+
+def _halves(log: DataFrame) -> list[DataFrame]:
+    """The finished tasks, and all others, those of unknown status among them."""
+    finished = "coalesce(status = 'Finished', false)"
+    return [log.filter(finished), log.filter(f"NOT {finished}")]
 
 
 def scan_task_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _scratch(spark, sf_dir, "scan")
+    path = _scratch(spark, "scan")
     log = raw_log(spark, sf_dir)
     log.withColumns(
         {
@@ -115,9 +125,8 @@ def scan_task_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 def append_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = raw_log(spark, sf_dir)
     columns = ["seq", "analyst", "queue", "module", "cause"]
-    stored = log.filter("status = 'Finished'").select(*columns).drop("module")
-    batch = log.filter("status <> 'Finished'").select(*columns).drop("cause")
-    return cleaning.append_batch(stored, batch)
+    stored, batch = (half.select(*columns) for half in _halves(log))
+    return cleaning.append_batch(stored.drop("module"), batch.drop("cause"))
 
 
 def standardise_task_log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,10 +149,9 @@ def clamp_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def write_task_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _scratch(spark, sf_dir, "write")
+    path = _scratch(spark, "write")
     log = raw_log(spark, sf_dir).withColumn("protocol_id", F.col("protocol_id").cast("string"))
-    halves = [log.filter("status = 'Finished'"), log.filter("status <> 'Finished'")]
-    for batch_no, batch in enumerate(halves):
+    for batch_no, batch in enumerate(_halves(log)):
         writers.write_task_log(batch, batch_no, f"{path}/log", f"{path}/adjustments")
     return readers.scan_task_log(spark, f"{path}/log").select(
         "seq", "protocol_id", "analyst", "outcome", "duration_us", "completed_at",
@@ -152,13 +160,13 @@ def write_task_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def export_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _scratch(spark, sf_dir, "export")
+    path = _scratch(spark, "export")
     writers.write_columns(raw_log(spark, sf_dir), ["seq", "analyst", "deviations"], path)
     return spark.read.csv(path, header=True, schema="seq string, analyst string, deviations string")
 
 
 def scan_unavailability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _scratch(spark, sf_dir, "unavailability")
+    path = _scratch(spark, "unavailability")
     lines = intervals(spark, sf_dir).selectExpr(
         *[f"substring(CAST({c} AS STRING), 1, 16) AS {c}" for c in ("start_at", "end_at")]
     )
@@ -168,16 +176,16 @@ def scan_unavailability(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stored_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The overview from cubes stored batch by batch."""
-    path = _scratch(spark, sf_dir, "cube")
+    path = _scratch(spark, "cube")
     log = clean_log(spark, sf_dir)
-    cube.add_to_cube(log.filter("status = 'Finished'"), 0, path)
-    cube.add_to_cube(log.filter("status <> 'Finished'"), 1, path)
+    for batch_no, batch in enumerate(_halves(log)):
+        cube.add_to_cube(batch, batch_no, path)
     return overview.overview_kpis(cube.scan_cube(spark, path))
 
 
 def ingest_landing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Uploads as files landing in a folder, cleaned and appended by a stream."""
-    path = _scratch(spark, sf_dir, f"landing-{uuid.uuid4()}")
+    path = _scratch(spark, "landing")
     raw_text(spark, sf_dir).drop("seq").withColumn("ID NIP", F.lit("x")).write.mode(
         "overwrite"
     ).csv(f"{path}/in", header=True)
@@ -190,6 +198,115 @@ def ingest_landing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _uploaded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return raw_text(spark, sf_dir).withColumn("part", F.col("seq") % 10)
+
+
+def _upload(rows: DataFrame, path: str, dialect: CsvDialect = COMMA) -> None:
+    """One file, in the order of ``seq``; a later call's file has a later time."""
+    options = {k: v for k, v in dialect.options().items() if k != "multiLine"}
+    ordered = rows.orderBy("seq").coalesce(1).drop("seq", "part")
+    ordered.write.options(header=True, **options).csv(path)
+
+
+def _landed(spark: SparkSession, path: str, **options) -> DataFrame:
+    ingest_landed(
+        spark, f"{path}/in/*", f"{path}/log", f"{path}/adjustments", f"{path}/checkpoint", **options
+    )
+    return readers.scan_task_log(spark, f"{path}/log")
+
+
+def ingest_many_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each protocol's first row by upload: a small file first, larger ones that repeat
+    its protocols after it, over two batches."""
+    path, rows = _scratch(spark, "many"), _uploaded(spark, sf_dir)
+    for number, part in enumerate(("part = 9", "part < 6", "part IN (6, 7, 8)")):
+        _upload(rows.filter(part), f"{path}/in/u{number}")
+    log = _landed(spark, path, files_per_batch=2)
+    place = order_of(log.columns)
+    first = log.filter("protocol_id IS NOT NULL").selectExpr("*", f"{place} AS place")
+    return first.groupBy("protocol_id").agg(
+        F.expr("min_by(completed_at, place) AS first_completed_at"),
+        F.expr("min_by(analyst, place) AS first_analyst"),
+        F.count("*").alias("tasks"),
+    )
+
+
+def ingest_mixed_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files with their columns in another order, fewer of them, and new ones."""
+    path, rows = _scratch(spark, "mixed"), _uploaded(spark, sf_dir)
+    _upload(rows.filter("part < 3"), f"{path}/in/u0")
+    turned = rows.select("seq", "part", "queue", "outcome", "analyst", "protocol_id", "status")
+    _upload(turned.filter("part IN (3, 4, 5, 6)"), f"{path}/in/u1")
+    more = rows.selectExpr("*", "concat('d', part) AS day", "part AS n").drop("queue")
+    _upload(more.filter("part > 6"), f"{path}/in/u2")
+    ingest_landed(
+        spark, f"{path}/in/*", f"{path}/log", f"{path}/adjustments", f"{path}/checkpoint"
+    )
+    extra = T.StructType([T.StructField(f"x_{c}", T.StringType()) for c in ("day", "n")])
+    return readers.scan_task_log(spark, f"{path}/log", extra).select(
+        "seq", "protocol_id", "analyst", "outcome", "queue", "duration_us", "completed_date",
+        "x_day", "x_n",
+    )
+
+
+def ingest_quoted_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells with quotes, separators and line breaks, separated by semicolons."""
+    path, dialect = _scratch(spark, "quoted"), CsvDialect(sep=";")
+    rows = _uploaded(spark, sf_dir).selectExpr(
+        "seq", "part", "protocol_id", "analyst",
+        "concat('said \"', status, '\"; then', chr(10), 'left, at ', part) AS justification",
+    )
+    _upload(rows, f"{path}/in/u0", dialect)
+    return _landed(spark, path, dialect=dialect).select(
+        "seq", "protocol_id", "analyst", "justification"
+    )
+
+
+def rewrite_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tasks per day of the log and of the cube, after one batch was written again with
+    fewer days and another with no rows."""
+    path = _scratch(spark, "rewrite")
+    log = raw_log(spark, sf_dir).withColumn("protocol_id", F.col("protocol_id").cast("string"))
+    fewer = log.filter("day(completed_at) <= 10")
+    for batch_no, batch in ((0, log), (1, log), (0, fewer), (1, log.filter("false"))):
+        writers.write_task_log(
+            batch, batch_no, f"{path}/log", f"{path}/adjustments", cube_path=f"{path}/cube"
+        )
+    per_day = {
+        "log": readers.scan_task_log(spark, f"{path}/log").selectExpr(
+            "completed_date AS day", "1L AS n"
+        ),
+        "cube": cube.scan_cube(spark, f"{path}/cube").select("day", "n"),
+    }
+    counted = [
+        rows.groupBy("day").agg(F.sum("n").alias("tasks")).selectExpr(f"'{name}' AS kept_in", "*")
+        for name, rows in per_day.items()
+    ]
+    return counted[0].union(counted[1])
+
+
+def scan_legacy_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log with times and durations in whole nanoseconds."""
+    path = _scratch(spark, "legacy")
+    nanos = "(unix_date(to_date({0})) * 86400L + hour({0}) * 3600 + minute({0}) * 60 + second({0}))"
+    raw_log(spark, sf_dir).selectExpr(
+        "seq", "protocol_id", "analyst", "duration_us * 1000 AS duration",
+        *[f"{nanos.format(c)} * 1000000000 AS {c}" for c in ("completed_at", "started_at")],
+    ).write.parquet(path)
+    return readers.scan_legacy_log(spark, path).select(
+        "seq", "duration_us", "completed_at", "started_at"
+    )
+
+
+def period_from_stored_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page's period read from the stored log: only its days' folders."""
+    path = _scratch(spark, "stored")
+    writers.write_task_log(raw_log(spark, sf_dir), 0, f"{path}/log", f"{path}/adjustments")
+    stored = readers.scan_task_log(spark, f"{path}/log")
+    return overview.daily_productivity(filters.filter_period(stored, FIRST, LAST))
+
+
 def default_roster(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filters.default_roster(raw_log(spark, sf_dir), EXCLUDED)
 
@@ -230,6 +347,12 @@ def queries() -> dict[str, Query]:
         "export_columns": export_columns,
         "scan_unavailability": scan_unavailability,
         "ingest_landing": ingest_landing,
+        "ingest_many_files": ingest_many_files,
+        "ingest_mixed_headers": ingest_mixed_headers,
+        "ingest_quoted_text": ingest_quoted_text,
+        "rewrite_batch": rewrite_batch,
+        "scan_legacy_log": scan_legacy_log,
+        "period_from_stored_log": period_from_stored_log,
         # filters, roster
         "filter_period": raw(
             lambda log: filters.filter_period(log, FIRST, LAST).select("seq", "completed_at")

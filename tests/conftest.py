@@ -1,6 +1,7 @@
 import datetime as dt
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -14,7 +15,7 @@ MINUTE = 60_000_000
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session(8, "worklens-tests", "4g")
+    session = local_session(8, "worklens-tests", "4g", tempfile.mkdtemp(prefix="worklens-tests-"))
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

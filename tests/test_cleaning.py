@@ -73,9 +73,9 @@ def test_standardise(spark):
         [("1", "00:10:00", "05/01/2024 10:00:00"), ("2", "soon", "32/01/2024 10:00:00")],
         "protocol_id string, duration string, completed_at string",
     )
-    got = cleaning.standardise_task_log(raw.withColumn("note", F.lit("kept")))
+    got = cleaning.standardise_task_log(raw.withColumn("x_note", F.lit("kept")))
     assert rows(got, "protocol_id", "duration_us", "completed_at", "completed_date",
-                "completed_month", "queue", "justification", "note") == [
+                "completed_month", "queue", "justification", "x_note") == [
         ("1", 10 * MINUTE, dt.datetime(2024, 1, 5, 10), dt.date(2024, 1, 5), "2024-01", None, "",
          "kept"),
         ("2", None, None, None, None, None, "", "kept"),
@@ -99,24 +99,6 @@ def test_one_batch_or_two_give_the_same(make_log):
     assert rows(whole) == rows(parts)
 
 
-def test_seq_follows_file_order_and_batches(spark, tmp_path):
-    path = tmp_path / "in.csv"
-    path.write_text("n\n" + "\n".join(str(i) for i in range(5000)) + "\n")
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
-    try:
-        raw = spark.read.option("header", True).csv(str(path))
-        first = cleaning.assign_seq(raw, 3)
-        assert first.rdd.getNumPartitions() > 1
-        got = [int(r.n) for r in first.orderBy("seq").collect()]
-        assert got == list(range(5000))
-        later = cleaning.assign_seq(raw, 4)
-        assert later.agg(F.min("seq")).first()[0] > first.agg(F.max("seq")).first()[0]
-    finally:
-        spark.conf.unset("spark.sql.files.maxPartitionBytes")
-    with pytest.raises(ValueError):
-        cleaning.assign_seq(raw, 1 << 18)
-
-
 def test_portuguese_words_carry_the_tenant():
     words = portuguese_vocabulary("ACME", fast_portfolio="X")
     assert "DISTRIBUIÇÃO - ACME + JV" in words.distribution_queues

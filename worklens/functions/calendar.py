@@ -43,17 +43,32 @@ def parse_interval_time(text: str) -> str:
     )
 
 
+def time_of_nanos(value: str) -> str:
+    """Whole nanoseconds since 1970 as a timestamp, cut to microseconds."""
+    micros = f"floor({value} / 1000)"
+    return (
+        f"TIMESTAMP_NTZ '1970-01-01 00:00:00' + make_dt_interval(CAST({micros} div 86400000000 AS INT),"
+        f" 0, 0, CAST({micros} % 86400000000 AS DECIMAL(18, 6)) / 1000000)"
+    )
+
+
 def date(day: dt.date) -> str:
     """A date literal."""
     return f"DATE '{day.isoformat()}'"
 
 
+def is_cube(log: DataFrame) -> bool:
+    """Whether these are rows of an activity cube rather than of a task log."""
+    return {"day", "timed", "dur_s", "dur_us"} <= set(log.columns)
+
+
 def day_of(log: DataFrame) -> str:
-    """Day of completion: the partition column where stored, else the timestamp's date."""
-    for name in ("day", "completed_date"):
-        if name in log.columns:
-            return name
-    return "to_date(completed_at)"
+    """Day of completion: the stored log's partition column or the timestamp's date; in a
+    table derived from a log, which has no times, its ``day``."""
+    if "completed_date" in log.columns:
+        return "completed_date"
+    has_own = "day" in log.columns and "completed_at" not in log.columns
+    return "day" if has_own else "to_date(completed_at)"
 
 
 def month_of(log: DataFrame) -> str:

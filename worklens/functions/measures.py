@@ -21,15 +21,18 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 
 from worklens.config import DOUBT_LIMIT, MICROS
+from worklens.functions.calendar import is_cube
 
 MEASURES = ("n", "timed", "dur_s", "dur_us", "with_outcome", "with_status")
 SUMS = ("n", "timed", "dur_s", "dur_us")
 
 
 def with_measures(log: DataFrame, duration: str = "duration_us") -> DataFrame:
-    known = log.columns
-    if "dur_s" in known:
+    if is_cube(log):
         return log
+    # Columns of a log that only share a measure's name are none of ours.
+    log = log.drop(*MEASURES, "over_doubt_limit")
+    known = log.columns
 
     def present(name: str) -> str:
         return f"CAST({name} IS NOT NULL AS BIGINT)" if name in known else "0L"

@@ -16,6 +16,17 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def order_of(columns: Iterable[str]) -> str:
+    """The order of a log's rows as one number: by batch, where it has batches, then ``seq``.
+
+    A DECIMAL(38, 0) holds both whatever their size, and keeps an aggregation's buffer
+    of fixed width.
+    """
+    if "batch" not in columns:
+        return "seq"
+    return "CAST(batch * 10000000000000000000BD + seq AS DECIMAL(38, 0))"
+
+
 def text(value: str) -> str:
     """A text literal."""
     escaped = value.replace("\\", "\\\\").replace("'", "\\'")

@@ -17,36 +17,18 @@ from worklens.config import (
     UPDATED_FLOOR,
     Vocabulary,
 )
-from worklens.functions.calendar import day_of, month_of, month_text, parse_task_time
+from worklens.functions.calendar import (
+    day_of,
+    interval_us,
+    month_of,
+    month_text,
+    parse_task_time,
+    time_of_nanos,
+)
 from worklens.functions.durations import parse_duration
 from worklens.functions.sql import equals, text
 from worklens.schema import TASK_LOG
 
-_ROW_BITS = 30
-_SPLIT_BITS = 15
-
-
-def assign_seq(batch: DataFrame, batch_no: int) -> DataFrame:
-    """Number the rows in file order, after those of every earlier batch.
-
-    Must be applied straight to a file scan. ``seq`` packs the batch number, the
-    input split and the row in it, so no pass over the stored log is needed; a
-    batch beyond the space of one number fails instead of overlapping another.
-    """
-    if not 0 <= batch_no < 1 << (63 - _ROW_BITS - _SPLIT_BITS):
-        raise ValueError(f"batch number out of range: {batch_no}")
-    base = batch_no << (_ROW_BITS + _SPLIT_BITS)
-    # Spark's own number holds the split from bit 33 up and the row below
-    placed = batch.selectExpr("*", "monotonically_increasing_id() AS _place")
-    row, split = f"(_place & {(1 << 33) - 1}L)", "shiftright(_place, 33)"
-    seq = (
-        f"CASE WHEN {row} < {1 << _ROW_BITS}L AND {split} < {1 << _SPLIT_BITS}L"
-        f" THEN {base}L + shiftleft({split}, {_ROW_BITS}) + {row}"
-        " ELSE raise_error('batch too large for one batch number; split it') END"
-    )
-    return placed.selectExpr("*", f"{seq} AS seq").drop("_place")
-
-
 def drop_listed_columns(df: DataFrame, vocabulary: Vocabulary = DEFAULT) -> DataFrame:
     """Drop the unwanted columns, whatever the case and outer blanks of their names."""
     listed = set(vocabulary.dropped_columns)
@@ -65,12 +47,30 @@ def rename_headers(df: DataFrame, headers: Mapping[str, str]) -> DataFrame:
     )
 
 
-def standardise_task_log(raw: DataFrame) -> DataFrame:
+#: What the names of columns that we do not know begin with.
+EXTRA = "x_"
+_INTEGERS = (T.LongType, T.IntegerType, T.ShortType, T.ByteType)
+
+
+def _duration(source: str, kind: T.DataType, unit: str) -> str:
+    """Text, an interval, or a whole number of ``unit`` to microseconds."""
+    if isinstance(kind, T.DayTimeIntervalType):
+        return interval_us(f"CAST({source} AS INTERVAL DAY TO SECOND)")
+    if isinstance(kind, _INTEGERS):
+        return {"ns": f"{source} div 1000", "us": source, "s": f"{source} * 1000000"}[unit]
+    if isinstance(kind, (T.StringType, T.NullType)):
+        return parse_duration(source)
+    raise TypeError(f"column {source} holds {kind.simpleString()}, which is not a duration")
+
+
+def standardise_task_log(raw: DataFrame, duration_unit: str = "ns") -> DataFrame:
     """Type a raw log: unreadable values become null, absent columns are added.
 
-    Text columns ``duration`` and ``analysis`` become ``duration_us`` and
-    ``analysis_us``; columns we do not know are kept as they are. Adds the
-    ``completed_date`` and ``completed_month`` keys.
+    Columns ``duration`` and ``analysis`` become ``duration_us`` and ``analysis_us``,
+    from text, an interval, or whole numbers of ``duration_unit`` (ns, us or s); another
+    type is an error. A time may be text, a timestamp, or whole nanoseconds. Columns
+    we do not know are kept with ``x_`` before their names, so that none is taken for one
+    of ours. Adds the ``completed_date`` and ``completed_month`` keys.
     """
     have = {f.name: f.dataType for f in raw.schema}
     columns: list[str] = []
@@ -78,20 +78,22 @@ def standardise_task_log(raw: DataFrame) -> DataFrame:
         name, kind = field.name, field.dataType
         source = name.removesuffix("_us")
         if name in have:
-            from_text = isinstance(have[name], T.StringType)
-            if isinstance(kind, T.TimestampNTZType) and from_text:
+            is_time = isinstance(kind, T.TimestampNTZType)
+            if is_time and isinstance(have[name], T.StringType):
                 typed = parse_task_time(name)
+            elif is_time and isinstance(have[name], T.LongType):
+                typed = time_of_nanos(name)
             else:
                 typed = f"try_cast({name} AS {kind.simpleString()})"
         elif source != name and source in have:
-            typed = parse_duration(source)
+            typed = _duration(source, have[source], duration_unit)
         elif name == "justification":
             typed = "''"
         else:
             typed = f"CAST(NULL AS {kind.simpleString()})"
         columns.append(f"{typed} AS {name}")
     known = {f.name for f in TASK_LOG} | {"duration", "analysis"}
-    out = raw.selectExpr(*columns, *[f"`{c}`" for c in have if c not in known])
+    out = raw.selectExpr(*columns, *extra_columns([c for c in have if c not in known]))
     return out.selectExpr(
         "*",
         f"{day_of(out)} AS completed_date",
@@ -99,6 +101,11 @@ def standardise_task_log(raw: DataFrame) -> DataFrame:
     )
 
 
+def extra_columns(names: Iterable[str]) -> list[str]:
+    """Columns we do not know, under their prefixed names."""
+    return [f"`{c}` AS `{c if c.startswith(EXTRA) else EXTRA + c}`" for c in names]
+
+
 def exclude_robot_and_unassigned(log: DataFrame, vocabulary: Vocabulary = DEFAULT) -> DataFrame:
     """Keep tasks a person completed."""
     robot = text(vocabulary.robot_user.lower())

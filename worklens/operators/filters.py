@@ -18,9 +18,8 @@ Roster = DataFrame | Column | Iterable[str] | None
 
 def in_period(log: DataFrame, first: dt.date, last: dt.date) -> str:
     """Completion day in [first, last]; written on what the storage can prune by."""
-    for name in ("day", "completed_date"):
-        if name in log.columns:
-            return f"({name} BETWEEN {date(first)} AND {date(last)})"
+    if (name := day_of(log)) in log.columns:
+        return f"({name} BETWEEN {date(first)} AND {date(last)})"
     after = last + dt.timedelta(days=1)
     return (
         f"(completed_at >= TIMESTAMP_NTZ '{first.isoformat()}'"
@@ -56,7 +55,7 @@ def filter_months(df: DataFrame, months: Iterable[str] | None = None) -> DataFra
     """Keep the chosen ``yyyy-MM`` months; all of them by default."""
     if months is None:
         return df
-    if "month" in df.columns:
+    if "month" in df.columns and "completed_at" not in df.columns:
         return df.filter(among("month", months))
     chosen = ", ".join(f"DATE '{m}-01'" for m in months)
     return df.filter(f"{month_of(df)} IN ({chosen})" if chosen else "false")

@@ -1,6 +1,6 @@
 """Idle time: the gaps between an analyst's tasks.
 
-The next task is the next one by start, then by ``seq``. A gap counts from the
+The next task is the next one by start, then by batch and ``seq``. A gap counts from the
 end of a task to the start of the next one if it is above zero and at most an
 hour, on the day the earlier task ended.
 
@@ -9,7 +9,7 @@ start, so neither an analyst nor a start is ever one window partition:
 
 1. Tasks of one analyst with the same start are reduced before the shuffle. All
    but the last of them are followed by that same start, so their gaps are known
-   on the spot; only the last one, found by ``max_by(.., seq)``, is kept.
+   on the spot; only the last one, found by ``max_by(.., place)``, is kept.
 2. ``lead`` runs within short slices of time per analyst.
 3. The last task of a slice is followed by the first start of the analyst's next
    slice. That lookup runs over one row per slice (and day of end), not per task.
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from worklens.config import IDLE_LIMIT_HOURS, MICROS
 from worklens.functions.calendar import interval_us
 from worklens.functions.durations import hms
-from worklens.functions.sql import exprs
+from worklens.functions.sql import exprs, order_of
 
 SLICE_HOURS = 1
 
@@ -41,7 +41,11 @@ def idle_by_day(log: DataFrame, slice_hours: int = SLICE_HOURS) -> DataFrame:
     worked = log.filter(
         "analyst IS NOT NULL AND started_at IS NOT NULL AND completed_at IS NOT NULL"
     ).selectExpr(
-        "analyst", "started_at", "seq", "completed_at AS end", "to_date(completed_at) AS day"
+        "analyst",
+        "started_at",
+        f"{order_of(log.columns)} AS place",
+        "completed_at AS end",
+        "to_date(completed_at) AS day",
     )
 
     # 1. one row per analyst, start and day of end
@@ -51,8 +55,8 @@ def idle_by_day(log: DataFrame, slice_hours: int = SLICE_HOURS) -> DataFrame:
             *exprs(
                 {
                     "inner_gaps": f"sum({_gap('started_at', 'end')})",
-                    "last_seq": "max(seq)",
-                    "last_end": "max_by(end, seq)",
+                    "last_place": "max(place)",
+                    "last_end": "max_by(end, place)",
                 }
             )
         )
@@ -60,7 +64,7 @@ def idle_by_day(log: DataFrame, slice_hours: int = SLICE_HOURS) -> DataFrame:
             "analyst",
             "day",
             "started_at",
-            "last_seq",
+            "last_place",
             "last_end",
             # the last of them is not followed by its own start
             f"inner_gaps - {_gap('started_at', 'last_end')} AS inner_gaps",
@@ -72,7 +76,7 @@ def idle_by_day(log: DataFrame, slice_hours: int = SLICE_HOURS) -> DataFrame:
     # 2. the next start inside the slice
     chained = starts.selectExpr(
         "*",
-        "lead(started_at) OVER (PARTITION BY analyst, slice ORDER BY started_at, last_seq)"
+        "lead(started_at) OVER (PARTITION BY analyst, slice ORDER BY started_at, last_place)"
         " AS next_start",
     )
     slices = chained.groupBy("analyst", "slice", "day").agg(

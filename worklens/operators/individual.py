@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, GroupedData
+from pyspark.sql import functions as F
 
 from worklens.config import (
     DEFAULT,
@@ -151,7 +152,8 @@ def best_day_volume(log: DataFrame, vocabulary: Vocabulary = DEFAULT) -> DataFra
 
 
 def analyst_queue_tmo(log: DataFrame, vocabulary: Vocabulary = DEFAULT) -> DataFrame:
-    """Per analyst and queue: handled tasks, audits and distributions as separate rows."""
+    """Per analyst and queue: handled tasks, audits and distributions as separate rows,
+    the largest first."""
     registered = equals("outcome", vocabulary.registered)
     updated = equals("outcome", vocabulary.updated)
     handled = among("outcome", vocabulary.handled)
@@ -201,7 +203,7 @@ def analyst_queue_tmo(log: DataFrame, vocabulary: Vocabulary = DEFAULT) -> DataF
     rows = sums.selectExpr("analyst", "queue", f"inline(array({parts}))").filter("tasks > 0")
     return rows.selectExpr(
         "analyst", "queue", "part", "tasks", *named({f"{t}_tmo": hms(f"{t}_s") for t in times})
-    )
+    ).orderBy("analyst", F.desc("tasks"), "queue", "part")
 
 
 def queue_tmo_finished(log: DataFrame, vocabulary: Vocabulary = DEFAULT) -> DataFrame:
@@ -230,18 +232,20 @@ def daily_task_count(log: DataFrame) -> DataFrame:
 
 
 def queue_counts(log: DataFrame) -> DataFrame:
-    """Per analyst and known queue: tasks."""
+    """Per analyst and known queue: tasks, most first."""
     keyed = with_measures(log).filter("analyst IS NOT NULL AND queue IS NOT NULL")
-    return keyed.groupBy("analyst", "queue").agg(*exprs({"tasks": tasks()}))
+    counts = keyed.groupBy("analyst", "queue").agg(*exprs({"tasks": tasks()}))
+    return counts.orderBy("analyst", F.desc("tasks"), "queue")
 
 
 def cause_counts(log: DataFrame, vocabulary: Vocabulary = DEFAULT) -> DataFrame:
-    """Per analyst and known cause: registered tasks."""
+    """Per analyst and known cause: registered tasks, most first."""
     registered = log.filter(
         f"analyst IS NOT NULL AND cause IS NOT NULL"
         f" AND {equals('outcome', vocabulary.registered)}"
     )
-    return registered.groupBy("analyst", "cause").agg(*exprs({"tasks": "count(*)"}))
+    counts = registered.groupBy("analyst", "cause").agg(*exprs({"tasks": "count(*)"}))
+    return counts.orderBy("analyst", F.desc("tasks"), "cause")
 
 
 def _portfolio_rows(log: DataFrame, vocabulary: Vocabulary) -> GroupedData:

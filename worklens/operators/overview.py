@@ -15,7 +15,16 @@ from worklens.config import DEFAULT, MICROS, Vocabulary
 from worklens.functions.calendar import day_of, month_of, month_text
 from worklens.functions.durations import hms, hours_min_sec, min_sec
 from worklens.functions.measures import mean_s, mean_us, or_zero, tasks, total, with_measures
-from worklens.functions.sql import among, differs, equals, exprs, named, not_among, text
+from worklens.functions.sql import (
+    among,
+    differs,
+    equals,
+    exprs,
+    named,
+    not_among,
+    order_of,
+    text,
+)
 from worklens.functions.text import strip
 from worklens.operators.filters import drop_doubt_outliers
 
@@ -91,16 +100,23 @@ def queue_summary(log: DataFrame, vocabulary: Vocabulary = DEFAULT) -> DataFrame
         "tasks > 0"
     )
     # First task of each protocol. min_by reduces within each map task first, so
-    # a protocol shared by many rows (the missing one above all) stays small.
-    first = timed.groupBy("protocol_id").agg(
-        F.expr("min_by(struct(queue, outcome), seq) AS task")
+    # a protocol shared by many rows (the missing one above all) stays small. What it
+    # keeps is a number, the queue's hash with the outcome's kind as its last bit: a
+    # buffer of fixed width, without which Spark would sort the whole log twice.
+    code = "shiftleft(xxhash64(queue), 1)"
+    unhandled = not_among("outcome", vocabulary.handled)
+    coded = timed.selectExpr(
+        "protocol_id",
+        f"{order_of(log.columns)} AS place",
+        f"IF(queue IS NULL, NULL, {code} + CAST({unhandled} AS BIGINT)) AS task",
     )
+    first = coded.groupBy("protocol_id").agg(F.expr("min_by(task, place) AS task"))
     scope = (
-        first.filter("task.queue IS NOT NULL")
-        .groupBy("task.queue")
-        .agg(F.expr(f"count_if({not_among('task.outcome', vocabulary.handled)}) AS out_of_scope"))
+        first.filter("task IS NOT NULL")
+        .groupBy(F.expr("task - (task & 1) AS code"))
+        .agg(F.expr("count_if((task & 1) = 1) AS out_of_scope"))
     )
-    return shown.join(scope, "queue", "left").selectExpr(
+    return shown.join(scope, F.expr(f"{code} = code"), "left").selectExpr(
         "queue",
         "part",
         "tasks",
@@ -298,12 +314,13 @@ def analyst_tmo(log: DataFrame, vocabulary: Vocabulary = DEFAULT) -> DataFrame:
 
 
 def deviation_counts(log: DataFrame) -> DataFrame:
-    """How often each audit finding of the comma-separated lists occurs."""
+    """How often each audit finding of the comma-separated lists occurs, most often first."""
     parts = log.filter("deviations IS NOT NULL").selectExpr(
         "explode(split(deviations, ',', -1)) AS part"
     )
     named_parts = parts.selectExpr(f"{strip('part')} AS deviation")
-    return named_parts.groupBy("deviation").agg(*exprs({"frequency": "count(*)"}))
+    counts = named_parts.groupBy("deviation").agg(*exprs({"frequency": "count(*)"}))
+    return counts.orderBy(F.desc("frequency"), "deviation")
 
 
 def deviation_counts_real(log: DataFrame, vocabulary: Vocabulary = DEFAULT) -> DataFrame:

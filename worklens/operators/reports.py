@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from worklens.config import DEFAULT, MICROS, Vocabulary
 from worklens.functions.calendar import date, day_of
@@ -29,6 +30,7 @@ from worklens.operators.filters import (
 from worklens.operators.idle import idle_by_day, idle_time_mean
 from worklens.operators.individual import team_tmo
 from worklens.operators.rankings import rank_registration
+from worklens.plans.cube import activity_cube
 
 
 def _for_roster(log: DataFrame, roster: Roster, figures: DataFrame) -> DataFrame:
@@ -294,10 +296,13 @@ def team_card(
 ) -> DataFrame:
     """The team at a glance, one row per figure: top registrants, means, idle time, peak day.
 
-    With an activity cube of the log at hand, all but the idle time comes from it.
+    All but the idle time comes from an activity cube: the one at hand, or one made
+    here; Spark reads the log once per different filter on it.
     """
     log = filter_period(log, first, last)
-    summed = log if cube is None else filter_period(cube, first, last)
+    if cube is None:
+        cube = activity_cube(log)
+    summed = filter_period(cube, first, last)
     no_position = "CAST(NULL AS BIGINT) AS position"
     ranked = (
         rank_registration(summed, roster, vocabulary)
@@ -329,8 +334,12 @@ def team_card(
 
 
 def data_question_aggregates(log: DataFrame) -> DataFrame:
-    """Mean known duration and tasks of each analyst, and of the whole log."""
-    sums = with_measures(log).groupBy("analyst").agg(*exprs(totals()))
+    """Mean known duration and tasks of each analyst, and of the whole log.
+
+    Names that differ in case only are one analyst, shown in lower case.
+    """
+    keyed = with_measures(log).withColumn("analyst", F.lower("analyst"))
+    sums = keyed.groupBy("analyst").agg(*exprs(totals()))
     rolled = sums.rollup("analyst").agg(
         *exprs({"is_overall": "grouping(analyst) = 1", "tmo_s": mean_s(), "tasks": tasks()})
     )

@@ -14,9 +14,10 @@ from __future__ import annotations
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from worklens.functions.calendar import day_of
+from worklens.functions.calendar import day_of, is_cube
 from worklens.functions.measures import MEASURES, with_measures
 from worklens.functions.sql import exprs
 
@@ -38,21 +39,21 @@ CUBE = T.StructType(
 
 def activity_cube(log: DataFrame) -> DataFrame:
     keyed = with_measures(log)
-    if "day" not in keyed.columns:
-        keyed = keyed.selectExpr("*", f"{day_of(log)} AS day")
+    if not is_cube(keyed):
+        keyed = keyed.withColumn("day", F.expr(day_of(log)))
     return keyed.groupBy(*KEYS).agg(*exprs({m: f"sum({m})" for m in MEASURES}))
 
 
 def add_to_cube(batch: DataFrame, batch_no: int, path: str) -> None:
-    """Store the cube of one clean batch; a repeated write replaces its earlier files."""
+    """Store the cube of one clean batch in its own folder, which a repeated write replaces
+    whole, whatever days it held before."""
     (
         activity_cube(batch)
-        .selectExpr("*", f"{batch_no} AS batch")
         .hint("rebalance", "day")
         .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("batch", "day")
-        .parquet(path)
+        .option("partitionOverwriteMode", "static")
+        .partitionBy("day")
+        .parquet(f"{path}/batch={int(batch_no)}")
     )
 
 

@@ -26,6 +26,9 @@ TASK_LOG = T.StructType(
     ]
 )
 
+# The stored log's own columns beside those of TASK_LOG.
+DURATION_BEFORE = T.StructField("duration_before_us", T.LongType())
+
 UNAVAILABILITY_TEXT = T.StructType(
     [T.StructField("start_at", T.StringType()), T.StructField("end_at", T.StringType())]
 )

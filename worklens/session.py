@@ -3,16 +3,23 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import SparkSession
 
 
-def local_session(cpus: int | str = "*", app: str = "worklens", memory: str = "8g") -> SparkSession:
-    """A single-machine session; on a cluster the caller brings their own."""
+def local_session(
+    cpus: int | str = "*", app: str = "worklens", memory: str = "8g", shared: str | None = None
+) -> SparkSession:
+    """A single-machine session; on a cluster the caller brings their own.
+
+    ``shared`` is the folder for checkpoints and scratch tables.
+    """
     shuffles = str(os.cpu_count() or 8) if cpus == "*" else str(cpus)
+    builder = SparkSession.builder
+    if shared:
+        builder = builder.config("spark.checkpoint.dir", shared)
     return (
-        SparkSession.builder.master(f"local[{cpus}]")
+        builder.master(f"local[{cpus}]")
         .appName(app)
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
@@ -28,15 +35,13 @@ def local_session(cpus: int | str = "*", app: str = "worklens", memory: str = "8
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach, private to this application.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only a local session, where
-    driver and executors are one machine, falls back to a temporary folder.
+    It lies in the folder that the session's ``spark.checkpoint.dir`` names, else in
+    the session's warehouse; never in a machine's temporary folder, whose files the
+    other machines would not see.
     """
     context = spark.sparkContext
     root = context.getConf().get("spark.checkpoint.dir") or spark.conf.get(
         "spark.checkpoint.dir", None
     )
-    if not root:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        root = os.path.join(tempfile.gettempdir(), "worklens")
+    root = root or spark.conf.get("spark.sql.warehouse.dir")
     return f"{root.rstrip('/')}/worklens-{context.applicationId}"

@@ -71,7 +71,7 @@ def task_log_from_events(events: DataFrame) -> DataFrame:
 
 
 def unavailability_from_events(events: DataFrame) -> DataFrame:
-    return events.filter("event_type = 'error' AND event_id % 10 = 0").selectExpr(
+    return events.filter("event_type = 'error'").selectExpr(
         "ts AS start_at",
         "ts + make_dt_interval(0, 0, 0, CAST(round(value * 60) AS BIGINT)) AS end_at",
     )

@@ -11,17 +11,14 @@ from pyspark.sql import types as T
 
 from worklens.config import DEFAULT, Vocabulary
 from worklens.functions.calendar import parse_interval_time
-from worklens.operators.cleaning import (
-    assign_seq,
-    drop_listed_columns,
-    rename_headers,
-    standardise_task_log,
-)
-from worklens.schema import TASK_LOG, UNAVAILABILITY_TEXT
+from worklens.operators.cleaning import rename_headers, standardise_task_log
+from worklens.schema import DURATION_BEFORE, TASK_LOG, UNAVAILABILITY_TEXT
+from worklens.sources.uploads import COMMA, CsvDialect, files_at, scan_uploads
 
 STORED_LOG = T.StructType(
     TASK_LOG.fields
     + [
+        DURATION_BEFORE,
         T.StructField("completed_date", T.DateType()),
         T.StructField("batch", T.IntegerType()),
     ]
@@ -35,7 +32,8 @@ def scan_task_log(
 
     The schema is declared, so nothing is inferred and only the columns an
     operator uses are read; ``completed_date`` and ``batch`` prune files.
-    ``extra`` names further columns the uploads had; files without them give null.
+    ``extra`` names further columns the uploads had, as stored (``x_`` before their names);
+    files without them give null. Rows stand in the order of ``batch``, then ``seq``.
     """
     schema = T.StructType([*(extra.fields if extra else []), *STORED_LOG.fields])
     try:
@@ -50,17 +48,39 @@ def scan_task_log(
 def scan_export(
     spark: SparkSession,
     path: str,
-    batch_no: int,
     headers: Mapping[str, str] | None = None,
     vocabulary: Vocabulary = DEFAULT,
+    dialect: CsvDialect = COMMA,
 ) -> DataFrame:
-    """One uploaded CSV export, numbered in file order and typed."""
-    raw = spark.read.option("header", True).csv(path)
-    numbered = assign_seq(drop_listed_columns(raw, vocabulary), batch_no)
-    return standardise_task_log(rename_headers(numbered, headers or {}))
+    """Uploaded CSV exports (a file, a folder or a pattern), numbered in upload order and typed."""
+    return scan_uploads(spark, files_at(spark, path), headers, vocabulary, dialect)
+
+
+def scan_legacy_log(
+    spark: SparkSession, path: str, headers: Mapping[str, str] | None = None
+) -> DataFrame:
+    """A log stored as Parquet with times and durations in nanoseconds, typed.
+
+    Spark reads nanosecond timestamps as whole numbers only while the session's
+    ``spark.sql.legacy.parquet.nanosAsLong`` is set, also when the result is used; without
+    it such a file is an error that says so.
+    """
+    try:
+        raw = spark.read.parquet(path)
+    except AnalysisException as problem:
+        if "NANOS" not in str(problem):
+            raise
+        raise ValueError(
+            "set spark.sql.legacy.parquet.nanosAsLong to true to read nanosecond timestamps"
+        ) from problem
+    if "seq" not in raw.columns and headers is not None:
+        raw = raw.withColumn("seq", F.lit(None).cast("long"))
+    return standardise_task_log(rename_headers(raw, headers or {}))
 
 
-def scan_unavailability(spark: SparkSession, path: str) -> DataFrame:
+def scan_unavailability(
+    spark: SparkSession, path: str, dialect: CsvDialect = COMMA
+) -> DataFrame:
     """Lines ``start,end`` as timestamps; an unreadable side is null."""
-    lines = spark.read.schema(UNAVAILABILITY_TEXT).csv(path)
+    lines = spark.read.options(**dialect.options()).schema(UNAVAILABILITY_TEXT).csv(path)
     return lines.selectExpr(*[f"{parse_interval_time(c)} AS {c}" for c in lines.columns])

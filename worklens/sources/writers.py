@@ -12,10 +12,13 @@ from worklens.functions.calendar import day_of
 from worklens.operators.cleaning import (
     clamp_durations,
     drop_listed_columns,
-    duration_adjustments,
     exclude_robot_and_unassigned,
     export_columns,
+    extra_columns,
 )
+from worklens.plans.cube import add_to_cube
+from worklens.schema import DURATION_BEFORE, TASK_LOG
+from worklens.sources.uploads import COMMA, CsvDialect
 
 NO_ADJUSTMENT = "No duration adjustment was needed."
 
@@ -26,34 +29,44 @@ def write_task_log(
     log_path: str,
     adjustments_path: str,
     vocabulary: Vocabulary = DEFAULT,
+    cube_path: str | None = None,
 ) -> bool:
     """Clean one batch, add it to the stored log, log its adjustments; tells if there were any.
 
-    Only the batch is written, never the stored log. Its files live under its
-    own ``batch=`` folder and replace whatever an earlier attempt left there,
-    so a repeated write of a batch does not add its rows twice. Columns beyond
-    the declared ones are stored too.
+    Only the batch is written, never the stored log, and it is read once: adjustments
+    and the batch's cube (stored if ``cube_path`` is given) come from what was stored.
+    Its files live in its own ``batch=`` folder, which a repeated write replaces whole, so
+    rows are neither added twice nor left over from days that the batch no longer has.
+    Columns beyond the declared ones are stored with ``x_`` before their names.
     """
     kept = exclude_robot_and_unassigned(drop_listed_columns(batch, vocabulary), vocabulary)
-    clean = clamp_durations(kept, vocabulary)
     # absent only when the batch was not standardised
-    if "justification" not in clean.columns:
-        clean = clean.withColumn("justification", F.lit(""))
+    if "justification" not in kept.columns:
+        kept = kept.withColumn("justification", F.lit(""))
+    if "duration_us" in kept.columns:
+        kept = kept.withColumn(DURATION_BEFORE.name, F.col("duration_us"))
+    clean = clamp_durations(kept, vocabulary)
+    own = [f.name for f in TASK_LOG] + [DURATION_BEFORE.name]
     derived = ("completed_date", "completed_month", "batch")
-    columns = [f"`{c}`" for c in clean.columns if c not in derived]
     stored = clean.selectExpr(
-        *columns, f"{day_of(clean)} AS completed_date", f"{int(batch_no)} AS batch"
+        *[f"`{c}`" for c in clean.columns if c in own],
+        *extra_columns([c for c in clean.columns if c not in (*own, *derived)]),
+        f"{day_of(clean)} AS completed_date",
     )
+    folder = f"{log_path}/batch={int(batch_no)}"
     (
         # a day of any size is split into files of the advisory size
         stored.hint("rebalance", "completed_date")
         .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("batch", "completed_date")
-        .parquet(log_path)
+        .option("partitionOverwriteMode", "static")
+        .partitionBy("completed_date")
+        .parquet(folder)
     )
-    target = f"{adjustments_path}/batch={batch_no}"
-    adjustments = duration_adjustments(kept, vocabulary)
+    written = batch.sparkSession.read.schema(stored.schema).parquet(folder)
+    if cube_path:
+        add_to_cube(written, batch_no, cube_path)
+    target = f"{adjustments_path}/batch={int(batch_no)}"
+    adjustments = adjustments_in(written)
     if adjustments.isEmpty():  # stops at the first one found
         message = batch.sparkSession.createDataFrame([(NO_ADJUSTMENT,)], "message string")
         message.write.mode("overwrite").text(target)
@@ -62,12 +75,18 @@ def write_task_log(
     return True
 
 
-def write_columns(df: DataFrame, columns: Iterable[str], path: str) -> None:
-    """The chosen columns as CSV with a header."""
-    export_columns(df, columns).write.mode("overwrite").csv(path, header=True)
+def adjustments_in(stored: DataFrame) -> DataFrame:
+    """The durations that the cleaning of a stored batch changed, before and after."""
+    if "duration_before_us" not in stored.columns:
+        return stored.limit(0)
+    return stored.filter("duration_before_us <> duration_us").selectExpr(
+        "protocol_id", "outcome", "duration_before_us", "duration_us AS duration_after_us"
+    )
 
 
-def write_table(df: DataFrame, path: str, partition_by: Iterable[str] = ()) -> DataFrame:
-    """Store a table and read it back: the result no longer depends on how it was made."""
-    df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def write_columns(
+    df: DataFrame, columns: Iterable[str], path: str, dialect: CsvDialect = COMMA
+) -> None:
+    """The chosen columns as CSV with a header, quotes doubled as spreadsheets read them."""
+    options = {k: v for k, v in dialect.options().items() if k != "multiLine"}
+    export_columns(df, columns).write.mode("overwrite").options(header=True, **options).csv(path)

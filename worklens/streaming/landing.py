@@ -11,12 +11,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession
 
 from worklens.config import DEFAULT, Vocabulary
-from worklens.operators.cleaning import (
-    assign_seq,
-    drop_listed_columns,
-    rename_headers,
-    standardise_task_log,
-)
+from worklens.sources.uploads import COMMA, CsvDialect, scan_uploads
 from worklens.sources.writers import write_task_log
 
 
@@ -30,25 +25,30 @@ def ingest_landed(
     first_batch: int = 0,
     files_per_batch: int = 1000,
     vocabulary: Vocabulary = DEFAULT,
+    dialect: CsvDialect = COMMA,
+    cube_path: str | None = None,
 ) -> None:
     """Take every CSV export now in ``landing`` that has not been taken before.
 
-    The files of one folder share their header. Batches are numbered from
-    ``first_batch``, which must lie above the numbers written in other ways.
+    Files come in the order of their times, and each file's columns are matched by name,
+    so the order of the stored rows is the same for any ``files_per_batch``. Batches are
+    numbered from ``first_batch``, which must lie above the numbers written in other ways.
+    With ``cube_path`` the stored cube gets each batch as the log does.
     """
-    header = spark.read.option("header", True).csv(landing).schema
     uploads = (
-        spark.readStream.schema(header)
-        .option("header", True)
+        spark.readStream.format("binaryFile")
+        .schema("path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY")
         .option("maxFilesPerTrigger", files_per_batch)
-        .csv(landing)
+        .load(landing)
+        .select("path")  # the files' contents are not read here
     )
 
     def add(batch: DataFrame, epoch: int) -> None:
-        number = first_batch + epoch
-        numbered = assign_seq(drop_listed_columns(batch, vocabulary), number)
-        typed = standardise_task_log(rename_headers(numbered, headers or {}))
-        write_task_log(typed, number, log_path, adjustments_path, vocabulary)
+        files = [r.path for r in batch.collect()]  # at most files_per_batch names
+        typed = scan_uploads(spark, files, headers, vocabulary, dialect)
+        write_task_log(
+            typed, first_batch + epoch, log_path, adjustments_path, vocabulary, cube_path
+        )
 
     query = (
         uploads.writeStream.foreachBatch(add)
