@@ -35,7 +35,7 @@ from worklens.llm.tables import id_crc, kept, new_dir
 
 FOLDS, HELD_OUT = 7, 2
 CHUNK_TOKENS = 3 << 19
-BUCKET_TOKENS = 1 << 20
+BUCKET_TOKENS = 1 << 21
 HOT_SHARE = 1024
 REQUEST = "level int, chunk long, bucket int, data binary"
 ANSWER = "level int, chunk long, bucket int, data binary, tokens double, distinct double"
@@ -56,7 +56,7 @@ class SuffixTree:
 
 
 class Chunk:
-    """Documents as numbers of their words; word 0 is the end of a text."""
+    """Documents as numbers of their words, and the words' hashes; word 0 is the end of a text."""
 
     def __init__(self, table: pa.Table) -> None:
         row = {name: table.column(name).combine_chunks() for name in table.column_names}
@@ -64,8 +64,7 @@ class Chunk:
         self.held = row["held"].flatten().to_numpy(zero_copy_only=False)
         self.n = row["n"].flatten().to_numpy().astype(np.int64)
         self.tokens = row["tokens"].flatten().to_numpy().astype(np.int64)
-        words = row["words"].flatten().to_pylist()
-        self.hash = np.fromiter((xxhash.xxh64_intdigest(w) for w in words), np.uint64, len(words))
+        self.hash = row["words"].flatten().to_numpy()
         self.place = np.arange(len(self.tokens)) - np.repeat(np.cumsum(self.n) - self.n, self.n)
         self.learnt = np.repeat(~self.held, self.n)
 
@@ -86,12 +85,13 @@ def _tokenised(path: str, id_type: pa.DataType, buckets_log: int):
         files.create_dir(folder, recursive=True)
 
         def close(ids: list, held: list, n: list, tokens: list, words: list) -> pa.RecordBatch:
+            hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
             lists = [
                 pa.array([ids], pa.list_(id_type)),
                 pa.array([held], pa.list_(pa.bool_())),
                 pa.array([n], pa.list_(pa.int32())),
                 pa.array([np.concatenate(tokens)], pa.list_(pa.int32())),
-                pa.array([words], pa.list_(pa.binary())),
+                pa.array([hashes], pa.list_(pa.uint64())),
             ]
             table = pa.table(lists, names=["id", "held", "n", "tokens", "words"])
             name = f"{folder}/chunk-{number}.arrow"
@@ -274,9 +274,7 @@ class Counted:
         where = where[occurs[before[where]] >= least]
         context, word = before[where], chunk.tokens[where]
         width = max(len(chunk.hash), 1)
-        code, first, inverse = np.unique(
-            context * width + word, return_index=True, return_inverse=True
-        )
+        code, inverse = np.unique(context * width + word, return_inverse=True)
         own = np.bincount(inverse, chunk.learnt[where], len(code)).astype(np.int64)
         context, word = code // width, code % width
         at = np.full(len(chunk.tokens), -1)
@@ -285,8 +283,10 @@ class Counted:
             shorter = self.share[word]
             least_shorter = shorter_total[word]
         else:
-            shorter = self.after(2)[where[first]]
-            pair = lower["at"][where[first]]
+            some = np.empty(len(code), np.int64)
+            some[inverse] = where  # any token that ends it
+            shorter = self.after(2)[some]
+            pair = lower["at"][some]
             least_shorter = np.where(pair >= 0, lower["total"][pair], 2)
         # What occurs once at most without its first word is known here already; of every
         # context something is asked, to hear whether it is retained.
@@ -302,8 +302,10 @@ class Counted:
         sym = chunk.hash[word] & HIGH_48
         deal = np.where(hot, made["hash"], mixed_hash(hashes[context], hashes[context]))
         bucket = _bucket(deal, self.model["buckets_log"])
+        # N-grams stand by context already, so that contexts stay together within buckets.
         asked = np.flatnonzero(ask)
-        asked = asked[np.lexsort((sym[asked], hashes[context[asked]], bucket[asked]))]
+        small = np.min_scalar_type((1 << self.model["buckets_log"]) - 1)
+        asked = asked[np.argsort(bucket[asked].astype(small), kind="stable")]
         made |= {
             "asked": asked, "bucket": bucket[asked], "sym": sym[asked],
             "context_hash": hashes[context[asked]], "occurs": occurs[context[asked]],
