@@ -119,12 +119,13 @@ def fit(
     size = settings.word_buckets + STATISTICS * BINS
     random = np.random.default_rng(7)
     mean = float(y.mean()) if len(y) else 0.5
+    labelled = len(y) > 0 and 0 < mean < 1
     model = {
         "w0": np.array([np.log((mean + 1e-3) / (1 - mean + 1e-3))]),
         "w": np.zeros(size),
         "v": random.normal(0, 0.05, (size, settings.rank)),
     }
-    if not 0 < mean < 1:
+    if not labelled:
         model["v"][:] = 0
     else:
         adam = Adam(settings.rate)
@@ -199,8 +200,8 @@ def train(
         .combine_chunks()
     )
     if not rows.num_rows:
-        none = np.empty(0)
-        return fit(none, none, none, none, settings)
+        none, whole = np.empty(0), np.empty(0, np.int64)
+        return fit(whole, none, whole, none, settings)
     lists = rows.column("ids").combine_chunks()
     return fit(
         lists.flatten().to_numpy().astype(np.int64),
