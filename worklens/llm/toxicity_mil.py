@@ -58,26 +58,29 @@ def word_features(word: bytes, buckets: int) -> list[int]:
 
 def instances(row: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     """Sentence and token of each distinct token of each sentence, and how many sentences
-    there are; an ending token is its sentence's last."""
+    there are. An ending token is its sentence's last, and so is one before a line's end,
+    which is token 0 and belongs to no sentence."""
+    last = ends[row] | (np.append(row[1:], -1) == 0)
+    last, row = last[row != 0].astype(np.int64), row[row != 0]
     if not len(row):
         return row, row, 1
-    ends = ends[row].astype(np.int64)
-    number = np.cumsum(ends) - ends
+    number = np.cumsum(last) - last
     n, width = int(number[-1]) + 1, int(row.max()) + 1
     code = np.unique(number * width + row)
     return code // width, code % width, n
 
 
 class Words(Numbering):
-    """Distinct tokens with whether each ends a sentence."""
+    """Distinct tokens with whether each ends a sentence; token 0 is the end of a line."""
 
     def __init__(self) -> None:
         super().__init__()
+        self.of([_LINE])
         self.ends = np.empty(0, bool)
 
     def learn(self) -> list[bytes]:
         new = self.take_new()
-        ends = [w == _LINE or w.rstrip(b"\"')]")[-1:] in (b".", b"!", b"?") for w in new]
+        ends = [w.rstrip(b"\"')]")[-1:] in (b".", b"!", b"?") for w in new]
         self.ends = np.concatenate((self.ends, np.array(ends, bool)))
         return new
 
@@ -159,18 +162,19 @@ class Scorer:
         self.model, self.buckets = model, buckets
         self.words, self.weights = Words(), np.empty(0)
 
-    def sentences(self, text: bytes | None) -> np.ndarray:
-        """The probability of each sentence, in order; one for a text without words."""
+    def sentences(self, texts: list[bytes | None]) -> list[np.ndarray]:
+        """For each text the probability of each sentence, in order; one for a text without words."""
         if len(self.words) > self.KEPT_WORDS:
             self.words, self.weights = Words(), np.empty(0)
-        row = self.words.of(tokens(text))
-        new = self.words.learn()
-        if new:
-            weight = self.model["weight"]
-            more = [float(weight[word_features(w, self.buckets)].sum()) for w in new]
-            self.weights = np.concatenate((self.weights, more))
-        number, row, n = instances(row, self.words.ends)
-        return sigmoid(self.model["bias"] + np.bincount(number, self.weights[row], n))
+        rows = [self.words.of(tokens(text)) for text in texts]
+        weight = self.model["weight"]
+        more = [float(weight[word_features(w, self.buckets)].sum()) for w in self.words.learn()]
+        self.weights = np.concatenate((self.weights, more))
+        out = []
+        for row in rows:
+            number, row, n = instances(row, self.words.ends)
+            out.append(sigmoid(self.model["bias"] + np.bincount(number, self.weights[row], n)))
+        return out
 
 
 def train(
@@ -218,12 +222,11 @@ def score(
         scorer = Scorer(shared.value, settings.buckets)
         for texts in batches:
             rows = []
-            for text in texts:
-                p = scorer.sentences(text)
-                total = -np.expm1(np.log1p(-np.minimum(p, 1 - 1e-9)).sum())
-                rows.append(
-                    (float(total), len(p), np.flatnonzero(p >= settings.offends), float(p.max()))
-                )
+            for at in range(0, len(texts), 256):
+                for p in scorer.sentences(list(texts[at : at + 256])):
+                    total = -np.expm1(np.log1p(-np.minimum(p, 1 - 1e-9)).sum())
+                    offend = np.flatnonzero(p >= settings.offends)
+                    rows.append((float(total), len(p), offend, float(p.max())))
             yield pd.DataFrame(rows, columns=["score", "sentences", "offend", "worst"])
 
     scored = docs.select(
