@@ -225,7 +225,7 @@ def trie_tasks(turned: DataFrame) -> DataFrame:
         )
     ]
     crowded = kept(plain.join(keys, on, "left_semi").select("turn", "turned"), "crowded")
-    pairs = large.selectExpr("turn", "node AS a", "node AS b", "0 AS differ")
+    pairs = large.selectExpr("turn", "node AS a", "node AS b")
     for depth in range(BLOCK_BITS + SPLIT_BITS, 65, SPLIT_BITS):
         nodes = kept(
             crowded.groupBy("turn", F.expr(_node(str(depth))).alias("node")).agg(
@@ -234,7 +234,7 @@ def trie_tasks(turned: DataFrame) -> DataFrame:
             "nodes",
         )
         child = nodes.selectExpr(
-            "turn", f"shiftright(node, {SPLIT_BITS}) AS parent", "node", "n"
+            "turn", f"shiftrightunsigned(node, {SPLIT_BITS}) AS parent", "node", "n"
         )
         left = child.selectExpr("turn AS t_a", "parent AS p_a", "node AS c_a", "n AS n_a")
         right = child.selectExpr("turn AS t_b", "parent AS p_b", "node AS c_b", "n AS n_b")
@@ -243,7 +243,7 @@ def trie_tasks(turned: DataFrame) -> DataFrame:
             .join(right, F.expr("turn = t_b AND b = p_b AND (a <> b OR c_a <= c_b)"))
             .selectExpr(
                 "turn", "c_a AS a", "c_b AS b",
-                "CAST(differ + bit_count(c_a ^ c_b) AS INT) AS differ", "n_a", "n_b",
+                "bit_count(c_a ^ c_b) AS differ", "n_a", "n_b",
             )
             .where(f"differ <= {BUDGET}")
         )
@@ -262,7 +262,7 @@ def trie_tasks(turned: DataFrame) -> DataFrame:
                 "task", "s.side AS side", "turned", "turn", "differ", f"{depth} AS depth"
             )
         )
-        pairs = pairs.where(f"NOT ({done})").select("turn", "a", "b", "differ")
+        pairs = pairs.where(f"NOT ({done})").select("turn", "a", "b")
         if pairs.isEmpty():
             break
     out = dealt[0]
@@ -331,4 +331,6 @@ def keep_one_of_each(
     """
     found = near_duplicates(docs, id_column, text_column)
     gone = found.where(f"`{id_column}` <> component_id").select(F.col(f"`{id_column}`").alias("gone_id"))
-    return docs.join(gone.distinct(), F.expr(f"`{id_column}` = gone_id"), "left_anti")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    stay = rows.join(gone.distinct(), F.expr(f"row.`{id_column}` = gone_id"), "left_anti")
+    return stay.select("row.*")
