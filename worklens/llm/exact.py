@@ -24,24 +24,37 @@ from worklens.llm.tables import kept
 KEY_BYTES = 32
 
 
-def sorted_contents(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """Rows ``id, norm, row`` in content order: within equal contents the longest
-    original first, then the smallest id (null last)."""
+def sorted_contents(
+    docs: DataFrame, id_column: str, text_column: str, whole_rows: bool = False
+) -> DataFrame:
+    """Rows ``id, norm`` in content order: within equal contents the longest original
+    first, then the smallest id (null last). With ``whole_rows`` also ``row``, which then
+    moves in place of the normalised text, made again where it arrives."""
+
+    def normal(text: str) -> str:
+        return (
+            f"cast(regexp_replace(coalesce({text}, ''), '[\\\\x20\\\\x09-\\\\x0D]+', '')"
+            " AS BINARY) AS norm"
+        )
+
     source = docs.select(
         F.col(f"`{id_column}`").alias("id"),
-        F.coalesce(F.col(f"`{text_column}`").cast("string"), F.lit("")).alias("text"),
+        F.col(f"`{text_column}`").cast("string").alias("text"),
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
-    ).selectExpr(
-        "id",
-        "cast(regexp_replace(text, '[\\\\x20\\\\x09-\\\\x0D]+', '') AS BINARY) AS norm",
-        "-char_length(text) AS shorter",
-        "row",
     )
     keyed = source.selectExpr(
-        f"substring(norm, 1, {KEY_BYTES}) AS head", "xxhash64(norm) AS hash", "*"
+        "id", normal("text"), "-char_length(coalesce(text, '')) AS shorter", "row"
+    ).selectExpr(
+        f"substring(norm, 1, {KEY_BYTES}) AS head",
+        "xxhash64(norm) AS hash",
+        "shorter",
+        "id",
+        "row" if whole_rows else "norm",
     )
     order = [F.col("head"), F.col("hash"), F.col("shorter"), F.col("id").asc_nulls_last()]
     dealt = keyed.repartitionByRange(*order)
+    if whole_rows:
+        dealt = dealt.selectExpr("*", normal(f"CAST(row.`{text_column}` AS STRING)"))
     return dealt.sortWithinPartitions(
         "head", "hash", "norm", "shorter", F.col("id").asc_nulls_last()
     )
@@ -151,7 +164,7 @@ def drop_equal_contents(
     docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
 ) -> DataFrame:
     """The rows of ``docs`` that :func:`content_groups` keeps, with all their columns."""
-    ordered = sorted_contents(docs, id_column, text_column).select("id", "norm", "row")
+    ordered = sorted_contents(docs, id_column, text_column, True).select("id", "norm", "row")
     kind, row = (ordered.schema[c].dataType.simpleString() for c in ("id", "row"))
     runs = ordered.mapInArrow(
         lambda batches: _runs(batches, True),
