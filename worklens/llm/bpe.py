@@ -22,14 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from worklens.llm.pieces import Numbering, Ragged, cut, sums
-from worklens.llm.tables import own_to_worker
 
 #: Bytes of a word from which it is contracted on its own, in bounded memory.
 LONG_WORD = 256
 #: Bytes of words per recursive query, bytes of text per round, tokens per decoding query.
 QUERY_BYTES, ROUND_BYTES, DECODE_TOKENS = 1 << 20, 8 << 20, 2 << 20
 #: Distinct pieces and matches kept at most before their memory is begun anew.
-KEPT_PIECES, KEPT_MATCHES = 1 << 18, 1 << 20
+KEPT_PIECES, KEPT_MATCHES = 1 << 18, 1 << 19
 
 CONTRACT = """
 WITH RECURSIVE t(step, w, pos, tok) AS (
@@ -91,7 +90,7 @@ class Codec:
     """Encodes and decodes in a database of this task's own."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "500MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB"})
         # White space by the Unicode property, as the pattern's own engine has it.
         spaces = pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")
         self.pattern = regex.compile(spaces)
@@ -249,14 +248,11 @@ def _encoded(
         "decoded_sha256": ("string", pa.string()),
     }
     shared = docs.sparkSession.sparkContext.broadcast(ranks)  # one vocabulary: bounded
-    key = hashlib.sha256(ranks + pattern.encode()).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = None
         for batch in batches:
-            codec = codec or own_to_worker(
-                ("bpe", key), lambda: Codec(parse_ranks(shared.value), pattern)
-            )
+            codec = codec or Codec(parse_ranks(shared.value), pattern)
             texts = [t or "" for t in batch.column("text").to_pylist()]
             for part in _rounds(texts):
                 lengths, ids = codec.encode(texts[part])
