@@ -404,6 +404,8 @@ def suffix_tree_scores(
 
     first = answered(asked, "words")
     tokens, distinct = first.agg(F.sum("tokens"), F.sum("distinct")).first()
+    # Answers are small for the work they bring: as many tasks as chunks, not by size.
+    chunks = max(first.select("chunk").distinct().count(), 1)
     model = {
         "tokens": tokens or 0.0, "distinct": distinct or 0.0, "buckets_log": buckets_log,
         "hot": np.empty(0, np.uint64),
@@ -416,7 +418,7 @@ def suffix_tree_scores(
         def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
             return counted(int(key[0]), rows, model).requests(level)
 
-        return answers.groupBy("chunk").applyInPandas(run, REQUEST)
+        return answers.repartition(chunks, "chunk").groupBy("chunk").applyInPandas(run, REQUEST)
 
     def hot_contexts(answers: DataFrame) -> np.ndarray:
         """Spread contexts that pass: their parts are at most one per context and bucket."""
@@ -468,7 +470,8 @@ def suffix_tree_scores(
             }
         )
 
-    return both.union(third).groupBy("chunk").applyInPandas(
+    whole = both.union(third).repartition(chunks, "chunk")
+    return whole.groupBy("chunk").applyInPandas(
         score,
         f"`{id_column}` {id_name}, held_out boolean, n_tokens long, n_known long,"
         " train_tokens long, base_score double, score double",
