@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from worklens.llm.pieces import Numbering, Ragged, cut, sums
+from worklens.llm.tables import slices
 
 #: Bytes of a word from which it is contracted on its own, in bounded memory.
 LONG_WORD = 256
@@ -251,7 +252,7 @@ def _encoded(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = None
-        for batch in batches:
+        for batch in slices(batches, 2048):
             codec = codec or Codec(parse_ranks(shared.value), pattern)
             texts = [t or "" for t in batch.column("text").to_pylist()]
             for part in _rounds(texts):

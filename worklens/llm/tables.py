@@ -5,7 +5,7 @@ from __future__ import annotations
 import sys
 import types
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,6 +33,13 @@ def kept(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def slices(batches: Iterable, rows: int = 1024) -> Iterator:
+    """The record batches in short pieces, so that few texts are Python objects at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def own_to_worker(key: tuple, make: Callable):
     """What a Python worker keeps from one of its tasks to the next, made when first needed.
     One thing per kind is kept (the kind is the first part of ``key``)."""

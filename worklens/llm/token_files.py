@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from worklens.llm.pieces import Numbering, Ragged, cut, sums
-from worklens.llm.tables import kept, new_dir, own_to_worker
+from worklens.llm.tables import kept, new_dir, own_to_worker, slices
 
 MAGIC = b"IDPLANES"
 BLOCK_IDS = 1 << 16
@@ -240,9 +240,7 @@ def write_token_files(
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         part, sink = context.partitionId(), None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in slices(batches):
             if sink is None:
                 files, folder = pyarrow.fs.FileSystem.from_uri(path)
                 files.create_dir(folder, recursive=True)
