@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from worklens.llm.pieces import Numbering, Ragged, cut, sums
-from worklens.llm.tables import slices
+from worklens.llm.tables import give_back, slices
 
 #: Bytes of a word from which it is contracted on its own, in bounded memory.
 LONG_WORD = 256
@@ -252,6 +252,7 @@ def _encoded(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = None
+        give_back()
         for batch in slices(batches, 2048):
             codec = codec or Codec(parse_ranks(shared.value), pattern)
             texts = [t or "" for t in batch.column("text").to_pylist()]
@@ -280,6 +281,10 @@ def _encoded(
                     ],
                     names=["id", *columns],
                 )
+        if codec:
+            codec.db.close()
+        del codec
+        give_back()
 
     source = docs.select(
         F.col(f"`{id_column}`").alias("id"), F.col(f"`{text_column}`").cast("string").alias("text")

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from worklens.llm.tables import kept
+from worklens.llm.tables import give_back, kept, slices
 
 #: Bytes of the normalised text in the range key.
 KEY_BYTES = 32
@@ -77,7 +77,7 @@ def _runs(batches: Iterator[pa.RecordBatch], firsts_only: bool) -> Iterator[pa.R
             [pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema
         )
 
-    for batch in batches:
+    for batch in slices(batches):
         rows = batch.column("row") if firsts_only else None
         if schema is None:
             id_type = batch.schema.field("id").type
@@ -110,6 +110,7 @@ def _runs(batches: Iterator[pa.RecordBatch], firsts_only: bool) -> Iterator[pa.R
         close(True)
     if out:
         yield flush()
+    give_back()
 
 
 def _resolved(runs: DataFrame) -> DataFrame:

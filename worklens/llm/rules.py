@@ -8,7 +8,7 @@ source's sketch, a language's and the corpus's from one pass, the same on every
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from worklens.llm.tables import kept
+from worklens.llm.tables import give_back, kept
 
 METRICS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
 #: SQL of the rated metrics, in thousandths (of a code point for the mean word length).
@@ -66,8 +66,15 @@ def repeat_words(words: list[bytes]) -> int:
 
 
 @F.pandas_udf(T.StructType([T.StructField(name, T.LongType()) for name in METRICS]))
-def text_metrics(texts: pd.Series) -> pd.DataFrame:
+def text_metrics(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     """The base metrics of each text, given as UTF-8 bytes."""
+    for texts in batches:
+        yield _metrics_of(texts)
+        del texts
+    give_back()
+
+
+def _metrics_of(texts: pd.Series) -> pd.DataFrame:
     space, symbols, continuation = b" \t\n\x0b\x0c\r", b"#*$%&|<>", bytes(range(0x80, 0xC0))
     others = bytes(set(range(256)) - set(symbols))
     rows = []

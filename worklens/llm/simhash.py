@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from worklens.llm.components import components
-from worklens.llm.tables import kept
+from worklens.llm.tables import give_back, kept
 
 BUDGET = 3
 BLOCK_BITS = 16
@@ -59,10 +59,13 @@ def fingerprint(text: bytes | None, shingle: int = 3, seed: int = 42) -> int:
 
 
 @F.pandas_udf(T.LongType())
-def fingerprints(texts: pd.Series) -> pd.Series:
+def fingerprints(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """The fingerprint of each text (UTF-8 bytes), as a signed number of the same bits."""
-    values = np.fromiter((fingerprint(t) for t in texts), np.uint64, len(texts))
-    return pd.Series(values.view(np.int64))
+    for texts in batches:
+        values = np.fromiter((fingerprint(t) for t in texts), np.uint64, len(texts))
+        yield pd.Series(values.view(np.int64))
+        del texts
+    give_back()
 
 
 def _split(values: np.ndarray, lo: np.ndarray, hi: np.ndarray, upto: np.ndarray) -> np.ndarray:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import types
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from worklens.session import shared_dir
@@ -33,6 +35,15 @@ def kept(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def give_back() -> None:
+    """Returns a worker's free memory to the machine: workers outlive their tasks, and what
+    one stage's worker keeps for itself the next stage's JVM lacks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def slices(batches: Iterable, rows: int = 1024) -> Iterator:
     """The record batches in short pieces, so that few texts are Python objects at a time."""
     for batch in batches:
