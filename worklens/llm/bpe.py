@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from worklens.llm.pieces import Numbering, Ragged, cut, sums
-from worklens.llm.tables import give_back, slices
+from worklens.llm.tables import give_back, own_to_worker, slices
 
 #: Bytes of a word from which it is contracted on its own, in bounded memory.
 LONG_WORD = 256
@@ -239,7 +239,7 @@ def _rounds(texts: list[str]) -> Iterator[slice]:
 
 def _encoded(
     docs: DataFrame, ranks: bytes, pattern: str, id_column: str, text_column: str,
-    columns: tuple[str, ...],
+    columns: tuple[str, ...], keep_words: bool,
 ) -> DataFrame:
     types = {
         "n_tokens": ("long", pa.int64()),
@@ -249,12 +249,15 @@ def _encoded(
         "decoded_sha256": ("string", pa.string()),
     }
     shared = docs.sparkSession.sparkContext.broadcast(ranks)  # one vocabulary: bounded
+    key = hashlib.sha256(ranks + pattern.encode()).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = None
         give_back()
         for batch in slices(batches, 2048):
-            codec = codec or Codec(parse_ranks(shared.value), pattern)
+            if codec is None:
+                make = lambda: Codec(parse_ranks(shared.value), pattern)
+                codec = own_to_worker(("bpe", key), make) if keep_words else make()
             texts = [t or "" for t in batch.column("text").to_pylist()]
             for part in _rounds(texts):
                 lengths, ids = codec.encode(texts[part])
@@ -281,7 +284,7 @@ def _encoded(
                     ],
                     names=["id", *columns],
                 )
-        if codec:
+        if codec and not keep_words:
             codec.db.close()
         del codec
         give_back()
@@ -301,13 +304,16 @@ def encode(
     id_column: str = "doc_id",
     text_column: str = "text",
     columns: tuple[str, ...] = ("n_tokens", "ids"),
+    keep_words: bool = False,
 ) -> DataFrame:
     """One row per row of ``docs``: its id and, of its whole text, the ``columns`` asked for
     out of ``n_tokens, ids, ids_sha256, decoded, decoded_sha256``.
 
     Digests are of the ids as little-endian unsigned 32-bit integers, and of the bytes
-    that the ids decode to. A null or empty text has no ids. Nothing is shuffled.
+    that the ids decode to. A null or empty text has no ids. Nothing is shuffled. With
+    ``keep_words`` a worker keeps the words of its tasks for the next one, which saves time
+    where memory is not needed for other stages.
     """
     with open(ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as file:
         ranks = file.read()
-    return _encoded(docs, ranks, pattern, id_column, text_column, columns)
+    return _encoded(docs, ranks, pattern, id_column, text_column, columns, keep_words)

@@ -30,7 +30,9 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(
-        table(spark, sf_dir, "documents"), columns=("n_tokens", "ids_sha256", "decoded_sha256")
+        table(spark, sf_dir, "documents"),
+        columns=("n_tokens", "ids_sha256", "decoded_sha256"),
+        keep_words=True,
     )
 
 
