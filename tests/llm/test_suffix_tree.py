@@ -2,6 +2,9 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 
 from tests.llm.common import SCHEMA, crc, odd_rows, odd_table
@@ -99,3 +102,20 @@ def test_no_training_texts(spark):
     held = next(i for i in range(99) if crc(i) % 7 == 2)
     rows = lm.suffix_tree_scores(spark.createDataFrame([(held, "a b", "en", "s", 3)], SCHEMA)).collect()
     assert [tuple(r) for r in rows] == [(held, True, 3, 0, 0, 0.0, 0.0)]
+
+
+def test_an_absolute_count_decides_at_every_size():
+    """Contexts of 32 occurrences are tested, however many words there are."""
+    rows = {
+        "id": pa.array([[1]]),
+        "held": pa.array([[False]]),
+        "n": pa.array([[4]], pa.list_(pa.int32())),
+        "tokens": pa.array([[1, 2, 1, 0]], pa.list_(pa.int32())),
+        "words": pa.array([[3, 1 << 40, 5 << 50]], pa.list_(pa.uint64())),
+    }
+    model = {"tokens": 5e9, "distinct": 1e7, "buckets_log": 5, "hot": np.empty(0, np.uint64)}
+    answer = lm.pack({"total": np.array([1000, 32, 31])})
+    answers = pd.DataFrame({"level": [1], "chunk": [0], "bucket": [0], "data": [answer]})
+    made = lm.Counted(0, lm.Chunk(pa.table(rows)), answers, model, lm.SuffixTree()).level(2)
+    assert {1, 2} - set(made["context"].tolist()) == {2}  # 31 times
+    assert 1 in made["context"]  # 32 times

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from worklens.llm.packing import mixed_hash, pack, unpack
 from worklens.llm.pieces import Numbering
-from worklens.llm.tables import id_crc, kept, new_dir
+from worklens.llm.tables import drop_shuffles, id_crc, kept, new_dir
 
 FOLDS, HELD_OUT = 7, 2
 CHUNK_TOKENS = 3 << 19
@@ -44,13 +44,11 @@ HIGH_48 = np.uint64(0xFFFFFFFFFFFF0000)
 
 @dataclass(frozen=True)
 class SuffixTree:
-    """``least``: occurrences of a context worth testing, and ``least_share``: its least share of
-    all training words, so that the tree's reach does not depend on the corpus's size.
+    """``least``: occurrences of a context worth testing, whatever the corpus's size.
     ``gain``: nats per word by which its predictions must beat the shorter context's.
     ``smooth``: weight of the shorter context."""
 
     least: int = 32
-    least_share: float = 4e-6
     gain: float = 0.02
     smooth: float = 4.0
 
@@ -156,8 +154,9 @@ def _requests(
     )
 
 
-def _added(settings: SuffixTree):
-    """Adds up the requests of one bucket and answers each chunk in its own order."""
+def _added(settings: SuffixTree, known: float):
+    """Adds up the requests of one bucket and answers each chunk in its own order.
+    ``known``: what a word's count and one are divided by for its own probability."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("chunk")
@@ -181,6 +180,8 @@ def _added(settings: SuffixTree):
             total = np.bincount(inverse, count)
             occurs = np.concatenate([np.repeat(x["occurs"], x["run"]) for x in asked])[first]
             shorter = np.concatenate([x["shorter"] for x in asked])[first].astype(np.float64)
+            if level == 2:  # counts of the words
+                shorter = (shorter + 1) / known
             tested, which = np.unique(context[first], return_inverse=True)
             often = total >= 2
             left = (total - 1 + settings.smooth * shorter) / (occurs - 1 + settings.smooth)
@@ -229,6 +230,10 @@ def _gain(gain: np.ndarray, seen: np.ndarray, occurs: np.ndarray, settings: Suff
     return (gain + (occurs - seen) * alone) / np.maximum(occurs, 1)
 
 
+def _known(model: dict) -> float:
+    return model["tokens"] + model["distinct"] + 1
+
+
 class Counted:
     """A chunk with the answers it has so far."""
 
@@ -243,8 +248,7 @@ class Counted:
         order = np.argsort(chunk.hash, kind="stable")
         self.count = np.zeros(len(order), np.int64)
         self.count[order] = self._total(1)
-        known = model["tokens"] + model["distinct"] + 1
-        self.share = (self.count + 1) / known  # a word's own probability
+        self.share = (self.count + 1) / _known(model)  # a word's own probability
 
     def _total(self, level: int) -> np.ndarray:
         return np.concatenate([np.empty(0, np.int64), *(x["total"].astype(np.int64) for x in self.answers.get(level, []))])
@@ -256,8 +260,7 @@ class Counted:
         and ``word`` (numbers), ``own`` (its count in this chunk's training texts),
         ``total`` (once answered), and ``asked``, the order in which it is asked for.
         """
-        chunk = self.chunk
-        least = max(self.settings.least, self.settings.least_share * self.model["tokens"])
+        chunk, least = self.chunk, self.settings.least
         if number == 2:
             before = np.concatenate(([0], chunk.tokens[:-1]))
             hashes, occurs = chunk.hash, self.count
@@ -342,13 +345,16 @@ class Counted:
             data = {
                 "key": made["sym"][s:e],
                 "count": made["own"][mine].astype(np.int32),
-                "shorter": made["shorter"][mine].astype(np.float32),
+                # Counts take less room than probabilities.
+                "shorter": self.count[made["word"][mine]]
+                if number == 2
+                else made["shorter"][mine].astype(np.float32),
                 "context": made["context_hash"][runs[a:b]],
                 "run": (ends[a:b] - runs[a:b]).astype(np.int32),
                 "occurs": made["occurs"][runs[a:b]],
                 "hot": made["hot"][runs[a:b]].astype(np.uint8),
             }
-            rows.append((number, self.number, int(made["bucket"][s]), pack(data)))
+            rows.append((number, self.number, int(made["bucket"][s]), pack(_narrow(data))))
         return pd.DataFrame(rows, columns=["level", "chunk", "bucket", "data"])
 
     def after(self, deepest: int) -> np.ndarray:
@@ -399,8 +405,11 @@ def suffix_tree_scores(
     buckets_log = max(5, int(np.ceil(np.log2(max(words / 6 / BUCKET_TOKENS, 1)))))
     asked = source.mapInArrow(_tokenised(path, id_type, buckets_log), REQUEST)
 
-    def answered(requests: DataFrame, what: str) -> DataFrame:
-        return kept(requests.groupBy("bucket").applyInPandas(_added(settings), ANSWER), what)
+    def answered(requests: DataFrame, what: str, known: float = 0.0) -> DataFrame:
+        adds = _added(settings, known)
+        answers = kept(requests.groupBy("bucket").applyInPandas(adds, ANSWER), what)
+        drop_shuffles(session)
+        return answers
 
     first = answered(asked, "words")
     tokens, distinct = first.agg(F.sum("tokens"), F.sum("distinct")).first()
@@ -444,10 +453,10 @@ def suffix_tree_scores(
         )
         return found["c"].to_numpy(np.int64).view(np.uint64)[passed >= settings.gain]
 
-    second = answered(ask(first, 2, model), "pairs")
+    second = answered(ask(first, 2, model), "pairs", _known(model))
     model = model | {"hot": hot_contexts(second)}
     both = first.union(second)
-    third = answered(ask(both, 3, model), "triples")
+    third = answered(ask(both, 3, model), "triples", _known(model))
     model = model | {"hot": np.concatenate((model["hot"], hot_contexts(third)))}
 
     def score(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import sys
 import types
 import uuid
@@ -35,6 +36,13 @@ def kept(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_shuffles(spark: SparkSession) -> None:
+    """Has the driver collect its garbage, upon which Spark removes the files of shuffles that
+    nothing needs any more; else they stay on disk until it happens to do so."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def give_back() -> None:
     """Returns a worker's free memory to the machine: workers outlive their tasks, and what
     one stage's worker keeps for itself the next stage's JVM lacks."""
