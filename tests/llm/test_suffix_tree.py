@@ -114,8 +114,30 @@ def test_an_absolute_count_decides_at_every_size():
         "words": pa.array([[3, 1 << 40, 5 << 50]], pa.list_(pa.uint64())),
     }
     model = {"tokens": 5e9, "distinct": 1e7, "buckets_log": 5, "hot": np.empty(0, np.uint64)}
-    answer = lm.pack({"total": np.array([1000, 32, 31])})
+    answer = lm.pack({"total": np.array([1000, 32, 31]), "wanted": np.zeros(3, np.uint8)})
     answers = pd.DataFrame({"level": [1], "chunk": [0], "bucket": [0], "data": [answer]})
     made = lm.Counted(0, lm.Chunk(pa.table(rows)), answers, model, lm.SuffixTree()).level(2)
     assert {1, 2} - set(made["context"].tolist()) == {2}  # 31 times
     assert 1 in made["context"]  # 32 times
+
+
+@pytest.mark.parametrize("chunk", [lm.CHUNK_TOKENS, 500, 70])
+def test_held_out_copies_of_words_that_occur_once_in_training(spark, monkeypatch, chunk):
+    """Wherever the training text with the word falls, in the same chunk or another."""
+    monkeypatch.setattr(lm, "CHUNK_TOKENS", chunk)
+    random.seed(13)
+    rows = corpus()
+    held = [i for i in range(1000, 2000) if crc(i) % 7 == 2][:25]
+    learnt = [i for i in range(1000, 2000) if crc(i) % 7 != 2][:25]
+    for n, (one, two) in enumerate(zip(held, learnt)):
+        text = f"w1 New York rare{n} w2 w3 New rare{n}b York City rare{n} New York City w{n} rare{n}c"
+        rows += [(two, text, "en", "s", 1), (one, text + f" York rare{n}c City rare{n}b", "en", "s", 1)]
+        rows.append((held[n] + 10**6, f"New York rare{n}", "en", "s", 1))
+    random.shuffle(rows)
+    settings = lm.SuffixTree(least=10)
+    want, _ = brute(rows, settings)
+    got = lm.suffix_tree_scores(odd_table(spark, rows), settings).collect()
+    key = lambda r: (str(r[0]), r[2], r[5])
+    for one, two in zip(sorted(map(tuple, got), key=key), sorted(want, key=key), strict=True):
+        assert one[:5] == two[:5]
+        assert one[6] == pytest.approx(two[6], rel=1e-6)

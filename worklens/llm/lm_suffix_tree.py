@@ -168,7 +168,12 @@ def _added(settings: SuffixTree, known: float):
         if level == 1:
             _, inverse = np.unique(key, return_inverse=True)
             total = np.bincount(inverse, count)
-            answers = [{"total": t} for t in np.split(total[inverse].astype(np.int64), np.cumsum(sizes)[:-1])]
+            wanted = _wanted(total, inverse, count)
+            ends = np.cumsum(sizes)[:-1]
+            answers = [
+                {"total": t, "wanted": w}
+                for t, w in zip(np.split(total[inverse].astype(np.int64), ends), np.split(wanted, ends))
+            ]
             stats = (total.sum(), float((total > 0).sum()))
         else:
             # Contexts stand once per run of keys, with their own counts.
@@ -197,10 +202,12 @@ def _added(settings: SuffixTree, known: float):
             )[first].astype(bool)
             keep = ~hot & (_gain(gain, seen, of, settings) >= settings.gain)
             answers = []
-            totals = np.split(total[inverse].astype(np.int64), np.cumsum(sizes)[:-1])
-            for x, t in zip(asked, totals):
+            ends = np.cumsum(sizes)[:-1]
+            totals = np.split(total[inverse].astype(np.int64), ends)
+            wanted = np.split(_wanted(total, inverse, count), ends)
+            for x, t, w in zip(asked, totals, wanted):
                 at = np.searchsorted(tested, x["context"])
-                answers.append({"total": t, "keep": keep[at].astype(np.uint8)})
+                answers.append({"total": t, "wanted": w, "keep": keep[at].astype(np.uint8)})
             if hot.any():
                 # The parts of tests that other buckets have the rest of.
                 answers[0] |= {
@@ -216,6 +223,13 @@ def _added(settings: SuffixTree, known: float):
     return run
 
 
+def _wanted(total: np.ndarray, inverse: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Of each row, whether its n-gram occurs once in training and another chunk has it in
+    held-out texts only: what longer n-grams have of that one occurrence must be told."""
+    elsewhere = np.bincount(inverse, count == 0) > 0
+    return ((total == 1) & elsewhere)[inverse].astype(np.uint8)
+
+
 def _narrow(arrays: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     """Whole numbers in the smallest type that holds them."""
     return {
@@ -247,31 +261,32 @@ class Counted:
         }
         order = np.argsort(chunk.hash, kind="stable")
         self.count = np.zeros(len(order), np.int64)
-        self.count[order] = self._total(1)
+        self.count[order] = self._answer(1, "total").astype(np.int64)
+        self.wanted = np.zeros(len(order), bool)
+        self.wanted[order] = self._answer(1, "wanted").astype(bool)
         self.share = (self.count + 1) / _known(model)  # a word's own probability
 
-    def _total(self, level: int) -> np.ndarray:
-        return np.concatenate([np.empty(0, np.int64), *(x["total"].astype(np.int64) for x in self.answers.get(level, []))])
+    def _answer(self, level: int, name: str) -> np.ndarray:
+        return np.concatenate([np.empty(0, np.uint8), *(x[name] for x in self.answers.get(level, []))])
 
     def level(self, number: int) -> dict[str, np.ndarray]:
         """The distinct n-grams of order ``number`` after frequent contexts, at each token.
 
         ``at``: for each token the n-gram that it ends, or -1. Of each n-gram: ``context``
         and ``word`` (numbers), ``own`` (its count in this chunk's training texts),
-        ``total`` (once answered), and ``asked``, the order in which it is asked for.
+        ``total`` and ``wanted`` (once answered), and ``asked``, the order in which it is
+        asked for.
         """
         chunk, least = self.chunk, self.settings.least
         if number == 2:
             before = np.concatenate(([0], chunk.tokens[:-1]))
             hashes, occurs = chunk.hash, self.count
             live = chunk.place >= 1
-            shorter_total = self.count
         else:
             lower = self._second()
             before = np.concatenate(([-1], lower["at"][:-1]))
             hashes, occurs = lower["hash"], lower["total"]
             live = (chunk.place >= 2) & (before >= 0)
-            shorter_total = None
         live = live.copy()
         where = np.flatnonzero(live)
         where = where[occurs[before[where]] >= least]
@@ -284,22 +299,24 @@ class Counted:
         at[where] = inverse
         if number == 2:
             shorter = self.share[word]
-            least_shorter = shorter_total[word]
+            tell = (self.count[word] >= 2) | self.wanted[word]
         else:
             some = np.empty(len(code), np.int64)
             some[inverse] = where  # any token that ends it
             shorter = self.after(2)[some]
             pair = lower["at"][some]
-            least_shorter = np.where(pair >= 0, lower["total"][pair], 2)
-        # What occurs once at most without its first word is known here already; of every
-        # context something is asked, to hear whether it is retained.
-        ask = least_shorter >= 2
+            tell = (pair < 0) | (lower["total"][pair] >= 2) | lower["wanted"][pair]
+        # What occurs once at most without its first word is known here already, unless that
+        # is in one chunk's training texts and in another's held-out ones; of every context
+        # something is asked, to hear whether it is retained.
+        ask = tell
         asks = np.bincount(context, ask, len(occurs)) > 0
         silent = np.flatnonzero(~asks[context])
         ask[silent[np.unique(context[silent], return_index=True)[1]]] = True
         made = {
             "at": at, "context": context, "word": word, "own": own, "shorter": shorter,
             "hash": mixed_hash(hashes[context], chunk.hash[word]), "total": own.copy(),
+            "wanted": np.zeros(len(code), bool),
         }
         hot = occurs[context] * HOT_SHARE > self.model["tokens"]
         sym = chunk.hash[word] & HIGH_48
@@ -315,7 +332,8 @@ class Counted:
             "hot": hot[asked], "kept": np.zeros(len(occurs), bool),
         }
         if number in self.answers:
-            made["total"][asked] = self._total(number)
+            made["total"][asked] = self._answer(number, "total").astype(np.int64)
+            made["wanted"][asked] = self._answer(number, "wanted").astype(bool)
             begin = self._runs(made)
             keep = np.concatenate([x["keep"] for x in self.answers[number]]).astype(bool)
             made["kept"][context[asked[begin]]] = keep
