@@ -1,7 +1,7 @@
 """Mixing sources to target weights by iterative proportional fitting (raking).
 
 Documents are summed to cells of source, language and topic. The cells' token weights
-are scaled to each margin's target in turn until all three hold, and each document is
+are scaled to each margin's target in turn, in a fixed number of sweeps, and each document is
 then kept with its cell's calibrated probability. Only cells are raked, so the work
 after one aggregation does not depend on the number of documents.
 """
