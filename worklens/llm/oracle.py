@@ -20,6 +20,35 @@ FROM d
 WINDOW same AS (PARTITION BY norm ORDER BY chars DESC, doc_id NULLS LAST)
 """
 
+HARD_NEGATIVES = """
+WITH v AS (
+  SELECT row_number() OVER () AS u, vec_id,
+         CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND list_count(list_filter(embedding, lambda x: isfinite(x))) = len(embedding)
+), s AS (
+  SELECT a.u, a.vec_id AS anchor_id, v.vec_id, a.label = v.label AS same,
+         CAST(list_inner_product(a.q, v.q) AS BIGINT) AS score
+  FROM v AS a JOIN v ON a.u <> v.u
+  WHERE a.vec_id % 100 = 0
+), p AS (
+  SELECT * FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY u ORDER BY score DESC, vec_id NULLS LAST) <= 5
+), n AS (
+  SELECT p.anchor_id, p.vec_id AS positive_id, p.score AS positive_score,
+         s.vec_id AS negative_id, s.score AS negative_score,
+         row_number() OVER (PARTITION BY p.u, p.vec_id
+                            ORDER BY s.score DESC, s.vec_id NULLS LAST) AS rank
+  FROM p JOIN s ON s.u = p.u
+  WHERE NOT s.same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score
+)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score,
+       negative_score
+FROM n WHERE rank <= 10
+"""
+
 
 def rules_sql() -> str:
     rates = {
@@ -157,4 +186,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_mixing": mixing_sql(),
         "op5_quality_rules": rules_sql(),
         "op10_exact_dedup": EXACT,
+        "op12_hard_negatives": HARD_NEGATIVES,
     }

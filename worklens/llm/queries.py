@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from worklens.llm import (
     bpe,
     exact,
+    hard_negatives,
     lm_suffix_tree,
     mixing,
     oracle,
     quality_fm,
     rules,
     simhash,
+    spelling,
     token_files,
     toxicity_mil,
     windows,
@@ -86,6 +88,17 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.content_groups(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"), garble=31)
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").selectExpr(
+        "vec_id", "if(vec_id % 7 = 0, (label + 1) % 10, label) AS label", "embedding"
+    )
+    return hard_negatives.hard_negatives(vectors, "vec_id % 100 = 0")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """One query per corpus operator."""
     named = (
@@ -99,6 +112,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_id_planes,
         op9_compact_windows,
         op10_exact_dedup,
+        op11_spelling_variants,
+        op12_hard_negatives,
     )
     return {f.__name__: f for f in named}
 
