@@ -17,6 +17,7 @@ from worklens.llm import (
     rules,
     simhash,
     spelling,
+    suffix_levels,
     token_files,
     toxicity_mil,
     windows,
@@ -99,6 +100,16 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.hard_negatives(vectors, "vec_id % 100 = 0")
 
 
+def op13_suffix_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_levels.without_repeats(table(spark, sf_dir, "documents")).selectExpr(
+        "doc_id",
+        "n_bytes",
+        "n_bytes - length(kept) AS n_removed",
+        "CAST(size(spans) AS LONG) AS n_spans",
+        "sha2(kept, 256) AS kept_sha256",
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """One query per corpus operator."""
     named = (
@@ -114,6 +125,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op10_exact_dedup,
         op11_spelling_variants,
         op12_hard_negatives,
+        op13_suffix_levels,
     )
     return {f.__name__: f for f in named}
 
