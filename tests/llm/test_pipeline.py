@@ -44,6 +44,31 @@ def test_simhash_query(spark, database):
     assert {tuple(r) for r in got} == want and len(got) == len(rows)
 
 
+#: Queries that SQL can't express, or only too slowly, and the test that holds each against brute
+#: force, a library or held-out labels.
+WITHOUT_SQL = {
+    "op1_quality_classifier": "test_classifiers",
+    "op2_byte_bpe": "test_bpe",
+    "op4_simhash": "test_simhash",
+    "op6_suffix_tree": "test_suffix_tree",
+    "op7_toxicity": "test_classifiers",
+    "op8_id_planes": "test_token_files",
+    "op9_compact_windows": "test_windows",
+    "op11_spelling_variants": "test_spelling",
+    "op13_suffix_levels": "test_suffix_levels",
+    "pipeline": "test_pipeline",
+}
+
+
+def test_every_query_is_held_against_something():
+    import __spark_entry__ as entry
+
+    corpus = set(queries.queries()) | {"pipeline"}
+    assert corpus - set(entry.oracle_sql()) == set(WITHOUT_SQL)
+    here = os.path.dirname(__file__)
+    assert all(os.path.exists(f"{here}/{module}.py") for module in WITHOUT_SQL.values())
+
+
 def test_every_operator_is_a_query():
     names = list(queries.queries())
     assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 14)]
