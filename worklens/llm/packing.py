@@ -9,8 +9,8 @@ import numpy as np
 import zstandard
 
 
-def pack(arrays: dict[str, np.ndarray]) -> bytes:
-    """Named arrays of numbers as one value."""
+def pack(arrays: dict[str, np.ndarray], level: int = 1) -> bytes:
+    """Named arrays of numbers as one value; ``level`` is zstandard's."""
     parts, head = [], []
     for name, array in arrays.items():
         array = np.ascontiguousarray(array)
@@ -18,7 +18,7 @@ def pack(arrays: dict[str, np.ndarray]) -> bytes:
         parts.append(array.view(np.uint8).reshape(-1, size).T.tobytes() if len(array) else b"")
         head.append([name, array.dtype.str, len(array)])
     text = json.dumps(head).encode()
-    return zstandard.ZstdCompressor(level=1).compress(
+    return zstandard.ZstdCompressor(level=level).compress(
         struct.pack("<i", len(text)) + text + b"".join(parts)
     )
 
