@@ -369,6 +369,58 @@ CARD_RANKING = (
 )
 
 
+#: Elementary stretches between neighbouring borders of a day's intervals, each counted once.
+COVERED = """part AS (
+  SELECT d, greatest(start_at, d + INTERVAL 8 HOUR) AS s, least(end_at, d + INTERVAL 18 HOUR) AS t
+  FROM (SELECT *, unnest(range(CAST(start_at AS DATE), CAST(end_at AS DATE) + INTERVAL 1 DAY,
+                               INTERVAL 1 DAY)) AS d FROM iv)
+), bord AS (
+  SELECT d, b, lead(b) OVER (PARTITION BY d ORDER BY b) AS e
+  FROM (SELECT d, s AS b FROM part WHERE s < t UNION SELECT d, t FROM part WHERE s < t)
+), cov AS (
+  SELECT CAST(d AS DATE) AS day, epoch_us(e) - epoch_us(b) AS covered, 0 AS present
+  FROM bord WHERE EXISTS (SELECT 1 FROM part AS p WHERE p.d = bord.d AND p.s <= b AND p.t >= e)
+)
+SELECT day, CAST(sum(covered) // 1000000 AS BIGINT) AS covered_s,
+       CAST(sum(present) // 1000000 AS BIGINT) AS unavailable_s
+FROM (FROM cov UNION ALL SELECT d, 0, us FROM cut WHERE s IS NOT NULL AND t IS NOT NULL)
+GROUP BY day"""
+
+MANY_PERIODS = clean(
+    "SELECT first_day, last_day, analyst,"
+    " r AS registered_tmo_s, registered, u AS updated_tmo_s, updated"
+    " FROM (SELECT first_day, last_day, analyst, "
+    + ", ".join(
+        f"CAST(sum(duration_us) FILTER (WHERE {kind}) // 1000000"
+        f" // nullif(count(duration_us) FILTER (WHERE {kind}), 0) AS BIGINT) AS {short},"
+        f" count(*) FILTER (WHERE {kind}) AS {name}"
+        for kind, short, name in ((REG, "r", "registered"), (UPD, "u", "updated"))
+    )
+    + " FROM (SELECT DISTINCT d AS first_day, CAST(d + INTERVAL 9 DAY * w AS DATE) AS last_day"
+    " FROM clean, range(12) AS r(w)) AS p JOIN clean ON d BETWEEN first_day AND last_day"
+    f" WHERE {HANDLED} GROUP BY first_day, last_day, analyst)"
+)
+
+REPEATED_UPLOAD = f"""WITH {TASK_LOG}, s AS (
+  SELECT seq, CAST(protocol_id AS STRING) AS protocol_id, analyst, status, outcome, queue,
+         CASE WHEN seq % 30 <> 11 THEN duration_us END AS duration_us,
+         CASE WHEN seq % 40 <> 13 THEN date_trunc('second', completed_at) END AS completed_at,
+         CASE WHEN seq % 40 <> 14 THEN date_trunc('second', started_at) END AS started_at
+  FROM log WHERE {PERSON}
+), first AS (SELECT * FROM s WHERE seq % 10 < 6),
+second AS (
+  SELECT * FROM s WHERE seq % 10 > 3 AND NOT EXISTS (
+    SELECT 1 FROM first AS f WHERE (f.protocol_id, f.analyst, f.status, f.outcome, f.queue,
+      f.duration_us, f.completed_at, f.started_at) IS NOT DISTINCT FROM
+      (s.protocol_id, s.analyst, s.status, s.outcome, s.queue, s.duration_us, s.completed_at,
+       s.started_at))
+)
+SELECT batch, analyst, count(*) AS tasks, count(protocol_id) AS protocols,
+       CAST(sum({CLAMP}) AS BIGINT) AS duration_us
+FROM (SELECT 0 AS batch, * FROM first UNION ALL SELECT 1, * FROM second)
+GROUP BY batch, analyst"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "scan_task_log": raw(
@@ -432,6 +484,26 @@ def oracle_sql() -> dict[str, str]:
             " FROM log, (VALUES ('log'), ('cube')) AS k(kept_in)"
             f" WHERE {PERSON} AND day(completed_at) <= 10 GROUP BY ALL"
         ),
+        "swap_batch": raw(
+            "SELECT version, kept_in, CAST(completed_at AS DATE) AS day, count(*) AS tasks"
+            " FROM (SELECT 'before' AS version, * FROM log"
+            " UNION ALL SELECT 'after', * FROM log WHERE day(completed_at) <= 10"
+            " UNION ALL SELECT 'after', * FROM log WHERE status <> 'Finished'),"
+            f" (VALUES ('log'), ('cube')) AS k(kept_in) WHERE {PERSON} GROUP BY ALL"
+        ),
+        "compact_log": raw(
+            f"SELECT seq, batch, analyst, outcome, {CLAMP} AS duration_us, completed_date,"
+            " count(*) OVER (PARTITION BY completed_date) AS tasks"
+            " FROM (SELECT *, CAST(seq % 4 AS INTEGER) AS batch,"
+            f" CAST(completed_at AS DATE) AS completed_date FROM log WHERE {PERSON}"
+            " AND (seq % 8 = 1 OR seq % 4 = 2 OR seq % 4 = 0 AND day(completed_at) <= 20"
+            " OR seq % 4 = 3 AND day(completed_at) > 20))"
+        ),
+        "ingest_repeated_upload": REPEATED_UPLOAD,
+        "filter_last_days_stored": raw(
+            f"SELECT seq, completed_at FROM log WHERE {PERSON} AND CAST(completed_at AS DATE) >="
+            f" (SELECT CAST(max(completed_at) AS DATE) - 30 FROM log WHERE {PERSON})"
+        ),
         "scan_legacy_log": raw(
             "SELECT seq, duration_us, date_trunc('second', completed_at) AS completed_at,"
             " date_trunc('second', started_at) AS started_at FROM log"
@@ -612,6 +684,11 @@ def oracle_sql() -> dict[str, str]:
             f" {hms('idle_us // 1000000')} AS idle FROM idle",
             *idle("clean"),
         ),
+        "cube_idle_time": clean(
+            f"SELECT analyst, d AS day, idle_us // 1000000 AS idle_s,"
+            f" {hms('idle_us // 1000000')} AS idle FROM idle",
+            *idle("clean"),
+        ),
         "idle_time_mean": clean(
             f"SELECT analyst, s AS idle_mean_s, {hms('s')} AS idle_mean FROM"
             " (SELECT analyst, CAST(sum(idle_us) // (1000000 * count(*)) AS BIGINT) AS s"
@@ -763,6 +840,21 @@ def oracle_sql() -> dict[str, str]:
             *idle("span"),
             CARD_RANKING,
         ),
+        "team_card_stored": clean(
+            "SELECT 'top_registrant' AS item, row_number() OVER (ORDER BY total DESC, analyst)"
+            " AS position, analyst AS label, total AS value FROM ranked"
+            " QUALIFY position <= 5"
+            f" UNION ALL SELECT 'registered_tmo_s', NULL, {hms(mean(REG))}, {mean(REG)} FROM span"
+            f" UNION ALL SELECT 'updated_tmo_s', NULL, {hms(mean(UPD))}, {mean(UPD)} FROM span"
+            f" UNION ALL SELECT 'audited_tmo_s', NULL, {hms(mean(AUD))}, {mean(AUD)} FROM span"
+            f" UNION ALL SELECT 'idle_mean_s', NULL, {hms('s')}, s FROM"
+            " (SELECT CAST(sum(idle_us) // (1000000 * count(*)) AS BIGINT) AS s FROM idle)"
+            " UNION ALL SELECT * FROM (SELECT 'peak_day', NULL, CAST(d AS STRING), count(*) AS c"
+            f" FROM span WHERE {REG} GROUP BY d ORDER BY c DESC, d LIMIT 1)",
+            IN_PERIOD,
+            *idle("span"),
+            CARD_RANKING,
+        ),
         "data_question_aggregates": clean(
             f"SELECT name AS analyst, grouping(name) = 1 AS is_overall, {mean()} AS tmo_s,"
             f" {hms(mean())} AS tmo, count(*) AS tasks"
@@ -770,6 +862,8 @@ def oracle_sql() -> dict[str, str]:
         ),
         "unavailability_daily": f"WITH {INTERVALS}\nSELECT d AS day, s AS start_at, t AS end_at,"
         " us // 60000000 AS minutes FROM cut",
+        "unavailability_covered": f"WITH {INTERVALS}, {COVERED}",
+        "many_periods": MANY_PERIODS,
         "unavailability_share": f"WITH {INTERVALS}, total AS (SELECT"
         " CAST(coalesce(sum(us), 0) // 1000000 AS BIGINT) AS u FROM cut"
         " WHERE d BETWEEN DATE '2024-01-10' AND DATE '2024-01-20'),\n"

@@ -33,9 +33,10 @@ from worklens.operators import (
     reports,
     unavailability,
 )
-from worklens.plans import cube
+from worklens.plans import cube, periods
+from worklens.plans.idle_cube import stored_idle
 from worklens.session import shared_dir
-from worklens.sources import readers, writers
+from worklens.sources import readers, store, writers
 from worklens.sources.events import (
     scan_events,
     task_log_from_events,
@@ -109,14 +110,15 @@ def _halves(log: DataFrame) -> list[DataFrame]:
 
 def scan_task_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _scratch(spark, "scan")
-    log = raw_log(spark, sf_dir)
-    log.withColumns(
+    log = raw_log(spark, sf_dir).withColumns(
         {
             "protocol_id": F.col("protocol_id").cast("string"),
-            "completed_date": F.to_date("completed_at"),
             "batch": F.lit(0),
+            "completed_date": F.to_date("completed_at"),
         }
-    ).write.mode("overwrite").partitionBy("batch", "completed_date").parquet(path)
+    )
+    entries = store.stage_log(log, path, "s0")
+    store.switch(spark, store.Snapshot(path, entries=tuple(entries)))
     return readers.scan_task_log(spark, path).select(
         "seq", "protocol_id", "analyst", "outcome", "queue", "duration_us", "justification"
     )
@@ -152,7 +154,7 @@ def write_task_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _scratch(spark, "write")
     log = raw_log(spark, sf_dir).withColumn("protocol_id", F.col("protocol_id").cast("string"))
     for batch_no, batch in enumerate(_halves(log)):
-        writers.write_task_log(batch, batch_no, f"{path}/log", f"{path}/adjustments")
+        writers.write_task_log(batch, batch_no, f"{path}/log")
     return readers.scan_task_log(spark, f"{path}/log").select(
         "seq", "protocol_id", "analyst", "outcome", "duration_us", "completed_at",
         "completed_date", "batch",
@@ -189,9 +191,7 @@ def ingest_landing(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw_text(spark, sf_dir).drop("seq").withColumn("ID NIP", F.lit("x")).write.mode(
         "overwrite"
     ).csv(f"{path}/in", header=True)
-    ingest_landed(
-        spark, f"{path}/in", f"{path}/log", f"{path}/adjustments", f"{path}/checkpoint"
-    )
+    ingest_landed(spark, f"{path}/in", f"{path}/log", f"{path}/checkpoint")
     return readers.scan_task_log(spark, f"{path}/log").select(
         "protocol_id", "analyst", "outcome", "duration_us", "completed_at", "started_at",
         "completed_date",
@@ -210,9 +210,7 @@ def _upload(rows: DataFrame, path: str, dialect: CsvDialect = COMMA) -> None:
 
 
 def _landed(spark: SparkSession, path: str, **options) -> DataFrame:
-    ingest_landed(
-        spark, f"{path}/in/*", f"{path}/log", f"{path}/adjustments", f"{path}/checkpoint", **options
-    )
+    ingest_landed(spark, f"{path}/in/*", f"{path}/log", f"{path}/checkpoint", **options)
     return readers.scan_task_log(spark, f"{path}/log")
 
 
@@ -240,9 +238,7 @@ def ingest_mixed_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     _upload(turned.filter("part IN (3, 4, 5, 6)"), f"{path}/in/u1")
     more = rows.selectExpr("*", "concat('d', part) AS day", "part AS n").drop("queue")
     _upload(more.filter("part > 6"), f"{path}/in/u2")
-    ingest_landed(
-        spark, f"{path}/in/*", f"{path}/log", f"{path}/adjustments", f"{path}/checkpoint"
-    )
+    ingest_landed(spark, f"{path}/in/*", f"{path}/log", f"{path}/checkpoint")
     extra = T.StructType([T.StructField(f"x_{c}", T.StringType()) for c in ("day", "n")])
     return readers.scan_task_log(spark, f"{path}/log", extra).select(
         "seq", "protocol_id", "analyst", "outcome", "queue", "duration_us", "completed_date",
@@ -270,14 +266,14 @@ def rewrite_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = raw_log(spark, sf_dir).withColumn("protocol_id", F.col("protocol_id").cast("string"))
     fewer = log.filter("day(completed_at) <= 10")
     for batch_no, batch in ((0, log), (1, log), (0, fewer), (1, log.filter("false"))):
-        writers.write_task_log(
-            batch, batch_no, f"{path}/log", f"{path}/adjustments", cube_path=f"{path}/cube"
-        )
+        writers.write_task_log(batch, batch_no, path, with_cube=True)
+    return _tasks_per_day(spark, store.snapshot(spark, path))
+
+
+def _tasks_per_day(spark: SparkSession, found: store.Snapshot) -> DataFrame:
     per_day = {
-        "log": readers.scan_task_log(spark, f"{path}/log").selectExpr(
-            "completed_date AS day", "1L AS n"
-        ),
-        "cube": cube.scan_cube(spark, f"{path}/cube").select("day", "n"),
+        "log": store.scan_log(spark, found).selectExpr("completed_date AS day", "1L AS n"),
+        "cube": cube.scan_stored_cube(spark, found).select("day", "n"),
     }
     counted = [
         rows.groupBy("day").agg(F.sum("n").alias("tasks")).selectExpr(f"'{name}' AS kept_in", "*")
@@ -286,6 +282,103 @@ def rewrite_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted[0].union(counted[1])
 
 
+def swap_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tasks per day of the log and of the cube, as a snapshot taken before a batch was replaced
+    still shows them, and as they are after it; the segment of a write that never switched
+    is in neither."""
+    path = _scratch(spark, "swap")
+    log = raw_log(spark, sf_dir).withColumn("protocol_id", F.col("protocol_id").cast("string"))
+    for batch_no, batch in enumerate(_halves(log)):
+        writers.write_task_log(batch, batch_no, path, with_cube=True)
+    before = store.snapshot(spark, path)
+    staged = log.withColumns({"batch": F.lit(9), "completed_date": F.to_date("completed_at")})
+    store.stage_log(staged, path, store.new_segment())
+    writers.write_task_log(log.filter("day(completed_at) <= 10"), 0, path, with_cube=True)
+    shown = [
+        _tasks_per_day(spark, found).selectExpr(f"'{name}' AS version", "*")
+        for name, found in (("before", before), ("after", store.snapshot(spark, path)))
+    ]
+    return shown[0].union(shown[1])
+
+
+def compact_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored log after its batches were merged into a base, one of them was replaced, all
+    were merged again, and a last one came: rows with their places in the log's order, and
+    how many tasks the cube has on their day."""
+    path = _scratch(spark, "compact")
+    log = raw_log(spark, sf_dir).withColumn("protocol_id", F.col("protocol_id").cast("string"))
+
+    def write(batch_no: int, rows: str) -> None:
+        writers.write_task_log(log.filter(rows), batch_no, path, with_cube=True)
+
+    for batch_no in range(3):
+        write(batch_no, f"seq % 4 = {batch_no}")
+    writers.compact_log(spark, path)
+    write(1, "seq % 8 = 1")
+    writers.compact_log(spark, path)
+    write(0, "seq % 4 = 0 AND day(completed_at) <= 20")
+    write(3, "seq % 4 = 3 AND day(completed_at) > 20")
+    stored = readers.scan_task_log(spark, path)
+    tasks = (
+        cube.scan_stored_cube(spark, store.snapshot(spark, path))
+        .groupBy(F.col("day").alias("completed_date"))
+        .agg(F.sum("n").alias("tasks"))
+    )
+    return stored.join(tasks, "completed_date").select(
+        "seq", "batch", "analyst", "outcome", "duration_us", "completed_date", "tasks"
+    )
+
+
+def filter_last_days_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The latest days of the stored log, known without a scan."""
+    path = _scratch(spark, "latest")
+    writers.write_task_log(raw_log(spark, sf_dir), 0, path)
+    return readers.scan_last_days(spark, path, RECENT_DAYS).select("seq", "completed_at")
+
+
+def cube_idle_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Idle time from the summaries of batches of which two interleave."""
+    path = _scratch(spark, "idle")
+    log = raw_log(spark, sf_dir).withColumn("protocol_id", F.col("protocol_id").cast("string"))
+    splits = ("day(completed_at) <= 10", "seq % 2 = 0", "seq % 2 = 1")
+    for batch_no, rows in enumerate(splits):
+        chosen = rows if batch_no == 0 else f"NOT ({splits[0]}) AND {rows}"
+        writers.write_task_log(log.filter(chosen), batch_no, path, with_idle=True)
+    return idle.idle_time_daily(stored_idle(spark, store.snapshot(spark, path)))
+
+
+def team_card_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The team card of the stored log, from its cube and its summaries of idle time."""
+    path = _scratch(spark, "card")
+    log = raw_log(spark, sf_dir).withColumn("protocol_id", F.col("protocol_id").cast("string"))
+    writers.write_task_log(log, 0, path, with_cube=True, with_idle=True)
+    found = store.snapshot(spark, path).between(FIRST, LAST)
+    return reports.team_card(
+        store.scan_log(spark, found), FIRST, LAST, cube=cube.scan_stored_cube(spark, found),
+        idle_days=stored_idle(spark, found, FIRST, LAST),
+    )
+
+
+def many_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twelve overlapping periods from each day with tasks on."""
+    log = clean_log(spark, sf_dir)
+    days = log.selectExpr("to_date(completed_at) AS first_day").distinct()
+    ends = "explode(transform(sequence(0, 11), w -> date_add(first_day, 9 * w))) AS last_day"
+    return periods.many_periods(log, days.selectExpr("first_day", ends))
+
+
+def ingest_repeated_upload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An export, one that repeats part of it beside new rows, and the first one again."""
+    path, rows = _scratch(spark, "again"), _uploaded(spark, sf_dir)
+    for number, part in enumerate(("part < 6", "part > 3", "part < 6")):
+        _upload(rows.filter(part), f"{path}/in/u{number}")
+    log = _landed(spark, path, files_per_batch=1, new_rows_only=True)
+    return log.groupBy("batch", "analyst").agg(
+        F.count("*").alias("tasks"), F.count("protocol_id").alias("protocols"),
+        F.sum("duration_us").alias("duration_us"),
+    )
+
+
 def scan_legacy_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A log with times and durations in whole nanoseconds."""
     path = _scratch(spark, "legacy")
@@ -302,8 +395,8 @@ def scan_legacy_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 def period_from_stored_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page's period read from the stored log: only its days' folders."""
     path = _scratch(spark, "stored")
-    writers.write_task_log(raw_log(spark, sf_dir), 0, f"{path}/log", f"{path}/adjustments")
-    stored = readers.scan_task_log(spark, f"{path}/log")
+    writers.write_task_log(raw_log(spark, sf_dir), 0, path)
+    stored = readers.scan_task_log(spark, path, first=FIRST, last=LAST)
     return overview.daily_productivity(filters.filter_period(stored, FIRST, LAST))
 
 
@@ -351,6 +444,9 @@ def queries() -> dict[str, Query]:
         "ingest_mixed_headers": ingest_mixed_headers,
         "ingest_quoted_text": ingest_quoted_text,
         "rewrite_batch": rewrite_batch,
+        "swap_batch": swap_batch,
+        "compact_log": compact_log,
+        "ingest_repeated_upload": ingest_repeated_upload,
         "scan_legacy_log": scan_legacy_log,
         "period_from_stored_log": period_from_stored_log,
         # filters, roster
@@ -360,6 +456,7 @@ def queries() -> dict[str, Query]:
         "filter_last_days": raw(
             lambda log: filters.filter_last_days(log, RECENT_DAYS).select("seq", "completed_at")
         ),
+        "filter_last_days_stored": filter_last_days_stored,
         "default_roster": default_roster,
         "filter_analysts": filter_analysts,
         "drop_doubt_outliers": raw(
@@ -425,6 +522,7 @@ def queries() -> dict[str, Query]:
         "idle_time_daily": clean(idle.idle_time_daily),
         "idle_time_mean": clean(idle.idle_time_mean),
         "idle_time_total": clean(idle.idle_time_total),
+        "cube_idle_time": cube_idle_time,
         "analyst_monthly_tmo": clean(individual.analyst_monthly_tmo),
         "analyst_monthly_tmo_long": clean(
             lambda log: overview.monthly_tmo_long(individual.analyst_monthly_tmo(log), ["analyst"])
@@ -466,9 +564,12 @@ def queries() -> dict[str, Query]:
         "registration_report": clean(lambda log: reports.registration_report(log, FIRST, LAST)),
         "analyst_scorecard": clean(lambda log: reports.analyst_scorecard(log, FIRST, LAST)),
         "team_card": clean(lambda log: reports.team_card(log, FIRST, LAST)),
+        "team_card_stored": team_card_stored,
+        "many_periods": many_periods,
         "data_question_aggregates": clean(reports.data_question_aggregates),
         # unavailability
         "unavailability_daily": on(intervals, unavailability.unavailability_daily),
+        "unavailability_covered": on(intervals, unavailability.unavailability_covered),
         "unavailability_share": on(
             intervals,
             lambda df: unavailability.unavailability_share(

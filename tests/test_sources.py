@@ -9,6 +9,7 @@ from worklens.operators.cleaning import standardise_task_log
 from worklens.schema import PORTUGUESE_HEADERS
 from worklens.session import shared_dir
 from worklens.sources import readers, writers
+from worklens.sources.store import snapshot
 from worklens.streaming.landing import ingest_landed
 
 HEADER = "ID NIP,NÚMERO DO PROTOCOLO,USUÁRIO QUE CONCLUIU A TAREFA,FINALIZAÇÃO," \
@@ -33,6 +34,10 @@ def stored(spark, path):
     return rows(log, "protocol_id", "analyst", "duration_us", "completed_date")
 
 
+def adjustments(spark, root, batch):
+    return f"{root}/adjustments/segment={snapshot(spark, root).adjustments[batch]}"
+
+
 def test_nothing_stored_yet(spark, tmp_path):
     log = readers.scan_task_log(spark, str(tmp_path / "none"))
     assert log.count() == 0 and "justification" in log.columns
@@ -40,36 +45,39 @@ def test_nothing_stored_yet(spark, tmp_path):
 
 def test_upload_write_and_repeat(spark, tmp_path):
     upload(tmp_path / "in.csv", *LINES)
-    log, adjustments = str(tmp_path / "log"), str(tmp_path / "adjustments")
+    log = str(tmp_path / "log")
     batch = readers.scan_export(spark, str(tmp_path / "in.csv"), PORTUGUESE_HEADERS)
     assert "ID NIP" not in batch.columns
     for _ in range(2):
-        assert writers.write_task_log(batch, 1, log, adjustments) is True
+        assert writers.write_task_log(batch, 1, log) is True
         assert stored(spark, log) == STORED
-    logged = spark.read.option("header", True).csv(f"{adjustments}/batch=1")
+    logged = spark.read.option("header", True).csv(adjustments(spark, log, 1))
     assert rows(logged) == [("1", "REGISTERED", str(5 * MINUTE), str(20 * MINUTE))]
     upload(tmp_path / "more.csv", LINES[2].replace(",3,", ",9,"))
     more = readers.scan_export(spark, str(tmp_path / "more.csv"), PORTUGUESE_HEADERS)
-    assert writers.write_task_log(more, 2, log, adjustments) is False
+    assert writers.write_task_log(more, 2, log) is False
     assert len(stored(spark, log)) == 4
-    message = spark.read.text(f"{adjustments}/batch=2").first()[0]
+    assert rows(readers.scan_adjustments(spark, log)) == [
+        (1, "1", "REGISTERED", 5 * MINUTE, 20 * MINUTE)
+    ]
+    message = spark.read.text(adjustments(spark, log, 2)).first()[0]
     assert message == writers.NO_ADJUSTMENT
 
 
 def test_a_batch_without_rows(spark, tmp_path, make_log):
-    log, adjustments = str(tmp_path / "log"), str(tmp_path / "adjustments")
+    log = str(tmp_path / "log")
     empty = make_log({"analyst": None})
-    assert writers.write_task_log(empty, 0, log, adjustments) is False
-    assert writers.write_task_log(make_log(), 1, log, adjustments) is False
-    assert spark.read.text(f"{adjustments}/batch=0").count() == 1
-    assert writers.write_task_log(make_log({}), 2, log, adjustments) is False
+    assert writers.write_task_log(empty, 0, log) is False
+    assert writers.write_task_log(make_log(), 1, log) is False
+    assert spark.read.text(adjustments(spark, log, 0)).count() == 1
+    assert writers.write_task_log(make_log({}), 2, log) is False
     assert readers.scan_task_log(spark, log).count() == 1
 
 
 def test_columns_we_do_not_know_are_kept(spark, tmp_path, make_log):
     path = str(tmp_path / "log")
     for batch_no, batch in enumerate((make_log({}), make_log({}).selectExpr("*", "'hi' AS `a b`"))):
-        writers.write_task_log(batch, batch_no, path, str(tmp_path / "adjustments"))
+        writers.write_task_log(batch, batch_no, path)
     assert "x_a b" not in readers.scan_task_log(spark, path).columns
     extra = T.StructType([T.StructField("x_a b", T.StringType())])
     assert rows(readers.scan_task_log(spark, path, extra), "batch", "x_a b") == [(0, None), (1, "hi")]
@@ -77,7 +85,7 @@ def test_columns_we_do_not_know_are_kept(spark, tmp_path, make_log):
 
 def test_day_partitions_are_pruned(spark, tmp_path, make_log):
     log = make_log({}, {"completed_at": dt.datetime(2024, 2, 1)})
-    writers.write_task_log(log, 0, str(tmp_path / "log"), str(tmp_path / "adj"))
+    writers.write_task_log(log, 0, str(tmp_path / "log"))
     one = readers.scan_task_log(spark, str(tmp_path / "log")).filter(
         "completed_date = '2024-02-01'"
     )
@@ -87,7 +95,7 @@ def test_day_partitions_are_pruned(spark, tmp_path, make_log):
 
 
 def test_landing_folder_takes_each_file_once(spark, tmp_path):
-    paths = [str(tmp_path / p) for p in ("in", "log", "adjustments", "checkpoint")]
+    paths = [str(tmp_path / p) for p in ("in", "log", "checkpoint")]
     upload(tmp_path / "in" / "a.csv", *LINES)
     for _ in range(2):
         ingest_landed(spark, *paths, headers=PORTUGUESE_HEADERS)

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from worklens.operators import cleaning, individual, overview, reports
 from worklens.operators.cleaning import standardise_task_log
 from worklens.sources import readers, uploads, writers
+from worklens.sources.store import snapshot
 from worklens.streaming.landing import ingest_landed
 
 
@@ -44,7 +45,7 @@ def test_first_rows_do_not_depend_on_the_batches(spark, tmp_path, files_per_batc
     put(tmp_path / "in", "z.csv", head + "P1,ana,Q,00:10:00,WITHDRAWN\n", 1000)
     more = "P1,bob,Q,00:10:00,REGISTERED\n" * 50
     put(tmp_path / "in", "a.csv", head + more, 2000)
-    paths = [str(tmp_path / p) for p in ("in", "log", "adjustments", "checkpoint")]
+    paths = [str(tmp_path / p) for p in ("in", "log", "checkpoint")]
     ingest_landed(spark, *paths, files_per_batch=files_per_batch)
     summary = overview.queue_summary(readers.scan_task_log(spark, paths[1]))
     assert rows(summary.filter("part = 'handled'"), "queue", "out_of_scope") == [("Q", 1)]
@@ -87,32 +88,32 @@ def test_headers_differ(spark, tmp_path):
 
 def test_an_empty_landing_folder(spark, tmp_path):
     (tmp_path / "in").mkdir()
-    paths = [str(tmp_path / p) for p in ("in", "log", "adjustments", "checkpoint")]
+    paths = [str(tmp_path / p) for p in ("in", "log", "checkpoint")]
     ingest_landed(spark, *paths)
     assert readers.scan_task_log(spark, paths[1]).count() == 0
     assert readers.scan_export(spark, paths[0]).count() == 0
 
 
 def test_a_batch_written_again_replaces_all_its_days(spark, tmp_path, make_log):
-    from worklens.plans.cube import scan_cube
+    from worklens.plans.cube import scan_stored_cube
 
-    paths = [str(tmp_path / p) for p in ("log", "adjustments")]
-    cube = str(tmp_path / "cube")
+    root = str(tmp_path / "log")
 
     def state():
-        stored = readers.scan_task_log(spark, paths[0])
-        total = scan_cube(spark, cube).agg(F.sum("n")).first()[0] or 0
+        stored = readers.scan_task_log(spark, root)
+        cube = scan_stored_cube(spark, snapshot(spark, root))
+        total = cube.agg(F.sum("n")).first()[0] or 0
         return rows(stored, "batch", "completed_date"), total
 
     days = [dt.datetime(2024, 1, d) for d in (1, 2, 3)]
     three = make_log(*[{"completed_at": d} for d in days])
     other = make_log({"completed_at": days[0]})
-    writers.write_task_log(other, 7, *paths, cube_path=cube)
-    writers.write_task_log(three, 0, *paths, cube_path=cube)
+    writers.write_task_log(other, 7, root, with_cube=True)
+    writers.write_task_log(three, 0, root, with_cube=True)
     assert len(state()[0]) == 4 and state()[1] == 4
-    writers.write_task_log(make_log({"completed_at": days[1]}), 0, *paths, cube_path=cube)
+    writers.write_task_log(make_log({"completed_at": days[1]}), 0, root, with_cube=True)
     assert state() == ([(0, days[1].date()), (7, days[0].date())], 2)
-    writers.write_task_log(make_log(), 0, *paths, cube_path=cube)
+    writers.write_task_log(make_log(), 0, root, with_cube=True)
     assert state() == ([(7, days[0].date())], 1)
 
 
@@ -170,7 +171,7 @@ def test_columns_of_uploads_are_never_taken_for_ours(spark, tmp_path, make_log):
         individual.daily_task_count, reports.data_question_aggregates,
     ):
         assert rows(operator(odd)) == rows(operator(plain)), operator.__name__
-    writers.write_task_log(odd, 3, str(tmp_path / "log"), str(tmp_path / "adjustments"))
+    writers.write_task_log(odd, 3, str(tmp_path / "log"))
     extra = T.StructType([T.StructField(f"x_{c}", T.StringType()) for c in CAPTURED])
     stored = readers.scan_task_log(spark, str(tmp_path / "log"), extra)
     assert rows(stored, "completed_date", "batch", "x_day", "x_batch") == [
@@ -197,9 +198,9 @@ def plan(df):
 
 
 def test_plans(spark, tmp_path, make_log):
-    paths = [str(tmp_path / p) for p in ("log", "adjustments")]
-    writers.write_task_log(make_log({}, {"protocol_id": None}), 0, *paths)
-    log = readers.scan_task_log(spark, paths[0])
+    root = str(tmp_path / "log")
+    writers.write_task_log(make_log({}, {"protocol_id": None}), 0, root)
+    log = readers.scan_task_log(spark, root)
     assert "SortAggregate" not in plan(overview.queue_summary(log))
     card = reports.team_card(log, dt.date(2024, 1, 1), dt.date(2024, 1, 31))
     final = plan(card).split("+- == Initial Plan ==")[0]

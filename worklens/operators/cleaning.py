@@ -142,6 +142,17 @@ def duration_adjustments(log: DataFrame, vocabulary: Vocabulary = DEFAULT) -> Da
     ).filter("duration_before_us <> duration_after_us")
 
 
+#: What is logged of a change.
+ADJUSTMENTS = (
+    "protocol_id", "outcome", "duration_before_us", "duration_us AS duration_after_us",
+)
+
+
+def adjustments_of(stored: DataFrame) -> DataFrame:
+    """The rows of a stored log whose duration the cleaning changed."""
+    return stored.filter("duration_before_us <> duration_us")
+
+
 def clean_batch(batch: DataFrame, vocabulary: Vocabulary = DEFAULT) -> DataFrame:
     """The cleaning of one batch: drop columns, drop robot rows, clamp durations."""
     kept = drop_listed_columns(batch, vocabulary)

@@ -17,6 +17,8 @@ start, so neither an analyst nor a start is ever one window partition:
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame
 
 from worklens.config import IDLE_LIMIT_HOURS, MICROS
@@ -37,11 +39,25 @@ def _gap(next_start: str, end: str) -> str:
 
 
 def idle_by_day(log: DataFrame, slice_hours: int = SLICE_HOURS) -> DataFrame:
-    """Per analyst and day of end: counted idle microseconds, 0 on days without a gap."""
+    """Per analyst and day of end: counted idle microseconds, 0 on days without a gap.
+
+    Takes a log, or the same table made from stored summaries, which is returned as it is.
+    """
+    if "idle_us" in log.columns:
+        return log
+    return chained_slices(idle_slices(log, slice_hours))
+
+
+def idle_slices(
+    log: DataFrame, slice_hours: int = SLICE_HOURS, by: Iterable[str] = ()
+) -> DataFrame:
+    """Per analyst, slice and day of end (and the columns ``by``): the idle time within the
+    slice, its first and last start, and, on the day on which its last task ended, that end."""
+    own = [*by, "analyst"]
     worked = log.filter(
         "analyst IS NOT NULL AND started_at IS NOT NULL AND completed_at IS NOT NULL"
     ).selectExpr(
-        "analyst",
+        *own,
         "started_at",
         f"{order_of(log.columns)} AS place",
         "completed_at AS end",
@@ -50,7 +66,7 @@ def idle_by_day(log: DataFrame, slice_hours: int = SLICE_HOURS) -> DataFrame:
 
     # 1. one row per analyst, start and day of end
     starts = (
-        worked.groupBy("analyst", "started_at", "day")
+        worked.groupBy(*own, "started_at", "day")
         .agg(
             *exprs(
                 {
@@ -61,7 +77,7 @@ def idle_by_day(log: DataFrame, slice_hours: int = SLICE_HOURS) -> DataFrame:
             )
         )
         .selectExpr(
-            "analyst",
+            *own,
             "day",
             "started_at",
             "last_place",
@@ -76,24 +92,29 @@ def idle_by_day(log: DataFrame, slice_hours: int = SLICE_HOURS) -> DataFrame:
     # 2. the next start inside the slice
     chained = starts.selectExpr(
         "*",
-        "lead(started_at) OVER (PARTITION BY analyst, slice ORDER BY started_at, last_place)"
+        f"lead(started_at) OVER (PARTITION BY {', '.join(own)}, slice"
+        " ORDER BY started_at, last_place)"
         " AS next_start",
     )
-    slices = chained.groupBy("analyst", "slice", "day").agg(
+    return chained.groupBy(*own, "slice", "day").agg(
         *exprs(
             {
                 "idle": f"sum(inner_gaps + {_gap('next_start', 'last_end')})",
                 "first_start": "min(started_at)",
+                "last_start": "max(started_at)",
                 # set only in the row of the day on which the slice's last task ended
                 "open_end": "max(IF(next_start IS NULL, last_end, NULL))",
             }
         )
     )
 
+
+def chained_slices(slices: DataFrame, order: str = "slice") -> DataFrame:
+    """Idle time per analyst and day from slices, which ``order`` puts one after another."""
     # 3. the first start of a later slice, for the task each slice leaves open
     closed = slices.selectExpr(
         "*",
-        "min(first_start) OVER (PARTITION BY analyst ORDER BY slice DESC"
+        f"min(first_start) OVER (PARTITION BY analyst ORDER BY {order} DESC"
         " RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS next_start",
     ).selectExpr("analyst", "day", f"idle + {_gap('next_start', 'open_end')} AS idle")
     days = closed.groupBy("analyst", "day").agg(*exprs({"idle": "sum(idle)"}))

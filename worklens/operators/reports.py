@@ -243,12 +243,17 @@ def registration_report(
 
 
 def analyst_scorecard(
-    log: DataFrame, first: dt.date, last: dt.date, vocabulary: Vocabulary = DEFAULT
+    log: DataFrame,
+    first: dt.date,
+    last: dt.date,
+    vocabulary: Vocabulary = DEFAULT,
+    idle_days: DataFrame | None = None,
 ) -> DataFrame:
     """Per analyst of the period: means, mean daily idle time, and the mean of each queue.
 
     One row per analyst and queue with handled tasks; the queue is null for an
-    analyst without any. A figure without data shows as ``N/A``.
+    analyst without any. A figure without data shows as ``N/A``. ``idle_days`` is the idle
+    time of the period, if it is at hand from stored summaries.
     """
     chosen = filter_analysts(filter_period(log, first, last))
     handled = among("outcome", vocabulary.handled)
@@ -275,7 +280,9 @@ def analyst_scorecard(
         f"max({listed}) OVER (PARTITION BY analyst) AS any_listed",
         "row_number() OVER (PARTITION BY analyst ORDER BY queue) AS place",
     ).filter("queue IS NOT NULL OR (NOT any_listed AND place = 1)")
-    return figures.join(idle_time_mean(chosen), "analyst", "left").selectExpr(
+    return figures.join(
+        idle_time_mean(chosen if idle_days is None else idle_days), "analyst", "left"
+    ).selectExpr(
         "analyst",
         f"{shown('registered_s')} AS registered_tmo",
         f"{shown('updated_s')} AS updated_tmo",
@@ -293,11 +300,13 @@ def team_card(
     roster: Roster = None,
     cube: DataFrame | None = None,
     vocabulary: Vocabulary = DEFAULT,
+    idle_days: DataFrame | None = None,
 ) -> DataFrame:
     """The team at a glance, one row per figure: top registrants, means, idle time, peak day.
 
     All but the idle time comes from an activity cube: the one at hand, or one made
-    here; Spark reads the log once per different filter on it.
+    here; Spark reads the log once per different filter on it. ``idle_days`` is the idle time
+    of the period from stored summaries; with it and a stored cube the log is not read.
     """
     log = filter_period(log, first, last)
     if cube is None:
@@ -316,7 +325,7 @@ def team_card(
         .selectExpr("item", no_position, f"{hms('value')} AS label", "value")
     )
     idle = (
-        idle_by_day(log)
+        idle_by_day(log if idle_days is None else idle_days)
         .selectExpr(f"sum(idle_us) div nullif(count(idle_us) * {MICROS}, 0L) AS value")
         .selectExpr("'idle_mean_s' AS item", no_position, f"{hms('value')} AS label", "value")
     )

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from worklens.config import MICROS, WORKDAY_END_HOUR, WORKDAY_START_HOUR
 from worklens.functions.calendar import date, interval_us
 from worklens.functions.durations import hours_minutes
+from worklens.functions.sql import exprs
 
 
 def _clipped(intervals: DataFrame) -> DataFrame:
@@ -50,3 +51,41 @@ def unavailability_share(intervals: DataFrame, first: dt.date, last: dt.date) ->
             f"{hours_minutes('worked_s')} AS worked",
         )
     )
+
+
+def unavailability_covered(intervals: DataFrame) -> DataFrame:
+    """Per day: the seconds that intervals cover within the working hours, each moment once, and
+    beside them the present ``unavailable_s``, booked on the day of the start with overlaps
+    counted twice. An interval over several days covers the working hours of each of them.
+    """
+    known = intervals.filter("start_at < end_at")
+    days = "explode(sequence(to_date(start_at), to_date(end_at)))"
+    hours = f"explode(sequence({WORKDAY_START_HOUR}, {WORKDAY_END_HOUR - 1}))"
+    opens = "CAST(day AS TIMESTAMP_NTZ) + make_dt_interval(0, hour)"
+    # Pieces of an hour at most: neither a day nor an hour with very many intervals is one
+    # large group, as equal starts are reduced before the shuffle.
+    pieces = (
+        known.selectExpr("*", f"{days} AS day")
+        .selectExpr("*", f"{hours} AS hour")
+        .selectExpr(
+            "day", "hour", f"greatest(start_at, {opens}) AS start_at",
+            f"least(end_at, {opens} + INTERVAL '1' HOUR) AS end_at",
+        )
+        .filter("start_at < end_at")
+        .groupBy("day", "hour", "start_at")
+        .agg(*exprs({"end_at": "max(end_at)"}))
+    )
+    before = (
+        "max(end_at) OVER (PARTITION BY day, hour ORDER BY start_at"
+        " ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    )
+    new = pieces.selectExpr(
+        "day", f"end_at - greatest(start_at, coalesce({before}, start_at)) AS new"
+    )
+    covered = new.filter("new > INTERVAL '0' SECOND").selectExpr(
+        "day", f"{interval_us('new')} AS covered_us", "0L AS length_us"
+    )
+    present = _clipped(intervals).selectExpr("day", "0L AS covered_us", "length_us")
+    sums = {f"{n}_s": f"sum({c}) div {MICROS}" for n, c in
+            (("covered", "covered_us"), ("unavailable", "length_us"))}
+    return covered.union(present).groupBy("day").agg(*exprs(sums))

@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 from worklens.functions.calendar import day_of, is_cube
 from worklens.functions.measures import MEASURES, with_measures
 from worklens.functions.sql import exprs
+from worklens.sources.store import Snapshot, scan_beside
 
 KEYS = ("day", "analyst", "queue", "outcome", "status", "over_doubt_limit")
 
@@ -57,6 +58,18 @@ def add_to_cube(batch: DataFrame, batch_no: int, path: str) -> None:
     )
 
 
+def cube_of_batches(log: DataFrame) -> DataFrame:
+    """The cube of a stored log, each batch by itself."""
+    keyed = with_measures(log).withColumn("day", F.expr(day_of(log)))
+    cube = keyed.groupBy(*KEYS, "batch").agg(*exprs({m: f"sum({m})" for m in MEASURES}))
+    return cube.select(*CUBE.names)
+
+
+def scan_stored_cube(spark: SparkSession, found: Snapshot) -> DataFrame:
+    """The cube of a snapshot of the stored log."""
+    return scan_beside(spark, found, "cube", CUBE, cube_of_batches)
+
+
 def scan_cube(spark: SparkSession, path: str) -> DataFrame:
     """The stored cubes of all batches, or an empty one; ``day`` prunes files."""
     try:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Mapping
 
 from pyspark.errors import AnalysisException
@@ -11,38 +12,51 @@ from pyspark.sql import types as T
 
 from worklens.config import DEFAULT, Vocabulary
 from worklens.functions.calendar import parse_interval_time
-from worklens.operators.cleaning import rename_headers, standardise_task_log
-from worklens.schema import DURATION_BEFORE, TASK_LOG, UNAVAILABILITY_TEXT
-from worklens.sources.uploads import COMMA, CsvDialect, files_at, scan_uploads
-
-STORED_LOG = T.StructType(
-    TASK_LOG.fields
-    + [
-        DURATION_BEFORE,
-        T.StructField("completed_date", T.DateType()),
-        T.StructField("batch", T.IntegerType()),
-    ]
+from worklens.operators.cleaning import (
+    ADJUSTMENTS,
+    adjustments_of,
+    rename_headers,
+    standardise_task_log,
 )
+from worklens.schema import UNAVAILABILITY_TEXT
+from worklens.sources.store import STORED_LOG, scan_log, snapshot
+from worklens.sources.uploads import COMMA, CsvDialect, files_at, scan_uploads
+__all__ = [
+    "STORED_LOG", "scan_adjustments", "scan_export", "scan_last_days", "scan_legacy_log",
+    "scan_task_log", "scan_unavailability",
+]
 
 
 def scan_task_log(
-    spark: SparkSession, path: str, extra: T.StructType | None = None
+    spark: SparkSession,
+    root: str,
+    extra: T.StructType | None = None,
+    first: dt.date | None = None,
+    last: dt.date | None = None,
 ) -> DataFrame:
-    """The stored log, or an empty one if nothing has been stored yet.
+    """The stored log's newest version, or an empty log if nothing has been stored yet.
 
-    The schema is declared, so nothing is inferred and only the columns an
-    operator uses are read; ``completed_date`` and ``batch`` prune files.
-    ``extra`` names further columns the uploads had, as stored (``x_`` before their names);
-    files without them give null. Rows stand in the order of ``batch``, then ``seq``.
+    The schema is declared, so nothing is inferred and only the columns an operator uses are
+    read; a filter on ``completed_date`` prunes folders. With ``first`` or ``last`` no folder
+    of another day is even listed. ``extra`` names further columns the uploads had, as stored
+    (``x_`` before their names); files without them give null. Rows stand in the order of
+    ``batch``, then ``seq``.
     """
-    schema = T.StructType([*(extra.fields if extra else []), *STORED_LOG.fields])
-    try:
-        log = spark.read.schema(schema).parquet(path)
-    except AnalysisException as problem:
-        if problem.getCondition() != "PATH_NOT_FOUND":
-            raise
-        log = spark.createDataFrame([], schema)
-    return log.withColumn("justification", F.coalesce("justification", F.lit("")))
+    return scan_log(spark, snapshot(spark, root).between(first, last), extra)
+
+
+def scan_last_days(
+    spark: SparkSession, root: str, days: int, extra: T.StructType | None = None
+) -> DataFrame:
+    """The stored log's latest day and the ``days`` before it. The latest day is known from
+    the list of the log's folders, so the days returned are the only ones read."""
+    return scan_log(spark, snapshot(spark, root).last_days(days), extra)
+
+
+def scan_adjustments(spark: SparkSession, root: str) -> DataFrame:
+    """The durations that the cleaning changed, of all batches of the newest version."""
+    found = snapshot(spark, root)
+    return adjustments_of(scan_log(spark, found)).selectExpr("batch", *ADJUSTMENTS)
 
 
 def scan_export(

@@ -18,22 +18,24 @@ from worklens.sources.writers import write_task_log
 def ingest_landed(
     spark: SparkSession,
     landing: str,
-    log_path: str,
-    adjustments_path: str,
+    root: str,
     checkpoint: str,
     headers: Mapping[str, str] | None = None,
     first_batch: int = 0,
     files_per_batch: int = 1000,
     vocabulary: Vocabulary = DEFAULT,
     dialect: CsvDialect = COMMA,
-    cube_path: str | None = None,
+    with_cube: bool = False,
+    new_rows_only: bool = False,
+    with_idle: bool = False,
 ) -> None:
     """Take every CSV export now in ``landing`` that has not been taken before.
 
     Files come in the order of their times, and each file's columns are matched by name,
     so the order of the stored rows is the same for any ``files_per_batch``. Batches are
     numbered from ``first_batch``, which must lie above the numbers written in other ways.
-    With ``cube_path`` the stored cube gets each batch as the log does.
+    ``with_cube``, ``with_idle`` and ``new_rows_only`` are those of ``write_task_log``; the last leaves out
+    what an export that comes twice under another name holds again.
     """
     uploads = (
         spark.readStream.format("binaryFile")
@@ -47,7 +49,7 @@ def ingest_landed(
         files = [r.path for r in batch.collect()]  # at most files_per_batch names
         typed = scan_uploads(spark, files, headers, vocabulary, dialect)
         write_task_log(
-            typed, first_batch + epoch, log_path, adjustments_path, vocabulary, cube_path
+            typed, first_batch + epoch, root, vocabulary, with_cube, new_rows_only, with_idle
         )
 
     query = (
