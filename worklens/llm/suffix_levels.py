@@ -32,13 +32,13 @@ from worklens.llm.packing import pack, unpack
 from worklens.llm.tables import give_back, kept
 
 #: Bytes of text of a chunk; a longer text is a chunk of its own.
-CHUNK = 2**20
+CHUNK = 2**19
 #: Chunks whose anchors make one bucket, on average.
-CHUNKS_PER_BUCKET = 16
+CHUNKS_PER_BUCKET = 32
 #: Batches of a whole table.
 BATCHES = 4
 #: Chunks of one task, on average.
-CHUNKS_PER_TASK = 6
+CHUNKS_PER_TASK = 12
 #: Bits of an anchor's hash that the first exchange leaves out: it may take an anchor for
 #: shared that isn't, which costs work but changes nothing.
 SPARED = np.uint64(16)
@@ -410,7 +410,8 @@ def _hashes(batches: Iterator[pa.RecordBatch], rule: Rule, buckets: int) -> Iter
                     ],
                     ["bucket", "chunk", "data"],
                 )
-    give_back()
+            del chunk, found, value, back, n, least, most
+            give_back()
 
 
 def _flagged(rows: pa.Table, rule: Rule) -> pa.Table:
@@ -454,6 +455,8 @@ def _sent(rows: pa.Table, rule: Rule, buckets: int) -> pa.Table:
     out = [(batch, b, number, own.sent[at].packed(rule)) for b, at in own.by_bucket(buckets)]
     kinds = {"batch": pa.int32(), "bucket": pa.int32(), "chunk": pa.int64(), "data": pa.binary()}
     columns = list(zip(*out)) if out else [()] * 4
+    del own
+    give_back()
     return pa.table({c: pa.array(v, kind) for v, (c, kind) in zip(columns, kinds.items())})
 
 
