@@ -16,9 +16,7 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 @pytest.fixture(scope="module")
 def library():
-    tokenizer = Tokenizer.from_file(PATH)
-    tokenizer.encode_special_tokens = True
-    return tokenizer
+    return Tokenizer.from_file(PATH)
 
 
 class Source(io.BytesIO):
@@ -73,9 +71,29 @@ def test_pieces_as_whole_texts(library):
         assert got.tolist() == ids_, text[:60]
 
 
+END = "<|endoftext|>"
+WITH_ADDED = [
+    f"a {END} b", END, f"{END}{END}", f"{END} at the start", f"at the end{END}", f" {END}\n{END} ",
+    f"two  spaces {END}  and\n\n{END}more", f"it's{END}'s", "<|endoftext", f"<|endof{END}text|>",
+    f"é{END}\u00a0{END}\t{END}3", f"long {'word ' * 300}{END}{' word' * 300}",
+]
+
+
+def test_added_tokens_in_texts(library):
+    with open(PATH, encoding="utf-8") as f:
+        encoder = token_files.PieceTokenizer(f.read())
+    for texts_ in (WITH_ADDED, [*WITH_ADDED[::-1], *texts()]):
+        lengths, ids = encoder.encode(texts_)
+        want = [e.ids for e in library.encode_batch(texts_, add_special_tokens=False)]
+        for text, got, ids_ in zip(texts_, np.split(ids, np.cumsum(lengths)[:-1]), want):
+            assert got.tolist() == ids_, text[:60]
+    assert library.encode(END, add_special_tokens=False).ids == [50256]
+
+
 def test_tables(spark, library):
     rows = [r for r in odd_rows() if r[0] is not None]
     rows = list({r[0]: r for r in rows}.values())
+    rows += [(50 + i, text, "en", "s", 1) for i, text in enumerate(WITH_ADDED)]
     rows += [(100 + i, f"text {i} " * (i % 9), "en", "s", 1) for i in range(400)]
     random.seed(10)
     shuffled = random.sample(rows, len(rows))

@@ -11,6 +11,7 @@ all chunks, and where the index begins, so a reader fetches only the blocks it n
 from __future__ import annotations
 
 import json
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -173,8 +174,10 @@ class PieceTokenizer:
 
     def __init__(self, vocabulary: str) -> None:
         self.tokenizer = Tokenizer.from_str(vocabulary)
-        # The special tokens' own strings in a text are ordinary text.
-        self.tokenizer.encode_special_tokens = True
+        # The library takes the strings of added tokens out of a text before anything else.
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        longest = sorted(filter(None, added), key=len, reverse=True)
+        self.added = re.compile("(" + "|".join(map(re.escape, longest)) + ")") if longest else None
         self.pieces, self.piece_ids = Numbering(), Ragged(np.uint32)
 
     def _learn(self) -> None:
@@ -199,11 +202,21 @@ class PieceTokenizer:
             lengths, ids = self.piece_ids.gather(both)
             self.piece_ids.put(self.pieces.of(marked), lengths.reshape(-1, 2).sum(axis=1), ids)
 
+    def _cut(self, text: str) -> list[str]:
+        """The pieces of a text; an added token's string is a piece, and what stands between
+        two of them is cut by itself."""
+        if self.added is None or not self.added.search(text):
+            return cut(text)
+        pieces = []
+        for place, part in enumerate(self.added.split(text)):
+            pieces += [part] if place % 2 else cut(part) if part else []
+        return pieces
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of ids per text, and the ids one after another."""
         if len(self.pieces) > KEPT_PIECES:
             self.pieces, self.piece_ids = Numbering(), Ragged(np.uint32)
-        rows = [self.pieces.of(cut(t)) if t else np.empty(0, np.int64) for t in texts]
+        rows = [self.pieces.of(self._cut(t)) if t else np.empty(0, np.int64) for t in texts]
         self._learn()
         counts = np.fromiter(map(len, rows), np.int64, len(rows))
         lengths, flat = self.piece_ids.gather(np.concatenate([*rows, np.empty(0, np.int64)]))
