@@ -32,13 +32,13 @@ from worklens.llm.packing import pack, unpack
 from worklens.llm.tables import give_back, kept
 
 #: Bytes of text of a chunk; a longer text is a chunk of its own.
-CHUNK = 2**19
+CHUNK = 2**20
 #: Chunks whose anchors make one bucket, on average.
-CHUNKS_PER_BUCKET = 32
+CHUNKS_PER_BUCKET = 16
 #: Batches of a whole table.
 BATCHES = 4
 #: Chunks of one task, on average.
-CHUNKS_PER_TASK = 12
+CHUNKS_PER_TASK = 6
 #: Bits of an anchor's hash that the first exchange leaves out: it may take an anchor for
 #: shared that isn't, which costs work but changes nothing.
 SPARED = np.uint64(16)
@@ -158,9 +158,9 @@ class Chunk:
         new = np.flatnonzero(np.r_[True, (place[1:] != place[:-1]) | (doc[1:] != doc[:-1])])
         new = new if len(place) else none
         place, first = place[new], at[new]
-        return Anchors(
-            place, hashes[place], doc[new], first, np.diff(np.r_[new, len(at)])
-        )
+        # Hashed again: those that were chosen are low, and buckets are ranges of hashes.
+        own = _hash_of([hashes[place]])
+        return Anchors(place, own, doc[new], first, np.diff(np.r_[new, len(at)]))
 
     def suffixes(self, flags: np.ndarray) -> Own:
         """The suffixes at shared anchors; ``flags`` are those of the distinct hashes."""
