@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from worklens.llm.mixing import MARGINS, TOPICS, Mix
-from worklens.llm.rules import SLACK
+from worklens.llm.rules import LIMITS
 
 EXACT = r"""
 WITH d AS (
@@ -58,20 +58,24 @@ def rules_sql() -> str:
         "word_length": "1000 * word_chars // greatest(n_words, 1)",
     }
     values = "\n  UNION ALL ".join(
-        f"SELECT lang, source, '{name}' AS metric, {sql} AS v FROM m" for name, sql in rates.items()
+        f"SELECT lang, source, '{name}' AS metric, {sql} AS v FROM m"
+        " WHERE n_words >= 50 AND 100 * n_repeat_words <= 50 * n_words"
+        for name, sql in rates.items()
     )
+    share = " ".join(f"WHEN '{k}' THEN {limit.quantile}" for k, limit in LIMITS.items())
 
     def level(keys: str) -> str:
         own = f"{keys}, metric" if keys else "metric"
         return f"""
-  SELECT {own}, min(bin) FILTER (WHERE 4 * upto >= total) AS q1,
-         min(bin) FILTER (WHERE 4 * upto >= 3 * total) AS q3, max(total) AS n
+  SELECT {own}, min(bin) FILTER (WHERE 1000 * upto >= 500 * total) AS mid, max(total) AS n,
+         min(bin) FILTER (WHERE 1000 * upto >= (1000 - CASE metric {share} END) * total) AS lo,
+         min(bin) FILTER (WHERE 1000 * upto >= CASE metric {share} END * total) AS hi
   FROM (SELECT {own}, bin, sum(c) OVER (PARTITION BY {own} ORDER BY bin) AS upto,
                sum(c) OVER (PARTITION BY {own}) AS total
         FROM (SELECT {own}, bin, count(*) AS c FROM binned GROUP BY ALL))
   GROUP BY {own}"""
 
-    slack = " ".join(f"WHEN '{k}' THEN {v}" for k, v in SLACK.items())
+    reach = " ".join(f"WHEN '{k}' THEN {limit.reach}" for k, limit in LIMITS.items())
     inside = " AND ".join(
         f"{sql} <= max(high) FILTER (WHERE metric = '{name}')"
         + (f" AND {sql} >= max(low) FILTER (WHERE metric = '{name}')" if name == "word_length" else "")
@@ -115,19 +119,23 @@ WITH w AS (
 ), sa AS ({level("")}
 ), t AS (
   SELECT lang, source, metric,
-         CASE WHEN s.n >= 100 THEN s.q1 WHEN sl.n >= 100 THEN sl.q1 ELSE sa.q1 END AS q1,
-         CASE WHEN s.n >= 100 THEN s.q3 WHEN sl.n >= 100 THEN sl.q3 ELSE sa.q3 END AS q3
+         CASE WHEN s.n >= 100 THEN s.lo WHEN sl.n >= 100 THEN sl.lo ELSE sa.lo END AS lo,
+         CASE WHEN s.n >= 100 THEN s.mid WHEN sl.n >= 100 THEN sl.mid ELSE sa.mid END AS mid,
+         CASE WHEN s.n >= 100 THEN s.hi WHEN sl.n >= 100 THEN sl.hi ELSE sa.hi END AS hi
   FROM s JOIN sl USING (lang, metric) JOIN sa USING (metric)
 ), f AS (
   SELECT lang, source, metric,
-         q1 - greatest(3 * (q3 - q1), CASE metric {slack} END) AS low,
-         q3 + greatest(3 * (q3 - q1), CASE metric {slack} END) AS high FROM t
+         lo - CASE metric {reach} END
+           * greatest(mid - lo, 1 << greatest(length(bin(mid)) - 6, 0)) AS low,
+         hi + CASE metric {reach} END
+           * greatest(hi - mid, 1 << greatest(length(bin(hi)) - 6, 0)) AS high FROM t
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND {inside} AS kept
-FROM m JOIN f USING (lang, source)
-GROUP BY doc_id, lang, source, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words)
+         AND coalesce({inside}, true) AS kept
+FROM m LEFT JOIN f ON m.lang IS NOT DISTINCT FROM f.lang AND m.source IS NOT DISTINCT FROM f.source
+GROUP BY doc_id, m.lang, m.source, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words
 """
 
 

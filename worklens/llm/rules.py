@@ -9,7 +9,7 @@ source's sketch, a language's and the corpus's from one pass, the same on every
 from __future__ import annotations
 
 from collections.abc import Iterator, Mapping
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -27,25 +27,37 @@ RATES = {
     "repeats": "1000 * n_repeat_words DIV greatest(n_words, 1)",
     "word_length": "1000 * word_chars DIV greatest(n_words, 1)",
 }
-#: The least distance from a quartile that counts as an outlier.
-SLACK = {"symbols": 100, "dup_lines": 400, "repeats": 350, "word_length": 2500}
 BASE_FAILED = "n_words < 50 OR 100 * n_repeat_words > 50 * n_words"
 
 
+@dataclass(frozen=True)
+class Limit:
+    """A value is rejected that lies beyond a group's upper quantile (in thousandths) by more
+    than ``reach`` times the quantile's distance from the median, which counts as one bin of the
+    sketch at least; if ``two_sided``, likewise below the quantile as far from the other end."""
+
+    quantile: int
+    reach: int
+    two_sided: bool = False
+
+
+#: Metrics that few texts have at all take a quantile from their tail.
+LIMITS = {
+    "symbols": Limit(900, 3),
+    "dup_lines": Limit(980, 2),
+    "repeats": Limit(980, 2),
+    "word_length": Limit(900, 6, two_sided=True),
+}
+
+
 @dataclass(frozen=True)
 class AdaptiveRules:
-    """A value is rejected above the third quartile plus ``reach`` times the quartile
-    distance (at least ``slack``), for two-sided metrics also that far below the first.
-    A source with under ``min_docs`` documents of a language takes the language's
-    sketch, a language with fewer takes the corpus's."""
+    """The limits of each group come from its own quantiles alone; documents that fail the base
+    rules, and so go anyway, are not counted. A source with under ``min_docs`` documents of a
+    language takes the language's sketch, a language with fewer takes the corpus's."""
 
-    reach: int = 3
     min_docs: int = 100
-    slack: Mapping[str, int] | None = None
-    two_sided: tuple[str, ...] = ("word_length",)
-
-    def slack_of(self, metric: str) -> int:
-        return (self.slack or SLACK)[metric]
+    limits: Mapping[str, Limit] = field(default_factory=lambda: LIMITS)
 
 
 def repeat_words(words: list[bytes]) -> int:
@@ -110,9 +122,10 @@ def with_metrics(docs: DataFrame, text_column: str = "text") -> DataFrame:
 
 
 def sketches(measured: DataFrame) -> DataFrame:
-    """Counts ``n`` per ``lang, source, metric, bin``; a bin is named by its least value."""
+    """Counts ``n`` per ``lang, source, metric, bin`` of the documents that pass the base rules; a
+    bin is named by its least value."""
     pairs = ", ".join(f"'{name}', {sql}" for name, sql in RATES.items())
-    values = measured.selectExpr("lang", "source", f"stack({len(RATES)}, {pairs}) AS (metric, v)")
+    values = measured.where(f"NOT ({BASE_FAILED})").selectExpr("lang", "source", f"stack({len(RATES)}, {pairs}) AS (metric, v)")
     shift = "greatest(length(bin(v)) - 6, 0)"
     return (
         values.selectExpr(
@@ -126,8 +139,14 @@ def sketches(measured: DataFrame) -> DataFrame:
 def thresholds(sketch: DataFrame, rules: AdaptiveRules) -> DataFrame:
     """``low`` and ``high`` of every metric, as columns per ``lang`` and ``source``."""
 
-    def quartiles(merged: DataFrame, keys: list[str], prefix: str) -> DataFrame:
-        """First and third quartile of each merged sketch, by a running sum over its bins."""
+    def share(of: str) -> str:
+        cases = " ".join(f"WHEN '{m}' THEN {of.format(x.quantile)}" for m, x in rules.limits.items())
+        return f"CASE metric {cases} END"
+
+    ranks = {"low": share("1000 - {}"), "mid": "500", "high": share("{}")}
+
+    def quantiles(merged: DataFrame, keys: list[str], prefix: str) -> DataFrame:
+        """The quantiles of each merged sketch, by a running sum over its bins."""
         over = ", ".join([*keys, "metric"])
         return (
             merged.selectExpr(
@@ -139,17 +158,21 @@ def thresholds(sketch: DataFrame, rules: AdaptiveRules) -> DataFrame:
             )
             .groupBy(*keys, "metric")
             .agg(
-                F.expr("min(bin) FILTER (WHERE 4 * upto >= total)").alias(f"{prefix}_q1"),
-                F.expr("min(bin) FILTER (WHERE 4 * upto >= 3 * total)").alias(f"{prefix}_q3"),
+                *[
+                    F.expr(f"min(bin) FILTER (WHERE 1000 * upto >= {rank} * total)").alias(
+                        f"{prefix}_{name}"
+                    )
+                    for name, rank in ranks.items()
+                ],
                 F.max("total").alias(f"{prefix}_n"),
             )
         )
 
     by_lang = sketch.groupBy("lang", "metric", "bin").agg(F.sum("n").alias("n"))
     by_all = by_lang.groupBy("metric", "bin").agg(F.sum("n").alias("n"))
-    own = quartiles(sketch, ["lang", "source"], "s")
-    lang = quartiles(by_lang, ["lang"], "l").withColumnsRenamed({"lang": "l_lang", "metric": "l_metric"})
-    whole = quartiles(by_all, [], "a").withColumnRenamed("metric", "a_metric")
+    own = quantiles(sketch, ["lang", "source"], "s")
+    lang = quantiles(by_lang, ["lang"], "l").withColumnsRenamed({"lang": "l_lang", "metric": "l_metric"})
+    whole = quantiles(by_all, [], "a").withColumnRenamed("metric", "a_metric")
     chosen = own.join(lang, F.expr("lang <=> l_lang AND metric = l_metric")).join(
         whole, F.expr("metric = a_metric")
     )
@@ -158,16 +181,20 @@ def thresholds(sketch: DataFrame, rules: AdaptiveRules) -> DataFrame:
         "lang",
         "source",
         "metric",
-        f"CASE WHEN s_n >= {least} THEN s_q1 WHEN l_n >= {least} THEN l_q1 ELSE a_q1 END AS q1",
-        f"CASE WHEN s_n >= {least} THEN s_q3 WHEN l_n >= {least} THEN l_q3 ELSE a_q3 END AS q3",
+        *[
+            f"CASE WHEN s_n >= {least} THEN s_{q} WHEN l_n >= {least} THEN l_{q} ELSE a_{q} END AS {q}"
+            for q in ranks
+        ],
     )
     columns = []
-    for metric in RATES:
-        reach = f"greatest({rules.reach} * (q3 - q1), {rules.slack_of(metric)})"
-        low = f"q1 - {reach}" if metric in rules.two_sided else "-1"
+    bin_width = "shiftleft(1L, greatest(length(bin({0})) - 6, 0))"
+    for metric, limit in rules.limits.items():
+        low = f"low - {limit.reach} * greatest(mid - low, {bin_width.format('mid')})"
+        low = low if limit.two_sided else "-1L"
+        high = f"high + {limit.reach} * greatest(high - mid, {bin_width.format('high')})"
         columns += [
             F.expr(f"max({low}) FILTER (WHERE metric = '{metric}')").alias(f"{metric}_low"),
-            F.expr(f"max(q3 + {reach}) FILTER (WHERE metric = '{metric}')").alias(f"{metric}_high"),
+            F.expr(f"max({high}) FILTER (WHERE metric = '{metric}')").alias(f"{metric}_high"),
         ]
     return chosen.groupBy(
         F.col("lang").alias("t_lang"), F.col("source").alias("t_source")
@@ -192,7 +219,8 @@ def quality_verdicts(
 ) -> DataFrame:
     """One row per document: id, base metrics, ``base_failed``, ``kept`` and its limits.
 
-    A null text has no words and fails the base. A null language or source is a group
+    A null text has no words and fails the base; where all texts of a group fail it, the group
+    has no limits. A null language or source is a group
     of its own. Repeated rows are judged one by one. An empty table gives no rows.
     """
     measured = with_metrics(docs, text_column).selectExpr(
