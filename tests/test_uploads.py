@@ -86,6 +86,27 @@ def test_headers_differ(spark, tmp_path):
     ]
 
 
+def test_headers_with_line_breaks(spark, tmp_path):
+    put(tmp_path / "in", "a.csv", '"protocol_id","a\nb ""c"""\nP1,x\n', 1)
+    put(tmp_path / "in", "b.csv", '"a\nb ""c""",protocol_id\ny,P2\n', 2)
+    log = readers.scan_export(spark, str(tmp_path / "in"))
+    assert rows(log, "seq", "protocol_id", 'x_a\nb "c"') == [(0, "P1", "x"), (1, "P2", "y")]
+
+
+def test_a_long_header(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(uploads, "HEADER_BYTES", 16)
+    put(tmp_path / "in", "a.csv", "protocol_id," + "n" * 300 + "\r\nP1,x\r\n", 1)
+    path = str(tmp_path / "in" / "a.csv")
+    assert uploads.first_record(spark, path, uploads.COMMA) == "protocol_id," + "n" * 300
+    assert rows(readers.scan_export(spark, path), "protocol_id", "x_" + "n" * 300) == [("P1", "x")]
+
+
+def test_numbering_moves_no_row(spark, tmp_path):
+    put(tmp_path / "in", "a.csv", "protocol_id\n1\n2\n", 1)
+    text = plan(readers.scan_export(spark, str(tmp_path / "in")))
+    assert "SortMergeJoin" not in text and "Exchange hashpartitioning" not in text
+
+
 def test_an_empty_landing_folder(spark, tmp_path):
     (tmp_path / "in").mkdir()
     paths = [str(tmp_path / p) for p in ("in", "log", "checkpoint")]
@@ -125,9 +146,14 @@ def test_durations_of_any_type(spark):
     }
     for sql in kinds.values():
         raw = spark.sql(f"SELECT 1L AS seq, {sql} AS duration, {sql} AS analysis")
-        assert rows(standardise_task_log(raw), "duration_us", "analysis_us") == [(10 * MINUTE,) * 2]
+        unit = "ns" if sql.endswith("L") else None
+        assert rows(standardise_task_log(raw, unit), "duration_us", "analysis_us") == [
+            (10 * MINUTE,) * 2
+        ]
     seconds = spark.sql("SELECT 600 AS duration")
     assert rows(standardise_task_log(seconds, "s"), "duration_us") == [(10 * MINUTE,)]
+    with pytest.raises(ValueError, match="duration_unit"):
+        standardise_task_log(spark.sql("SELECT 600 AS duration"))
     with pytest.raises(TypeError):
         standardise_task_log(spark.sql("SELECT true AS duration"))
 

@@ -52,23 +52,25 @@ EXTRA = "x_"
 _INTEGERS = (T.LongType, T.IntegerType, T.ShortType, T.ByteType)
 
 
-def _duration(source: str, kind: T.DataType, unit: str) -> str:
+def _duration(source: str, kind: T.DataType, unit: str | None) -> str:
     """Text, an interval, or a whole number of ``unit`` to microseconds."""
     if isinstance(kind, T.DayTimeIntervalType):
         return interval_us(f"CAST({source} AS INTERVAL DAY TO SECOND)")
     if isinstance(kind, _INTEGERS):
+        if unit is None:
+            raise ValueError(f"column {source} holds whole numbers: name their duration_unit")
         return {"ns": f"{source} div 1000", "us": source, "s": f"{source} * 1000000"}[unit]
     if isinstance(kind, (T.StringType, T.NullType)):
         return parse_duration(source)
     raise TypeError(f"column {source} holds {kind.simpleString()}, which is not a duration")
 
 
-def standardise_task_log(raw: DataFrame, duration_unit: str = "ns") -> DataFrame:
+def standardise_task_log(raw: DataFrame, duration_unit: str | None = None) -> DataFrame:
     """Type a raw log: unreadable values become null, absent columns are added.
 
     Columns ``duration`` and ``analysis`` become ``duration_us`` and ``analysis_us``,
-    from text, an interval, or whole numbers of ``duration_unit`` (ns, us or s); another
-    type is an error. A time may be text, a timestamp, or whole nanoseconds. Columns
+    from text, an interval, or whole numbers of ``duration_unit`` (ns, us or s), which must
+    be named for them; another type is an error. A time may be text, a timestamp, or whole nanoseconds. Columns
     we do not know are kept with ``x_`` before their names, so that none is taken for one
     of ours. Adds the ``completed_date`` and ``completed_month`` keys.
     """

@@ -34,6 +34,19 @@ def read_text(spark: SparkSession, path: str) -> str:
         stream.close()
 
 
+def read_start(spark: SparkSession, path: str, size: int) -> bytes:
+    """The first bytes of a file, ``size`` at most."""
+    system, at = _at(spark, path)
+    stream = system.open(at)
+    try:
+        # The whole array comes back, filled as far as the file goes.
+        length = min(size, system.getFileStatus(at).getLen())
+        found = spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(stream, int(length))
+        return bytes(found)
+    finally:
+        stream.close()
+
+
 def write_new(spark: SparkSession, path: str, text: str) -> None:
     """Writes a file whole or not at all: under another name first, then renamed. A file that
     is already there is an error."""

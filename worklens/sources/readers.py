@@ -89,7 +89,7 @@ def scan_legacy_log(
         ) from problem
     if "seq" not in raw.columns and headers is not None:
         raw = raw.withColumn("seq", F.lit(None).cast("long"))
-    return standardise_task_log(rename_headers(raw, headers or {}))
+    return standardise_task_log(rename_headers(raw, headers or {}), "ns")
 
 
 def scan_unavailability(

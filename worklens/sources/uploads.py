@@ -6,6 +6,7 @@ from collections.abc import Iterable, Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from worklens.config import DEFAULT, Vocabulary
@@ -15,6 +16,7 @@ from worklens.operators.cleaning import (
     standardise_task_log,
 )
 from worklens.schema import TASK_LOG
+from worklens.sources.files import read_start
 
 
 @dataclass(frozen=True)
@@ -50,21 +52,38 @@ def files_at(spark: SparkSession, path: str) -> list[str]:
     return [r.path for r in found.collect()]  # one row per file
 
 
-def _by_header(spark: SparkSession, files: list[str]) -> list[list[str]]:
-    """The files grouped by their first line: one row per file reaches the driver."""
-    lines = (
-        spark.read.text(files)
-        .selectExpr(
-            "value", "_metadata.file_path AS path", "_metadata.file_block_start AS block",
-            "monotonically_increasing_id() AS place",
-        )
-        .filter("block = 0")
-        .selectExpr("path", "value", "place")
-    )
-    first = lines.groupBy("path").agg({"place": "min"}).withColumnRenamed("min(place)", "place")
+#: Bytes read of a file at first to find its header, and at most.
+HEADER_BYTES, HEADER_LIMIT = 2**14, 2**24
+#: Splits of a batch up to which their first numbers go to every task.
+BROADCAST_SPLITS = 100_000
+
+
+def first_record(spark: SparkSession, path: str, dialect: CsvDialect) -> str:
+    """The header of a file, as it is written; line breaks in quotes are part of it. Only the
+    start of the file is read."""
+    size = HEADER_BYTES
+    while True:
+        raw = read_start(spark, path, size)
+        text = raw.decode(dialect.encoding, "replace")
+        parts = text.split("\n")
+        record, quotes = [], 0
+        for part in parts[:-1] if len(raw) == size else parts:
+            record.append(part)
+            quotes += part.count(dialect.quote)
+            if quotes % 2 == 0 or not dialect.multi_line:
+                return "\n".join(record).rstrip("\r")
+        if len(raw) < size or size >= HEADER_LIMIT:
+            return text.rstrip("\r\n")
+        size = min(8 * size, HEADER_LIMIT)
+
+
+def _by_header(spark: SparkSession, files: list[str], dialect: CsvDialect) -> list[list[str]]:
+    """The files grouped by their header; empty ones are left out."""
     groups: dict[str, list[str]] = {}
-    for row in lines.join(first, ["path", "place"]).collect():
-        groups.setdefault(row.value, []).append(row.path)
+    for path in files:
+        header = first_record(spark, path, dialect)
+        if header:
+            groups.setdefault(header, []).append(path)
     return [sorted(group) for _, group in sorted(groups.items())]
 
 
@@ -74,20 +93,24 @@ def number_rows(placed: DataFrame) -> DataFrame:
 
     Needs the columns that ``scan_uploads`` adds to each scan. Counts per split of a file
     give every split its first number, so the order depends neither on the splits' sizes
-    nor on which task reads them, and no number of rows, files or batches is too large.
+    nor on which task reads them. The numbers of the splits, one row each, go to every task, so
+    that no row moves; beyond ``BROADCAST_SPLITS`` Spark chooses the join.
     """
     splits = placed.groupBy("_up_time", "_up_path", "_up_block").agg(
         {"_up_place": "min", "*": "count"}
     )
-    # one row per split of a file
-    begins = splits.selectExpr(
-        "_up_path AS b_path",
-        "_up_block AS b_block",
-        "coalesce(sum(`count(1)`) OVER (ORDER BY _up_time, _up_path, _up_block"
-        " ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0L) - `min(_up_place)` AS b_shift",
+    counted = splits.collect()  # one row a split
+    begins, upto = [], 0
+    for r in sorted(counted, key=lambda r: (r._up_time, r._up_path, r._up_block)):
+        begins.append((r._up_path, r._up_block, upto - r["min(_up_place)"]))
+        upto += r["count(1)"]
+    table = placed.sparkSession.createDataFrame(
+        begins, "b_path STRING, b_block BIGINT, b_shift BIGINT"
     )
-    on = (placed["_up_path"] == begins["b_path"]) & (placed["_up_block"] == begins["b_block"])
-    numbered = placed.join(begins, on).withColumn("seq", placed["_up_place"] + begins["b_shift"])
+    if len(begins) <= BROADCAST_SPLITS:
+        table = F.broadcast(table)
+    on = (placed["_up_path"] == table["b_path"]) & (placed["_up_block"] == table["b_block"])
+    numbered = placed.join(table, on).withColumn("seq", placed["_up_place"] + table["b_shift"])
     return numbered.drop(
         "_up_time", "_up_path", "_up_block", "_up_place", "b_path", "b_block", "b_shift"
     )
@@ -108,7 +131,7 @@ def scan_uploads(
     """
     files = list(files)
     parts = []
-    for group in _by_header(spark, files) if files else []:
+    for group in _by_header(spark, files, dialect):
         read = spark.read.options(header=True, **dialect.options())
         schema = read.csv(group[0]).schema
         raw = read.schema(schema).option("enforceSchema", False).csv(group)
