@@ -479,6 +479,11 @@ def oracle_sql() -> dict[str, str]:
             " concat('said \"', status, '\"; then', chr(10), 'left, at ', seq % 10)"
             f" AS justification FROM log WHERE {PERSON}"
         ),
+        "scan_workbook": raw(
+            "SELECT CAST(protocol_id AS STRING) AS protocol_id, analyst, status, outcome, queue,"
+            " duration_us, date_trunc('second', completed_at) AS completed_at,"
+            " date_trunc('second', started_at) AS started_at FROM log"
+        ),
         "rewrite_batch": raw(
             "SELECT kept_in, CAST(completed_at AS DATE) AS day, count(*) AS tasks"
             " FROM log, (VALUES ('log'), ('cube')) AS k(kept_in)"

@@ -11,10 +11,13 @@ import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
+import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from checks.workbook import workbook
 from worklens.config import (
     DEFAULT,
     RECENT_ANALYST_TASKS_DAYS,
@@ -259,6 +262,38 @@ def ingest_quoted_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def scan_workbook(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log as workbook uploads, a file for each of Spark's partitions."""
+    path = _scratch(spark, "workbooks")
+    columns = ["protocol_id", "analyst", "status", "outcome", "queue"]
+    rows = raw_log(spark, sf_dir).selectExpr(
+        *columns, "duration_us", "date_trunc('second', completed_at) AS completed_at",
+        "date_trunc('second', started_at) AS started_at",
+    )
+
+    def write(batches):
+        table = [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns))]
+        names = [*columns, "duration", "completed_at", "started_at"]
+        shown = [
+            [*r[:5], None if r[5] is None else dt.timedelta(microseconds=r[5]), *map(naive, r[6:])]
+            for r in table
+        ]
+        content = workbook({"log": [names, *shown]})
+        files, folder = pyarrow.fs.FileSystem.from_uri(path)
+        files.create_dir(folder, recursive=True)
+        with files.open_output_stream(f"{folder}/{uuid.uuid4().hex}.xlsx") as out:
+            out.write(content)
+        yield pa.RecordBatch.from_arrays([pa.array([len(table)])], ["n"])
+
+    def naive(time):
+        return time and time.replace(tzinfo=None)
+
+    rows.repartition(4, "protocol_id").mapInArrow(write, "n long").agg(F.sum("n")).collect()
+    return readers.scan_export(spark, f"{path}/*").select(
+        *columns, "duration_us", "completed_at", "started_at"
+    )
+
+
 def rewrite_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tasks per day of the log and of the cube, after one batch was written again with
     fewer days and another with no rows."""
@@ -443,6 +478,7 @@ def queries() -> dict[str, Query]:
         "ingest_many_files": ingest_many_files,
         "ingest_mixed_headers": ingest_mixed_headers,
         "ingest_quoted_text": ingest_quoted_text,
+        "scan_workbook": scan_workbook,
         "rewrite_batch": rewrite_batch,
         "swap_batch": swap_batch,
         "compact_log": compact_log,

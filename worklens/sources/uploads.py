@@ -17,6 +17,7 @@ from worklens.operators.cleaning import (
 )
 from worklens.schema import TASK_LOG
 from worklens.sources.files import read_start
+from worklens.sources.workbooks import SUFFIX, placed_workbooks
 
 
 @dataclass(frozen=True)
@@ -122,16 +123,21 @@ def scan_uploads(
     headers: Mapping[str, str] | None = None,
     vocabulary: Vocabulary = DEFAULT,
     dialect: CsvDialect = COMMA,
+    sheet: str | None = None,
 ) -> DataFrame:
-    """The rows of the files as one typed log, numbered in upload order.
+    """The rows of the files, CSV or workbooks, as one typed log, numbered in upload order.
 
     Files may have their columns in any order, lack some, or have new ones: those with
     one header are read together, and columns are matched by name. Without files, or
     with empty ones only, the log has no rows.
     """
     files = list(files)
+    books = [f for f in files if f.lower().endswith(SUFFIX)]
     parts = []
-    for group in _by_header(spark, files, dialect):
+    placed = placed_workbooks(spark, books, sheet) if books else None
+    if placed is not None:
+        parts.append(rename_headers(drop_listed_columns(placed, vocabulary), headers or {}))
+    for group in _by_header(spark, [f for f in files if f not in set(books)], dialect):
         read = spark.read.options(header=True, **dialect.options())
         schema = read.csv(group[0]).schema
         raw = read.schema(schema).option("enforceSchema", False).csv(group)
