@@ -553,6 +553,7 @@ def oracle_sql() -> dict[str, str]:
         "cube_overview_kpis": OVERVIEW_KPIS,
         "cube_stored_overview_kpis": OVERVIEW_KPIS,
         "queue_summary": QUEUE_SUMMARY,
+        "queue_summary_stored": QUEUE_SUMMARY,
         "production_by_group": clean(
             f"SELECT {GROUP_OF} AS queue_group, {SPLIT} FROM clean GROUP BY 1"
         ),

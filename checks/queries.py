@@ -37,6 +37,7 @@ from worklens.operators import (
     unavailability,
 )
 from worklens.plans import cube, periods
+from worklens.plans.first_tasks import scan_first_tasks
 from worklens.plans.idle_cube import stored_idle
 from worklens.session import shared_dir
 from worklens.sources import readers, store, writers
@@ -394,6 +395,20 @@ def team_card_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def queue_summary_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The queue summary from the cube and the first tasks, after a batch was replaced."""
+    path = _scratch(spark, "firsts")
+    log = raw_log(spark, sf_dir).withColumn("protocol_id", F.col("protocol_id").cast("string"))
+    for batch_no, rows in ((1, "seq >= 700"), (0, "seq % 3 = 0"), (0, "seq < 700")):
+        writers.write_task_log(
+            log.filter(rows), batch_no, path, with_cube=True, with_firsts=True
+        )
+    found = store.snapshot(spark, path)
+    return overview.queue_summary(
+        cube.scan_stored_cube(spark, found), firsts=scan_first_tasks(spark, found)
+    )
+
+
 def many_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Twelve overlapping periods from each day with tasks on."""
     log = clean_log(spark, sf_dir)
@@ -506,6 +521,7 @@ def queries() -> dict[str, Query]:
         # overview
         "overview_kpis": clean(overview.overview_kpis),
         "queue_summary": clean(overview.queue_summary),
+        "queue_summary_stored": queue_summary_stored,
         "production_by_group": clean(overview.production_by_group),
         "outcome_by_module": clean(overview.outcome_by_module),
         "email_group_detail": clean(overview.email_group_detail),

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from worklens.config import DEFAULT, MICROS, Vocabulary
-from worklens.functions.calendar import day_of, month_of, month_text
+from worklens.functions.calendar import day_of, is_cube, month_of, month_text
 from worklens.functions.durations import hms, hours_min_sec, min_sec
 from worklens.functions.measures import mean_s, mean_us, or_zero, tasks, total, with_measures
 from worklens.functions.sql import (
@@ -44,14 +44,22 @@ def overview_kpis(log: DataFrame, vocabulary: Vocabulary = DEFAULT) -> DataFrame
     return with_measures(log).selectExpr(*named(figures)).selectExpr("*", *named(shown))
 
 
-def queue_summary(log: DataFrame, vocabulary: Vocabulary = DEFAULT) -> DataFrame:
+def queue_summary(
+    log: DataFrame, vocabulary: Vocabulary = DEFAULT, firsts: DataFrame | None = None
+) -> DataFrame:
     """Per queue: handled tasks with their mean times, then distribution and audit rows.
 
     Tasks without a duration are left out. ``out_of_scope`` counts, over the
     first task of each protocol, those neither registered nor updated. A queue
-    may show in two parts, as handled work and as distribution or audit work.
+    may show in two parts, as handled work and as distribution or audit work. A cube may take
+    the log's place where ``firsts`` has the first tasks (see ``plans.first_tasks``).
     """
-    timed = log.filter("duration_us IS NOT NULL")
+    timed = log if is_cube(log) else log.filter("duration_us IS NOT NULL")
+    first_tasks = timed if firsts is None else firsts
+
+    def tasks(when: str) -> str:
+        return total("timed", when)
+
     registered = equals("outcome", vocabulary.registered)
     updated = equals("outcome", vocabulary.updated)
     handled = among("outcome", vocabulary.handled)
@@ -105,9 +113,9 @@ def queue_summary(log: DataFrame, vocabulary: Vocabulary = DEFAULT) -> DataFrame
     # buffer of fixed width, without which Spark would sort the whole log twice.
     code = "shiftleft(xxhash64(queue), 1)"
     unhandled = not_among("outcome", vocabulary.handled)
-    coded = timed.selectExpr(
+    coded = first_tasks.selectExpr(
         "protocol_id",
-        f"{order_of(log.columns)} AS place",
+        f"{order_of(first_tasks.columns)} AS place",
         f"IF(queue IS NULL, NULL, {code} + CAST({unhandled} AS BIGINT)) AS task",
     )
     first = coded.groupBy("protocol_id").agg(F.expr("min_by(task, place) AS task"))

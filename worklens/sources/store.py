@@ -358,7 +358,7 @@ def expire(spark: SparkSession, root: str, keep: int = 2) -> None:
         live |= set(found.adjustments.values())
     for name in names[:-keep]:
         remove(spark, f"{root}/{VERSIONS}/{name}")
-    for table in ("log", "cube", "idle", "adjustments", "words"):
+    for table in ("log", "cube", "idle", "firsts", "adjustments", "words"):
         for name in names_in(spark, f"{root}/{table}"):
             if name.startswith("segment=") and name.removeprefix("segment=") not in live:
                 remove(spark, f"{root}/{table}/{name}")

@@ -20,13 +20,18 @@ from worklens.operators.cleaning import (
     extra_columns,
 )
 from worklens.plans.cube import CUBE, cube_of_batches
+from worklens.plans.first_tasks import FIRSTS, firsts_of_batches
 from worklens.plans.idle_cube import IDLE, idle_of_batches
 from worklens.schema import DURATION_BEFORE, TASK_LOG
 from worklens.sources import repeats, store
 from worklens.sources.uploads import COMMA, CsvDialect
 
 #: The tables that a segment may have beside the log: what they hold, and how it is made.
-BESIDE = {"cube": (CUBE, cube_of_batches), "idle": (IDLE, idle_of_batches)}
+BESIDE = {
+    "cube": (CUBE, cube_of_batches),
+    "idle": (IDLE, idle_of_batches),
+    "firsts": (FIRSTS, firsts_of_batches),
+}
 
 NO_ADJUSTMENT = "No duration adjustment was needed."
 
@@ -39,12 +44,13 @@ def write_task_log(
     with_cube: bool = False,
     new_rows_only: bool = False,
     with_idle: bool = False,
+    with_firsts: bool = False,
 ) -> bool:
     """Clean one batch, add it to the stored log, log its adjustments; tells if there were any.
 
     Only the batch is written, never the stored log: its rows, its adjustments (as CSV, or
-    one line that there were none) and, ``with_cube`` and ``with_idle``, its cube and its
-    summaries of idle time are staged, and then all are switched to at once. A batch of the
+    one line that there were none) and, ``with_cube``, ``with_idle`` and ``with_firsts``, its
+    cube, its summaries of idle time and its protocols' first tasks are staged, and then all are switched to at once. A batch of the
     same number is replaced whole in the same step. Until then, and after a write that died,
     readers see the version before.
     With ``new_rows_only`` rows that the store already holds in other batches are left out
@@ -77,7 +83,7 @@ def write_task_log(
         extra=found.extra | {segment: store.extra_types(rows.schema)},
     )
     written = store.scan_log(spark, replace(new, entries=tuple(entries)))
-    asked = {"cube": with_cube, "idle": with_idle}
+    asked = {"cube": with_cube, "idle": with_idle, "firsts": with_firsts}
     beside = tuple(table for table, wanted in asked.items() if wanted and entries)
     for table in beside:
         store.stage_beside(BESIDE[table][1](written), table, root, segment)

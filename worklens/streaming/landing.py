@@ -28,13 +28,14 @@ def ingest_landed(
     with_cube: bool = False,
     new_rows_only: bool = False,
     with_idle: bool = False,
+    with_firsts: bool = False,
 ) -> None:
     """Take every CSV export now in ``landing`` that has not been taken before.
 
     Files come in the order of their times, and each file's columns are matched by name,
     so the order of the stored rows is the same for any ``files_per_batch``. Batches are
     numbered from ``first_batch``, which must lie above the numbers written in other ways.
-    ``with_cube``, ``with_idle`` and ``new_rows_only`` are those of ``write_task_log``; the last leaves out
+    The other switches are those of ``write_task_log``; ``new_rows_only`` leaves out
     what an export that comes twice under another name holds again.
     """
     uploads = (
@@ -49,7 +50,8 @@ def ingest_landed(
         files = [r.path for r in batch.collect()]  # at most files_per_batch names
         typed = scan_uploads(spark, files, headers, vocabulary, dialect)
         write_task_log(
-            typed, first_batch + epoch, root, vocabulary, with_cube, new_rows_only, with_idle
+            typed, first_batch + epoch, root, vocabulary, with_cube, new_rows_only, with_idle,
+            with_firsts,
         )
 
     query = (
