@@ -479,6 +479,10 @@ def oracle_sql() -> dict[str, str]:
             " concat('said \"', status, '\"; then', chr(10), 'left, at ', seq % 10)"
             f" AS justification FROM log WHERE {PERSON}"
         ),
+        "tenant_productivity": raw(
+            "SELECT concat('t', seq % 3) AS tenant, CAST(completed_at AS DATE) AS day,"
+            f" count(outcome) AS productivity FROM log WHERE {PERSON} AND seq % 3 <> 1 GROUP BY ALL"
+        ),
         "scan_workbook": raw(
             "SELECT CAST(protocol_id AS STRING) AS protocol_id, analyst, status, outcome, queue,"
             " duration_us, date_trunc('second', completed_at) AS completed_at,"

@@ -40,7 +40,7 @@ from worklens.plans import cube, periods
 from worklens.plans.first_tasks import scan_first_tasks
 from worklens.plans.idle_cube import stored_idle
 from worklens.session import shared_dir
-from worklens.sources import readers, store, writers
+from worklens.sources import readers, store, tenants, writers
 from worklens.sources.events import (
     scan_events,
     task_log_from_events,
@@ -417,6 +417,17 @@ def many_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periods.many_periods(log, days.selectExpr("first_day", ends))
 
 
+def tenant_productivity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily productivity of two of three tenants, from a store of each."""
+    path = _scratch(spark, "tenants")
+    log = raw_log(spark, sf_dir).withColumn("protocol_id", F.col("protocol_id").cast("string"))
+    tenants.write_tenants(log.withColumn("tenant", F.expr("concat('t', seq % 3)")), 0, path)
+    chosen = log.selectExpr("concat('t', seq % 3) AS name").where("name <> 't1'").distinct()
+    return tenants.for_each_tenant(
+        spark, path, lambda found: overview.daily_productivity(store.scan_log(spark, found)), chosen
+    )
+
+
 def ingest_repeated_upload(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An export, one that repeats part of it beside new rows, and the first one again."""
     path, rows = _scratch(spark, "again"), _uploaded(spark, sf_dir)
@@ -508,6 +519,7 @@ def queries() -> dict[str, Query]:
             lambda log: filters.filter_last_days(log, RECENT_DAYS).select("seq", "completed_at")
         ),
         "filter_last_days_stored": filter_last_days_stored,
+        "tenant_productivity": tenant_productivity,
         "default_roster": default_roster,
         "filter_analysts": filter_analysts,
         "drop_doubt_outliers": raw(
