@@ -1,6 +1,7 @@
 """Uploads as people send them: order, dialect, headers, odd column names, old logs."""
 
 import datetime as dt
+import gzip
 import os
 
 import pyarrow as pa
@@ -101,6 +102,18 @@ def test_a_long_header(spark, tmp_path, monkeypatch):
     assert rows(readers.scan_export(spark, path), "protocol_id", "x_" + "n" * 300) == [("P1", "x")]
 
 
+def test_zipped_uploads(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for name, text in (("a", "protocol_id,analyst\n1,ana\n"), ("b", "protocol_id,analyst\n2,bob\n")):
+        path = tmp_path / "in" / f"{name}.csv.gz"
+        path.write_bytes(gzip.compress(text.encode()))
+        os.utime(path, (1000, 1000))
+    files = uploads.files_at(spark, str(tmp_path / "in"))
+    assert len(uploads._by_header(spark, files, uploads.COMMA)) == 1
+    log = readers.scan_export(spark, str(tmp_path / "in"))
+    assert rows(log, "seq", "protocol_id", "analyst") == [(0, "1", "ana"), (1, "2", "bob")]
+
+
 def test_numbering_moves_no_row(spark, tmp_path):
     put(tmp_path / "in", "a.csv", "protocol_id\n1\n2\n", 1)
     text = plan(readers.scan_export(spark, str(tmp_path / "in")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass
 
@@ -65,7 +66,9 @@ def first_record(spark: SparkSession, path: str, dialect: CsvDialect) -> str:
     size = HEADER_BYTES
     while True:
         raw = read_start(spark, path, size)
-        text = raw.decode(dialect.encoding, "replace")
+        # Spark reads zipped text by its name; its start can be unzipped alone.
+        plain = zlib.decompressobj(31).decompress(raw) if raw and path.endswith(".gz") else raw
+        text = plain.decode(dialect.encoding, "replace")
         parts = text.split("\n")
         record, quotes = [], 0
         for part in parts[:-1] if len(raw) == size else parts:
