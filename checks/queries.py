@@ -57,6 +57,8 @@ AFTER = (dt.date(2024, 2, 1), dt.date(2024, 3, 31))
 EXCLUDED = ["analyst_03", "analyst_07"]
 CHOSEN = ["analyst_00", "analyst_01", "analyst_02", "analyst_05", "analyst_13_ter", "nobody"]
 VOCABULARY = replace(DEFAULT, best_excluded="analyst_04")
+#: Rows of a workbook, in the mean.
+WORKBOOK_ROWS = 50_000
 
 
 def raw_log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -209,7 +211,7 @@ def _uploaded(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _upload(rows: DataFrame, path: str, dialect: CsvDialect = COMMA) -> None:
     """One file, in the order of ``seq``; a later call's file has a later time."""
     options = {k: v for k, v in dialect.options().items() if k != "multiLine"}
-    ordered = rows.orderBy("seq").coalesce(1).drop("seq", "part")
+    ordered = rows.drop("part").orderBy("seq").coalesce(1).drop("seq")
     ordered.write.options(header=True, **options).csv(path)
 
 
@@ -289,7 +291,9 @@ def scan_workbook(spark: SparkSession, sf_dir: str) -> DataFrame:
     def naive(time):
         return time and time.replace(tzinfo=None)
 
-    rows.repartition(4, "protocol_id").mapInArrow(write, "n long").agg(F.sum("n")).collect()
+    # a workbook is written and read by one task
+    files = max(4, -(-rows.count() // WORKBOOK_ROWS))
+    rows.repartition(files, "protocol_id").mapInArrow(write, "n long").agg(F.sum("n")).collect()
     return readers.scan_export(spark, f"{path}/*").select(
         *columns, "duration_us", "completed_at", "started_at"
     )

@@ -92,3 +92,12 @@ def test_workbooks_land_among_other_uploads(spark, tmp_path):
     assert rows(log, "seq", "protocol_id", "analyst", "duration_us", "completed_at") == [
         (0, "1", "ana", 20 * MINUTE, NOON), (2, "3", "bob", 5 * MINUTE, NOON), (3, "9", "eve", None, None),
     ]
+
+
+def test_workbooks_are_taken_apart_once(spark, tmp_path):
+    put(tmp_path / "in", "a.xlsx", {"s": [["protocol_id"], *[[str(i)] for i in range(20)]]})
+    log = readers.scan_export(spark, str(tmp_path / "in"))
+    assert "MapInArrow" not in log._jdf.queryExecution().toString()
+    assert rows(log, "seq", "protocol_id") == sorted(
+        ((i, str(i)) for i in range(20)), key=lambda r: tuple(map(str, r))
+    )
