@@ -250,3 +250,27 @@ def test_names_without_case(make_log):
     log = make_log({"analyst": "Ana"}, {"analyst": "ANA"}, {"analyst": "bob"})
     got = rows(reports.data_question_aggregates(log), "analyst", "tasks")
     assert sorted(got, key=str) == sorted([("ana", 2), ("bob", 1), (None, 3)], key=str)
+
+
+def test_files_without_quotes_are_split(spark, tmp_path):
+    """With the default dialect, which allows line breaks in quotes; rows stay in order."""
+    put(tmp_path / "in", "a.csv", "protocol_id,analyst\n" + "".join(f"{i},ana\n" for i in range(4000)), 1000)
+    put(tmp_path / "in", "b.csv", "protocol_id,analyst\nlast,\n", 2000)
+    put(tmp_path / "quoted", "a.csv", 'protocol_id,analyst\n1,"two\nlines"\n\n2,bob\n', 1000)
+    put(tmp_path / "ends", "a.csv", "protocol_id,analyst\r\n1,ana\r\n2,bob\r\n", 1000)
+    put(tmp_path / "spaces", "a.csv", "protocol_id,analyst\n1,ana\n \n2,bob\n", 1000)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        log = readers.scan_export(spark, str(tmp_path / "in"))
+        got = [tuple(r) for r in log.orderBy("seq").select("seq", "protocol_id").collect()]
+        assert log.rdd.getNumPartitions() > 4
+        assert got == list(enumerate([*map(str, range(4000)), "last"]))
+        read = {
+            name: rows(readers.scan_export(spark, str(tmp_path / name)), "protocol_id", "analyst")
+            for name in ("quoted", "ends", "spaces")
+        }
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert read["quoted"] == [("1", "two\nlines"), ("2", "bob")]
+    assert read["ends"] == [("1", "ana"), ("2", "bob")]
+    assert len(read["spaces"]) == 3

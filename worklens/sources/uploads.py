@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterable, Mapping
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,8 +25,8 @@ from worklens.sources.workbooks import SUFFIX, placed_workbooks
 class CsvDialect:
     """How a CSV file is written. Quotes within a cell are doubled, as spreadsheets do.
 
-    With ``multi_line`` a quoted cell may hold line breaks; such a file is read by one
-    task, so turn it off for large exports whose cells have none.
+    With ``multi_line`` a quoted cell may hold line breaks; a file with quotes is then read by
+    one task, one without any by many.
     """
 
     sep: str = ","
@@ -91,6 +91,22 @@ def _by_header(spark: SparkSession, files: list[str], dialect: CsvDialect) -> li
     return [sorted(group) for _, group in sorted(groups.items())]
 
 
+#: Encodings whose line ends and quotes are the bytes that ASCII has for them.
+ASCII_LIKE = frozenset({"utf-8", "utf8", "us-ascii", "iso-8859-1", "latin1", "windows-1252", "cp1252"})
+
+
+def _by_line(spark: SparkSession, files: list[str], dialect: CsvDialect) -> CsvDialect:
+    """The dialect that reads files without any quote line by line, split among tasks, if they
+    read alike so: no line holds a carriage return or white space only. One pass that counts."""
+    if not dialect.multi_line or dialect.encoding.lower() not in ASCII_LIKE:
+        return dialect
+    line = F.col("value")
+    odd = F.contains(line, F.lit(dialect.quote)) | F.contains(line, F.lit("\r"))
+    odd |= (line != "") & ~line.rlike(r"[^\x00-\x20]")
+    found = spark.read.option("lineSep", "\n").text(files).where(odd)
+    return replace(dialect, multi_line=False) if found.isEmpty() else dialect
+
+
 def number_rows(placed: DataFrame) -> DataFrame:
     """Numbers rows from zero in upload order: by the file's time and name, then as they
     stand in it.
@@ -141,7 +157,8 @@ def scan_uploads(
     if placed is not None:
         parts.append(rename_headers(drop_listed_columns(placed, vocabulary), headers or {}))
     for group in _by_header(spark, [f for f in files if f not in set(books)], dialect):
-        read = spark.read.options(header=True, **dialect.options())
+        own = _by_line(spark, group, dialect)
+        read = spark.read.options(header=True, **own.options())
         schema = read.csv(group[0]).schema
         raw = read.schema(schema).option("enforceSchema", False).csv(group)
         placed = drop_listed_columns(raw, vocabulary).selectExpr(
