@@ -68,3 +68,14 @@ def test_table(spark):
         )
     got = [(str(r[0]), r[1], list(r[2]), r[3], bytes(r[4]), r[5]) for r in found]
     assert sorted(got) == sorted(want)
+
+
+def test_queries_hold_little(monkeypatch):
+    """Workers share an executor's memory with its JVM, so a query has few words at a time."""
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as file:
+        codec = bpe.Codec(bpe.parse_ranks(file.read()), public_tokenizers.PATTERN)
+    sizes, contract = [], codec._contract
+    monkeypatch.setattr(codec, "_contract", lambda w: sizes.append(sum(map(len, w))) or contract(w))
+    text = " ".join(f"w{i}x" for i in range(100_000))
+    assert b"".join(codec.decode(*codec.encode([text]))) == text.encode()
+    assert sum(sizes) > 400_000 and max(sizes) <= 300_000

@@ -27,7 +27,7 @@ from worklens.llm.tables import give_back, own_to_worker, slices
 #: Bytes of a word from which it is contracted on its own, in bounded memory.
 LONG_WORD = 256
 #: Bytes of words per recursive query, bytes of text per round, tokens per decoding query.
-QUERY_BYTES, ROUND_BYTES, DECODE_TOKENS = 1 << 20, 8 << 20, 2 << 20
+QUERY_BYTES, ROUND_BYTES, DECODE_TOKENS = 1 << 18, 1 << 20, 1 << 18
 #: Distinct pieces and matches kept at most before their memory is begun anew.
 KEPT_PIECES, KEPT_MATCHES = 1 << 18, 1 << 20
 
