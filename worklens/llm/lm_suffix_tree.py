@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from worklens.llm.packing import mixed_hash, pack, unpack
 from worklens.llm.pieces import Numbering
-from worklens.llm.tables import drop_shuffles, id_crc, kept, new_dir
+from worklens.llm.tables import drop_shuffles, give_back, id_crc, kept, new_dir
 
 FOLDS, HELD_OUT = 7, 2
 CHUNK_TOKENS = 3 << 19
@@ -61,9 +61,10 @@ class Chunk:
         self.ids = row["id"].flatten()
         self.held = row["held"].flatten().to_numpy(zero_copy_only=False)
         self.n = row["n"].flatten().to_numpy().astype(np.int64)
-        self.tokens = row["tokens"].flatten().to_numpy().astype(np.int64)
+        self.tokens = row["tokens"].flatten().to_numpy().astype(np.int32)
         self.hash = row["words"].flatten().to_numpy()
-        self.place = np.arange(len(self.tokens)) - np.repeat(np.cumsum(self.n) - self.n, self.n)
+        at = np.arange(len(self.tokens), dtype=np.int32)
+        self.place = at - np.repeat((np.cumsum(self.n) - self.n).astype(np.int32), self.n)
         self.learnt = np.repeat(~self.held, self.n)
 
     @staticmethod
@@ -159,6 +160,7 @@ def _added(settings: SuffixTree, known: float):
     ``known``: what a word's count and one are divided by for its own probability."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
+        give_back()
         rows = rows.sort_values("chunk")
         asked = [unpack(x) for x in rows["data"]]
         sizes = np.array([len(x["key"]) for x in asked])
@@ -279,29 +281,29 @@ class Counted:
         """
         chunk, least = self.chunk, self.settings.least
         if number == 2:
-            before = np.concatenate(([0], chunk.tokens[:-1]))
+            before = np.concatenate((np.zeros(1, np.int32), chunk.tokens[:-1]))
             hashes, occurs = chunk.hash, self.count
             live = chunk.place >= 1
         else:
             lower = self._second()
-            before = np.concatenate(([-1], lower["at"][:-1]))
+            before = np.concatenate((np.full(1, -1, np.int32), lower["at"][:-1]))
             hashes, occurs = lower["hash"], lower["total"]
             live = (chunk.place >= 2) & (before >= 0)
         live = live.copy()
         where = np.flatnonzero(live)
         where = where[occurs[before[where]] >= least]
-        context, word = before[where], chunk.tokens[where]
         width = max(len(chunk.hash), 1)
-        code, inverse = np.unique(context * width + word, return_inverse=True)
+        code = before[where].astype(np.int64) * width + chunk.tokens[where]
+        code, inverse = np.unique(code, return_inverse=True)
         own = np.bincount(inverse, chunk.learnt[where], len(code)).astype(np.int64)
-        context, word = code // width, code % width
-        at = np.full(len(chunk.tokens), -1)
+        context, word = (code // width).astype(np.int32), (code % width).astype(np.int32)
+        at = np.full(len(chunk.tokens), -1, np.int32)
         at[where] = inverse
         if number == 2:
             shorter = self.share[word]
             tell = (self.count[word] >= 2) | self.wanted[word]
         else:
-            some = np.empty(len(code), np.int64)
+            some = np.empty(len(code), np.int32)
             some[inverse] = where  # any token that ends it
             shorter = self.after(2)[some]
             pair = lower["at"][some]
@@ -443,6 +445,7 @@ def suffix_tree_scores(
 
     def ask(answers: DataFrame, level: int, model: dict) -> DataFrame:
         def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+            give_back()
             return counted(int(key[0]), rows, model).requests(level)
 
         return answers.repartition(chunks, "chunk").groupBy("chunk").applyInPandas(run, REQUEST)
@@ -478,6 +481,7 @@ def suffix_tree_scores(
     model = model | {"hot": np.concatenate((model["hot"], hot_contexts(third)))}
 
     def score(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        give_back()
         made = counted(int(key[0]), rows, model)
         chunk = made.chunk
         starts = np.cumsum(chunk.n) - chunk.n
