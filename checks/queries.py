@@ -46,6 +46,7 @@ from worklens.sources.events import (
     task_log_from_events,
     unavailability_from_events,
 )
+from worklens.sources.files import order_times
 from worklens.sources.uploads import COMMA, CsvDialect
 from worklens.streaming.landing import ingest_landed
 
@@ -59,6 +60,8 @@ CHOSEN = ["analyst_00", "analyst_01", "analyst_02", "analyst_05", "analyst_13_te
 VOCABULARY = replace(DEFAULT, best_excluded="analyst_04")
 #: Rows of a workbook, in the mean.
 WORKBOOK_ROWS = 50_000
+#: Rows of an uploaded CSV file, about, that one task sorts and writes.
+UPLOAD_ROWS = 4_000_000
 
 
 def raw_log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -208,11 +211,21 @@ def _uploaded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw_text(spark, sf_dir).withColumn("part", F.col("seq") % 10)
 
 
-def _upload(rows: DataFrame, path: str, dialect: CsvDialect = COMMA) -> None:
-    """One file, in the order of ``seq``; a later call's file has a later time."""
+def _upload(
+    rows: DataFrame, path: str, dialect: CsvDialect = COMMA, one_file: bool = False
+) -> None:
+    """One file in the order of ``seq``, or several one after another if there are many rows
+    and ``one_file`` is not set; a later call's files have later times."""
     options = {k: v for k, v in dialect.options().items() if k != "multiLine"}
-    ordered = rows.drop("part").orderBy("seq").coalesce(1).drop("seq")
-    ordered.write.options(header=True, **options).csv(path)
+    rows = rows.drop("part")
+    many = 1 if one_file else -(-rows.count() // UPLOAD_ROWS)
+    if many > 1:
+        ordered = rows.repartitionByRange(many, "seq").sortWithinPartitions("seq")
+    else:
+        ordered = rows.orderBy("seq").coalesce(1)
+    ordered.drop("seq").write.options(header=True, **options).csv(path)
+    if many > 1:
+        order_times(rows.sparkSession, path)
 
 
 def _landed(spark: SparkSession, path: str, **options) -> DataFrame:
@@ -436,7 +449,7 @@ def ingest_repeated_upload(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An export, one that repeats part of it beside new rows, and the first one again."""
     path, rows = _scratch(spark, "again"), _uploaded(spark, sf_dir)
     for number, part in enumerate(("part < 6", "part > 3", "part < 6")):
-        _upload(rows.filter(part), f"{path}/in/u{number}")
+        _upload(rows.filter(part), f"{path}/in/u{number}", one_file=True)
     log = _landed(spark, path, files_per_batch=1, new_rows_only=True)
     return log.groupBy("batch", "analyst").agg(
         F.count("*").alias("tasks"), F.count("protocol_id").alias("protocols"),

@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+import checks.queries
 from checks.oracle import oracle_sql
 from checks.queries import queries
 
@@ -45,3 +46,15 @@ def test_query(spark, duck, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_uploads_of_many_rows_are_several_files_in_order(spark, duck, monkeypatch):
+    """They are sorted and written by as many tasks; numbers and first rows stay."""
+    monkeypatch.setattr(checks.queries, "UPLOAD_ROWS", 90)
+    for name in ("ingest_quoted_text", "ingest_many_files", "ingest_repeated_upload"):
+        test_query(spark, duck, name)
+    path = checks.queries._scratch(spark, "several")
+    checks.queries._upload(checks.queries._uploaded(spark, DATA).select("seq", "part", "queue"), path)
+    files = sorted(f for f in os.listdir(path) if f.endswith(".csv"))
+    times = [os.stat(f"{path}/{f}").st_mtime_ns for f in files]
+    assert len(files) > 5 and times == sorted(set(times))

@@ -274,3 +274,45 @@ def test_files_without_quotes_are_split(spark, tmp_path):
     assert read["quoted"] == [("1", "two\nlines"), ("2", "bob")]
     assert read["ends"] == [("1", "ana"), ("2", "bob")]
     assert len(read["spaces"]) == 3
+
+
+QUOTED = {
+    "breaks": "protocol_id,analyst\n" + "".join(f'{i},"a\n\n{"x" * (i % 90)}""{i}"",\n"\n\n' for i in range(900)),
+    "long": 'protocol_id,analyst\n1,"' + "two\n" * 9000 + 'end"\n2,"b"\n"3","","more"\n4\n5,""\n6,a"b"c\n',
+    "returns": "protocol_id,analyst\r\n" + "".join(f'"{i}","é\n{i}\r\n"\r\n' for i in range(900)),
+    "inside": "protocol_id,analyst\n" + "".join(f'{i},"\r{i}\r\n"\n' for i in range(900)),
+    "unended": "protocol_id,analyst\n" + "".join(f'{i},"\n{i}"\n' for i in range(900)) + '"9","x\ny"',
+    "header": '"protocol_id","the\nanalyst"\n' + "".join(f'{i},"\n{i}"\n' for i in range(900)),
+    "never closed": 'protocol_id,analyst\n' + "".join(f'{i},"\n{i}"\n' for i in range(900)) + '1,"x\ny\n',
+    "text after quotes": 'protocol_id,analyst\n' + "".join(f'{i},"\n{i}"\n' for i in range(900)) + '1,"x"y\n2,b\n',
+    "blank": 'protocol_id,analyst\n' + "".join(f'{i},"\n{i}"\n' for i in range(900)) + ' \n2, "b"\n',
+    "some returns": 'protocol_id,analyst\n' + "".join(f'{i},"\n{i}"\n' for i in range(900)) + '7,"b"\r\n8,c\r\n',
+}
+BY_RECORD = ("breaks", "long", "returns", "inside", "unended", "header")
+
+
+@pytest.mark.parametrize("name", QUOTED)
+def test_quoted_files_are_split_and_read_as_whole_ones(spark, tmp_path, name):
+    """Records cross the splits, one of them several; odd files are read whole."""
+    (tmp_path / "in").mkdir()
+    files = [str(tmp_path / "in" / f) for f in ("a.csv", "b.csv")]
+    for file, text in zip(files, (QUOTED[name], QUOTED["breaks"])):
+        with open(file, "w", newline="") as out:
+            out.write(text)
+    header = uploads.first_record(spark, files[0], uploads.COMMA)
+    group = files if header == "protocol_id,analyst" else files[:1]
+    for time, file in enumerate(files):
+        os.utime(file, (1000 + time, 1000 + time))
+    whole = spark.read.options(header=True, **uploads.COMMA.options())
+    want = [tuple(r) for f in group for r in whole.csv(f).collect()]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        names = whole.csv(files[0]).columns
+        placed = uploads._placed_by_record(spark, group, uploads.COMMA, names)
+        blocks = placed.groupBy("_up_path").agg(F.countDistinct("_up_block").alias("n")).collect()
+        got = [tuple(r) for r in uploads.number_rows(placed).orderBy("seq").drop("seq").collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == want
+    first = next(r.n for r in blocks if r._up_path.endswith("a.csv"))
+    assert (first > 1) == (name in BY_RECORD)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +19,7 @@ from worklens.operators.cleaning import (
 )
 from worklens.schema import TASK_LOG
 from worklens.sources.files import read_start
+from worklens.sources.quoted import quoted_records
 from worklens.sources.workbooks import SUFFIX, placed_workbooks
 
 
@@ -25,8 +27,9 @@ from worklens.sources.workbooks import SUFFIX, placed_workbooks
 class CsvDialect:
     """How a CSV file is written. Quotes within a cell are doubled, as spreadsheets do.
 
-    With ``multi_line`` a quoted cell may hold line breaks; a file with quotes is then read by
-    one task, one without any by many.
+    With ``multi_line`` a quoted cell may hold line breaks. Files are read by many tasks all the
+    same; by one task each only those that are zipped, in an encoding unlike ASCII, or with
+    quotes, white space or carriage returns in odd places (see ``quoted``).
     """
 
     sep: str = ","
@@ -95,6 +98,10 @@ def _by_header(spark: SparkSession, files: list[str], dialect: CsvDialect) -> li
 ASCII_LIKE = frozenset({"utf-8", "utf8", "us-ascii", "iso-8859-1", "latin1", "windows-1252", "cp1252"})
 
 
+#: Names by which Spark unzips text; such files are not split.
+ZIPPED = (".gz", ".bz2", ".deflate", ".lz4", ".snappy", ".zst")
+
+
 def _by_line(spark: SparkSession, files: list[str], dialect: CsvDialect) -> CsvDialect:
     """The dialect that reads files without any quote line by line, split among tasks, if they
     read alike so: no line holds a carriage return or white space only. One pass that counts."""
@@ -107,6 +114,53 @@ def _by_line(spark: SparkSession, files: list[str], dialect: CsvDialect) -> CsvD
     return replace(dialect, multi_line=False) if found.isEmpty() else dialect
 
 
+def _placed(
+    spark: SparkSession, files: list[str], dialect: CsvDialect, names: list[str]
+) -> DataFrame:
+    """The files' rows, and where they stand, read by Spark's reader alone."""
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
+    read = spark.read.options(header=True, **dialect.options())
+    return read.schema(schema).option("enforceSchema", False).csv(files).selectExpr(
+        "*",
+        "_metadata.file_modification_time AS _up_time",
+        "_metadata.file_path AS _up_path",
+        "_metadata.file_block_start AS _up_block",
+        "monotonically_increasing_id() AS _up_place",
+    )
+
+
+def _placed_by_record(
+    spark: SparkSession, files: list[str], dialect: CsvDialect, names: list[str]
+) -> DataFrame:
+    """The same of files with quotes: their lines are made records, which Spark parses. Files
+    that can't be taken apart so are read by one task each."""
+    ways = (dialect.sep, dialect.quote, dialect.encoding)
+    records, odd = quoted_records(spark, files, *ways)
+    parts = []
+    if records is not None:
+        cells = ", ".join(f"`{n.replace('`', '``')}` STRING" for n in names)
+        parsed = F.from_csv("text", cells, {**dialect.options(), "lineSep": "\n"})
+        parts.append(
+            records.withColumn("row", parsed).selectExpr(
+                "row.*", "timestamp_micros(time) AS _up_time", "path AS _up_path",
+                "block AS _up_block", "place AS _up_place",
+            )
+        )
+    if odd:
+        parts.append(_placed(spark, files, dialect, names).where(F.col("_up_path").isin(odd)))
+    return reduce(DataFrame.unionByName, parts) if parts else _placed(spark, files, dialect, names)
+
+
+def _followable(files: list[str], dialect: CsvDialect) -> bool:
+    return (
+        dialect.multi_line
+        and dialect.encoding.lower() in ASCII_LIKE
+        and dialect.quote == dialect.escape
+        and all(len(c) == 1 and c.isascii() and c not in "\r\n" for c in (dialect.sep, dialect.quote))
+        and not any(f.lower().endswith(ZIPPED) for f in files)
+    )
+
+
 def number_rows(placed: DataFrame) -> DataFrame:
     """Numbers rows from zero in upload order: by the file's time and name, then as they
     stand in it.
@@ -158,16 +212,9 @@ def scan_uploads(
         parts.append(rename_headers(drop_listed_columns(placed, vocabulary), headers or {}))
     for group in _by_header(spark, [f for f in files if f not in set(books)], dialect):
         own = _by_line(spark, group, dialect)
-        read = spark.read.options(header=True, **own.options())
-        schema = read.csv(group[0]).schema
-        raw = read.schema(schema).option("enforceSchema", False).csv(group)
-        placed = drop_listed_columns(raw, vocabulary).selectExpr(
-            "*",
-            "_metadata.file_modification_time AS _up_time",
-            "_metadata.file_path AS _up_path",
-            "_metadata.file_block_start AS _up_block",
-            "monotonically_increasing_id() AS _up_place",
-        )
+        names = spark.read.options(header=True, **own.options()).csv(group[0]).columns
+        way = _placed_by_record if _followable(group, own) else _placed
+        placed = drop_listed_columns(way(spark, group, own, names), vocabulary)
         parts.append(rename_headers(placed, headers or {}))
     if not parts:
         empty = T.StructType([f for f in TASK_LOG if f.name != "seq"])
