@@ -141,3 +141,32 @@ def test_held_out_copies_of_words_that_occur_once_in_training(spark, monkeypatch
     for one, two in zip(sorted(map(tuple, got), key=key), sorted(want, key=key), strict=True):
         assert one[:5] == two[:5]
         assert one[6] == pytest.approx(two[6], rel=1e-6)
+
+
+def test_requests_take_less_room_than_hashes_of_words():
+    """An n-gram takes fewer bytes than its word's hash alone, contexts included."""
+    rng = np.random.default_rng(7)
+    words = 20_000
+    tokens = np.minimum(rng.zipf(1.15, 300_000), words).astype(np.int32) - 1
+    total = np.bincount(tokens, minlength=words) * 50 + rng.integers(0, 50, words)
+    rows = {
+        "id": pa.array([[1]]),
+        "held": pa.array([[False]]),
+        "n": pa.array([[len(tokens)]], pa.list_(pa.int32())),
+        "tokens": pa.array([tokens], pa.list_(pa.int32())),
+        "words": pa.array([np.sort(rng.integers(0, 1 << 63, words, np.uint64))], pa.list_(pa.uint64())),
+    }
+    model = {
+        "tokens": float(total.sum()), "distinct": float(words), "buckets_log": 5,
+        "hot": np.empty(0, np.uint64),
+    }
+    order = np.argsort(total, kind="stable")
+    place = np.empty(words, np.int64)
+    place[order] = np.arange(words) - np.searchsorted(total[order], total[order])
+    answer = {"total": total, "wanted": np.zeros(words, np.uint8), "place": place * 32}
+    answers = pd.DataFrame({"level": [1], "chunk": [0], "bucket": [0], "data": [lm.pack(answer)]})
+    made = lm.Counted(0, lm.Chunk(pa.table(rows)), answers, model, lm.SuffixTree())
+    asked = made.requests(2)
+    size, count = asked["data"].map(len).sum(), sum(len(lm.unpack(x)["count"]) for x in asked["data"])
+    assert count > 50_000
+    assert size < 5 * count

@@ -8,7 +8,9 @@ shorter one's, down to the words' own frequencies.
 
 Counts come from all training documents. Documents are kept in chunks, one file each. A
 chunk asks for the counts of its distinct n-grams: requests are dealt by hash to
-buckets, added up there, and answered in the order in which they were asked. Contexts grow
+buckets, added up there, and answered in the order in which they were asked. Words are asked
+for by their hashes, and get a place among the words of the same count; from then on a word is
+its count, which buckets need in any case, and its place. Contexts grow
 level by level, so longer n-grams are counted only after contexts frequent enough. What a
 chunk or a bucket holds is bounded, whatever the corpus; contexts with over a
 thousandth of all words, at most a thousand and some, are spread over all buckets and
@@ -39,7 +41,6 @@ BUCKET_TOKENS = 1 << 21
 HOT_SHARE = 1024
 REQUEST = "level int, chunk long, bucket int, data binary"
 ANSWER = "level int, chunk long, bucket int, data binary, tokens double, distinct double"
-HIGH_48 = np.uint64(0xFFFFFFFFFFFF0000)
 
 
 @dataclass(frozen=True)
@@ -54,7 +55,7 @@ class SuffixTree:
 
 
 class Chunk:
-    """Documents as numbers of their words, and the words' hashes; word 0 is the end of a text."""
+    """Documents as numbers of their words, in the order in which the words were asked for."""
 
     def __init__(self, table: pa.Table) -> None:
         row = {name: table.column(name).combine_chunks() for name in table.column_names}
@@ -62,7 +63,6 @@ class Chunk:
         self.held = row["held"].flatten().to_numpy(zero_copy_only=False)
         self.n = row["n"].flatten().to_numpy().astype(np.int64)
         self.tokens = row["tokens"].flatten().to_numpy().astype(np.int32)
-        self.hash = row["words"].flatten().to_numpy()
         at = np.arange(len(self.tokens), dtype=np.int32)
         self.place = at - np.repeat((np.cumsum(self.n) - self.n).astype(np.int32), self.n)
         self.learnt = np.repeat(~self.held, self.n)
@@ -71,7 +71,22 @@ class Chunk:
     def read(path: str, number: int) -> Chunk:
         files, folder = pyarrow.fs.FileSystem.from_uri(path)
         with files.open_input_file(f"{folder}/chunk-{number}.arrow") as source:
-            return Chunk(pa.ipc.open_file(source).read_all())
+            table = pa.ipc.open_file(source).read_all()
+        packed = unpack(table.column("tokens")[0].as_py())
+        return Chunk(_with_tokens(table, [packed["words"][packed["tokens"]]], pa.list_(pa.int32())))
+
+
+def _with_tokens(table: pa.Table, tokens: list, kind: pa.DataType) -> pa.Table:
+    return table.set_column(table.schema.get_field_index("tokens"), "tokens", pa.array(tokens, kind))
+
+
+def _packed(tokens: np.ndarray) -> bytes:
+    """The tokens numbered from the most frequent word, which takes less room, and the words'
+    numbers in that order."""
+    words = np.argsort(-np.bincount(tokens), kind="stable").astype(np.int32)
+    rank = np.empty(len(words), np.int32)
+    rank[words] = np.arange(len(words), dtype=np.int32)
+    return pack({"words": words, "tokens": rank[tokens]})
 
 
 def _tokenised(path: str, id_type: pa.DataType, buckets_log: int):
@@ -85,28 +100,31 @@ def _tokenised(path: str, id_type: pa.DataType, buckets_log: int):
 
         def close(ids: list, held: list, n: list, tokens: list, words: list) -> pa.RecordBatch:
             hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+            order = np.argsort(hashes, kind="stable")
+            number_of = np.empty(len(order), np.int32)
+            number_of[order] = np.arange(len(order), dtype=np.int32)
+            hashes = hashes[order]
             lists = [
                 pa.array([ids], pa.list_(id_type)),
                 pa.array([held], pa.list_(pa.bool_())),
                 pa.array([n], pa.list_(pa.int32())),
-                pa.array([np.concatenate(tokens)], pa.list_(pa.int32())),
-                pa.array([hashes], pa.list_(pa.uint64())),
+                pa.array([number_of[np.concatenate(tokens)]], pa.list_(pa.int32())),
             ]
-            table = pa.table(lists, names=["id", "held", "n", "tokens", "words"])
+            table = pa.table(lists, names=["id", "held", "n", "tokens"])
+            chunk = Chunk(table)
+            stored = _with_tokens(table, [_packed(chunk.tokens)], pa.binary())
             name = f"{folder}/chunk-{number}.arrow"
             unfinished = f"{name}.{context.taskAttemptId()}"
             with files.open_output_stream(unfinished) as sink:
                 with pa.ipc.new_file(
-                    sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")
+                    sink, stored.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")
                 ) as writer:
-                    writer.write_table(table)
+                    writer.write_table(stored)
             files.move(unfinished, name)
-            chunk = Chunk(table)
             counts = np.bincount(chunk.tokens[chunk.learnt], minlength=len(words))
-            order = np.argsort(chunk.hash, kind="stable")
             return _requests(
-                1, number, _bucket(chunk.hash[order], buckets_log),
-                {"key": chunk.hash[order], "count": counts[order].astype(np.int32)},
+                1, number, _bucket(hashes, buckets_log),
+                {"key": hashes, "count": counts.astype(np.int32)},
             )
 
         state, size = ([], [], [], []), 0
@@ -155,7 +173,12 @@ def _requests(
     )
 
 
-def _added(settings: SuffixTree, known: float):
+def _word(count: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """A hash of words by their count and place."""
+    return mixed_hash(count.astype(np.uint64), place.astype(np.uint64))
+
+
+def _added(settings: SuffixTree, known: float, buckets_log: int):
     """Adds up the requests of one bucket and answers each chunk in its own order.
     ``known``: what a word's count and one are divided by for its own probability."""
 
@@ -163,32 +186,47 @@ def _added(settings: SuffixTree, known: float):
         give_back()
         rows = rows.sort_values("chunk")
         asked = [unpack(x) for x in rows["data"]]
-        sizes = np.array([len(x["key"]) for x in asked])
-        key = np.concatenate([x["key"] for x in asked])
+        sizes = np.array([len(x["count"]) for x in asked])
         count = np.concatenate([x["count"] for x in asked]).astype(np.float64)
         level = int(rows["level"].iloc[0])
+
+        def every(name: str) -> np.ndarray:
+            return np.concatenate([x[name] for x in asked])
+
         if level == 1:
-            _, inverse = np.unique(key, return_inverse=True)
+            _, inverse = np.unique(every("key"), return_inverse=True)
             total = np.bincount(inverse, count)
             wanted = _wanted(total, inverse, count)
+            order = np.argsort(total, kind="stable")
+            among = np.arange(len(order)) - np.searchsorted(total[order], total[order])
+            place = np.empty(len(order), np.int64)
+            place[order] = (among << buckets_log) + int(rows["bucket"].iloc[0])
             ends = np.cumsum(sizes)[:-1]
+            parts = (total[inverse].astype(np.int64), wanted, place[inverse])
             answers = [
-                {"total": t, "wanted": w}
-                for t, w in zip(np.split(total[inverse].astype(np.int64), ends), np.split(wanted, ends))
+                {"total": t, "wanted": w, "place": p}
+                for t, w, p in zip(*(np.split(part, ends) for part in parts))
             ]
             stats = (total.sum(), float((total > 0).sum()))
         else:
             # Contexts stand once per run of keys, with their own counts.
-            runs = [len(x["context"]) for x in asked]
-            context = np.concatenate([np.repeat(x["context"], x["run"]) for x in asked])
+            run = every("run")
+            contexts = _word(every("last"), every("last_place"))
+            if level == 3:
+                contexts = mixed_hash(_word(every("first"), every("first_place")), contexts)
+            context = np.repeat(contexts, run)
+            word = _word(every("word"), every("word_place"))
             _, first, inverse = np.unique(
-                mixed_hash(context, key), return_index=True, return_inverse=True
+                mixed_hash(context, word), return_index=True, return_inverse=True
             )
             total = np.bincount(inverse, count)
-            occurs = np.concatenate([np.repeat(x["occurs"], x["run"]) for x in asked])[first]
-            shorter = np.concatenate([x["shorter"] for x in asked])[first].astype(np.float64)
-            if level == 2:  # counts of the words
-                shorter = (shorter + 1) / known
+            shorter = (every("word")[first].astype(np.float64) + 1) / known
+            last = np.repeat(every("last"), run)[first].astype(np.float64)
+            occurs = last
+            if level == 3:
+                occurs = np.repeat(every("occurs"), run)[first].astype(np.float64)
+                after_last = (every("pair")[first] + settings.smooth * shorter) / (last + settings.smooth)
+                shorter = np.where(np.repeat(every("kept"), run)[first], after_last, shorter)
             tested, which = np.unique(context[first], return_inverse=True)
             often = total >= 2
             left = (total - 1 + settings.smooth * shorter) / (occurs - 1 + settings.smooth)
@@ -199,16 +237,15 @@ def _added(settings: SuffixTree, known: float):
             of = np.zeros(len(tested))
             of[which] = occurs
             hot = np.zeros(len(tested), bool)
-            hot[which] = np.concatenate(
-                [np.repeat(x["hot"], x["run"]) for x in asked]
-            )[first].astype(bool)
+            hot[which] = np.repeat(every("hot"), run)[first].astype(bool)
             keep = ~hot & (_gain(gain, seen, of, settings) >= settings.gain)
             answers = []
             ends = np.cumsum(sizes)[:-1]
             totals = np.split(total[inverse].astype(np.int64), ends)
             wanted = np.split(_wanted(total, inverse, count), ends)
-            for x, t, w in zip(asked, totals, wanted):
-                at = np.searchsorted(tested, x["context"])
+            runs = np.cumsum([len(x["run"]) for x in asked])[:-1]
+            for c, t, w in zip(np.split(contexts, runs), totals, wanted):
+                at = np.searchsorted(tested, c)
                 answers.append({"total": t, "wanted": w, "keep": keep[at].astype(np.uint8)})
             if hot.any():
                 # The parts of tests that other buckets have the rest of.
@@ -261,11 +298,14 @@ class Counted:
         self.answers = {
             level: [unpack(x) for x in part["data"]] for level, part in answers.groupby("level")
         }
-        order = np.argsort(chunk.hash, kind="stable")
-        self.count = np.zeros(len(order), np.int64)
-        self.count[order] = self._answer(1, "total").astype(np.int64)
-        self.wanted = np.zeros(len(order), bool)
-        self.wanted[order] = self._answer(1, "wanted").astype(bool)
+        # From here on words are numbered from the most frequent: requests pack better so.
+        total = self._answer(1, "total").astype(np.int64)
+        self.order = np.argsort(-total, kind="stable")
+        self.count = total[self.order]
+        self.wanted = self._answer(1, "wanted").astype(bool)[self.order]
+        number_of = np.empty(len(total), np.int32)
+        number_of[self.order] = np.arange(len(total), dtype=np.int32)
+        chunk.tokens = number_of[chunk.tokens]
         self.share = (self.count + 1) / _known(model)  # a word's own probability
 
     def _answer(self, level: int, name: str) -> np.ndarray:
@@ -276,36 +316,34 @@ class Counted:
 
         ``at``: for each token the n-gram that it ends, or -1. Of each n-gram: ``context``
         and ``word`` (numbers), ``own`` (its count in this chunk's training texts),
-        ``total`` and ``wanted`` (once answered), and ``asked``, the order in which it is
-        asked for.
+        ``total`` and ``wanted`` (once answered), ``some`` (a token that ends it), and ``ask``,
+        whether it is asked for.
         """
         chunk, least = self.chunk, self.settings.least
         if number == 2:
             before = np.concatenate((np.zeros(1, np.int32), chunk.tokens[:-1]))
-            hashes, occurs = chunk.hash, self.count
+            occurs = self.count
             live = chunk.place >= 1
         else:
             lower = self._second()
             before = np.concatenate((np.full(1, -1, np.int32), lower["at"][:-1]))
-            hashes, occurs = lower["hash"], lower["total"]
+            occurs = lower["total"]
             live = (chunk.place >= 2) & (before >= 0)
         live = live.copy()
         where = np.flatnonzero(live)
         where = where[occurs[before[where]] >= least]
-        width = max(len(chunk.hash), 1)
+        width = max(len(self.count), 1)
         code = before[where].astype(np.int64) * width + chunk.tokens[where]
         code, inverse = np.unique(code, return_inverse=True)
         own = np.bincount(inverse, chunk.learnt[where], len(code)).astype(np.int64)
         context, word = (code // width).astype(np.int32), (code % width).astype(np.int32)
         at = np.full(len(chunk.tokens), -1, np.int32)
         at[where] = inverse
+        some = np.empty(len(code), np.int32)
+        some[inverse] = where
         if number == 2:
-            shorter = self.share[word]
             tell = (self.count[word] >= 2) | self.wanted[word]
         else:
-            some = np.empty(len(code), np.int32)
-            some[inverse] = where  # any token that ends it
-            shorter = self.after(2)[some]
             pair = lower["at"][some]
             tell = (pair < 0) | (lower["total"][pair] >= 2) | lower["wanted"][pair]
         # What occurs once at most without its first word is known here already, unless that
@@ -316,34 +354,47 @@ class Counted:
         silent = np.flatnonzero(~asks[context])
         ask[silent[np.unique(context[silent], return_index=True)[1]]] = True
         made = {
-            "at": at, "context": context, "word": word, "own": own, "shorter": shorter,
-            "hash": mixed_hash(hashes[context], chunk.hash[word]), "total": own.copy(),
-            "wanted": np.zeros(len(code), bool),
-        }
-        hot = occurs[context] * HOT_SHARE > self.model["tokens"]
-        sym = chunk.hash[word] & HIGH_48
-        deal = np.where(hot, made["hash"], mixed_hash(hashes[context], hashes[context]))
-        bucket = _bucket(deal, self.model["buckets_log"])
-        # N-grams stand by context already, so that contexts stay together within buckets.
-        asked = np.flatnonzero(ask)
-        small = np.min_scalar_type((1 << self.model["buckets_log"]) - 1)
-        asked = asked[np.argsort(bucket[asked].astype(small), kind="stable")]
-        made |= {
-            "asked": asked, "bucket": bucket[asked], "sym": sym[asked],
-            "context_hash": hashes[context[asked]], "occurs": occurs[context[asked]],
-            "hot": hot[asked], "kept": np.zeros(len(occurs), bool),
+            "at": at, "context": context, "word": word, "own": own, "some": some, "ask": ask,
+            "occurs": occurs, "total": own.copy(), "wanted": np.zeros(len(code), bool),
+            "kept": np.zeros(len(occurs), bool),
         }
         if number in self.answers:
+            made |= self._asked(number, made)
+            asked = made["asked"]
             made["total"][asked] = self._answer(number, "total").astype(np.int64)
             made["wanted"][asked] = self._answer(number, "wanted").astype(bool)
             begin = self._runs(made)
             keep = np.concatenate([x["keep"] for x in self.answers[number]]).astype(bool)
             made["kept"][context[asked[begin]]] = keep
             if len(self.model["hot"]):
-                found = np.isin(hashes[context[asked[begin]]], self.model["hot"])
+                found = np.isin(made["context_hash"][begin], self.model["hot"])
                 made["kept"][context[asked[begin[found]]]] = True
         return made
 
+    def _asked(self, number: int, made: dict) -> dict[str, np.ndarray]:
+        """The n-grams ``asked`` for, in that order, with their buckets and contexts' hashes."""
+        hashes = words = _word(self.count, self._place())
+        if number == 3:
+            pairs = self._second()
+            hashes = mixed_hash(words[pairs["context"]], words[pairs["word"]])
+        # N-grams stand by context already, so that contexts stay together within buckets.
+        asked = np.flatnonzero(made["ask"])
+        context = hashes[made["context"][asked]]
+        hot = made["occurs"][made["context"][asked]] * HOT_SHARE > self.model["tokens"]
+        whole = mixed_hash(context, words[made["word"][asked]])
+        bucket = _bucket(
+            np.where(hot, whole, mixed_hash(context, context)), self.model["buckets_log"]
+        )
+        small = np.min_scalar_type((1 << self.model["buckets_log"]) - 1)
+        order = np.argsort(bucket.astype(small), kind="stable")
+        return {
+            "asked": asked[order], "bucket": bucket[order], "context_hash": context[order],
+            "hot": hot[order],
+        }
+
+    def _place(self) -> np.ndarray:
+        return self._answer(1, "place").astype(np.int64)[self.order]
+
     @staticmethod
     def _runs(made: dict) -> np.ndarray:
         """Where a bucket or a context begins among what is asked."""
@@ -355,6 +406,8 @@ class Counted:
     def requests(self, number: int) -> pd.DataFrame:
         """What this chunk asks of each bucket about its n-grams of that order."""
         made = self.level(number) if number == 3 else self._second()
+        made = made | self._asked(number, made)
+        place = self._place()
         rows = []
         begin = np.flatnonzero(np.diff(made["bucket"], prepend=-1))
         runs = self._runs(made)
@@ -362,17 +415,29 @@ class Counted:
         for s, e in zip(begin, np.append(begin[1:], len(made["asked"]))):
             mine = made["asked"][s:e]
             a, b = np.searchsorted(runs, (s, e))
-            data = {
-                "key": made["sym"][s:e],
-                "count": made["own"][mine].astype(np.int32),
-                # Counts take less room than probabilities.
-                "shorter": self.count[made["word"][mine]]
-                if number == 2
-                else made["shorter"][mine].astype(np.float32),
-                "context": made["context_hash"][runs[a:b]],
+            context, word = made["context"][made["asked"][runs[a:b]]], made["word"][mine]
+            last = context
+            data = {}
+            if number == 3:
+                lower = self._second()
+                begins, last = lower["context"][context], lower["word"][context]
+                pair = lower["at"][made["some"][mine]]
+                data = {
+                    "first": self.count[begins],
+                    "first_place": place[begins],
+                    "occurs": made["occurs"][context],
+                    # What the shorter context's prediction is made of.
+                    "pair": np.where(pair >= 0, lower["total"][pair], 0),
+                    "kept": lower["kept"][last].astype(np.uint8),
+                }
+            data |= {
+                "last": self.count[last],
+                "last_place": place[last],
                 "run": (ends[a:b] - runs[a:b]).astype(np.int32),
-                "occurs": made["occurs"][runs[a:b]],
                 "hot": made["hot"][runs[a:b]].astype(np.uint8),
+                "word": self.count[word],
+                "word_place": place[word],
+                "count": made["own"][mine].astype(np.int32),
             }
             rows.append((number, self.number, int(made["bucket"][s]), pack(_narrow(data))))
         return pd.DataFrame(rows, columns=["level", "chunk", "bucket", "data"])
@@ -426,7 +491,7 @@ def suffix_tree_scores(
     asked = source.mapInArrow(_tokenised(path, id_type, buckets_log), REQUEST)
 
     def answered(requests: DataFrame, what: str, known: float = 0.0) -> DataFrame:
-        adds = _added(settings, known)
+        adds = _added(settings, known, buckets_log)
         answers = kept(requests.groupBy("bucket").applyInPandas(adds, ANSWER), what)
         drop_shuffles(session)
         return answers
